@@ -31,17 +31,30 @@ def fingerprint(column) -> Column:
     return F.sha2(column, 256)
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def draws(seed, key, count, first=0) -> Column:
+    """Array of ``count`` uniforms for the slots from ``first`` on."""
+    last = as_column(count).cast("int") - 1
+    return F.transform(
+        F.sequence(F.lit(0), last), lambda i: uniform(seed, key, as_column(first) + i)
+    )
+
+
 class Draws:
-    """Draw slots of one row. ``base`` shifts the slots, so templates can nest."""
+    """Readers of a draw array. ``base`` shifts the slots, so templates can nest."""
 
-    def __init__(self, seed, key, base=0):
-        self.seed, self.key, self.base = seed, key, base
+    def __init__(self, values: Column, base=0):
+        self.values, self.base = values, base
 
     def shifted(self, base) -> "Draws":
-        return Draws(self.seed, self.key, base)
+        return Draws(self.values, base)
 
     def u(self, slot) -> Column:
-        return uniform(self.seed, self.key, as_column(self.base) + as_column(slot))
+        return F.get(self.values, (as_column(self.base) + as_column(slot)).cast("int"))
 
     def integer(self, slot, low: int, high: int) -> Column:
         """Uniform integer, both ends included."""

@@ -72,7 +72,8 @@ def self_contained_figure(column) -> Column:
     return F.concat(F.array_join(definitions, "\n"), F.lit("\n"), first_picture(column))
 
 
-def _declared_names(column, pattern: str) -> Column:
+def declared_names(column, pattern: str) -> Column:
+    """Trimmed entries of every brace list the pattern captures."""
     lists = F.regexp_extract_all(column, F.lit(pattern), F.lit(1))
     return F.flatten(
         F.transform(lists, lambda names: F.transform(F.split(names, ","), strip))
@@ -81,8 +82,8 @@ def _declared_names(column, pattern: str) -> Column:
 
 def declared_packages(column) -> Column:
     """Packages named by the preamble, in catalog order."""
-    declared = _declared_names(column, C.USEPACKAGE_PATTERN)
-    libraries = F.array_remove(_declared_names(column, C.USELIBRARY_PATTERN), "")
+    declared = declared_names(column, C.USEPACKAGE_PATTERN)
+    libraries = F.array_remove(declared_names(column, C.USELIBRARY_PATTERN), "")
     return F.filter(
         _texts(C.PACKAGE_NAMES),
         lambda name: F.array_contains(declared, name)

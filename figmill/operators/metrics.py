@@ -34,6 +34,13 @@ def _grams(tokens: Column, order: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(order)), _GLUE))
 
 
+def _gram_entries(tokens: Column, order: int, r: Column, c: Column) -> Column:
+    return F.transform(
+        _grams(tokens, order),
+        lambda g: F.struct(F.lit(order).alias("o"), g.alias("g"), r.alias("r"), c.alias("c")),
+    )
+
+
 def corpus_bleu(
     pairs: DataFrame,
     groups=(),
@@ -61,15 +68,8 @@ def corpus_bleu(
     ]
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     for order in range(1, max_order + 1):
-        for column, r, c in ((reference, one, none), (candidate, none, one)):
-            entries.append(
-                F.transform(
-                    _grams(F.col(column), order),
-                    lambda g, o=order, r=r, c=c: F.struct(
-                        F.lit(o).alias("o"), g.alias("g"), r.alias("r"), c.alias("c")
-                    ),
-                )
-            )
+        entries.append(_gram_entries(F.col(reference), order, one, none))
+        entries.append(_gram_entries(F.col(candidate), order, none, one))
     spread = pairs.select(*groups, sample, reference, candidate).repartition(sample)
     grams = spread.select(*groups, sample, F.explode(F.concat(*entries)).alias("e"))
     counted = grams.groupBy(*groups, sample, F.col("e.o").alias("o"), F.col("e.g").alias("g")).agg(

@@ -59,8 +59,14 @@ def seed_statistics(runs: DataFrame, keys=("model", "tier")) -> DataFrame:
     )
 
 
+def fixed_text(value: Column, decimals: int, sign: bool = False) -> Column:
+    """Fixed-point text; a value halfway between two texts takes the even one."""
+    flag = "+" if sign else ""
+    return F.format_string(f"%{flag}.{decimals}f", F.bround(value, decimals))
+
+
 def mean_std_text(mean: Column, std: Column, precision: int = 3) -> Column:
-    return F.format_string(f"%.{precision}f \\pm %.{precision}f", mean, std)
+    return F.concat(fixed_text(mean, precision), F.lit(" \\pm "), fixed_text(std, precision))
 
 
 def generalization_gap(metrics: DataFrame, baseline: str = "tier1") -> DataFrame:
@@ -225,16 +231,18 @@ def ablation_lines(deltas: DataFrame) -> DataFrame:
     """Body lines of the ablation table with signed deltas: ``variant, line``."""
 
     def cell(metric: str, factor: float, precision: int, unit: str) -> Column:
-        value = F.format_string(f"%.{precision}f{unit}", F.col(metric) * factor)
-        delta = F.format_string(f" (%+.{precision}f)", F.col(f"delta_{metric}"))
-        return F.concat(value, F.when(F.col("variant") == "Full", F.lit("")).otherwise(delta))
+        value = fixed_text(F.col(metric) * factor, precision)
+        delta = F.concat(
+            F.lit(" ("), fixed_text(F.col(f"delta_{metric}"), precision, sign=True), F.lit(")")
+        )
+        return F.concat(value, F.lit(unit), F.when(F.col("variant") == "Full", F.lit("")).otherwise(delta))
 
     body = F.concat_ws(
         " & ",
         F.concat(F.lit("\\textbf{"), F.col("variant"), F.lit("}")),
         cell("corpus_bleu", 1.0, 3, ""),
         cell("mean_graph_edit_distance", 1.0, 3, ""),
-        cell("compilation_rate", 100.0, 1, "\\%%"),
+        cell("compilation_rate", 100.0, 1, "\\%"),
         cell("mean_ssim", 1.0, 3, ""),
     )
     return deltas.select("variant", F.concat(body, F.lit(" \\\\")).alias("line"))
@@ -242,12 +250,22 @@ def ablation_lines(deltas: DataFrame) -> DataFrame:
 
 def markdown_lines(report: DataFrame) -> DataFrame:
     """Body lines of the per-family Markdown table: ``family, line``."""
-    line = F.format_string(
-        "| `%s` | %d | %.1f%% | %.3f | %.1f%% | %.1f%% | %.3f | %.3f |",
-        F.col("family"), F.col("samples"), F.col("mean_compilation_rate") * 100.0,
-        F.col("mean_ssim"), F.col("mean_primitive_accuracy") * 100.0,
-        F.col("mean_family_accuracy") * 100.0, F.col("mean_coord_mean_error"),
-        F.col("mean_token_distance"),
+    def percent(name: str) -> Column:
+        return F.concat(fixed_text(F.col(name) * 100.0, 1), F.lit("%"))
+
+    line = F.concat(
+        F.lit("| `"), F.col("family"), F.lit("` | "),
+        F.concat_ws(
+            " | ",
+            F.col("samples").cast("string"),
+            percent("mean_compilation_rate"),
+            fixed_text(F.col("mean_ssim"), 3),
+            percent("mean_primitive_accuracy"),
+            percent("mean_family_accuracy"),
+            fixed_text(F.col("mean_coord_mean_error"), 3),
+            fixed_text(F.col("mean_token_distance"), 3),
+        ),
+        F.lit(" |"),
     )
     return report.filter(F.col("family") != OVERALL).select("family", line.alias("line"))
 

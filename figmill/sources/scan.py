@@ -174,24 +174,31 @@ EVALUATION_RECORD = T.StructType(
 )
 
 
-def read_evaluations(spark: SparkSession, folder: str) -> DataFrame:
-    """Stored records, one file per sample and policy; family, sample and policy also come
-    from the path. Records written before points were counted have null there and hold the
-    coordinate error in canvas units, which ``record_version`` tells apart."""
+# Fixed value: where a stored record carries its family, sample and policy.
+EVALUATION_PATH = r"/([^/]+)/sample_(\d+)/([^/]+)_meta\.json$"
+
+
+def read_evaluations(
+    spark: SparkSession, folder: str, glob: str = "*_meta.json", where: str = EVALUATION_PATH,
+    multi_line: bool = True,
+) -> DataFrame:
+    """Stored records; family, sample and policy also come from the path by the three
+    groups of ``where``. Records written before points were counted have null there and hold
+    the coordinate error in canvas units, which ``record_version`` tells apart."""
     records = (
         spark.read.schema(EVALUATION_RECORD)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*_meta.json")
+        .option("pathGlobFilter", glob)
         .json(folder)
     )
     path = F.col("_metadata.file_path")
-    where = r"/([^/]+)/sample_(\d+)/([^/]+)_meta\.json$"
+    version = F.when(F.col("coordinate_points_compared").isNull(), 1).otherwise(2)
     return records.select(
         F.regexp_extract(path, where, 1).alias("family"),
-        F.regexp_extract(path, where, 2).cast("int").alias("sample_index"),
+        F.nullif(F.regexp_extract(path, where, 2), F.lit("")).cast("int").alias("sample_index"),
         F.regexp_extract(path, where, 3).alias("path_policy"),
-        F.when(F.col("coordinate_points_compared").isNull(), 1).otherwise(2).alias("record_version"),
+        version.alias("record_version"),
         "*",
     )
 

@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 from figmill import constants as C
 from figmill.functions.hashing import fingerprint
 from figmill.operators.positions import ordered_head
-from figmill.operators.report import TABLE_FEET, TABLE_HEADS, ablation_lines, multitier_lines
+from figmill.operators.report import (
+    TABLE_FEET,
+    TABLE_HEADS,
+    ablation_lines,
+    fixed_text,
+    multitier_lines,
+)
 from figmill.sources.scan import numbered_samples
 
 MANIFEST_VERSION = "v4"
@@ -60,14 +66,17 @@ def manifest_json(manifest: DataFrame, image_size: int, max_length: int) -> Data
     shard = F.struct("shard_id", "file_name", "num_samples", "family_counts")
     body = manifest.groupBy("split").agg(
         F.sum("num_samples").alias("total_samples"),
-        F.array_sort(F.collect_list(F.struct(F.col("shard_id").alias("_o"), shard.alias("s")))).alias("_s"),
+        # Maps have no order, so the shards are compared by id.
+        F.array_sort(
+            F.collect_list(shard), lambda a, b: (a["shard_id"] - b["shard_id"]).cast("int")
+        ).alias("shards"),
     )
     document = F.struct(
         F.lit(MANIFEST_VERSION).alias("version"),
         F.lit(image_size).alias("image_size"),
         F.lit(max_length).alias("max_length"),
         "total_samples",
-        F.transform("_s", lambda e: e["s"]).alias("shards"),
+        "shards",
     )
     return body.select("split", F.to_json(document).alias("manifest"))
 
@@ -194,7 +203,7 @@ def detailed_rows(records: DataFrame) -> DataFrame:
     """The 21 columns of the detailed result file."""
 
     def four(name: str):
-        return F.format_string("%.4f", F.col(name)).alias(name)
+        return fixed_text(F.col(name), 4).alias(name)
 
     def parens(name: str):
         return F.coalesce(F.try_element_at(F.col(name), F.lit("()")), F.lit(0))
@@ -232,7 +241,7 @@ def family_summary_rows(report: DataFrame) -> DataFrame:
     """The 18 columns of the family summary file, from the diagnostics report."""
     return report.filter(F.col("family") != "overall").select(
         "family", "policy", "samples",
-        *[F.format_string(f"%.{d}f", F.col(c)).alias(name) for c, name, d in SUMMARY_COLUMNS],
+        *[fixed_text(F.col(c), d).alias(name) for c, name, d in SUMMARY_COLUMNS],
     )
 
 
