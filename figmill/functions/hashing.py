@@ -54,15 +54,16 @@ class Draws:
         return Draws(self.values, base)
 
     def u(self, slot) -> Column:
-        return F.get(self.values, (as_column(self.base) + as_column(slot)).cast("int"))
+        at = self.base + slot
+        return F.get(self.values, at if isinstance(at, Column) else F.lit(at))
 
     def integer(self, slot, low: int, high: int) -> Column:
         """Uniform integer, both ends included."""
-        return (F.lit(low) + F.floor(self.u(slot) * F.lit(high - low + 1))).cast("long")
+        return F.floor(self.u(slot) * (high - low + 1)) + low
 
     def choice(self, slot, options) -> Column:
-        index = F.floor(self.u(slot) * F.lit(len(options))).cast("int") + 1
-        return F.element_at(F.array(*[F.lit(o) for o in options]), index)
+        index = F.floor(self.u(slot) * len(options)).cast("int")
+        return F.get(F.split(F.lit("|".join(options)), "[|]"), index)
 
     def weighted(self, slot, options) -> Column:
         """One of ``(value, weight)`` pairs by cumulative threshold."""

@@ -839,20 +839,20 @@ for _number, _name in enumerate(C.FAMILIES, start=1):
 
 @query
 def g9_procedural_corpus(spark, sf):
-    return V.figures(spark, sf).select("sample_id", "family_idx", "family", "markup")
+    return V.procedural_figures(spark, sf).select("sample_id", "family_idx", "family", "markup")
 
 
 @query
 def g10_grammar_scopes(spark, sf):
     body = G.picture_body(F.col("markup"))
-    return V.compositional(spark, sf).select(
+    return V.compositional_figures(spark, sf).select(
         "sample_id", F.posexplode(F.split(body, "\n")).alias("p", "scope")
     ).select("sample_id", F.col("p").cast("long").alias("scope_no"), "scope")
 
 
 @query
 def g11_compositional_figures(spark, sf):
-    return V.compositional(spark, sf).select(
+    return V.compositional_figures(spark, sf).select(
         "sample_id", "markup", X.within_budget(F.col("markup")).alias("in_budget")
     )
 

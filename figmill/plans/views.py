@@ -3,7 +3,8 @@
 The given tables hold no figure markup, so the corpus comes from them row by row: every
 order seeds one figure, one prediction and one render outcome; every document becomes a
 document with figures spliced in; every 16 embeddings become one raster. All of it is
-narrow work after hashing the key once, and it grows with the tables.
+narrow work after hashing the key once, and it grows with the tables. As in a real corpus
+the markup is generated once and written; the queries read the written tables.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from figmill import constants as C
 from figmill.functions import templates as G
 from figmill.functions.hashing import uniform
+from figmill.sources.staging import stage_once
 
 SEED = 42
 RASTER_HEIGHT, RASTER_WIDTH = 16, 64
@@ -21,6 +23,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_BUILT: dict[tuple, Column] = {}
+
+
+def built_once(spark: SparkSession, key: tuple, build) -> Column:
+    """Reuse a large column expression within one application. Columns are unresolved
+    recipes, so only the time to put them together is saved."""
+    full = (spark.sparkContext.applicationId, *key)
+    if full not in _BUILT:
+        _BUILT[full] = build()
+    return _BUILT[full]
+
+
+def procedural(spark: SparkSession, family: str, seed: int) -> Column:
+    """Picture of the family named by a column, keyed by ``sample_id``."""
+    return built_once(
+        spark, ("procedural", family, seed),
+        lambda: G.procedural_markup(F.col(family), seed, F.col("sample_id")),
+    )
+
+
 def _family_of(index: Column) -> Column:
     names = F.array(*[F.lit(name) for name in C.FAMILIES])
     return F.element_at(names, (index + 1).cast("int"))
@@ -39,13 +61,15 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.repartition("sample_id")
 
 
-def figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+def procedural_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``sample_id, family_idx, family, markup`` and the order columns; families in turn."""
     indexed = orders(spark, sf_dir).withColumn("family_idx", F.col("sample_id") % len(C.FAMILIES))
     named = indexed.withColumn("family", _family_of(F.col("family_idx")))
-    return named.withColumn(
-        "markup", G.procedural_markup(F.col("family"), SEED, F.col("sample_id"))
-    )
+    return named.withColumn("markup", procedural(spark, "family", SEED))
+
+
+def figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage_once(spark, ("figures", sf_dir), lambda: procedural_figures(spark, sf_dir))
 
 
 POLICIES = {
@@ -68,17 +92,21 @@ def _mapped(column: Column, mapping: dict[str, str]) -> Column:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage_once(spark, ("pairs", sf_dir), lambda: predicted_pairs(spark, sf_dir))
+
+
+def predicted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References with predictions. Open orders: the last digit of every decimal moves.
     Filled orders: also the end tag is lost. The rest: a figure of the next family."""
-    base = figures(spark, sf_dir)
+    base = figures(spark, sf_dir).withColumn(
+        "next_family", _family_of((F.col("family_idx") + 1) % len(C.FAMILIES))
+    )
     moved = F.regexp_replace(
         F.col("markup"),
         F.lit(r"(\.\d)\d"),
         F.concat(F.lit("$1"), (F.col("custkey") % 10).cast("string")),
     )
-    other = G.procedural_markup(
-        _family_of((F.col("family_idx") + 1) % len(C.FAMILIES)), SEED + 1, F.col("sample_id")
-    )
+    other = procedural(spark, "next_family", SEED + 1)
     candidate = (
         F.when(F.col("status") == "P", other)
         .when(F.col("status") == "F", F.replace(moved, F.lit("\n" + C.END_PICTURE), F.lit("")))
@@ -135,6 +163,10 @@ PREAMBLES = (
 
 
 def tex_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage_once(spark, ("tex_docs", sf_dir), lambda: spliced_documents(spark, sf_dir))
+
+
+def spliced_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, code``: whole document text after a preamble, with none, one or two figures."""
     heads = F.array(*[F.lit(p) for p in PREAMBLES])
     doc = F.col("doc_id")
@@ -146,14 +178,25 @@ def tex_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(doc % 4 > 0, F.concat(F.lit("\n"), first)).otherwise(""),
         F.when(doc % 4 > 1, F.concat(F.lit("\nmore\n"), second)).otherwise(""),
     )
-    return documents(spark, sf_dir).select("doc_id", "lang", "source", code.alias("code"))
+    rows = documents(spark, sf_dir).repartition("doc_id")
+    return rows.select("doc_id", "lang", "source", code.alias("code"))
 
 
 def compositional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage_once(
+        spark, ("compositional", sf_dir), lambda: compositional_figures(spark, sf_dir)
+    )
+
+
+def compositional_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One grammar figure per customer."""
     keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sample_id"))
     return keys.repartition("sample_id").withColumn(
-        "markup", G.compositional_markup(SEED, F.col("sample_id"))
+        "markup",
+        built_once(
+            spark, ("compositional", SEED),
+            lambda: G.compositional_markup(SEED, F.col("sample_id")),
+        ),
     )
 
 

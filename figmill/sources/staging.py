@@ -25,7 +25,23 @@ def shared_folder(spark: SparkSession) -> str:
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/figmill-{label}-{uuid.uuid4().hex}"
+    return df.sparkSession.read.schema(df.schema).parquet(_written(df, label))
+
+
+def _written(df: DataFrame, label: str) -> str:
+    path = f"{shared_folder(df.sparkSession)}/figmill-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+_TABLES: dict[tuple, tuple] = {}
+
+
+def stage_once(spark: SparkSession, key: tuple, build) -> DataFrame:
+    """Stage a derived table the first time an application asks for it, then reuse it."""
+    full = (spark.sparkContext.applicationId, *key)
+    if full not in _TABLES:
+        df = build()
+        _TABLES[full] = (df.schema, _written(df, str(key[0])))
+    schema, path = _TABLES[full]
+    return spark.read.schema(schema).parquet(path)
