@@ -38,44 +38,42 @@ def three_channels(lines: DataFrame) -> DataFrame:
     )
 
 
-def _source(position: Column, size_in: int, size_out: int):
+def _source(position: Column, size_in: Column, size_out: int):
     """Lower source index, upper source index and upper weight of a half-pixel center."""
-    at = F.greatest(
-        F.lit(0.0), (position + F.lit(0.5)) * F.lit(size_in / size_out) - F.lit(0.5)
-    )
-    low = F.least(F.floor(at).cast("int"), F.lit(size_in - 1))
-    return low, F.least(low + 1, F.lit(size_in - 1)), at - low
+    at = F.greatest(F.lit(0.0), (position + 0.5) * (size_in / F.lit(size_out)) - 0.5)
+    low = F.least(F.floor(at).cast("int"), size_in - 1)
+    return low, F.least(low + 1, size_in - 1), at - low
 
 
-def resized(
-    lines: DataFrame, height_in: int, width_in: int, height: int, width: int,
-    to_bytes: bool = False,
-) -> DataFrame:
-    """Bilinear resize. Lines are narrowed first; then every source line goes to the few
-    target lines it feeds, so no task holds a whole image."""
+def resized(lines: DataFrame, height: int, width: int, to_bytes: bool = False) -> DataFrame:
+    """Bilinear resize of images of any size. Lines are narrowed first; then every source
+    line goes to the few target lines it feeds, so no task holds a whole image."""
     if height <= 0 or width <= 0:
         raise ValueError(f"Target size must be positive. Got {height}x{width}.")
+    measured = lines.withColumns(
+        {
+            "_width": F.size("pixels"),
+            "_height": (F.max("y").over(W.partitionBy("image_id")) + 1).cast("int"),
+        }
+    )
 
     def sample(x: Column) -> Column:
-        low, high, weight = _source(x, width_in, width)
+        low, high, weight = _source(x, F.col("_width"), width)
         left, right = F.get(F.col("pixels"), low), F.get(F.col("pixels"), high)
-        return left * (F.lit(1.0) - weight) + right * weight
+        return left * (1.0 - weight) + right * weight
 
-    across = lines.select(
-        *_LINE, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), sample).alias("pixels")
+    across = measured.select(
+        *_LINE, "_height",
+        F.transform(F.sequence(F.lit(0), F.lit(width - 1)), sample).alias("pixels"),
     )
 
     def contribution(ty: Column) -> Column:
-        low, high, weight = _source(ty, height_in, height)
-        y = F.col("y")
+        low, high, weight = _source(ty, F.col("_height"), height)
+        is_low, is_high = F.col("y") == low, F.col("y") == high
+        share = F.when(is_low, 1.0 - weight).otherwise(0.0) + F.when(is_high, weight).otherwise(0.0)
         return F.struct(
-            ty.alias("ty"),
-            (
-                F.when(y == low, F.lit(1.0) - weight).otherwise(F.lit(0.0))
-                + F.when(y == high, weight).otherwise(F.lit(0.0))
-            ).alias("weight"),
-            (y == low).alias("is_low"),
-            ((y == low) | (y == high)).alias("used"),
+            ty.alias("ty"), share.alias("weight"), is_low.alias("is_low"),
+            (is_low | is_high).alias("used"),
         )
 
     targets = F.filter(
@@ -93,16 +91,15 @@ def resized(
         F.zip_with("_low", "_high", lambda a, b: a + b)
     )
     if to_bytes:
+        # A level missed by rounding noise alone still counts as that level.
         pixels = F.transform(
-            pixels, lambda p: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), p)))
+            pixels, lambda p: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), p + 1e-9)))
         )
     return merged.select(*_LINE, pixels.alias("pixels"))
 
 
-def encoder_input(
-    lines: DataFrame, height_in: int, width_in: int, height: int, width: int
-) -> DataFrame:
-    return resized(normalized(lines), height_in, width_in, height, width)
+def encoder_input(lines: DataFrame, height: int, width: int) -> DataFrame:
+    return resized(normalized(lines), height, width)
 
 
 def noisy(lines: DataFrame, sigma: float, seed: int) -> DataFrame:

@@ -34,8 +34,15 @@ def query(build: Query) -> Query:
     return build
 
 
+def rounded(column, decimals: int) -> Column:
+    """Round for comparison. The nudge moves exact halves off the boundary, where the last
+    bit of a sum would decide."""
+    column = column if isinstance(column, Column) else F.col(column)
+    return F.round(column + 1e-9, decimals)
+
+
 def r6(column) -> Column:
-    return F.round(column if isinstance(column, Column) else F.col(column), 6)
+    return rounded(column, 6)
 
 
 def joined(column, glue: str = "|") -> Column:
@@ -1244,8 +1251,8 @@ def _flat(lines: DataFrame, decimals: int = 6) -> DataFrame:
     )
     return lines.select(
         "image_id", F.col("channel").cast("long").alias("channel"), F.col("y").cast("long").alias("y"),
-        F.size("pixels").cast("long").alias("width"), F.round(total, decimals).alias("total"),
-        F.round(weighted, decimals).alias("weighted"),
+        F.size("pixels").cast("long").alias("width"), rounded(total, decimals).alias("total"),
+        rounded(weighted, decimals).alias("weighted"),
     )
 
 
@@ -1261,13 +1268,17 @@ def i2_three_channels(spark, sf):
 
 @query
 def i3_resized(spark, sf):
-    whole = V.rasters(spark, sf)
-    return _flat(I.resized(whole, V.RASTER_HEIGHT, V.RASTER_WIDTH, 24, 48))
+    return _flat(I.resized(V.rasters(spark, sf), 24, 48))
+
+
+@query
+def i3_resized_bytes(spark, sf):
+    return _flat(I.resized(V.rasters(spark, sf), 8, 100, to_bytes=True))
 
 
 @query
 def i4_encoder_input(spark, sf):
-    return _flat(I.encoder_input(V.rasters(spark, sf), V.RASTER_HEIGHT, V.RASTER_WIDTH, 8, 32))
+    return _flat(I.encoder_input(V.rasters(spark, sf), 8, 32))
 
 
 @query
