@@ -5,7 +5,13 @@ from pyspark.sql import functions as F
 
 from figmill import constants as C
 from figmill.functions.hashing import as_column, fingerprint, hash32, pick_weighted, uniform
-from figmill.operators.positions import dense_position, ordered_head, within_cut
+from figmill.operators.positions import (
+    HASHED,
+    dense_position,
+    ordered_head,
+    within_cut,
+    within_cuts,
+)
 from figmill.operators.quality import successful_renders, valid_candidates
 from figmill.sources.staging import stage
 
@@ -34,7 +40,8 @@ def check_ratio(ratio: float) -> None:
 
 
 def _split(df, quota, key: str, seed, groups=(), labels=("val", "train")) -> DataFrame:
-    marked = within_cut(df, quota, hash32(seed, F.col(key), "split"), F.col(key), groups)
+    order = hash32(seed, F.col(key), "split")
+    marked = within_cut(df, quota, order, F.col(key), groups, HASHED)
     return marked.withColumn(
         "split", F.when(F.col("_inside"), labels[0]).otherwise(labels[1])
     ).drop("_inside")
@@ -73,14 +80,12 @@ def stage_split(df: DataFrame, seed: int, key: str) -> DataFrame:
 def banded_split(df: DataFrame, per_group: int, seed: int, key: str, group: str) -> DataFrame:
     """Quotas of 90/5/5 percent of ``per_group`` rows in every group; the rest is unused."""
     train, rest = int(per_group * 0.90), int(per_group * 0.05)
+    bounds = {"train": train, "val": train + rest, "test": train + 2 * rest}
+    quotas = {f"_{n}": (lambda size, b=b: F.least(size, F.lit(b))) for n, b in bounds.items()}
     order = hash32(seed, F.col(key), "split")
-    bounds = [("train", train), ("val", train + rest), ("test", train + 2 * rest)]
-    split = F.lit(None).cast("string")
-    for label, bound in reversed(bounds):
-        df = within_cut(df, lambda n, b=bound: F.least(n, F.lit(b)), order, F.col(key), [group])
-        df = df.withColumnRenamed("_inside", f"_{label}")
-        split = F.when(F.col(f"_{label}"), label).otherwise(split)
-    return df.withColumn("split", split).drop("_train", "_val", "_test")
+    marked = within_cuts(df, quotas, order, F.col(key), [group], HASHED)
+    split = F.when(F.col("_train"), "train").when(F.col("_val"), "val").when(F.col("_test"), "test")
+    return marked.withColumn("split", split).drop(*quotas)
 
 
 # --- Quotas and retries ----------------------------------------------------------------------
@@ -179,6 +184,7 @@ def curriculum_draws(pool: DataFrame, draws: DataFrame, weights, seed: int) -> D
         ties=["sample_id"],
         groups=["family", "pass"],
         name="slot",
+        parents=HASHED,
     )
     return numbered.join(permuted, ["family", "pass", "slot"]).select(
         "draw_id", "family", "pass", "sample_id"

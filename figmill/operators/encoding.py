@@ -47,7 +47,8 @@ def build_vocabulary(
     known = (
         found.union(fixed).distinct().filter(~F.col("token").isin(*C.RESERVED_TOKENS))
     )
-    numbered = text_position(known, "token", "idx").select(
+    # Staged, so that ranks and offsets do not tokenize the corpus again.
+    numbered = text_position(stage(known, "tokens"), "token", "idx").select(
         "token", (F.col("idx") + len(C.RESERVED_TOKENS)).cast("int").alias("idx")
     )
     reserved = spark.createDataFrame(

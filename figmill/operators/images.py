@@ -186,11 +186,8 @@ def _gaussian_weights(size: int, sigma: float) -> list[float]:
     return [w / sum(raw) for w in raw]
 
 
-def _weighted(terms: list[Column]) -> Column:
-    total = terms[0]
-    for term in terms[1:]:
-        total = total + term
-    return total
+def _reader(name: str, x: Column):
+    return lambda line: F.get(line[name], x)
 
 
 def ssim(
@@ -210,24 +207,24 @@ def ssim(
     weights = _gaussian_weights(window, C.SSIM_SIGMA)
     c1, c2 = (k1 * data_range) ** 2, (k2 * data_range) ** 2
     starts = F.sequence(F.lit(0), F.lit(width - window))
+    kernel = F.array(*[F.lit(w) for w in weights])
 
-    def along(value) -> Column:
-        return F.transform(
-            starts, lambda x: _weighted([value(x + i) * w for i, w in enumerate(weights)])
-        )
+    def dot(values: Column, of=lambda v: v) -> Column:
+        terms = F.zip_with(values, kernel, lambda v, w: of(v) * w)
+        return F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t)
 
-    def a(x):
-        return F.get(F.col("a"), x)
+    def along(values: Column) -> Column:
+        return F.transform(starts, lambda x: dot(F.slice(values, x + 1, F.lit(window))))
 
-    def b(x):
-        return F.get(F.col("b"), x)
+    def product(left: str, right: str) -> Column:
+        return F.zip_with(left, right, lambda p, q: p * q)
 
     moments = {
-        "_a": along(a),
-        "_b": along(b),
-        "_aa": along(lambda x: a(x) * a(x)),
-        "_bb": along(lambda x: b(x) * b(x)),
-        "_ab": along(lambda x: a(x) * b(x)),
+        "_a": along(F.col("a")),
+        "_b": along(F.col("b")),
+        "_aa": along(product("a", "a")),
+        "_bb": along(product("b", "b")),
+        "_ab": along(product("a", "b")),
     }
     rows = pairs.select(*_LINE, F.struct(*[c.alias(n) for n, c in moments.items()]).alias("_m"))
     frame = W.partitionBy("image_id", "channel").orderBy("y").rowsBetween(0, window - 1)
@@ -236,12 +233,9 @@ def ssim(
     )
 
     def local(x: Column) -> Column:
-        def down(name: str) -> Column:
-            return _weighted(
-                [F.get(F.get(F.col("_f"), F.lit(i))[name], x) * w for i, w in enumerate(weights)]
-            )
-
-        return F.struct(*[down(n).alias(n) for n in moments])
+        return F.struct(
+            *[dot(F.col("_f"), _reader(n, x)).alias(n) for n in moments]
+        )
 
     def similarity(m: Column) -> Column:
         aa, bb, ab = m["_a"] * m["_a"], m["_b"] * m["_b"], m["_a"] * m["_b"]

@@ -1,4 +1,4 @@
-"""The two scores that need an algorithm per pair: alignment and assignment.
+"""The scores that need an algorithm per pair: n-gram matches, alignment and assignment.
 
 Spark builds, joins and partitions the pairs; these Arrow functions only score the
 batch of rows a task hands them.
@@ -124,6 +124,69 @@ def align_batch(reference: pa.Array, candidate: pa.Array, scale: float) -> pa.Ar
     return pa.array(result, pa.float64())
 
 
+def _coded(reference: pa.Array, candidate: pa.Array):
+    """Integer codes and row numbers of both sides over one shared dictionary."""
+    sides = [_flat(pc.fill_null(side, pa.scalar([], side.type))) for side in (reference, candidate)]
+    words = pa.concat_arrays([s[0].cast(pa.string()) for s in sides]).dictionary_encode()
+    codes, at, out = words.indices.to_numpy().astype(np.int64), 0, []
+    for values, offsets in sides:
+        rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        out.append((codes[at : at + len(values)], rows, np.diff(offsets)))
+        at += len(values)
+    return out
+
+
+def match_batch(reference: pa.Array, candidate: pa.Array, max_order: int) -> pa.Array:
+    """Per pair: both lengths, then clipped matches and candidate n-grams of every order.
+
+    An n-gram is named by the pair (name of its first n-1 tokens, last token), renumbered
+    densely, so every order is one sort of the whole batch.
+    """
+    (rc, rr, rn), (cc, cr, cn) = _coded(reference, candidate)
+    pairs = len(rn)
+    columns = [rn, cn]
+    names, rows, side = np.concatenate([rc, cc]), np.concatenate([rr, cr]), len(rc)
+    tokens = names
+    is_candidate = np.arange(len(names)) >= side
+    whole = np.concatenate([np.arange(len(rc)), np.arange(len(cc)) + side])
+    base = int(tokens.max()) + 1 if len(tokens) else 1
+    ends = whole  # index of the last token of every live n-gram
+    for order in range(1, max_order + 1):
+        if order > 1:
+            nxt = ends + 1
+            live = nxt < len(tokens)
+            live[live] = (rows[nxt[live]] == rows[ends[live]]) & (
+                is_candidate[nxt[live]] == is_candidate[ends[live]]
+            )
+            ends, names = nxt[live], names[live]
+            names = names * base + tokens[ends]
+        _, names = np.unique(names, return_inverse=True)
+        width = int(names.max()) + 1 if len(names) else 1
+        keys, at = np.unique(rows[ends] * width + names, return_inverse=True)
+        from_candidate = is_candidate[ends]
+        in_candidate = np.bincount(at[from_candidate], minlength=len(keys))
+        in_reference = np.bincount(at[~from_candidate], minlength=len(keys))
+        owner = keys // width
+        clipped = np.minimum(in_candidate, in_reference)
+        columns.append(np.bincount(owner, weights=clipped, minlength=pairs))
+        columns.append(np.bincount(owner, weights=in_candidate, minlength=pairs))
+    table = np.stack(columns, axis=1).astype(np.int64)
+    offsets = np.arange(0, table.size + 1, table.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(table.ravel()))
+
+
+def ngram_matches(reference: Column, candidate: Column, max_order: int) -> Column:
+    """``[reference length, candidate length, clipped 1, total 1, clipped 2, ...]``."""
+    if max_order < 1:
+        raise ValueError(f"max_order must be at least 1. Got {max_order}.")
+
+    @F.arrow_udf("array<bigint>")
+    def count(left: pa.Array, right: pa.Array) -> pa.Array:
+        return match_batch(left, right, max_order)
+
+    return count(reference, candidate)
+
+
 def token_edit_distance(
     reference: Column, candidate: Column, scale: float = C.CANVAS_DIAGONAL
 ) -> Column:

@@ -10,13 +10,11 @@ from figmill.functions import text as X
 from figmill.functions import tokens as K
 from figmill.operators.matching import (
     graph_edit_distance,
+    ngram_matches,
     token_edit_distance,
     unordered_coordinate_error,
 )
 
-_GLUE = "\x01"
-
-
 def tokenized_pairs(pairs: DataFrame, step: float = C.COORDINATE_STEP) -> DataFrame:
     """Replace both markups by their tokens."""
     return pairs.withColumns(
@@ -27,64 +25,27 @@ def tokenized_pairs(pairs: DataFrame, step: float = C.COORDINATE_STEP) -> DataFr
     )
 
 
-def _grams(tokens: Column, order: int) -> Column:
-    starts = F.when(
-        F.size(tokens) >= order, F.sequence(F.lit(1), F.size(tokens) - (order - 1))
-    ).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(order)), _GLUE))
-
-
-def _gram_entries(tokens: Column, order: int, r: Column, c: Column) -> Column:
-    return F.transform(
-        _grams(tokens, order),
-        lambda g: F.struct(F.lit(order).alias("o"), g.alias("g"), r.alias("r"), c.alias("c")),
-    )
-
-
 def corpus_bleu(
     pairs: DataFrame,
     groups=(),
     max_order: int = 4,
-    sample: str = "sample_id",
     reference: str = "reference_tokens",
     candidate: str = "candidate_tokens",
 ) -> DataFrame:
     """One row per group with ``pairs`` and ``corpus_bleu``.
 
-    Rows are hashed by sample before the n-grams are made, so counting them needs no
-    shuffle of n-grams and a group that holds most pairs is still spread over all tasks.
+    Clipping happens within a pair, so a pair is reduced to a handful of counts where it
+    lies; only sums per group are shuffled, and a group may hold any share of the pairs.
     """
-    if max_order < 1:
-        raise ValueError(f"max_order must be at least 1. Got {max_order}.")
     groups = list(groups)
-    entries = [
-        # Order 0 carries the lengths.
-        F.array(
-            F.struct(
-                F.lit(0).alias("o"), F.lit("").alias("g"),
-                F.size(reference).cast("long").alias("r"), F.size(candidate).cast("long").alias("c"),
-            )
-        )
-    ]
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    for order in range(1, max_order + 1):
-        entries.append(_gram_entries(F.col(reference), order, one, none))
-        entries.append(_gram_entries(F.col(candidate), order, none, one))
-    spread = pairs.select(*groups, sample, reference, candidate).repartition(sample)
-    grams = spread.select(*groups, sample, F.explode(F.concat(*entries)).alias("e"))
-    counted = grams.groupBy(*groups, sample, F.col("e.o").alias("o"), F.col("e.g").alias("g")).agg(
-        F.sum("e.r").alias("r"), F.sum("e.c").alias("c")
-    )
-    sums = [
-        F.count_if(F.col("o") == 0).alias("pairs"),
-        F.sum(F.when(F.col("o") == 0, F.col("r")).otherwise(0)).alias("_rl"),
-        F.sum(F.when(F.col("o") == 0, F.col("c")).otherwise(0)).alias("_cl"),
-    ]
-    for order in range(1, max_order + 1):
-        here = F.col("o") == order
-        sums.append(F.sum(F.when(here, F.least("r", "c")).otherwise(0)).alias(f"_m{order}"))
-        sums.append(F.sum(F.when(here, F.col("c")).otherwise(0)).alias(f"_t{order}"))
-    totals = counted.groupBy(*groups).agg(*sums)
+    counts = pairs.select(
+        *groups, ngram_matches(F.col(reference), F.col(candidate), max_order).alias("_n")
+    )
+    names = ["_rl", "_cl"] + [f"_{k}{o}" for o in range(1, max_order + 1) for k in "mt"]
+    totals = counts.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("pairs"),
+        *[F.sum(F.get("_n", F.lit(i))).alias(name) for i, name in enumerate(names)],
+    )
     score = S.bleu(
         [F.col(f"_m{o}") for o in range(1, max_order + 1)],
         [F.col(f"_t{o}") for o in range(1, max_order + 1)],

@@ -14,6 +14,8 @@ from figmill.sources.staging import stage
 
 CELL_BITS = 16
 PARENT_BITS = (24,)
+# A 32-bit hash has 65,536 cells, few enough to be summed without parents.
+HASHED = ()
 
 
 def _before(counts: DataFrame, groups: list[str], parents=PARENT_BITS) -> DataFrame:
@@ -45,7 +47,7 @@ def _cell_counts(cells: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def dense_position(
-    df: DataFrame, key: Column, ties=(), groups=(), name: str = "position"
+    df: DataFrame, key: Column, ties=(), groups=(), name: str = "position", parents=PARENT_BITS
 ) -> DataFrame:
     """Zero-based position of every row by ``(key, *ties)`` within its group.
 
@@ -56,7 +58,7 @@ def dense_position(
         "_cell", F.shiftright("_key", CELL_BITS)
     )
     window = W.partitionBy(*groups, "_cell").orderBy("_key", *ties)
-    offsets = _before(_cell_counts(cells, groups), groups).drop("_n")
+    offsets = _before(_cell_counts(cells, groups), groups, parents).drop("_n")
     return (
         cells.withColumn("_rank", F.row_number().over(window) - 1)
         .join(offsets, [*groups, "_cell"])
@@ -65,11 +67,14 @@ def dense_position(
     )
 
 
-def cut_points(df: DataFrame, quota, key: Column, tie: Column, groups=()) -> DataFrame:
-    """One row per group: the ``(key, tie)`` of the row that fills the group's quota.
+def cut_points(
+    df: DataFrame, quotas: dict, key: Column, tie: Column, groups=(), parents=PARENT_BITS
+) -> DataFrame:
+    """One row per group and quota name: ``_name`` and the ``(key, tie)`` of the row that
+    fills the quota.
 
-    ``quota`` maps the group-size column to a count. Only the cell in which the quota
-    falls is sorted; everything else is counted. Groups with quota 0 have no row.
+    A quota maps the group-size column to a count. Rows are counted per cell; only the cell
+    in which a quota falls is sorted. Quotas of zero have no row.
     """
     named = list(groups)
     whole = [] if named else [F.lit(0).alias("_all")]
@@ -77,47 +82,62 @@ def cut_points(df: DataFrame, quota, key: Column, tie: Column, groups=()) -> Dat
     cells = df.select(
         *named, *whole, key.cast("long").alias("_key"), tie.alias("_tie")
     ).withColumn("_cell", F.shiftright("_key", CELL_BITS))
-    counts = _cell_counts(cells, groups)
-    sizes = counts.groupBy(*groups).agg(F.sum("_n").alias("_size"))
-    located = _before(counts, groups)
-    located = located.join(sizes, groups).withColumn("_quota", quota(F.col("_size")).cast("long"))
-    edge = located.filter(
-        (F.col("_before") < F.col("_quota")) & (F.col("_before") + F.col("_n") >= F.col("_quota"))
-    ).select(*groups, "_cell", (F.col("_quota") - F.col("_before")).alias("_left"))
-    window = W.partitionBy(*groups, "_cell").orderBy("_key", "_tie")
+    located = _before(_cell_counts(cells, groups), groups, parents)
+    size = F.sum("_n").over(W.partitionBy(*groups))
+    wanted = F.array(
+        *[
+            F.struct(F.lit(n).alias("_name"), quota(F.col("_size")).cast("long").alias("_quota"))
+            for n, quota in quotas.items()
+        ]
+    )
+    edges = (
+        located.withColumn("_size", size)
+        .select(*groups, "_cell", "_before", "_n", F.inline(wanted))
+        .filter("_before < _quota and _before + _n >= _quota")
+        .select(*groups, "_cell", "_name", (F.col("_quota") - F.col("_before")).alias("_left"))
+    )
+    window = W.partitionBy(*groups, "_cell", "_name").orderBy("_key", "_tie")
     return (
-        cells.join(edge, [*groups, "_cell"])
+        cells.join(edges, [*groups, "_cell"])
         .withColumn("_rank", F.row_number().over(window))
-        .filter(F.col("_rank") == F.col("_left"))
-        .select(*named, F.col("_key").alias("_cut_key"), F.col("_tie").alias("_cut_tie"))
+        .filter("_rank = _left")
+        .select(*named, "_name", F.struct("_key", "_tie").alias("_cut"))
     )
 
 
-def within_cut(df: DataFrame, quota, key: Column, tie: Column, groups=()) -> DataFrame:
-    """Add ``_inside``: is the row among the first ``quota`` of its group?
+def within_cuts(
+    df: DataFrame, quotas: dict, key: Column, tie: Column, groups=(), parents=PARENT_BITS
+) -> DataFrame:
+    """Add one boolean column per quota: is the row among the first ones of its group?
 
     The cut table is staged, so the rows themselves meet it in one narrow pass.
     """
     groups = list(groups)
-    points = cut_points(df, quota, key, tie, groups)
+    points = cut_points(df, quotas, key, tie, groups, parents)
+    here = F.struct(key.cast("long").alias("_key"), tie.alias("_tie"))
     if groups:
-        joined = df.join(stage(points, "cuts"), groups, "left")
-    else:
-        # One row at most: as literals it can reach the scan as a pushed filter.
-        cut = points.first() or (None, None)
-        joined = df.withColumns(
-            {
-                "_cut_key": F.lit(cut[0]).cast("long"),
-                "_cut_tie": F.lit(cut[1]).cast(points.schema["_cut_tie"].dataType),
-            }
+        wide = points.groupBy(*groups).agg(
+            *[F.max(F.when(F.col("_name") == n, F.col("_cut"))).alias(f"_cut_{n}") for n in quotas]
         )
-    key = key.cast("long")
-    inside = (key < F.col("_cut_key")) | (
-        (key == F.col("_cut_key")) & (tie <= F.col("_cut_tie"))
-    )
-    return joined.withColumn("_inside", F.coalesce(inside, F.lit(False))).drop(
-        "_cut_key", "_cut_tie"
-    )
+        joined = df.join(stage(wide, "cuts"), groups, "left")
+        inside = {n: F.coalesce(here <= F.col(f"_cut_{n}"), F.lit(False)) for n in quotas}
+        return joined.withColumns(inside).drop(*[f"_cut_{n}" for n in quotas])
+    # One row per quota: as literals they can reach the scan as a pushed filter.
+    cuts = {row["_name"]: row["_cut"] for row in points.collect()}
+    inside = {}
+    for n in quotas:
+        cut, at = cuts.get(n), key.cast("long")
+        inside[n] = (
+            F.lit(False)
+            if cut is None
+            else (at < cut["_key"]) | ((at == cut["_key"]) & (tie <= F.lit(cut["_tie"])))
+        )
+    return df.withColumns(inside)
+
+
+def within_cut(df: DataFrame, quota, key: Column, tie: Column, groups=(), parents=PARENT_BITS):
+    """Add ``_inside`` for a single quota."""
+    return within_cuts(df, {"_inside": quota}, key, tie, groups, parents)
 
 
 def ordered_head(df: DataFrame, count: int, order: str) -> DataFrame:

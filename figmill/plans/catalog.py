@@ -833,7 +833,7 @@ def e16_evaluation_head(spark, sf):
 
 def _family_query(name: str) -> Query:
     def build(spark, sf):
-        return V.orders(spark, sf).select(
+        return V.spread(V.orders(spark, sf), "sample_id").select(
             "sample_id", G.family_markup(name, SEED, F.col("sample_id")).alias("markup")
         )
 
@@ -866,14 +866,14 @@ def g11_compositional_figures(spark, sf):
 
 @query
 def g12_independent_test_split(spark, sf):
-    keys = V.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("sample_id")).repartition("sample_id")
-    return P.independent_test_split(keys, SEED)
+    keys = V.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("sample_id"))
+    return P.independent_test_split(V.spread(keys, "sample_id"), SEED)
 
 
 @query
 def g13_seed_vocabulary(spark, sf):
-    keys = V.table(spark, sf, "customer").select(F.col("c_custkey").alias("sample_id")).repartition("sample_id")
-    return P.seed_vocabulary(keys, SEED).select("token", F.col("idx").cast("long").alias("idx"))
+    keys = V.table(spark, sf, "customer").select(F.col("c_custkey").alias("sample_id"))
+    return P.seed_vocabulary(V.spread(keys, "sample_id"), SEED).select("token", F.col("idx").cast("long").alias("idx"))
 
 
 @query
@@ -915,10 +915,9 @@ def m1_corpus_bleu(spark, sf):
 @query
 def m1_corpus_bleu_text(spark, sf):
     chats = V.chats(spark, sf).withColumns(
-        {"r": K.words("reference"), "c": K.words("candidate"),
-         "sample": F.concat_ws("-", "conv_id", "turn"), "long_turn": F.col("turn") > 1}
+        {"r": K.words("reference"), "c": K.words("candidate"), "long_turn": F.col("turn") > 1}
     )
-    scores = M.corpus_bleu(chats, ["long_turn"], 2, "sample", "r", "c")
+    scores = M.corpus_bleu(chats, ["long_turn"], 2, "r", "c")
     return scores.withColumn("corpus_bleu", r6("corpus_bleu"))
 
 

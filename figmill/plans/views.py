@@ -48,9 +48,17 @@ def _family_of(index: Column) -> Column:
     return F.element_at(names, (index + 1).cast("int"))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash narrow rows by key before markup is generated from them.
+
+    The rows are tiny and the work per row is not, so the partition count is the session's
+    and not left to a rule that merges partitions by their size.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with their price in cents, hashed by key: later per-sample work needs no
-    further shuffle and uses every core even when the file is one split."""
+    """Orders with their price in cents."""
     source = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("sample_id"),
         F.col("o_custkey").alias("custkey"),
@@ -58,12 +66,14 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("priority"),
         F.floor(F.col("o_totalprice") * 100 + 0.5).cast("long").alias("cents"),
     )
-    return source.repartition("sample_id")
+    return source
 
 
 def procedural_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``sample_id, family_idx, family, markup`` and the order columns; families in turn."""
-    indexed = orders(spark, sf_dir).withColumn("family_idx", F.col("sample_id") % len(C.FAMILIES))
+    indexed = spread(orders(spark, sf_dir), "sample_id").withColumn(
+        "family_idx", F.col("sample_id") % len(C.FAMILIES)
+    )
     named = indexed.withColumn("family", _family_of(F.col("family_idx")))
     return named.withColumn("markup", procedural(spark, "family", SEED))
 
@@ -178,7 +188,7 @@ def spliced_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(doc % 4 > 0, F.concat(F.lit("\n"), first)).otherwise(""),
         F.when(doc % 4 > 1, F.concat(F.lit("\nmore\n"), second)).otherwise(""),
     )
-    rows = documents(spark, sf_dir).repartition("doc_id")
+    rows = spread(documents(spark, sf_dir), "doc_id")
     return rows.select("doc_id", "lang", "source", code.alias("code"))
 
 
@@ -191,7 +201,7 @@ def compositional(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compositional_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One grammar figure per customer."""
     keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sample_id"))
-    return keys.repartition("sample_id").withColumn(
+    return spread(keys, "sample_id").withColumn(
         "markup",
         built_once(
             spark, ("compositional", SEED),
