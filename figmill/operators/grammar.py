@@ -1,7 +1,6 @@
 """Admissibility of every token given the tokens before it."""
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from figmill import constants as C
@@ -11,71 +10,25 @@ _CLOSERS = [f"\\end{{{name}}}" for name in C.ROOT_ENVIRONMENTS]
 _PAIRS = {"paren": ("(", ")"), "bracket": ("[", "]"), "brace": ("{", "}")}
 # Tokens that never change the state.
 _SILENT = ("<PAD>", "<BOS>", "<UNK>")
+# Apart from commands, the only tokens that change more than the last token.
+_MARKS = ("(", ")", "[", "]", "{", "}", ";", "<EOS>", *_SILENT)
+_BROKEN = "array<struct<pos: int, token: string, rule: string>>"
 
 
-def _prefix_state(token: Column, sample: str, position: str) -> dict[str, Column]:
-    """What holds just before a token, from running aggregates of its sample."""
-    ordered = W.partitionBy(sample).orderBy(position)
-    before = ordered.rowsBetween(W.unboundedPreceding, -1)
-    upto = ordered.rowsBetween(W.unboundedPreceding, W.currentRow)
-    loud = ~token.isin(*_SILENT)
-    ends = token.startswith("\\end{")
-    command = token.startswith("\\") & ~ends & ~token.isin("\\x", *_OPENERS)
-
-    def seen(test: Column) -> Column:
-        return F.coalesce(F.sum(F.when(test, 1).otherwise(0)).over(before), F.lit(0))
-
-    state = {
-        "emitted": seen(loud),
-        "first": F.first(F.when(loud, token), ignorenulls=True).over(before),
-        "last": F.last(F.when(loud, token), ignorenulls=True).over(before),
-        "closed": seen(ends) > 0,
-        "statements": seen(token == ";"),
-        "pending": F.coalesce(
-            F.last(
-                F.when(command, F.lit(True)).when(token == ";", F.lit(False)), ignorenulls=True
-            ).over(before),
-            F.lit(False),
-        ),
-    }
-    for name, (left, right) in _PAIRS.items():
-        step = F.when(token == left, 1).when(token == right, -1).otherwise(0)
-        state[f"{name}_step"] = F.sum(step).over(upto)
-    return state
-
-
-def admissibility(tokens: DataFrame, sample: str = "sample_id", position: str = "pos") -> DataFrame:
-    """One row per token with the ``rule`` it breaks, or null.
-
-    Input: ``sample, position, token`` after BOS. Depths are clamped at zero, which
-    equals the running sum less its lowest value so far. All windows share one
-    partitioning and order, so a sample is sorted once.
-    """
-    keep = [sample, position, "token"]
-    token = F.col("token")
-    state = tokens.select(*keep, *[
-        c.alias(n) for n, c in _prefix_state(token, sample, position).items()
-    ])
-    ordered = W.partitionBy(sample).orderBy(position)
-    before = ordered.rowsBetween(W.unboundedPreceding, -1)
-    depths = {}
-    for name in _PAIRS:
-        lowest = F.least(F.lit(0), F.coalesce(F.min(f"{name}_step").over(before), F.lit(0)))
-        depths[name] = F.coalesce(F.lag(f"{name}_step").over(ordered), F.lit(0)) - lowest
-    state = state.withColumns(depths)
-
-    paren, bracket, brace = F.col("paren"), F.col("bracket"), F.col("brace")
+def _rule(state: Column, token: Column) -> Column:
+    """The rule a token breaks in the state its prefix left, or null."""
+    paren, bracket, brace = state["paren"], state["bracket"], state["brace"]
     is_open = (paren > 0) | (bracket > 0) | (brace > 0)
-    closable = ~is_open & (F.col("statements") > 0) & ~F.col("pending")
-    only_family = (F.col("emitted") == 1) & F.col("first").startswith("<FAM:")
-    rule = (
+    closable = ~is_open & (state["statements"] > 0) & ~state["pending"]
+    only_family = (state["emitted"] == 1) & state["last"].startswith("<FAM:")
+    return (
         F.when(token.isin("<PAD>", "<UNK>"), "reserved_token")
         .when(
-            F.col("emitted") == 0,
+            state["emitted"] == 0,
             F.when(~token.isin(*_OPENERS, *C.FAMILY_TOKENS), F.lit("opener_first")),
         )
         .when(only_family, F.when(~token.isin(*_OPENERS), F.lit("opener_after_family")))
-        .when(F.col("closed"), F.when(token != "<EOS>", F.lit("only_eos_after_end")))
+        .when(state["closed"], F.when(token != "<EOS>", F.lit("only_eos_after_end")))
         .when(token == "<EOS>", "eos_before_end")
         .when(token.isin(*_OPENERS), "repeated_opener")
         .when(
@@ -87,19 +40,87 @@ def admissibility(tokens: DataFrame, sample: str = "sample_id", position: str =
         .when(token.isin("(", "[") & (paren > 0), "opened_inside_paren")
         .when((token == "[") & (bracket > 0), "opened_inside_bracket")
         .when((token == ";") & is_open, "semicolon_inside_delimiters")
-        .when((token == ";") & (F.col("last") == ";"), "empty_statement")
+        .when((token == ";") & (state["last"] == ";"), "empty_statement")
         .when(token.isin(*_CLOSERS) & ~closable, "end_not_allowed")
     )
-    return state.select(*keep, rule.alias("rule"))
 
 
-def violations_by_rule(tokens: DataFrame, sample: str = "sample_id") -> DataFrame:
+def _advanced(state: Column, token: Column) -> Column:
+    """State after a token, with the token added to ``broken`` when it breaks a rule."""
+    loud = ~token.isin(*_SILENT)
+    ends = token.startswith("\\end{")
+    command = token.startswith("\\") & ~ends & ~token.isin("\\x", *_OPENERS)
+    rule = _rule(state, token)
+    entry = F.struct(state["pos"].alias("pos"), token.alias("token"), rule.alias("rule"))
+
+    def depth(name: str) -> Column:
+        left, right = _PAIRS[name]
+        now = state[name]
+        return (
+            F.when(token == left, now + 1)
+            .when(token == right, F.greatest(F.lit(0), now - 1))
+            .otherwise(now)
+        )
+
+    # Numbers, words and operators inside a picture break no rule: half of all tokens.
+    plain = (
+        (state["emitted"] > 1)
+        & ~state["closed"]
+        & ~token.isin(*_MARKS)
+        & ~token.startswith("\\")
+    )
+    moved_on = F.struct(
+        (state["pos"] + 1).alias("pos"),
+        state["emitted"].alias("emitted"),
+        token.alias("last"),
+        *[state[n].alias(n) for n in ("closed", "statements", "pending", *_PAIRS, "broken")],
+    )
+    changed = F.struct(
+        (state["pos"] + 1).alias("pos"),
+        (state["emitted"] + loud.cast("int")).alias("emitted"),
+        F.when(loud, token).otherwise(state["last"]).alias("last"),
+        (state["closed"] | ends).alias("closed"),
+        (state["statements"] + (token == ";").cast("int")).alias("statements"),
+        F.when(command, True).when(token == ";", False).otherwise(state["pending"]).alias("pending"),
+        *[depth(name).alias(name) for name in _PAIRS],
+        F.when(rule.isNotNull(), F.concat(state["broken"], F.array(entry)))
+        .otherwise(state["broken"])
+        .alias("broken"),
+    )
+    return F.when(plain, moved_on).otherwise(changed)
+
+
+def broken_rules(tokens: Column) -> Column:
+    """``array<struct<pos, token, rule>>`` of the tokens (after BOS) that break a rule.
+
+    One fold over the tokens of a sample, in its own row: nothing is exploded, sorted or
+    shuffled, and a sample costs time linear in its length.
+    """
+    start = F.struct(
+        F.lit(0).alias("pos"),
+        F.lit(0).alias("emitted"),
+        F.lit("").alias("last"),
+        F.lit(False).alias("closed"),
+        F.lit(0).alias("statements"),
+        F.lit(False).alias("pending"),
+        *[F.lit(0).alias(name) for name in _PAIRS],
+        F.array().cast(_BROKEN).alias("broken"),
+    )
+    return F.aggregate(tokens, start, _advanced, lambda state: state["broken"])
+
+
+def admissibility(sequences: DataFrame, keep: list[str], column: str = "tokens") -> DataFrame:
+    """One row per broken rule: ``keep, pos, token, rule``."""
+    return sequences.select(*keep, F.inline(broken_rules(F.col(column))))
+
+
+def violations_by_rule(sequences: DataFrame, column: str = "tokens") -> DataFrame:
     """Broken rules with the tokens and samples they hit."""
-    return (
-        admissibility(tokens, sample)
-        .filter("rule is not null")
-        .groupBy("rule", sample)
-        .agg(F.count(F.lit(1)).alias("_hits"))
-        .groupBy("rule")
-        .agg(F.sum("_hits").alias("tokens"), F.count(F.lit(1)).alias("samples"))
+    rules = F.transform(broken_rules(F.col(column)), lambda b: b["rule"])
+    per_sample = sequences.select(rules.alias("_rules")).select(
+        "_rules", F.explode(F.array_distinct("_rules")).alias("rule")
+    )
+    hits = F.size(F.filter("_rules", lambda r: r == F.col("rule")))
+    return per_sample.groupBy("rule").agg(
+        F.sum(hits).alias("tokens"), F.count(F.lit(1)).alias("samples")
     )

@@ -656,17 +656,16 @@ def d15_sequence_audit(spark, sf):
 
 def _emitted(spark, sf) -> DataFrame:
     """Predicted tokens with their end, as a decoder would emit them."""
-    pairs = V.pairs(spark, sf)
     sequence = F.concat(
         K.tokens(K.family_tagged(F.col("family"), F.col("candidate"))), F.array(F.lit("<EOS>"))
     )
-    return pairs.select("sample_id", F.posexplode(sequence).alias("pos", "token"))
+    return V.pairs(spark, sf).select("sample_id", sequence.alias("tokens"))
 
 
 @query
 def d16_grammar_audit(spark, sf):
-    broken = grammar.admissibility(_emitted(spark, sf)).filter("rule is not null")
-    return broken.select("sample_id", F.col("pos").cast("long").alias("pos"), "token", "rule")
+    broken = grammar.admissibility(_emitted(spark, sf), ["sample_id"])
+    return broken.withColumn("pos", F.col("pos").cast("long"))
 
 
 @query
