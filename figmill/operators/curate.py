@@ -19,14 +19,16 @@ from figmill.sources.staging import stage
 # --- Deduplication ---------------------------------------------------------------------------
 
 
-def first_occurrences(df: DataFrame, content: str, order: str) -> DataFrame:
-    """Keep the earliest row of every distinct content.
+def first_occurrences(
+    df: DataFrame, content: str, order: str, keep: list[str] | None = None
+) -> DataFrame:
+    """Keep the earliest row of every distinct content, or only its ``keep`` columns.
 
     Copies collapse before the shuffle, so a text that makes up a third of the table
-    costs one row per task.
+    costs one row per task. With ``keep`` the contents themselves are never shuffled.
     """
     rows = df.groupBy(fingerprint(F.col(content)).alias("_print")).agg(
-        F.min_by(F.struct(*df.columns), F.col(order)).alias("_row")
+        F.min_by(F.struct(*(keep or df.columns)), F.col(order)).alias("_row")
     )
     return rows.select("_row.*")
 

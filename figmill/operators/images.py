@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from figmill import constants as C
 from figmill.functions.hashing import uniform
+from figmill.sources.staging import stage
 
 _LINE = ["image_id", "channel", "y"]
 
@@ -122,6 +123,8 @@ def contrasted(lines: DataFrame, alpha: float, batch: str) -> DataFrame:
         raise ValueError(f"alpha must be non-negative. Got {alpha}.")
     total = F.aggregate("pixels", F.lit(0.0), lambda a, p: a + p)
     means = lines.groupBy(batch).agg((F.sum(total) / F.sum(F.size("pixels"))).alias("_mean"))
+    # Staged: one row per batch, so the pixels need not be shuffled to meet their mean.
+    means = stage(means, "means")
     return (
         lines.join(means, batch)
         .withColumn(

@@ -42,8 +42,11 @@ def _before(counts: DataFrame, groups: list[str], parents=PARENT_BITS) -> DataFr
     )
 
 
-def _cell_counts(cells: DataFrame, groups: list[str]) -> DataFrame:
-    return cells.groupBy(*groups, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+def _offsets(cells: DataFrame, groups: list[str], parents) -> DataFrame:
+    """``groups, _cell, _n, _before``. Counts that several levels read are staged, so the
+    rows are scanned for them once."""
+    counts = cells.groupBy(*groups, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    return _before(stage(counts, "cells") if parents else counts, groups, parents)
 
 
 def dense_position(
@@ -58,7 +61,7 @@ def dense_position(
         "_cell", F.shiftright("_key", CELL_BITS)
     )
     window = W.partitionBy(*groups, "_cell").orderBy("_key", *ties)
-    offsets = _before(_cell_counts(cells, groups), groups, parents).drop("_n")
+    offsets = _offsets(cells, groups, parents).drop("_n")
     return (
         cells.withColumn("_rank", F.row_number().over(window) - 1)
         .join(offsets, [*groups, "_cell"])
@@ -82,7 +85,7 @@ def cut_points(
     cells = df.select(
         *named, *whole, key.cast("long").alias("_key"), tie.alias("_tie")
     ).withColumn("_cell", F.shiftright("_key", CELL_BITS))
-    located = _before(_cell_counts(cells, groups), groups, parents)
+    located = _offsets(cells, groups, parents)
     size = F.sum("_n").over(W.partitionBy(*groups))
     wanted = F.array(
         *[

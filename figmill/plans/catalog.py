@@ -692,7 +692,7 @@ def d18_reference_round_trip(spark, sf):
 
 @query
 def e1_deduplicated(spark, sf):
-    return E.first_occurrences(V.documents(spark, sf), "text", "doc_id").select("doc_id", "lang")
+    return E.first_occurrences(V.documents(spark, sf), "text", "doc_id", ["doc_id", "lang"])
 
 
 @query

@@ -20,10 +20,9 @@ def curated_split_counts(
     documents: DataFrame, text: str, order: str, stratum: str, ratio: float, seed: int
 ) -> DataFrame:
     """Budget, first occurrence, stratified split, counts per stratum."""
-    kept = E.first_occurrences(documents.filter(X.within_budget(F.col(text))), text, order)
-    # Only what the split needs is staged, not the texts.
-    narrow = stage(kept.select(order, stratum), "kept")
-    split = E.stratified_split(narrow, ratio, seed, order, stratum)
+    short = documents.filter(X.within_budget(F.col(text)))
+    kept = stage(E.first_occurrences(short, text, order, [order, stratum]), "kept")
+    split = E.stratified_split(kept, ratio, seed, order, stratum)
     return split.groupBy(stratum).agg(
         F.count_if(F.col("split") == "train").alias("train"),
         F.count_if(F.col("split") == "val").alias("val"),
