@@ -39,7 +39,8 @@ def build_vocabulary(
     The result is staged: every later lookup reads the small table, and Spark decides
     from its true size whether to broadcast it.
     """
-    found = sequences.select(F.explode(column).alias("token")).distinct()
+    # Repeats inside a sequence go before it is exploded.
+    found = sequences.select(F.explode(F.array_distinct(column)).alias("token")).distinct()
     spark = sequences.sparkSession
     if include_grid:
         found = found.union(coordinate_bins(sequences, step).select("token"))

@@ -565,6 +565,15 @@ def d3_grid_coverage(spark, sf):
     )
 
 
+@query
+def d3_fine_grid_coverage(spark, sf):
+    step = C.FINE_COORDINATE_STEP
+    counts = N.token_counts(V.pairs(spark, sf).select(K.tokens("candidate", step=step).alias("tokens")))
+    return N.coordinate_bins(counts, step).join(counts, "token", "left").select(
+        "bin", "token", F.coalesce("occurrences", F.lit(0).cast("long")).alias("occurrences")
+    )
+
+
 @query
 def d4_tokens(spark, sf):
     return V.pairs(spark, sf).select(

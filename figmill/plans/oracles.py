@@ -202,6 +202,9 @@ ORACLES["d2_quantized_points"] = with_(MEASURES) + f"""SELECT {quantized('x')}::
 ORACLES["d3_grid_coverage"] = with_(*TOK, "c AS (SELECT token, count(*) AS n FROM (SELECT unnest(tokens) AS token FROM toks) GROUP BY token)") + f"""
 SELECT b AS bin, g.token, coalesce(n, 0) AS occurrences FROM (SELECT b, {number_text('(-5.0)::DOUBLE+b*0.1::DOUBLE')} AS token FROM range(101) r(b)) g
  LEFT JOIN c ON c.token=g.token"""
+ORACLES["d3_fine_grid_coverage"] = with_(*PAIR, f"c AS (SELECT token, count(*) AS n FROM (SELECT unnest({tokens('candidate', 0.05)}) AS token FROM pairs) GROUP BY token)") + f"""
+SELECT b AS bin, g.token, coalesce(n, 0) AS occurrences FROM (SELECT b, {number_text('(-5.0)::DOUBLE+b*0.05::DOUBLE')} AS token FROM range(201) r(b)) g
+ LEFT JOIN c ON c.token=g.token"""
 ORACLES["d4_tokens"] = with_(*PAIR) + f"""SELECT sample_id, array_to_string({tokens('candidate')}, ' ') AS quantized,
  len({raw_tokens('candidate')}) AS raw_tokens FROM pairs"""
 ORACLES["d5_vocabulary"] = ORACLES["a11_vocabulary_round_trip"]

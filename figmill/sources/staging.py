@@ -8,6 +8,7 @@ broadcasts small sides and sort-merges large ones without a hint.
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -40,8 +41,13 @@ _TABLES: dict[tuple, tuple] = {}
 def stage_once(spark: SparkSession, key: tuple, build) -> DataFrame:
     """Stage a derived table the first time an application asks for it, then reuse it."""
     full = (spark.sparkContext.applicationId, *key)
-    if full not in _TABLES:
-        df = build()
-        _TABLES[full] = (df.schema, _written(df, str(key[0])))
+    if full in _TABLES:
+        schema, path = _TABLES[full]
+        try:
+            return spark.read.schema(schema).parquet(path)
+        except AnalysisException:
+            pass  # The folder was cleaned meanwhile.
+    df = build()
+    _TABLES[full] = (df.schema, _written(df, str(key[0])))
     schema, path = _TABLES[full]
     return spark.read.schema(schema).parquet(path)
