@@ -92,9 +92,8 @@ def _flat(array: pa.Array):
 
 def align_batch(reference: pa.Array, candidate: pa.Array, scale: float) -> pa.Array:
     """Normalised coordinate-aware edit distance of every pair of token lists."""
-    empty = pa.array([], pa.string())
     flat = [_flat(pc.fill_null(side, pa.scalar([], side.type))) for side in (reference, candidate)]
-    encoded = pa.concat_arrays([f[0].cast(pa.string()) for f in flat] + [empty]).dictionary_encode()
+    encoded = pa.concat_arrays([f[0].cast(pa.string()) for f in flat]).dictionary_encode()
     words, codes = encoded.dictionary.to_pylist(), encoded.indices.to_numpy()
     sides, at = [], 0
     for values, offsets in flat:
@@ -216,6 +215,9 @@ def cheapest_assignment(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rows, columns = cost.shape
     if rows == 1:
         return np.array([0]), np.array([int(np.argmin(cost[0]))])
+    if rows == columns == 2:
+        swap = cost[0, 1] + cost[1, 0] < cost[0, 0] + cost[1, 1]
+        return np.array([0, 1]), np.array([1, 0] if swap else [0, 1])
     row_price, column_price = np.zeros(rows), np.zeros(columns)
     owner = np.full(columns, -1)
     for row in range(rows):
@@ -246,22 +248,35 @@ def cheapest_assignment(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner[matched][order], matched[order]
 
 
-def _xy(points) -> np.ndarray:
-    return np.array([(p["x"], p["y"]) for p in points], dtype=np.float64).reshape(-1, 2)
+def _point_rows(array: pa.Array) -> list[np.ndarray]:
+    """One ``(n, 2)`` array per list of ``x, y`` structs; no Python object per point."""
+    values, offsets = _flat(pc.fill_null(array, pa.scalar([], array.type)))
+    xy = np.stack(
+        [values.field(n).to_numpy(zero_copy_only=False).astype(np.float64) for n in ("x", "y")],
+        axis=1,
+    )
+    return [xy[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+
 
+def _primitive_rows(array: pa.Array) -> list[list[tuple[str, np.ndarray]]]:
+    """Primitives of every row as ``(kind, points)``."""
+    values, offsets = _flat(pc.fill_null(array, pa.scalar([], array.type)))
+    items = list(zip(values.field("kind").to_pylist(), _point_rows(values.field("coords"))))
+    return [items[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
 
-def matched_point_error(reference, candidate, scale: float) -> float:
+
+def matched_point_error(reference: np.ndarray, candidate: np.ndarray, scale: float) -> float:
     """Clamped mean distance of the matching with the least total distance."""
     longer, shorter = max(len(reference), len(candidate)), min(len(reference), len(candidate))
     if shorter == 0:
         return float(longer > 0)
-    gaps = _xy(reference)[:, None, :] - _xy(candidate)[None, :, :]
+    gaps = reference[:, None, :] - candidate[None, :, :]
     distance = np.sqrt((gaps**2).sum(axis=2))
     matched = distance[cheapest_assignment(distance)]
     return float((np.minimum(matched / scale, 1.0).sum() + longer - shorter) / longer)
 
 
-def primitive_cost(reference, candidate, scale: float) -> float:
+def primitive_cost(reference: np.ndarray, candidate: np.ndarray, scale: float) -> float:
     """Cost of two primitives of the same kind."""
     longer, shorter = max(len(reference), len(candidate)), min(len(reference), len(candidate))
     if longer == 0:
@@ -272,7 +287,7 @@ def primitive_cost(reference, candidate, scale: float) -> float:
 
 
 def graph_distance(reference, candidate, scale: float) -> float:
-    """Share of primitives not explained by the best matching.
+    """Share of primitives, given as ``(kind, points)``, not explained by the best matching.
 
     A cross-kind match costs as much as no match, so the optimum splits by kind.
     """
@@ -281,12 +296,10 @@ def graph_distance(reference, candidate, scale: float) -> float:
         return 0.0
     if not reference or not candidate:
         return 1.0
-    if reference == candidate:
-        return 0.0
     blocks: dict[str, tuple[list, list]] = {}
     for side, primitives in enumerate((reference, candidate)):
-        for p in primitives:
-            blocks.setdefault(p["kind"], ([], []))[side].append(_xy(p["coords"]))
+        for kind, points in primitives:
+            blocks.setdefault(kind, ([], []))[side].append(points)
     saved = 0.0
     for left, right in blocks.values():
         if left and right:
@@ -304,8 +317,8 @@ def unordered_coordinate_error(
 
     @F.arrow_udf("double")
     def score(left: pa.Array, right: pa.Array) -> pa.Array:
-        pairs = zip(left.to_pylist(), right.to_pylist())
-        return pa.array([matched_point_error(a or [], b or [], scale) for a, b in pairs], pa.float64())
+        pairs = zip(_point_rows(left), _point_rows(right))
+        return pa.array([matched_point_error(a, b, scale) for a, b in pairs], pa.float64())
 
     return score(reference, candidate)
 
@@ -319,7 +332,7 @@ def graph_edit_distance(
 
     @F.arrow_udf("double")
     def score(left: pa.Array, right: pa.Array) -> pa.Array:
-        pairs = zip(left.to_pylist(), right.to_pylist())
-        return pa.array([graph_distance(a or [], b or [], scale) for a, b in pairs], pa.float64())
+        pairs = zip(_primitive_rows(left), _primitive_rows(right))
+        return pa.array([graph_distance(a, b, scale) for a, b in pairs], pa.float64())
 
     return score(reference, candidate)

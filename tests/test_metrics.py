@@ -17,6 +17,10 @@ from figmill.operators import metrics as M
 SCALE = C.CANVAS_DIAGONAL
 
 
+def points(rng, count, reach):
+    return np.array([[rng.uniform(-reach, reach) for _ in "xy"] for _ in range(count)]).reshape(-1, 2)
+
+
 def bleu(spark, pairs, order=4):
     rows = [(i, r.split(), c.split()) for i, (r, c) in enumerate(pairs)]
     frame = spark.createDataFrame(rows, "sample_id int, reference_tokens array<string>, candidate_tokens array<string>")
@@ -148,7 +152,7 @@ def test_graph_distance_matches_full_matching():
 
     def figure():
         return [
-            {"kind": rng.choice("df"), "coords": [{"x": rng.uniform(-5, 5), "y": rng.uniform(-5, 5)} for _ in range(rng.randint(0, 2))]}
+            (rng.choice("df"), points(rng, rng.randint(0, 2), 5))
             for _ in range(rng.randint(1, 4))
         ]
 
@@ -156,7 +160,7 @@ def test_graph_distance_matches_full_matching():
         a, b = figure(), figure()
 
         def cost(p, q):
-            return 1.0 if p["kind"] != q["kind"] else A.primitive_cost(A._xy(p["coords"]), A._xy(q["coords"]), SCALE)
+            return 1.0 if p[0] != q[0] else A.primitive_cost(p[1], q[1], SCALE)
 
         short, long = (a, b) if len(a) <= len(b) else (b, a)
         best = min(sum(cost(s, long[p[i]]) for i, s in enumerate(short)) for p in itertools.permutations(range(len(long)), len(short)))
@@ -183,9 +187,9 @@ def test_coordinate_errors(spark, one):
 def test_unordered_error_matches_brute_force():
     rng = random.Random(9)
     for _ in range(200):
-        a, b = ([{"x": rng.uniform(-20, 20), "y": rng.uniform(-20, 20)} for _ in range(rng.randint(1, 5))] for _ in range(2))
+        a, b = (points(rng, rng.randint(1, 5), 20) for _ in range(2))
         short, long = (a, b) if len(a) <= len(b) else (b, a)
-        gap = lambda p, q: math.dist((p["x"], p["y"]), (q["x"], q["y"]))
+        gap = math.dist
         best = min(itertools.permutations(range(len(long)), len(short)), key=lambda p: sum(gap(s, long[p[i]]) for i, s in enumerate(short)))
         total = sum(min(gap(s, long[best[i]]) / SCALE, 1) for i, s in enumerate(short))
         expected = (total + len(long) - len(short)) / len(long)
