@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from figmill.functions.text import picture_blocks, within_budget
 from figmill.operators.curate import first_occurrences
-from figmill.operators.positions import dense_position, ordered_head
+from figmill.operators.positions import dense_position
 from figmill.sources.staging import stage
 
 
@@ -89,16 +89,13 @@ def document_blocks(documents: DataFrame) -> DataFrame:
 
 def external_candidates(spark: SparkSession, folders: list[str], cap: int) -> DataFrame:
     """Distinct pictures within budget, in path order, at most ``cap``."""
+    if cap <= 0:
+        raise ValueError(f"cap must be positive. Got {cap}.")
     blocks = document_blocks(read_documents(spark, folders)).filter(within_budget("markup"))
-    # Path order becomes an integer order: files first, then blocks.
-    paths = blocks.select("path").distinct()
-    window = W.partitionBy(F.lit(0)).orderBy("path")
-    ranks = stage(paths.select("path", F.row_number().over(window).alias("_file")), "paths")
-    ordered = blocks.join(ranks, "path").withColumn(
-        "pos", F.shiftleft(F.col("_file").cast("long"), 24) + F.col("block_no")
-    )
-    unique = first_occurrences(ordered.select("pos", "path", "markup"), "markup", "pos")
-    return ordered_head(stage(unique, "external"), cap, "pos")
+    placed = blocks.withColumn("_at", F.struct("path", "block_no"))
+    unique = first_occurrences(placed, "markup", "_at", ["path", "block_no", "markup"])
+    # A top-k: every task keeps at most ``cap`` rows.
+    return unique.orderBy("path", "block_no").limit(cap)
 
 
 def read_split_corpus(spark: SparkSession, folder: str) -> DataFrame:
