@@ -1,11 +1,13 @@
 """One query per operator over its whole table, and the SQL that says the same."""
 
+import hashlib
 import os
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figmill.llm import bpe, language, simhash
+from figmill.llm import bpe, decontaminate, fingerprints, language, simhash
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -19,6 +21,42 @@ def fold(modulus: int, column: str = "doc_id"):
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(modulus))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(
+        read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    )
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def _edited(keys: list, texts: list[str]) -> list[pa.Array]:
+    """Contract columns of ``texts[:-1]``, each followed by its next text."""
+    edited = [
+        a[: len(a) - len(a) // 2] + b[: len(a) // 2] for a, b in zip(texts, texts[1:], strict=False)
+    ]
+    own, there = fingerprints.codes(pa.array(texts, pa.string()))
+    new, changed = fingerprints.codes(pa.array(edited, pa.string()))
+    return [
+        pa.array(keys, pa.int64()),
+        pa.array([len(t) for t in texts[:-1]], pa.int64()),
+        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
+        pa.array(fingerprints.packed(own[:-1], there[:-1]), pa.string()),
+        pa.array(fingerprints.packed(new, changed), pa.string()),
+        pa.array(fingerprints.likeness(own[:-1], new, there[:-1], changed)),
+        pa.array(fingerprints.likeness(own[:-1], own[1:], there[:-1], there[1:])),
+    ]
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.in_order(
+        read(spark, sf_dir, "documents"),
+        "doc_id",
+        "text",
+        _edited,
+        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
+        "edited_fingerprint string, near_edited double, near_next double",
+    )
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select(
@@ -48,6 +86,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op2_fingerprints": op2_fingerprints,
     "op3_simhash": op3_simhash,
     "op9_bpe": op9_bpe,
     "op10_language": op10_language,
