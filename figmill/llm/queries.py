@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figmill.llm import bpe, decontaminate, fingerprints, language, simhash
+from figmill.llm import bpe, decontaminate, fingerprints, language, simhash, toxicity
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -66,6 +66,22 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.coalesce(fold(4), F.lit(2))
+    found = toxicity.score(
+        read(spark, sf_dir, "documents"),
+        read(spark, sf_dir, "labels"),
+        counted=part.isin(0, 1),
+        curve=part == 3,
+    )
+    return found.select(
+        "doc_id",
+        F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     path = os.path.join(tokenizers, "word_bpe_49k.json")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -89,6 +105,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_fingerprints": op2_fingerprints,
     "op3_simhash": op3_simhash,
+    "op5_toxicity": op5_toxicity,
     "op9_bpe": op9_bpe,
     "op10_language": op10_language,
 }
