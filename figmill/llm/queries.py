@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figmill.llm import bpe, decontaminate, fingerprints, language, simhash, toxicity
+from figmill.llm import bpe, decontaminate, fingerprints, language, quality, simhash, toxicity
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -82,6 +82,17 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taught = F.coalesce(fold(5) != 0, F.lit(False))
+    found = quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), taught)
+    return found.select(
+        "doc_id",
+        F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     path = os.path.join(tokenizers, "word_bpe_49k.json")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -106,6 +117,7 @@ QUERIES = {
     "op2_fingerprints": op2_fingerprints,
     "op3_simhash": op3_simhash,
     "op5_toxicity": op5_toxicity,
+    "op7_quality": op7_quality,
     "op9_bpe": op9_bpe,
     "op10_language": op10_language,
 }
