@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figmill.llm import bpe, decontaminate, fingerprints, language, quality, simhash, toxicity
+from figmill.llm import bpe, decontaminate, fingerprints, language, licenses, quality, simhash, toxicity
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -82,6 +82,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(read(spark, sf_dir, "documents")))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     taught = F.coalesce(fold(5) != 0, F.lit(False))
     found = quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), taught)
@@ -117,9 +121,10 @@ QUERIES = {
     "op2_fingerprints": op2_fingerprints,
     "op3_simhash": op3_simhash,
     "op5_toxicity": op5_toxicity,
+    "op6_licenses": op6_licenses,
     "op7_quality": op7_quality,
     "op9_bpe": op9_bpe,
     "op10_language": op10_language,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_licenses": licenses.summary_sql()}
