@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figmill.llm import bpe, decontaminate, fingerprints, language, licenses, quality, simhash, toxicity
+from figmill.llm import bpe, decontaminate, extraction, fingerprints, language, licenses, quality, simhash, toxicity
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -97,6 +97,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = extraction.extract(pages).drop("html")
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     path = os.path.join(tokenizers, "word_bpe_49k.json")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -123,6 +129,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_licenses": op6_licenses,
     "op7_quality": op7_quality,
+    "op8_extraction": op8_extraction,
     "op9_bpe": op9_bpe,
     "op10_language": op10_language,
 }
