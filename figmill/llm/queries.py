@@ -7,7 +7,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figmill.llm import bpe, decontaminate, extraction, fingerprints, language, licenses, quality, simhash, toxicity
+from figmill.llm import (
+    bpe,
+    decontaminate,
+    extraction,
+    fingerprints,
+    language,
+    licenses,
+    perspectives,
+    quality,
+    simhash,
+    toxicity,
+)
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -66,6 +77,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = perspectives.rotations(read(spark, sf_dir, "conversations"))
+    return found.withColumn("mask", perspectives.mask_text("mask"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.coalesce(fold(4), F.lit(2))
     found = toxicity.score(
@@ -126,6 +142,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_fingerprints": op2_fingerprints,
     "op3_simhash": op3_simhash,
+    "op4_perspectives": op4_perspectives,
     "op5_toxicity": op5_toxicity,
     "op6_licenses": op6_licenses,
     "op7_quality": op7_quality,
@@ -134,4 +151,7 @@ QUERIES = {
     "op10_language": op10_language,
 }
 
-ORACLES: dict[str, str] = {"op6_licenses": licenses.summary_sql()}
+ORACLES: dict[str, str] = {
+    "op4_perspectives": perspectives.rotations_sql(),
+    "op6_licenses": licenses.summary_sql(),
+}
