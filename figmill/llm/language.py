@@ -214,23 +214,30 @@ def sampled(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict
     return samples
 
 
-def identify(docs: DataFrame, labelled: DataFrame, text: str = "text", lang: str = "lang"):
-    """``docs`` with ``lang_pred`` and ``score``; languages are learned from ``labelled``."""
+def identify(
+    docs: DataFrame,
+    labelled: DataFrame,
+    text: str = "text",
+    lang: str = "lang",
+    name: str = "lang_pred",
+    score: str = "score",
+) -> DataFrame:
+    """``docs`` with the columns ``name`` and ``score``; languages are learned from ``labelled``."""
     samples = sampled(labelled, text, lang)
     if not samples:
-        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+        return docs.withColumns({name: F.lit(UNKNOWN), score: F.lit(0.0)})
     model = docs.sparkSession.sparkContext.broadcast(Languages(samples))
-    kept = docs.drop("lang_pred", "score")
-    fields = {"lang_pred": F.lit(None).cast("string"), "score": F.lit(None).cast("double")}
+    kept = docs.drop(name, score)
+    fields = {name: F.lit(None).cast("string"), score: F.lit(None).cast("double")}
     schema = kept.withColumns(fields).schema
 
     def work(batches):
         for part in slices(batches, text, 8 << 20):
             texts = pc.fill_null(part.column(text), "").to_pylist()
-            names, score = model.value.predict(texts)
+            names, sure = model.value.predict(texts)
             yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())],
-                names=[*part.schema.names, "lang_pred", "score"],
+                [*part.columns, pa.array(names, pa.string()), pa.array(sure, pa.float64())],
+                names=[*part.schema.names, name, score],
             )
 
     return kept.mapInArrow(work, schema)

@@ -21,6 +21,7 @@ from figmill.llm import (
 )
 
 TOKENIZERS = "/opt/tokenizers"
+TOXIC = 0.3
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,19 +83,20 @@ def op4_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("mask", perspectives.mask_text("mask"))
 
 
-def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+def toxicity_classifier(docs: DataFrame, labels: DataFrame) -> toxicity.Classifier:
+    """Two folds of labels are counted, one fits the curve, one is held out."""
     part = F.coalesce(fold(4), F.lit(2))
-    found = toxicity.score(
-        read(spark, sf_dir, "documents"),
-        read(spark, sf_dir, "labels"),
-        counted=part.isin(0, 1),
-        curve=part == 3,
-    )
-    return found.select(
+    return toxicity.train(docs, labels, counted=part.isin(0, 1), curve=part == 3)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    classifier = toxicity_classifier(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, classifier).select(
         "doc_id",
         F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"),
         "score",
-        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        (F.col("score") >= TOXIC).cast("int").alias("predicted"),
     )
 
 
@@ -134,7 +136,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> D
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(fold(4) == 2, F.lit(False))
-    found = language.identify(docs.select("doc_id", "text"), docs.filter(~held_out))
+    found = language.identify(docs.drop("lang"), docs.filter(~held_out))
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 

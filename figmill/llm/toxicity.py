@@ -22,6 +22,8 @@ labels of both classes the curve is the evidence itself. Repeated rows count aga
 no label.
 """
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -242,7 +244,15 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, floa
     return float(weights[0]), float(weights[1])
 
 
-def score(
+class Classifier(NamedTuple):
+    """Count model and the logistic curve over the logarithm of the evidence."""
+
+    model: Model
+    slope: float
+    start: float
+
+
+def train(
     docs: DataFrame,
     labels: DataFrame,
     counted,
@@ -250,31 +260,38 @@ def score(
     id_column: str = "doc_id",
     text: str = "text",
     label: str = "toxic",
-) -> DataFrame:
-    """``id, evidence, score`` of every document.
+) -> Classifier:
+    """Learn from all ``docs`` and from the labelled ones.
 
     ``counted`` and ``curve`` are conditions on the id: labelled rows for the counts and for the
-    logistic curve. Rows outside both teach nothing.
+    logistic curve. Labels of other rows teach nothing.
     """
     known = labels.filter(F.col(label).isin(0, 1)).select(id_column, label)
     own = docs.select(id_column, text)
     taught = own.filter(counted).join(known.filter(counted), id_column)
     model = fit(own, taught, text, label)
-    found = stage(evidence(own, model, text).select(id_column, "evidence"), "evidence")
+    rest = own.filter(curve).join(known.filter(curve), id_column)
     fitted = (
-        found.filter(curve)
-        .join(known.filter(curve), id_column)
-        .orderBy(F.xxhash64(id_column), id_column)
+        evidence(rest, model, text)
+        .select(id_column, "evidence", label)
+        .orderBy(F.xxhash64(id_column), id_column, "evidence", label)
         .limit(CURVE_ROWS)
-        .select("evidence", label)
         .toPandas()
     )
     slope, start = logistic(
         np.log(fitted["evidence"].to_numpy(float) + LEAST), fitted[label].to_numpy(float)
     )
-    logit = F.lit(slope) * F.log(F.col("evidence") + LEAST) + start
-    return found.withColumn("score", 1 / (1 + F.exp(-logit)))
+    return Classifier(model, slope, start)
 
 
-def rejected(scores: DataFrame, threshold: float = 0.3) -> DataFrame:
-    return scores.filter(F.col("score") >= threshold)
+def score(
+    docs: DataFrame,
+    classifier: Classifier,
+    text: str = "text",
+    name: str = "score",
+    evidence_name: str = "evidence",
+) -> DataFrame:
+    """``docs`` with the columns ``evidence_name`` and ``name``."""
+    logit = F.lit(classifier.slope) * F.log(F.col(evidence_name) + LEAST) + classifier.start
+    found = evidence(docs, classifier.model, text, evidence_name)
+    return found.withColumn(name, 1 / (1 + F.exp(-logit)))
