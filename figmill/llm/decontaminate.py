@@ -253,8 +253,12 @@ def _verify(batches):
         text, item = batch.column("words"), batch.column("item_words")
         rows = []
         for n in range(batch.num_rows):
-            own = np.asarray(item[n].values)
-            cost, begin, size = best_window(own, np.asarray(text[n].values))
+            own, region = np.asarray(item[n].values), np.asarray(text[n].values)
+            there = set(region.tolist())
+            # Every item word that the region lacks costs an edit.
+            if sum(word not in there for word in own.tolist()) > allowed(len(own)):
+                continue
+            cost, begin, size = best_window(own, region)
             if cost <= allowed(len(own)):
                 rows.append((n, begin, size, cost, 1 - cost / len(own)))
         at = [r[0] for r in rows]
