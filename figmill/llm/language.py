@@ -171,9 +171,11 @@ class Languages:
             symbol = symbols[first[:n] + at][:, None]
             target = flat[state[:n] * width + symbol]
             dead = target < 0
-            count[:n] += dead
             again = flat[fresh + symbol]  # a new phrase begins with this symbol
-            target = np.where(dead, np.where(again < 0, starts, again), target)
+            alone = dead & (again < 0)  # or is this symbol, which the sample never shows
+            count[:n] += dead & (state[:n] != starts)
+            count[:n] += alone
+            target = np.where(dead, np.where(alone, starts, again), target)
             state[:n] = target
         count += state != starts  # the phrase that the piece's end cuts
         out = np.zeros((len(sizes), len(starts)), np.int64)
