@@ -8,7 +8,8 @@ The first pass classifies every block on its own. Much text in links or a copyri
 bad. A long block of many stop words is good, a shorter one near good; a long block of few stop
 words is bad; the rest is short. The second pass settles what is near good or short by the nearest
 decided blocks before and after: like labels are taken over, between unlike ones a near good block
-is good and a short one follows the nearer (the earlier one at equal distance).
+is good and a short one follows the nearer (the earlier one at equal distance). Where no block is
+good, the near good ones are.
 
 Where the page marks its article (``article``, else ``main``), only what is inside counts: there
 length and stop words decide nothing, and the ends of the article count as good neighbours. Without
@@ -214,6 +215,8 @@ def first_pass(text: str, linked: int, inside: bool) -> str:
 
 def second_pass(labels: list[str], edge: str) -> list[str]:
     """Settle near good and short blocks by their nearest decided neighbours."""
+    if "good" not in labels:
+        labels = ["good" if label == "near" else label for label in labels]
     decided = [n for n, label in enumerate(labels) if label in ("good", "bad")]
     out, following = list(labels), 0
     for n, label in enumerate(labels):
