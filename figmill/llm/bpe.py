@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from figmill.llm.batches import gather, slices
 
 #: Words and compatible pairs that a worker remembers; older ones are forgotten all at once.
-WORDS_KEPT = 200_000
-PAIRS_KEPT = 500_000
+WORDS_KEPT = 50_000
+PAIRS_KEPT = 150_000
 END = 256  # added to the code of a word's last byte
 
 
@@ -43,6 +43,15 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(rest)}
 
 
+def token_names(spec: dict) -> list[str]:
+    """Text of every token by its id, added tokens included."""
+    numbers = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+    names = [""] * (1 + max(numbers.values()))
+    for name, number in numbers.items():
+        names[number] = name
+    return names
+
+
 class Vocabulary:
     """Tokens of a tokenizer file, its automaton and the merge trees at token boundaries."""
 
@@ -58,9 +67,7 @@ class Vocabulary:
         self.specials = regex.compile(
             "(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len)[::-1]) + ")"
         ) if self.added else None
-        self.names = [""] * (1 + max([*model["vocab"].values(), *self.added.values()]))
-        for name, number in [*model["vocab"].items(), *self.added.items()]:
-            self.names[number] = name
+        self.names = token_names(spec)
         letters = _byte_letters()
         self.automaton = ahocorasick.Automaton()
         for name, number in model["vocab"].items():
@@ -77,10 +84,9 @@ class Vocabulary:
             if whole in formed:
                 raise ValueError(f"Token {left + right!r} has two merges; prefixes are ambiguous.")
             formed[whole] = (order, *pair)
-        never = len(self.rank)
-        self.left_spine = [self._spine(t, formed, 1, never) for t in range(len(self.names))]
-        self.right_spine = [self._spine(t, formed, 2, never) for t in range(len(self.names))]
-        self.never = never
+        self.formed = formed
+        self.never = len(self.rank)
+        self.spines: tuple[dict, dict] = {}, {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
 
@@ -91,18 +97,21 @@ class Vocabulary:
             codes[-1] += END
         return "".join(map(chr, codes))
 
-    @staticmethod
-    def _spine(token, formed, side, never) -> list[tuple[int, int]]:
-        """Pieces at one end of the token, the smallest first, with the rank that consumes each."""
-        pieces = [(token, never)]
-        while token in formed:
-            pieces.append((formed[token][side], formed[token][0]))
-            token = formed[token][side]
-        return pieces[::-1]
+    def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
+        """Pieces at the left (0) or right (1) end of the token, the smallest first, each with the
+        rank of the merge that consumes it."""
+        known = self.spines[side].get(token)
+        if known is None:
+            pieces, at = [(token, self.never)], token
+            while at in self.formed:
+                rank, at = self.formed[at][0], self.formed[at][1 + side]
+                pieces.append((at, rank))
+            known = self.spines[side][token] = pieces[::-1]
+        return known
 
     def compatible(self, left: int, right: int) -> bool:
         """Do these tokens stay two when their bytes are merged?"""
-        a, b, i, j = self.right_spine[left], self.left_spine[right], 0, 0
+        a, b, i, j = self._spine(left, 1), self._spine(right, 0), 0, 0
         while True:
             (x, gone_x), (y, gone_y) = a[i], b[j]
             rank = self.rank.get((x, y), self.never)
@@ -232,7 +241,8 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded
     schema = kept.withColumn(text, F.lit(None).cast("string")).schema
 
     def work(batches):
-        names = [f"{n} ".encode() for n in vocabulary(name).names]
+        with open(SparkFiles.get(name), encoding="utf-8") as file:
+            names = [f"{n} ".encode() for n in token_names(json.load(file))]
         pool = np.frombuffer(b"".join(names), np.uint8)
         sizes = np.fromiter(map(len, names), np.int64, len(names))
         first = np.cumsum(sizes) - sizes

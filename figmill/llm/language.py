@@ -234,7 +234,7 @@ def identify(
     schema = kept.withColumns(fields).schema
 
     def work(batches):
-        for part in slices(batches, text, 8 << 20):
+        for part in slices(batches, text, 4 << 20):
             texts = pc.fill_null(part.column(text), "").to_pylist()
             names, sure = model.value.predict(texts)
             yield pa.RecordBatch.from_arrays(

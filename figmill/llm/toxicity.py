@@ -45,6 +45,8 @@ CURVE_ROWS = 50_000
 MARGIN = 5.0
 #: Evidence that counts as none on the curve.
 LEAST = 1e-3
+#: Bytes of text that a worker holds as arrays at a time.
+SLICE = 2 << 20
 POOL = 2  # the class of the counts over all documents
 
 
@@ -80,7 +82,7 @@ def gram_counts(docs: DataFrame, text: str = "text", kind: str = "kind") -> Data
     """``gram, kind, n``: occurrences of the packed n-grams by the class column ``kind``."""
 
     def work(batches):
-        for part in slices(batches, "text", 8 << 20):
+        for part in slices(batches, "text", SLICE):
             number, rows, grams, places = word_grams(
                 pc.fill_null(part.column("text"), "").to_pylist()
             )
@@ -215,7 +217,7 @@ def evidence(docs: DataFrame, model: Model, text: str = "text", name: str = "evi
     schema = kept.withColumn(name, F.lit(None).cast("double")).schema
 
     def work(batches):
-        for part in slices(batches, text, 8 << 20):
+        for part in slices(batches, text, SLICE):
             number, rows, grams, places = word_grams(pc.fill_null(part.column(text), "").to_pylist())
             word = row_sums(shipped.value.evidence(grams), places)
             total = row_sums(np.maximum(word - MARGIN, 0.0)[number], rows)
