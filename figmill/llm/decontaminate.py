@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from figmill.llm.batches import LOWER, flat, mixed, run_hashes, runs, slices
+from figmill.llm.filters import FILTER_BITS, bit_filter, bits_of, within
 from figmill.sources.staging import stage
 
 EDITED = 0.2
@@ -38,14 +39,11 @@ RECALL = 0.995
 #: Share of steps at which two walks agree that are the threshold apart, from simulation.
 AGREEMENT = 0.4
 REPEATS = math.ceil(math.log(1 - RECALL) / math.log(1 - AGREEMENT**SAMPLED))
-#: Bits of each filter.
-FILTER_BITS = 1 << 24
 #: Lengths of one class differ by at most this factor.
 CLASS_STEP = 1.15
 #: Words of a region; longer stretches are cut into overlapping regions.
 REGION = 1024
 
-_ONE = np.uint64(1)
 KEEP = np.zeros(256, bool)
 KEEP[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
 
@@ -87,7 +85,7 @@ def walk_keys(hashes: np.ndarray, starts: np.ndarray, number: int, low: int) ->
     """Keys of the windows at ``starts`` in a length class: starts x ``REPEATS``."""
     steps = 2 * low
     rng = np.random.default_rng([number, 20])
-    odd = rng.integers(0, 1 << 63, (REPEATS, steps), dtype=np.uint64) << _ONE | _ONE
+    odd = rng.integers(0, 1 << 63, (REPEATS, steps), dtype=np.uint64) << np.uint64(1) | np.uint64(1)
     sampled = np.array([rng.choice(steps, SAMPLED, replace=False) for _ in range(REPEATS)])
     padded = np.concatenate((hashes, np.zeros(steps + 1, np.uint64)))
     place = np.repeat(starts[:, None], REPEATS, 1)
@@ -104,10 +102,6 @@ def walk_keys(hashes: np.ndarray, starts: np.ndarray, number: int, low: int) ->
         return mixed(keys + repeat)
 
 
-def _bits(hashes: np.ndarray) -> np.ndarray:
-    return (hashes & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-
-
 def items_of(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
     """``item_id, words, keys, pair_bits`` of the items that are long enough."""
 
@@ -122,7 +116,7 @@ def items_of(benchmark: DataFrame, item: str = "item_id", text: str = "text") ->
                 number = length_class(len(own))
                 low = next(s for s in range(SHORTEST, len(own) + 1) if length_class(s) == number)
                 keys = walk_keys(own, np.zeros(1, np.int64), number, low)[0]
-                out.append((name, own.view(np.int64), keys.view(np.int64), _bits(pairs(own))))
+                out.append((name, own.view(np.int64), keys.view(np.int64), bits_of(pairs(own))))
             columns = [list(c) for c in zip(*out, strict=True)] or [[], [], [], []]
             kinds = [pa.int64(), *[pa.list_(pa.int64())] * 3]
             yield pa.RecordBatch.from_arrays(
@@ -138,22 +132,6 @@ def items_of(benchmark: DataFrame, item: str = "item_id", text: str = "text") ->
     )
 
 
-def bit_filter(values: DataFrame) -> np.ndarray:
-    """Filter of ``FILTER_BITS`` bits, set at the ``bit`` column; one row per 64 bits at most."""
-    cells = values.groupBy(F.shiftright("bit", 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")
-    )
-    found = cells.toPandas()
-    out = np.zeros(FILTER_BITS // 64, np.uint64)
-    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
-    return out
-
-
-def within(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    bit = _bits(hashes)
-    return (table[bit >> 6] >> (bit & 63).astype(np.uint64) & _ONE).astype(bool)
-
-
 def _windows(hashes, rows, pair_table, classes):
     """Yield ``number, low, high, starts`` of the windows worth embedding."""
     if len(hashes) < 2:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from figmill.llm.batches import SPACES, flat, mixed, row_sums, run_hashes, runs, slices
+from figmill.llm.filters import joined
 from figmill.sources.staging import stage
 
 ROW_BITS = 13
@@ -218,7 +219,7 @@ def score(
     vectors = stage(pooled(own, table, text).select(id_column, "pooled"), "pooled")
     known = labels.filter(F.col(label).isin(0, 1)).filter(taught).select(id_column, label)
     rows = (
-        vectors.join(known, id_column)
+        joined(vectors, known, id_column)
         .orderBy(F.xxhash64(id_column), id_column, "pooled")
         .limit(TRAIN_ROWS)
         .select("pooled", label)

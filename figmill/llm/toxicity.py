@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from figmill.llm.batches import gather, mixed, row_sums, run_hashes, runs, slices
+from figmill.llm.filters import joined
 from figmill.llm.language import GAP, code_points
 from figmill.sources.staging import stage
 
@@ -270,9 +271,9 @@ def train(
     """
     known = labels.filter(F.col(label).isin(0, 1)).select(id_column, label)
     own = docs.select(id_column, text)
-    taught = own.filter(counted).join(known.filter(counted), id_column)
+    taught = joined(own.filter(counted), known.filter(counted), id_column)
     model = fit(own, taught, text, label)
-    rest = own.filter(curve).join(known.filter(curve), id_column)
+    rest = joined(own.filter(curve), known.filter(curve), id_column)
     fitted = (
         evidence(rest, model, text)
         .select(id_column, "evidence", label)
