@@ -30,7 +30,8 @@ def within_budget(column, max_chars: int = C.MAX_MARKUP_CHARS) -> Column:
 
 
 def markup_violation(column: Column) -> Column:
-    """``blank``, ``no_root_environment`` or null when the markup is valid."""
+    """``blank``, ``no_root_environment`` or null when the markup is valid; null text is blank."""
+    column = F.coalesce(column, F.lit(""))
     rooted = None
     for name in C.ROOT_ENVIRONMENTS:
         test = contains_text(column, f"\\begin{{{name}}}")

@@ -104,9 +104,13 @@ def quota_fill(attempts: DataFrame, quota: int, group: str, order: str) -> DataF
     ).filter("_inside").drop("_inside")
 
 
-def quota_shortfall(filled: DataFrame, quota: int, group: str) -> DataFrame:
-    return filled.groupBy(group).agg(F.count(F.lit(1)).alias("collected")).withColumn(
-        "shortfall", F.lit(quota) - F.col("collected")
+def quota_shortfall(filled: DataFrame, quota: int, group: str, names) -> DataFrame:
+    """What every group of ``names`` lacks; a group without a single row lacks the whole quota."""
+    wanted = filled.sparkSession.createDataFrame([(name,) for name in names], f"{group} string")
+    counts = filled.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    return wanted.join(counts, group, "left").select(
+        group, F.coalesce("_n", F.lit(0)).alias("collected"),
+        (F.lit(quota) - F.coalesce("_n", F.lit(0))).alias("shortfall"),
     )
 
 
@@ -155,7 +159,8 @@ def curriculum_draws(pool: DataFrame, draws: DataFrame, weights, seed: int) -> D
     """Weighted family draws with replacement; rows of a family without replacement, with a
     fresh permutation whenever its pool is used up.
 
-    ``pool(sample_id, family)``, ``draws(draw_id)``; gives ``draw_id, family, pass, sample_id``.
+    ``pool(sample_id, family)``, ``draws(draw_id)``; gives ``draw_id, family, pass, sample_id,
+    reason``. A draw of a family without pool keeps its row, with ``empty_pool`` as the reason.
     """
     options = list(zip(C.FAMILIES, weights))
     chosen = draws.select(
@@ -166,7 +171,7 @@ def curriculum_draws(pool: DataFrame, draws: DataFrame, weights, seed: int) -> D
     )
     numbered = (
         dense_position(chosen, F.col("draw_id"), groups=["family"], name="_number")
-        .join(sizes, "family")
+        .join(sizes, "family", "left")
         .withColumn("pass", F.floor(F.col("_number") / F.col("pool_size")).cast("long"))
         .withColumn("slot", F.col("_number") % F.col("pool_size"))
     )
@@ -188,8 +193,9 @@ def curriculum_draws(pool: DataFrame, draws: DataFrame, weights, seed: int) -> D
         name="slot",
         parents=HASHED,
     )
-    return numbered.join(permuted, ["family", "pass", "slot"]).select(
-        "draw_id", "family", "pass", "sample_id"
+    empty = F.when(F.col("pool_size").isNull(), F.lit("empty_pool"))
+    return numbered.join(permuted, ["family", "pass", "slot"], "left").select(
+        "draw_id", "family", "pass", "sample_id", empty.alias("reason")
     )
 
 

@@ -58,12 +58,18 @@ def build_vocabulary(
     return stage(reserved.union(numbered), "vocabulary")
 
 
-def _regrouped(exploded: DataFrame, keep: list[str], value: Column, name: str) -> DataFrame:
-    """Put exploded positions back into one array per sample, in order.
+def _exploded(sequences: DataFrame, keep: list[str], values: Column, name: str) -> DataFrame:
+    """One row per position, every sample in one task.
 
-    A sample's positions sit in one task, so the partial aggregate already rebuilds the
-    array and only whole sequences are shuffled.
+    Samples are dealt out by key before they grow to rows; a broadcast lookup keeps that
+    order, so putting them together again needs no second shuffle.
     """
+    dealt = sequences.select(*keep, values.alias("_values")).repartition(*keep)
+    return dealt.select(*keep, F.posexplode_outer("_values").alias("pos", name))
+
+
+def _regrouped(exploded: DataFrame, keep: list[str], value: Column, name: str) -> DataFrame:
+    """Put exploded positions back into one array per sample, in order."""
     entry = F.when(F.col("pos").isNotNull(), F.struct("pos", value.alias("value")))
     arrays = exploded.groupBy(*keep).agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
     return arrays.select(*keep, F.transform("_entries", lambda e: e["value"]).alias(name))
@@ -77,8 +83,7 @@ def encode(
     max_length: int = C.MAX_SEQUENCE,
 ) -> DataFrame:
     """Framed id sequence per sample; unknown tokens become UNK."""
-    exploded = sequences.select(*keep, F.posexplode_outer(column).alias("pos", "token"))
-    looked_up = exploded.join(vocabulary, "token", "left")
+    looked_up = _exploded(sequences, keep, F.col(column), "token").join(vocabulary, "token", "left")
     ids = _regrouped(looked_up, keep, F.coalesce("idx", F.lit(C.UNK)), "_ids")
     return ids.select(*keep, K.framed(F.col("_ids"), max_length).alias("ids"))
 
@@ -92,12 +97,9 @@ def encode_splits(
 
 
 def _looked_up(sequences: DataFrame, vocabulary: DataFrame, keep, dropped, column) -> DataFrame:
-    exploded = sequences.select(*keep, F.posexplode_outer(column).alias("pos", "idx"))
-    # Dropped ids stay as null positions, so an all-padding sample still comes out.
-    exploded = exploded.withColumn(
-        "pos", F.when(~F.col("idx").isin(*dropped), F.col("pos"))
-    )
-    return exploded.join(vocabulary, "idx", "left")
+    # Dropped ids never become rows; an all-padding sample still comes out, without positions.
+    wanted = F.filter(column, lambda i: ~i.isin(*dropped))
+    return _exploded(sequences, keep, wanted, "idx").join(vocabulary, "idx", "left")
 
 
 def decode(

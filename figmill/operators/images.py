@@ -103,7 +103,12 @@ def encoder_input(lines: DataFrame, height: int, width: int) -> DataFrame:
     return resized(normalized(lines), height, width)
 
 
-def noisy(lines: DataFrame, sigma: float, seed: int) -> DataFrame:
+def _where(chosen: Column | None, changed: Column) -> Column:
+    """New pixels where a line is chosen, all lines without a choice."""
+    return changed if chosen is None else F.when(chosen, changed).otherwise(F.col("pixels"))
+
+
+def noisy(lines: DataFrame, sigma: float, seed: int, chosen: Column | None = None) -> DataFrame:
     """Gaussian noise from hashed uniforms, clamped to ``[0, 1]``."""
     if not 0.0 < sigma <= 0.05:
         raise ValueError(f"sigma must lie in (0, 0.05]. Got {sigma}.")
@@ -114,10 +119,12 @@ def noisy(lines: DataFrame, sigma: float, seed: int) -> DataFrame:
         angle = F.lit(2.0 * math.pi) * uniform(seed, key, x * 2 + 1)
         return _unit(pixel + F.lit(sigma) * radius * F.cos(angle))
 
-    return lines.withColumn("pixels", F.transform("pixels", add))
+    return lines.withColumn("pixels", _where(chosen, F.transform("pixels", add)))
 
 
-def contrasted(lines: DataFrame, alpha: float, batch: str) -> DataFrame:
+def contrasted(
+    lines: DataFrame, alpha: float, batch: str, chosen: Column | None = None
+) -> DataFrame:
     """Scale deviations from the mean of the batch."""
     if alpha < 0:
         raise ValueError(f"alpha must be non-negative. Got {alpha}.")
@@ -125,19 +132,13 @@ def contrasted(lines: DataFrame, alpha: float, batch: str) -> DataFrame:
     means = lines.groupBy(batch).agg((F.sum(total) / F.sum(F.size("pixels"))).alias("_mean"))
     # Staged: one row per batch, so the pixels need not be shuffled to meet their mean.
     means = stage(means, "means")
-    return (
-        lines.join(means, batch)
-        .withColumn(
-            "pixels",
-            F.transform(
-                "pixels", lambda p: _unit(F.lit(alpha) * p + F.lit(1.0 - alpha) * F.col("_mean"))
-            ),
-        )
-        .drop("_mean")
+    scaled = F.transform(
+        "pixels", lambda p: _unit(F.lit(alpha) * p + F.lit(1.0 - alpha) * F.col("_mean"))
     )
+    return lines.join(means, batch).withColumn("pixels", _where(chosen, scaled)).drop("_mean")
 
 
-def blurred(lines: DataFrame) -> DataFrame:
+def blurred(lines: DataFrame, chosen: Column | None = None) -> DataFrame:
     """3x3 binomial blur with zero padding, clamped."""
     side, middle = C.BLUR_KERNEL[0], C.BLUR_KERNEL[1]
     last = F.size("pixels") - 1
@@ -148,10 +149,10 @@ def blurred(lines: DataFrame) -> DataFrame:
         after = F.when(x < last, F.get(F.col("pixels"), x + 1)).otherwise(F.lit(0.0))
         return before * side + pixel * middle + after * side
 
-    rows = lines.withColumn("pixels", F.transform("pixels", across))
+    rows = lines.withColumn("_across", F.transform("pixels", across))
     order = W.partitionBy("image_id", "channel").orderBy("y")
     rows = rows.withColumns(
-        {"_up": F.lag("pixels").over(order), "_down": F.lead("pixels").over(order)}
+        {"_up": F.lag("_across").over(order), "_down": F.lead("_across").over(order)}
     )
 
     def down(pixel: Column, x: Column) -> Column:
@@ -159,7 +160,8 @@ def blurred(lines: DataFrame) -> DataFrame:
         below = F.coalesce(F.get(F.col("_down"), x), F.lit(0.0))
         return _unit(above * side + pixel * middle + below * side)
 
-    return rows.withColumn("pixels", F.transform("pixels", down)).drop("_up", "_down")
+    whole = _where(chosen, F.transform("_across", down))
+    return rows.withColumn("pixels", whole).drop("_across", "_up", "_down")
 
 
 def augmented(
@@ -174,14 +176,20 @@ def augmented(
 
 
 def maybe_augmented(
-    lines: DataFrame, seed: int, batch: str, probability: float, **options
+    lines: DataFrame, seed: int, batch: str, probability: float, sigma: float = 0.03,
+    alpha: float = 1.0, blur: bool = True,
 ) -> DataFrame:
-    """Augment whole batches with the given probability each."""
+    """Noise, contrast and blur, each on the batches that its own coin chooses."""
     if not 0.0 <= probability <= 1.0:
         raise ValueError(f"probability must lie in [0, 1]. Got {probability}.")
-    chosen = uniform(seed, F.col(batch), "augment") < probability
-    untouched = lines.filter(~chosen)
-    return augmented(lines.filter(chosen), seed, batch, **options).unionByName(untouched)
+
+    def coin(step: str) -> Column:
+        return uniform(seed, F.col(batch), step) < probability
+
+    out = noisy(lines, sigma, seed, coin("noise"))
+    if alpha != 1.0:
+        out = contrasted(out, alpha, batch, coin("contrast"))
+    return blurred(out, coin("blur")) if blur else out
 
 
 def _gaussian_weights(size: int, sigma: float) -> list[float]:
@@ -189,15 +197,12 @@ def _gaussian_weights(size: int, sigma: float) -> list[float]:
     return [w / sum(raw) for w in raw]
 
 
-def _reader(name: str, x: Column):
-    return lambda line: F.get(line[name], x)
-
-
 def ssim(
-    pairs: DataFrame, width: int, data_range: float = 1.0, window: int = C.SSIM_WINDOW,
+    pairs: DataFrame, data_range: float = 1.0, window: int = C.SSIM_WINDOW,
     k1: float = C.SSIM_K1, k2: float = C.SSIM_K2,
 ) -> DataFrame:
-    """Mean SSIM per image from ``image_id, channel, y, a, b``.
+    """Mean SSIM per image from ``image_id, channel, y, a, b``; images may differ in size, and one
+    that is smaller than the window has a null.
 
     The Gaussian window separates: every line is convolved in its own row, then lines are
     combined over a sliding frame of ``window`` rows. Frames that are not full are dropped,
@@ -209,36 +214,43 @@ def ssim(
         raise ValueError(f"window must be odd and at least 3. Got {window}.")
     weights = _gaussian_weights(window, C.SSIM_SIGMA)
     c1, c2 = (k1 * data_range) ** 2, (k2 * data_range) ** 2
-    starts = F.sequence(F.lit(0), F.lit(width - window))
-    kernel = F.array(*[F.lit(w) for w in weights])
+    size = F.size("a")
+    starts = F.when(size >= window, F.sequence(F.lit(0), size - window)).otherwise(
+        F.array().cast("array<int>")
+    )
 
-    def dot(values: Column, of=lambda v: v) -> Column:
-        terms = F.zip_with(values, kernel, lambda v, w: of(v) * w)
-        return F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t)
+    def dot(term) -> Column:
+        """Sum of the weighted terms of a window, written out."""
+        return sum((term(k) * F.lit(w) for k, w in enumerate(weights[1:], 1)), term(0) * weights[0])
 
-    def along(values: Column) -> Column:
-        return F.transform(starts, lambda x: dot(F.slice(values, x + 1, F.lit(window))))
+    def along(*names: str) -> Column:
+        def term(x: Column, k: int) -> Column:
+            values = [F.get(F.col(n), x + k) for n in names]
+            return values[0] if len(values) == 1 else values[0] * values[1]
 
-    def product(left: str, right: str) -> Column:
-        return F.zip_with(left, right, lambda p, q: p * q)
+        return F.transform(starts, lambda x: dot(lambda k: term(x, k)))
 
     moments = {
-        "_a": along(F.col("a")),
-        "_b": along(F.col("b")),
-        "_aa": along(product("a", "a")),
-        "_bb": along(product("b", "b")),
-        "_ab": along(product("a", "b")),
+        "_a": along("a"),
+        "_b": along("b"),
+        "_aa": along("a", "a"),
+        "_bb": along("b", "b"),
+        "_ab": along("a", "b"),
     }
-    rows = pairs.select(*_LINE, F.struct(*[c.alias(n) for n, c in moments.items()]).alias("_m"))
+    packed = F.struct(*[c.alias(n) for n, c in moments.items()])
+    rows = pairs.select(*_LINE, F.greatest(size - (window - 1), F.lit(0)).alias("_n"), packed.alias("_m"))
     frame = W.partitionBy("image_id", "channel").orderBy("y").rowsBetween(0, window - 1)
-    framed = rows.select(*_LINE, F.collect_list("_m").over(frame).alias("_f")).filter(
-        F.size("_f") == window
+    framed = rows.select(*_LINE, "_n", F.collect_list("_m").over(frame).alias("_f"))
+    full = F.size("_f") == window
+    places = F.when(full & (F.col("_n") > 0), F.sequence(F.lit(0), F.col("_n") - 1)).otherwise(
+        F.array().cast("array<int>")
     )
 
     def local(x: Column) -> Column:
-        return F.struct(
-            *[dot(F.col("_f"), _reader(n, x)).alias(n) for n in moments]
-        )
+        def down(name: str) -> Column:
+            return dot(lambda k: F.get(F.get(F.col("_f"), F.lit(k))[name], x))
+
+        return F.struct(*[down(n).alias(n) for n in moments])
 
     def similarity(m: Column) -> Column:
         aa, bb, ab = m["_a"] * m["_a"], m["_b"] * m["_b"], m["_a"] * m["_b"]
@@ -246,8 +258,8 @@ def ssim(
         bottom = (aa + bb + c1) * ((m["_aa"] - aa) + (m["_bb"] - bb) + c2)
         return top / bottom
 
-    scored = framed.withColumn("_v", F.transform(F.transform(starts, local), similarity))
+    scored = framed.withColumn("_v", F.transform(F.transform(places, local), similarity))
     total = F.aggregate("_v", F.lit(0.0), lambda acc, v: acc + v)
     return scored.groupBy("image_id").agg(
-        (F.sum(total) / F.sum(F.size("_v"))).alias("ssim")
+        F.try_divide(F.sum(total), F.sum(F.size("_v"))).alias("ssim")
     )

@@ -41,18 +41,25 @@ def corpus_bleu(
     counts = pairs.select(
         *groups, ngram_matches(F.col(reference), F.col(candidate), max_order).alias("_n")
     )
-    names = ["_rl", "_cl"] + [f"_{k}{o}" for o in range(1, max_order + 1) for k in "mt"]
     totals = counts.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("pairs"),
-        *[F.sum(F.get("_n", F.lit(i))).alias(name) for i, name in enumerate(names)],
+        F.count(F.lit(1)).alias("pairs"), *_bleu_sums("_n", max_order)
     )
-    score = S.bleu(
+    return totals.select(*groups, "pairs", _bleu_of_sums(max_order).alias("corpus_bleu"))
+
+
+def _bleu_sums(counts: str, max_order: int) -> list[Column]:
+    """Sums of the n-gram counts of pairs."""
+    names = ["_rl", "_cl"] + [f"_{k}{o}" for o in range(1, max_order + 1) for k in "mt"]
+    return [F.sum(F.get(counts, F.lit(i))).alias(name) for i, name in enumerate(names)]
+
+
+def _bleu_of_sums(max_order: int) -> Column:
+    return S.bleu(
         [F.col(f"_m{o}") for o in range(1, max_order + 1)],
         [F.col(f"_t{o}") for o in range(1, max_order + 1)],
         F.col("_rl"),
         F.col("_cl"),
     )
-    return totals.select(*groups, "pairs", score.alias("corpus_bleu"))
 
 
 def edit_distances(
@@ -65,16 +72,27 @@ def edit_distances(
 
 
 def batch_evaluation(pairs: DataFrame, groups=(), max_order: int = 4) -> DataFrame:
-    """BLEU and mean edit distance per group, with the range of the distances."""
-    named = list(groups)
-    groups = named or ["_all"]
-    tokenized = tokenized_pairs(pairs if named else pairs.withColumn("_all", F.lit(0)))
-    bleu = corpus_bleu(tokenized, groups, max_order)
-    distance = edit_distances(tokenized).groupBy(*groups).agg(
+    """BLEU and mean edit distance per group, with the range of the distances.
+
+    Every pair is tokenized and scored once; one shuffle of sums.
+    """
+    groups = list(groups)
+    r, c = F.col("reference_tokens"), F.col("candidate_tokens")
+    scored = tokenized_pairs(pairs).select(
+        *groups,
+        ngram_matches(r, c, max_order).alias("_n"),
+        token_edit_distance(r, c).alias("token_distance"),
+    )
+    totals = scored.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("pairs"),
+        *_bleu_sums("_n", max_order),
         F.avg("token_distance").alias("mean_token_distance"),
         F.count_if(~F.col("token_distance").between(0.0, 1.0)).alias("out_of_range"),
     )
-    return bleu.join(distance, groups).drop("_all")
+    return totals.select(
+        *groups, "pairs", _bleu_of_sums(max_order).alias("corpus_bleu"),
+        "mean_token_distance", "out_of_range",
+    )
 
 
 def coordinate_errors(pairs: DataFrame) -> DataFrame:
@@ -178,19 +196,33 @@ def policy_comparison(results: DataFrame, baseline: str = "greedy") -> DataFrame
 
 
 def tier_summary(pairs: DataFrame, outcomes: DataFrame, tier: str = "tier") -> DataFrame:
-    """The metrics of every tier that has data, one row per tier."""
-    tokenized = tokenized_pairs(pairs)
-    bleu = corpus_bleu(tokenized, [tier]).withColumnRenamed("pairs", "samples")
-    scored = graph_distances(edit_distances(tokenized)).select(
-        tier, "sample_id", "token_distance", "graph_distance"
-    )
-    distances = scored.groupBy(tier).agg(
+    """The metrics of every tier that has data, one row per tier.
+
+    One scan scores the pairs, one join brings their outcomes (at most one each), one shuffle
+    sums up the tiers. A pair without an outcome counts for the texts alone.
+    """
+    max_order = 4
+    r, c = F.col("reference_tokens"), F.col("candidate_tokens")
+    scored = graph_distances(tokenized_pairs(pairs)).select(
+        tier, "sample_id", "graph_distance",
+        ngram_matches(r, c, max_order).alias("_n"),
+        token_edit_distance(r, c).alias("token_distance"),
+    )
+    known = outcomes.select("sample_id", "is_successful", "ssim", F.lit(1).alias("_known"))
+    built = F.when(F.col("_known") == 1, F.coalesce("is_successful", F.lit(False)))
+    totals = scored.join(known, "sample_id", "left").groupBy(tier).agg(
+        F.count(F.lit(1)).alias("samples"),
+        *_bleu_sums("_n", max_order),
         F.avg("token_distance").alias("mean_geometric_edit_distance"),
         F.avg("graph_distance").alias("mean_graph_edit_distance"),
+        F.count_if(built).alias("successes"),
+        F.count("_known").alias("total"),
+        F.avg(built.cast("double")).alias("compilation_rate"),
+        F.count_if(built).alias("ssim_samples"),
+        F.coalesce(F.avg(F.when(built, F.col("ssim"))), F.lit(0.0)).alias("mean_ssim"),
     )
-    rendered = pairs.select(tier, "sample_id").join(outcomes, "sample_id")
-    rates = compilation_rates(rendered, [tier])
-    ssim = mean_ssim(rendered, [tier]).select(
-        tier, "ssim_samples", F.col("mean_ssim_compiled").alias("mean_ssim")
+    return totals.select(
+        tier, "samples", _bleu_of_sums(max_order).alias("corpus_bleu"),
+        "mean_geometric_edit_distance", "mean_graph_edit_distance", "successes", "total",
+        "compilation_rate", "ssim_samples", "mean_ssim",
     )
-    return bleu.join(distances, tier).join(rates, tier).join(ssim, tier)

@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from figmill.sources.staging import stage
 
 CELL_BITS = 16
-PARENT_BITS = (24,)
+#: Levels of parents above the cells of a 64-bit key; no level has more than ``2**16`` siblings.
+PARENT_BITS = (16, 16)
 # A 32-bit hash has 65,536 cells, few enough to be summed without parents.
 HASHED = ()
 
 
-def _before(counts: DataFrame, groups: list[str], parents=PARENT_BITS) -> DataFrame:
+def counts_before(counts: DataFrame, groups: list[str], parents=PARENT_BITS) -> DataFrame:
     """Add ``_before``: rows of the same group in lower cells. ``counts`` has ``_cell, _n``."""
     if not parents:
         window = W.partitionBy(*groups or [F.lit(0)]).orderBy("_cell")
@@ -28,7 +29,7 @@ def _before(counts: DataFrame, groups: list[str], parents=PARENT_BITS) -> DataFr
     window = W.partitionBy(*groups, "_parent").orderBy("_cell")
     upto = F.sum("_n").over(window.rowsBetween(W.unboundedPreceding, W.currentRow))
     local = nested.withColumn("_local", upto - F.col("_n"))
-    above = _before(
+    above = counts_before(
         nested.groupBy(*groups, "_parent")
         .agg(F.sum("_n").alias("_n"))
         .withColumnRenamed("_parent", "_cell"),
@@ -46,7 +47,7 @@ def _offsets(cells: DataFrame, groups: list[str], parents) -> DataFrame:
     """``groups, _cell, _n, _before``. Counts that several levels read are staged, so the
     rows are scanned for them once."""
     counts = cells.groupBy(*groups, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    return _before(stage(counts, "cells") if parents else counts, groups, parents)
+    return counts_before(stage(counts, "cells") if parents else counts, groups, parents)
 
 
 def dense_position(
@@ -86,7 +87,7 @@ def cut_points(
         *named, *whole, key.cast("long").alias("_key"), tie.alias("_tie")
     ).withColumn("_cell", F.shiftright("_key", CELL_BITS))
     located = _offsets(cells, groups, parents)
-    size = F.sum("_n").over(W.partitionBy(*groups))
+    sizes = located.groupBy(*groups).agg(F.sum("_n").alias("_size"))
     wanted = F.array(
         *[
             F.struct(F.lit(n).alias("_name"), quota(F.col("_size")).cast("long").alias("_quota"))
@@ -94,7 +95,7 @@ def cut_points(
         ]
     )
     edges = (
-        located.withColumn("_size", size)
+        located.join(sizes, groups)
         .select(*groups, "_cell", "_before", "_n", F.inline(wanted))
         .filter("_before < _quota and _before + _n >= _quota")
         .select(*groups, "_cell", "_name", (F.col("_quota") - F.col("_before")).alias("_left"))
@@ -156,25 +157,21 @@ def ordered_head(df: DataFrame, count: int, order: str) -> DataFrame:
 def text_position(df: DataFrame, column: str, name: str = "position") -> DataFrame:
     """Zero-based position by code-point order of a unique text column.
 
-    Cells are three-character prefixes, which order like the texts themselves.
+    Cells are the ranges of one range partitioning, which is staged, so they hold about the
+    same number of texts whatever the texts have in common.
     """
-    cells = df.withColumn("_cell", F.substring(column, 1, 3))
-    counts = cells.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
-    nested = counts.withColumn("_parent", F.substring("_cell", 1, 1))
-
-    def running(window):
-        upto = F.sum("_n").over(window.rowsBetween(W.unboundedPreceding, W.currentRow))
-        return upto - F.col("_n")
-
-    local = nested.withColumn("_local", running(W.partitionBy("_parent").orderBy("_cell")))
-    above = nested.groupBy("_parent").agg(F.sum("_n").alias("_n"))
-    above = above.withColumn("_above", running(W.partitionBy(F.lit(0)).orderBy("_parent")))
-    offsets = local.join(above.drop("_n"), "_parent").select(
-        "_cell", (F.col("_local") + F.col("_above")).alias("_before")
+    ranged = df.repartitionByRange(column).withColumn("_cell", F.spark_partition_id())
+    ranged = stage(ranged, "ranged")
+    order = W.partitionBy(F.lit(0)).orderBy("_cell")  # one row per range
+    offsets = ranged.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_cell",
+        F.coalesce(F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(
+            "_before"
+        ),
     )
     rank = F.row_number().over(W.partitionBy("_cell").orderBy(column)) - 1
     return (
-        cells.withColumn("_rank", rank)
+        ranged.withColumn("_rank", rank)
         .join(offsets, "_cell")
         .withColumn(name, (F.col("_rank") + F.col("_before")).cast("long"))
         .drop("_cell", "_rank", "_before")

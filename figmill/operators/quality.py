@@ -70,16 +70,21 @@ def usable_images(lines: DataFrame, height: int, width: int, channels: int = 1)
 
 def shard_alignment(samples: DataFrame) -> DataFrame:
     """Per shard: do images, ids and labels all have one row and one shape per sample?"""
-    return samples.groupBy("shard_id").agg(
+    return samples.groupBy("split", "shard_id").agg(
         F.count(F.lit(1)).alias("num_samples"),
+        F.count("pixels").alias("num_images"),
         F.count("ids").alias("num_ids"),
         F.count("family_idx").alias("num_labels"),
+        F.min(F.size("pixels")).cast("long").alias("min_pixels"),
+        F.max(F.size("pixels")).cast("long").alias("max_pixels"),
         F.min(F.size("ids")).cast("long").alias("min_length"),
         F.max(F.size("ids")).cast("long").alias("max_length"),
     ).withColumn(
         "aligned",
-        (F.col("num_ids") == F.col("num_samples"))
+        (F.col("num_images") == F.col("num_samples"))
+        & (F.col("num_ids") == F.col("num_samples"))
         & (F.col("num_labels") == F.col("num_samples"))
+        & (F.col("min_pixels") == F.col("max_pixels"))
         & (F.col("min_length") == F.col("max_length")),
     )
 

@@ -59,22 +59,47 @@ def seed_statistics(runs: DataFrame, keys=("model", "tier")) -> DataFrame:
     )
 
 
+def _product_error(a: Column, b: float) -> Column:
+    """What rounding loses of the product of a column and a number, exactly (Dekker)."""
+    split = 134217729.0
+    b_high = split * b - (split * b - b)
+    b_low = b - b_high
+    a_high = a * split - (a * split - a)
+    a_low = a - a_high
+    return ((a_high * b_high - a * b) + a_high * b_low + a_low * b_high) + a_low * b_low
+
+
 def fixed_text(value: Column, decimals: int, sign: bool = False) -> Column:
-    """Fixed-point text; a value halfway between two texts takes the even one."""
+    """Fixed-point text of the exact binary value; only a true half takes the even text.
+
+    Shortest decimals decide all but apparent halves such as 2.675, which is a little less than
+    its text says: there the exact distance from the half decides.
+    """
     flag = "+" if sign else ""
-    return F.format_string(f"%{flag}.{decimals}f", F.bround(value, decimals))
+    value = value.cast("double")
+    double = 2.0 * 10**decimals
+    halves = F.rint(value * double)
+    off = (value * double - halves) + _product_error(value, double)
+    half = (F.abs(halves) % 2 == 1) & (F.abs(off) < 1e-6) & (F.abs(halves) < 1e15)
+    near = F.when(off < 0, halves - 1).when(off > 0, halves + 1)
+    exact = F.when(half, near / double)
+    return F.format_string(
+        f"%{flag}.{decimals}f", F.bround(F.coalesce(exact, value), decimals)
+    )
 
 
 def mean_std_text(mean: Column, std: Column, precision: int = 3) -> Column:
     return F.concat(fixed_text(mean, precision), F.lit(" \\pm "), fixed_text(std, precision))
 
 
-def generalization_gap(metrics: DataFrame, baseline: str = "tier1") -> DataFrame:
-    """Baseline tier minus tier for every metric; a missing metric counts as zero."""
+def generalization_gap(metrics: DataFrame, names, baseline: str = "tier1") -> DataFrame:
+    """Baseline tier minus tier for every metric of ``names``; a missing one counts as zero."""
     base = metrics.filter(F.col("tier") == baseline).select(
         "metric", F.col("value").alias("_base")
     )
-    rest = metrics.filter(F.col("tier") != baseline)
+    every = F.explode(F.array(*[F.lit(name) for name in names])).alias("metric")
+    tiers = metrics.filter(F.col("tier") != baseline).select("tier").distinct()
+    rest = tiers.select("tier", every).join(metrics, ["tier", "metric"], "left")
     return rest.join(base, "metric", "left").select(
         "tier", "metric",
         (F.coalesce("_base", F.lit(0.0)) - F.coalesce("value", F.lit(0.0))).alias("gap"),
@@ -210,7 +235,7 @@ def multitier_lines(stats: DataFrame) -> DataFrame:
         }
     )
     label = F.when(
-        F.col("_first"), F.concat(F.lit("\\textbf{"), F.initcap("model"), F.lit("}"))
+        F.col("_first"), F.concat(F.lit("\\textbf{"), F.upper(F.substring("model", 1, 1)), F.lower(F.expr("substring(model, 2)")), F.lit("}"))
     ).otherwise(F.lit(""))
     body = F.concat_ws(
         " & ", label, F.upper("tier"), cell("corpus_bleu"), cell("mean_geometric_edit_distance"),
@@ -291,3 +316,17 @@ TABLE_FEET = {
     "multitier": ("\\bottomrule", "\\end{tabular}", "\\end{table*}"),
     "ablation": ("\\bottomrule", "\\end{tabular}", "\\end{table}"),
 }
+
+
+def whole_table(body: DataFrame, kind: str) -> DataFrame:
+    """``line_no, line`` of a table with its head before and its foot after the body."""
+    fixed = [(n - len(TABLE_HEADS[kind]) + 1, t) for n, t in enumerate(TABLE_HEADS[kind])]
+    fixed += [((1 << 40) + n, t) for n, t in enumerate(TABLE_FEET[kind])]
+    frame = body.sparkSession.createDataFrame(fixed, "line_no bigint, line string")
+    return frame.unionByName(body.select(F.col("line_no").cast("long").alias("line_no"), "line"))
+
+
+def ablation_body(deltas: DataFrame) -> DataFrame:
+    """Numbered body lines of the ablation table, the full variant first; a handful of rows."""
+    order = W.partitionBy(F.lit(0)).orderBy((F.col("variant") != "Full"), "variant")
+    return ablation_lines(deltas).select(F.row_number().over(order).alias("line_no"), "line")

@@ -425,4 +425,5 @@ PAIR = (*FIG, PAIRS)
 SPL = (*FIG, SPLIT_FIGURES)
 TOK = (*SPL, TOKS)
 VOC = (*TOK, VOCAB)
-ENC = (*VOC, encoded(48))
+ENC = (*VOC, encoded(C.MAX_SEQUENCE))
+ENC_SHORT = (*VOC, encoded(48))

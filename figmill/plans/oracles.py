@@ -3,8 +3,9 @@
 import math
 
 from figmill import constants as C
+from figmill.operators.report import TABLE_FEET, TABLE_HEADS
 from figmill.plans.oracle_parts import (
-    ENC, FAMILY_LIST, FIG, FIG_BASE, ORD, OUTCOMES, PAIR, SPL, TEX_DOCS, TOK, VOC, BODIES, POLICY,
+    ENC, ENC_SHORT, FAMILY_LIST, FIG, FIG_BASE, ORD, OUTCOMES, PAIR, SPL, TEX_DOCS, TOK, VOC, BODIES, POLICY,
     Slots, compositional, declared_names, declared_packages, encoded, family_figure, family_of,
     grid_tokens, h32, in_list, jaccard, keywords, number_text, point_lists, procedural, q,
     quantized, raw_tokens, required_packages, sanitized, statements, strings, strip, tokens, u,
@@ -50,22 +51,29 @@ ORACLES["a4_evaluation_record_scan"] = with_(*PAIR) + f"""SELECT family, policy
  FROM pairs GROUP BY ALL"""
 POSITIONS = "row_number() OVER (PARTITION BY split ORDER BY sample_id)-1"
 ORACLES["a5_split_positions"] = with_(*SPL) + f"""SELECT split, sample_id, position,
- 'sample_'||lpad(position::VARCHAR,5,'0') AS sample_name FROM (SELECT split, sample_id, {POSITIONS} AS position FROM sf)"""
+ printf('sample_%05d', position) AS sample_name FROM (SELECT split, sample_id, {POSITIONS} AS position FROM sf)"""
 SHARDS = f"shards AS (SELECT *, position//500 AS shard_id FROM (SELECT *, {POSITIONS} AS position FROM sf))"
-ORACLES["a6_shard_packing"] = with_(*SPL, SHARDS) + """SELECT split, shard_id, count(*) AS num_samples,
- min(sample_id) AS first_sample, max(sample_id) AS last_sample, sum(length(markup))::BIGINT AS chars
+PACKED = f"""shards AS (SELECT *, position//500 AS shard_id FROM (SELECT sf.*, ids, {POSITIONS.replace('split', 'sf.split').replace('BY sample_id', 'BY sf.sample_id')} AS position
+ FROM sf JOIN (SELECT sample_id, ids FROM enc) e ON e.sample_id=sf.sample_id))"""
+ORACLES["a6_shard_packing"] = with_(*ENC, PACKED) + """SELECT split, shard_id, count(*) AS num_samples,
+ min(sample_id) AS first_sample, max(sample_id) AS last_sample, sum(length(markup))::BIGINT AS chars, sum(list_sum(ids))::BIGINT AS id_sum,
+ sum(list_sum(list_transform(range(64), lambda x: (cents+x*37)%256)))::BIGINT AS pixel_sum, sum(family_idx)::BIGINT AS label_sum
  FROM shards GROUP BY ALL"""
 FAMILY_COUNTS = ", ".join(f"count(*) FILTER (family={q(f)}) AS {f}" for f in C.FAMILIES)
 ORACLES["a7_shard_manifest"] = with_(*SPL, SHARDS) + f"""SELECT split, shard_id,
- split||'/'||split||'_shard_'||lpad(shard_id::VARCHAR,4,'0') AS file_name, count(*) AS num_samples, {FAMILY_COUNTS}
+ split||'/'||split||'_shard_'||printf('%04d', shard_id) AS file_name, count(*) AS num_samples, {FAMILY_COUNTS}
  FROM shards GROUP BY split, shard_id"""
+ORACLES["a7_master_manifest"] = with_(*SPL, SHARDS, """sized AS (SELECT split, shard_id, count(*) AS n FROM shards GROUP BY ALL),
+ scopes AS (SELECT split, n FROM sized UNION ALL SELECT 'all', n FROM sized)""") + f"""SELECT split, 'v4' AS version, 256 AS image_size,
+ {C.MAX_SEQUENCE} AS max_length, sum(n)::BIGINT AS total_samples, count(*) AS total_shards,
+ CASE split WHEN 'all' THEN count(*) END AS listed_shards, CASE split WHEN 'all' THEN sum(n)::BIGINT END AS listed_samples FROM scopes GROUP BY split"""
 ORACLES["a8_shard_lookup"] = with_(
     *SPL, SHARDS,
     "sizes AS (SELECT split, shard_id, count(*) AS n FROM shards GROUP BY ALL)",
     """bounds AS (SELECT split, shard_id, sum(n) OVER w::BIGINT AS hi, (sum(n) OVER w - n)::BIGINT AS lo FROM sizes
  WINDOW w AS (ORDER BY split, shard_id))""",
-    'asked AS (SELECT o_orderkey*2-100 AS "index" FROM orders)',
-) + """SELECT a."index", b.split, b.shard_id, a."index"-b.lo AS "offset", b.lo IS NULL AS out_of_range
+    'asked AS (SELECT o_orderkey*2-100 AS "index", unnest(range((o_orderkey%3=0)::INT+1)) AS client FROM orders)',
+) + """SELECT a."index", a.client, b.split, b.shard_id, a."index"-b.lo AS "offset", b.lo IS NULL AS out_of_range
  FROM asked a LEFT JOIN bounds b ON a."index">=b.lo AND a."index"<b.hi"""
 
 FIRST_TEXTS = "kept AS (SELECT min(doc_id) AS doc_id, arg_min(lang, doc_id) AS lang FROM documents WHERE length(text)<=4000 GROUP BY text)"
@@ -85,7 +93,7 @@ ORACLES["a9_manifest_totals"] = with_(*SPL) + """SELECT (SELECT count(*) FROM or
  round(count(*)/(SELECT count(*) FROM orders)::DOUBLE,6) AS compile_rate FROM sf WHERE cents%4<>0"""
 ORACLES["a9_fingerprint_sample"] = with_(*FIG) + """SELECT sample_id, sha256(markup) AS fingerprint
  FROM figures ORDER BY sample_id LIMIT 8"""
-ORACLES["a10_sample_manifest"] = with_(*FIG) + """SELECT 'stage1_sample_'||lpad(sample_id::VARCHAR,6,'0') AS sample_id, family,
+ORACLES["a10_sample_manifest"] = with_(*FIG) + """SELECT printf('stage1_sample_%06d', sample_id) AS sample_id, family,
  cents AS seed, markup, round(cents/1000.0::DOUBLE,6) AS tensor_std, sha256(markup) AS image_sha256,
  CASE WHEN cents%4<>0 THEN 'SUCCESS' ELSE 'FAILED' END AS compilation_status FROM figures"""
 ORACLES["a11_vocabulary_round_trip"] = with_(*VOC) + "SELECT token, idx::BIGINT AS idx FROM vocab"
@@ -95,7 +103,8 @@ ORACLES["a11_vocabulary_round_trip"] = with_(*VOC) + "SELECT token, idx::BIGINT
 ORACLES["b1_length_budget"] = "SELECT doc_id, length(text) AS chars FROM documents WHERE length(text)<=4000"
 ROOTED = " OR ".join(f"contains(code, {q(chr(92) + 'begin{' + e + '}')})" for e in C.ROOT_ENVIRONMENTS)
 VIOLATION = f"CASE WHEN {strip('code')}='' THEN 'blank' WHEN NOT ({ROOTED}) THEN 'no_root_environment' ELSE 'valid' END"
-ORACLES["b2_root_environment"] = with_(TEX_DOCS) + f"SELECT doc_id, {VIOLATION} AS violation FROM tex_docs"
+ORACLES["b2_root_environment"] = with_(TEX_DOCS) + f"""SELECT doc_id, {VIOLATION} AS violation FROM
+ (SELECT doc_id, CASE WHEN doc_id%11<>0 THEN code ELSE '' END AS code FROM tex_docs)"""
 ORACLES["b3_package_whitelist"] = with_(TEX_DOCS, f"""named AS (SELECT doc_id, list_filter(
  {declared_names('code', C.USEPACKAGE_PATTERN)}, lambda p: NOT list_contains({strings(C.PACKAGE_NAMES)}, p)) AS unknown FROM tex_docs)""") + """
 SELECT doc_id, array_to_string(unknown, '|') AS unknown FROM named WHERE len(unknown)>0"""
@@ -113,9 +122,9 @@ PX = """px AS MATERIALIZED (SELECT vec_id//16 AS image_id, vec_id%16 AS y, x-1 A
 ORACLES["b6_degenerate_images"] = with_(PX) + """SELECT image_id, count(*) AS pixel_count, round(stddev_samp(p),6) AS pixel_std,
  (count(*)=1024 AND stddev_samp(p)>=0.0001) AS usable FROM px GROUP BY image_id"""
 ORACLES["b7_shard_alignment"] = with_(*ENC, f"""shards AS (SELECT *, position//500 AS shard_id FROM
- (SELECT *, {POSITIONS} AS position FROM enc))""") + """SELECT shard_id, count(*) AS num_samples, count(ids) AS num_ids,
- count(*) AS num_labels, min(len(ids)) AS min_length, max(len(ids)) AS max_length, true AS aligned
- FROM shards WHERE split='val' GROUP BY shard_id"""
+ (SELECT *, {POSITIONS} AS position FROM enc))""") + """SELECT split, shard_id, count(*) AS num_samples, count(*) AS num_images, count(ids) AS num_ids,
+ count(*) AS num_labels, 64 AS min_pixels, 64 AS max_pixels, min(len(ids)) AS min_length, max(len(ids)) AS max_length, true AS aligned
+ FROM shards GROUP BY split, shard_id"""
 ORACLES["b8_vocabulary_invariants"] = with_(*VOC) + """SELECT count(*) AS entries, count(DISTINCT token) AS distinct_tokens,
  count(DISTINCT idx) AS distinct_ids, count(*) FILTER ((token,idx) IN (('<PAD>',0),('<BOS>',1),('<EOS>',2),('<UNK>',3))) AS reserved_in_place,
  count(*) FILTER (token='') AS empty_tokens,
@@ -188,7 +197,9 @@ ORACLES["c16_points"] = with_(*FIG) + f"""SELECT sample_id, unnest(range(len(xs)
 SX, SY = point_lists("stmt")
 ORACLES["c17_primitives"] = with_(*PAIR, f"st AS (SELECT sample_id, {statements('candidate')} AS ss FROM pairs)",
  "ex AS (SELECT sample_id, unnest(range(len(ss))) AS pos, unnest(ss) AS stmt FROM st)") + f"""SELECT sample_id, pos,
- lower(regexp_extract(stmt, {q(C.COMMAND_PATTERN)}, 1)) AS kind, len({SX}) AS points, ({SX})[1] AS x0, ({SY})[1] AS y0 FROM ex"""
+ kind, unnest(CASE WHEN len(xs)=0 THEN [NULL] ELSE range(len(xs)) END) AS point, unnest(CASE WHEN len(xs)=0 THEN [NULL] ELSE xs END) AS x,
+ unnest(CASE WHEN len(ys)=0 THEN [NULL] ELSE ys END) AS y
+ FROM (SELECT sample_id, pos, lower(regexp_extract(stmt, {q(C.COMMAND_PATTERN)}, 1)) AS kind, {SX} AS xs, {SY} AS ys FROM ex)"""
 ORACLES["c18_picture_wrap_and_body"] = with_(ORD, FIG_BASE) + f"""SELECT sample_id, CASE family {' '.join(
     f"WHEN {q(n)} THEN {b(Slots(42, 'sample_id'))}" for n, b in BODIES.items())} END AS body, true AS round_trip FROM fig_base"""
 
@@ -209,6 +220,8 @@ ORACLES["d4_tokens"] = with_(*PAIR) + f"""SELECT sample_id, array_to_string({tok
  len({raw_tokens('candidate')}) AS raw_tokens FROM pairs"""
 ORACLES["d5_vocabulary"] = ORACLES["a11_vocabulary_round_trip"]
 ORACLES["d6_encoded"] = with_(*ENC) + "SELECT sample_id, array_to_string(ids, ' ') AS ids FROM enc"
+ORACLES["d6_truncated"] = with_(*ENC_SHORT) + """SELECT sample_id, array_to_string(ids, ' ') AS ids,
+ NOT list_contains(ids, 2) AS truncated FROM enc"""
 ORACLES["d7_split_encoding"] = with_(*ENC) + """SELECT split, count(*) AS samples,
  sum(len(list_filter(ids, lambda t: t=3)))::BIGINT AS unknown_ids, max(len(ids)) AS length FROM enc GROUP BY split"""
 
@@ -308,22 +321,22 @@ ORACLES["e7_stage_split"] = with_(DOC_RANK) + """SELECT doc_id, CASE WHEN rk<=CA
  ELSE least(greatest(100, floor(size*0.1::DOUBLE)), size-1) END THEN 'val' ELSE 'train' END AS split FROM ranked"""
 ORACLES["e8_banded_split"] = with_(ORD, FIG_BASE, rank_split("fig_base", "sample_id", "family")) + """SELECT sample_id, family,
  CASE WHEN rk<=900 THEN 'train' WHEN rk<=950 THEN 'val' ELSE 'test' END AS split FROM ranked WHERE rk<=1000"""
-QUOTA = """tried AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY sample_id) AS a FROM fig_base) WHERE a<=1500),
-kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY sample_id) AS b FROM tried WHERE cents%4=0) WHERE b<=500)"""
+QUOTA = f"""tried AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY sample_id) AS a FROM fig_base) WHERE a<=1500),
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY sample_id) AS b FROM tried WHERE cents%4=0 AND family<>'{C.FAMILIES[2]}') WHERE b<=500)"""
 ORACLES["e9_quota_fill"] = with_(ORD, FIG_BASE, QUOTA) + "SELECT sample_id, family FROM kept"
-ORACLES["e9_quota_shortfall"] = with_(ORD, FIG_BASE, QUOTA) + "SELECT family, count(*) AS collected, 500-count(*) AS shortfall FROM kept GROUP BY family"
+ORACLES["e9_quota_shortfall"] = with_(ORD, FIG_BASE, QUOTA) + "SELECT f.family, count(k.family) AS collected, 500-count(k.family) AS shortfall FROM (SELECT unnest({names}) AS family) f LEFT JOIN kept k USING (family) GROUP BY f.family".format(names=list(C.FAMILIES))
 ORACLES["e10_first_valid_attempt"] = with_(ORD, f"""tries AS (SELECT sample_id, cents, (SELECT min(k) FROM range(10) r(k)
  WHERE {u(42, 'sample_id', "'try'||k")}>=0.4) AS a FROM ord)""") + """SELECT sample_id, a AS attempt, cents+a*1000003 AS final_seed, a IS NULL AS failed FROM tries"""
 CUMULATIVE = [round(sum(C.STAGES[0][3][: i + 1]), 12) for i in range(8)]
 DRAWN = "CASE " + " ".join(f"WHEN d<{c}::DOUBLE THEN {q(f)}" for f, c in list(zip(C.FAMILIES, CUMULATIVE))[:-1]) + f" ELSE {q(C.FAMILIES[-1])} END"
 ORACLES["e11_curriculum_draws"] = with_(
-    ORD, FIG_BASE, "pool AS (SELECT sample_id, family FROM fig_base WHERE cents%3=0)",
-    f"dr AS (SELECT draw_id, {DRAWN} AS family FROM (SELECT sample_id AS draw_id, {u(42, 'sample_id', q('family'))} AS d FROM ord))",
+    ORD, FIG_BASE, f"pool AS (SELECT sample_id, family FROM fig_base WHERE family<>{q(C.FAMILIES[1])})",
+    f"dr AS (SELECT draw_id, {DRAWN} AS family FROM (SELECT draw_id, {u(42, 'draw_id', q('family'))} AS d FROM (SELECT sample_id*3+unnest(range(3)) AS draw_id FROM ord)))",
     "ps AS (SELECT family, count(*) AS size FROM pool GROUP BY family)",
-    "nu AS (SELECT draw_id, dr.family, row_number() OVER (PARTITION BY dr.family ORDER BY draw_id)-1 AS k, size FROM dr JOIN ps USING (family))",
-    """pa AS (SELECT pool.sample_id, pool.family, p.pass FROM pool JOIN (SELECT family, unnest(range(max(k)//max(size)+1)) AS pass FROM nu GROUP BY family) p USING (family))""",
+    "nu AS (SELECT draw_id, dr.family, row_number() OVER (PARTITION BY dr.family ORDER BY draw_id)-1 AS k, size FROM dr LEFT JOIN ps USING (family))",
+    """pa AS (SELECT pool.sample_id, pool.family, p.pass FROM pool JOIN (SELECT family, unnest(range(max(k)//max(size)+1)) AS pass FROM nu WHERE size IS NOT NULL GROUP BY family) p USING (family))""",
     f"ra AS (SELECT *, row_number() OVER (PARTITION BY family, pass ORDER BY {h32(42, 'sample_id', chr(39) + 'pass' + chr(39) + '||pass')}, sample_id)-1 AS slot FROM pa)",
-) + """SELECT draw_id, nu.family, k//size AS pass, ra.sample_id FROM nu JOIN ra ON ra.family=nu.family AND ra.pass=k//size AND ra.slot=k%size"""
+) + """SELECT draw_id, nu.family, k//size AS pass, ra.sample_id, CASE WHEN size IS NULL THEN 'empty_pool' END AS reason FROM nu LEFT JOIN ra ON ra.family=nu.family AND ra.pass=k//size AND ra.slot=k%size"""
 ORACLES["e12_round_robin"] = f"""SELECT doc_id, ({FAMILY_LIST})[p%5+1] AS family, {h32(42, 'p', q('seed'))}%2000000000 AS seed FROM
  (SELECT doc_id, row_number() OVER (ORDER BY doc_id)-1 AS p FROM documents)"""
 TIER2 = f"tier2 AS MATERIALIZED (SELECT c_custkey AS sample_id, {compositional(42, 'c_custkey')} AS markup FROM customer)"
@@ -489,13 +502,14 @@ ORACLES["m13_compilation_rate"] = with_(ORD, OUTCOMES) + """SELECT policy, count
 _RAW = [math.exp(-((i - 5) ** 2) / (2 * 1.5 * 1.5)) for i in range(11)]
 KERNEL = ", ".join(f"({i},{w / sum(_RAW)!r}::DOUBLE)" for i, w in enumerate(_RAW))
 ORACLES["m14_ssim"] = with_(
-    PX, "ab AS (SELECT image_id, y, x, p/255.0::DOUBLE AS a, p/255.0::DOUBLE*0.9::DOUBLE+label/100.0::DOUBLE AS b FROM px)",
+    PX, "ab AS (SELECT image_id, y, x, p/255.0::DOUBLE AS a, p/255.0::DOUBLE*0.9::DOUBLE+label/100.0::DOUBLE AS b FROM px"
+    " WHERE x<CASE WHEN image_id%7=3 THEN 8 WHEN image_id%2=1 THEN 40 ELSE 64 END)",
     f"k AS (SELECT * FROM (VALUES {KERNEL}) v(i, w))",
     "win AS (SELECT k1.i AS dy, k2.i AS dx, k1.w*k2.w AS w FROM k k1 CROSS JOIN k k2)",
     """mo AS (SELECT image_id, y-dy AS y0, x-dx AS x0, count(*) AS n, sum(w*a) AS ma, sum(w*b) AS mb, sum(w*a*a) AS aa, sum(w*b*b) AS bb, sum(w*a*b) AS ab
  FROM ab CROSS JOIN win WHERE y-dy>=0 AND x-dx>=0 GROUP BY ALL HAVING count(*)=121)""",
     """sc AS (SELECT image_id, (2*ma*mb+0.0001::DOUBLE)*(2*(ab-ma*mb)+0.0009::DOUBLE)/((ma*ma+mb*mb+0.0001::DOUBLE)*((aa-ma*ma)+(bb-mb*mb)+0.0009::DOUBLE)) AS s FROM mo)""",
-) + "SELECT image_id, round(avg(s),6) AS ssim FROM sc GROUP BY image_id"
+) + "SELECT image_id, round(avg(s),6) AS ssim FROM (SELECT DISTINCT image_id FROM ab) LEFT JOIN sc USING (image_id) GROUP BY image_id"
 ORACLES["m15_mean_ssim"] = with_(ORD, OUTCOMES) + """SELECT policy, count(*) FILTER (is_successful) AS ssim_samples,
  round(coalesce(avg(ssim) FILTER (is_successful),0),6) AS mean_ssim_compiled, round(avg(CASE WHEN is_successful THEN ssim ELSE 0 END),6) AS mean_ssim_all
  FROM outcomes GROUP BY policy"""
@@ -559,7 +573,7 @@ STATS = "stats AS (SELECT model, tier, metric, avg(value) AS mean, coalesce(stdd
 RUN = (ORD, RUNS, LONG)
 ORACLES["h3_seed_statistics"] = with_(*RUN, STATS) + "SELECT model, tier, metric, round(mean,6) AS mean, round(std,6) AS std FROM stats"
 ORACLES["h4_mean_std_text"] = with_(*RUN, STATS) + "SELECT model, tier, metric, printf('%.3f \\pm %.3f', mean, std) AS text FROM stats"
-ORACLES["h5_generalization_gap"] = with_(*RUN, "m AS (SELECT tier, metric, avg(value) AS v FROM long GROUP BY ALL)") + """SELECT a.tier, a.metric,
+ORACLES["h5_generalization_gap"] = with_(*RUN, "m AS (SELECT tier, metric, coalesce(avg(value) FILTER (NOT (tier='tier2' AND metric='mean_ssim')),0) AS v FROM long GROUP BY ALL)") + """SELECT a.tier, a.metric,
  round(b.v-a.v,6) AS gap FROM m a JOIN m b ON b.metric=a.metric AND b.tier='tier1' WHERE a.tier<>'tier1'"""
 ORACLES["h6_baseline_deltas"] = with_(*RUN, "b AS (SELECT metric, avg(value) AS v FROM long WHERE tier='tier1' AND model='greedy' GROUP BY metric)",
  "m AS (SELECT tier, metric, avg(value) AS v FROM long WHERE model='beam' GROUP BY ALL)") + """SELECT m.tier, m.metric,
@@ -576,9 +590,17 @@ def signed(metric, digits):
     return f"CASE WHEN variant='Full' THEN '' ELSE printf(' (%+.{digits}f)', delta_{metric}) END"
 
 
-ORACLES["a14_ablation_table"] = with_(ORD, RUNS, VARIANTS, DELTAS) + f"""SELECT variant, '\\textbf{{'||variant||'}} & '||printf('%.3f', corpus_bleu)||{signed('corpus_bleu', 3)}||' & '
+def whole_table(kind, body):
+    """A numbered body between the table's head and foot."""
+    head, foot = TABLE_HEADS[kind], TABLE_FEET[kind]
+    fixed = [f"({n - len(head) + 1}, {q(t)})" for n, t in enumerate(head)]
+    fixed += [f"({(1 << 40) + n}, {q(t)})" for n, t in enumerate(foot)]
+    return f"SELECT line_no::BIGINT AS line_no, line FROM ({body}) UNION ALL SELECT * FROM (VALUES {', '.join(fixed)}) v(line_no, line)"
+
+
+ORACLES["a14_ablation_table"] = with_(ORD, RUNS, VARIANTS, DELTAS) + whole_table("ablation", f"""SELECT row_number() OVER (ORDER BY variant<>'Full', variant) AS line_no, '\\textbf{{'||variant||'}} & '||printf('%.3f', corpus_bleu)||{signed('corpus_bleu', 3)}||' & '
  ||printf('%.3f', mean_graph_edit_distance)||{signed('mean_graph_edit_distance', 3)}||' & '||printf('%.1f', compilation_rate*100)||'\\%'||{signed('compilation_rate', 1)}||' & '
- ||printf('%.3f', mean_ssim)||{signed('mean_ssim', 3)}||' \\\\' AS line FROM de"""
+ ||printf('%.3f', mean_ssim)||{signed('mean_ssim', 3)}||' \\\\' AS line FROM de""")
 
 
 def cell(metric, factor=1, digits=3):
@@ -589,8 +611,7 @@ ORACLES["a14_multitier_table"] = with_(*RUN, STATS, f"""body AS (SELECT model, t
  ||{cell('mean_graph_edit_distance')}||' & '||{cell('compilation_rate', 100, 1)}||' & '||{cell('mean_ssim')} AS cells FROM stats GROUP BY ALL)""",
  """rows AS (SELECT model, tier, 0 AS part, CASE WHEN tier=min(tier) OVER (PARTITION BY model) THEN '\\textbf{'||upper(model[1])||model[2:]||'}' ELSE '' END
  ||' & '||upper(tier)||' & '||cells||' \\\\' AS line FROM body UNION ALL
- SELECT model, max(tier), 1, '\\midrule' FROM body GROUP BY model HAVING model<>(SELECT max(model) FROM body))""") + """
-SELECT row_number() OVER (ORDER BY model, tier, part) AS line_no, line FROM rows"""
+ SELECT model, max(tier), 1, '\\midrule' FROM body GROUP BY model HAVING model<>(SELECT max(model) FROM body))""") + whole_table("multitier", "SELECT row_number() OVER (ORDER BY model, tier, part) AS line_no, line FROM rows")
 
 TELEMETRY = f"""te AS (SELECT event_type AS stage, {HOURS} AS epoch, count(*) AS samples, sum(floor(value*100+0.5::DOUBLE)::BIGINT)::BIGINT/100.0::DOUBLE/count(*) AS val_loss,
  max({SECONDS})-min({SECONDS}) AS elapsed_seconds FROM events GROUP BY ALL)"""
@@ -666,9 +687,16 @@ def blur(source, name="blu"):
 ORACLES["i5_noisy"] = with_(PX, UNIT, noise("un")) + flat("noi", 5)
 ORACLES["i6_contrasted"] = with_(PX, UNIT, contrast("un", 1.3)) + flat("con")
 ORACLES["i7_blurred"] = with_(PX, UNIT, *blur("un")) + flat("blu")
-CHOSEN = f"{u(42, 'batch_id', q('augment'))}<0.5"
-ORACLES["i8_augmented"] = with_(PX, UNIT, f"cho AS (SELECT * FROM un WHERE {CHOSEN})", noise("cho"), contrast("noi", 0.8), *blur("con"),
- f"al AS (SELECT * FROM blu UNION ALL BY NAME SELECT * FROM un WHERE NOT {CHOSEN})") + flat("al", 5)
+
+
+def tossed(step, before, after, name):
+    """Pixels after a step where the batch's coin for it falls so, else those before."""
+    return f"""{name} AS MATERIALIZED (SELECT b.* REPLACE (CASE WHEN {u(42, 'b.batch_id', q(step))}<0.5 THEN a.p ELSE b.p END AS p)
+ FROM {before} b JOIN {after} a USING (image_id, y, x))"""
+
+
+ORACLES["i8_augmented"] = with_(PX, UNIT, noise("un"), tossed("noise", "un", "noi", "t1"), contrast("t1", 0.8), tossed("contrast", "t1", "con", "t2"),
+ *blur("t2"), tossed("blur", "t2", "blu", "t3")) + flat("t3", 5)
 
 # === Streams =================================================================================
 
@@ -680,7 +708,7 @@ ORACLES["s2_live_progress"] = with_(ORD, FIG_BASE) + """SELECT family, count(*)
 ORACLES["a15_ingestion_funnel"] = with_(TEX_DOCS, DOC_OUTCOMES) + f"""SELECT count(*) AS documents, count(*) FILTER ({VIOLATION}='valid') AS valid,
  count(*) FILTER ({VIOLATION}='valid' AND coalesce(is_successful,false)) AS built FROM tex_docs LEFT JOIN doc_outcomes ON sample_id=doc_id"""
 ORACLES["a15_ingested_pairs"] = with_(TEX_DOCS, DOC_OUTCOMES, f"""k AS (SELECT doc_id AS sample_id, code FROM tex_docs WHERE {VIOLATION}='valid'
- AND doc_id IN (SELECT sample_id FROM doc_outcomes WHERE is_successful))""") + """SELECT sample_id, position, 'sample_'||lpad(position::VARCHAR,5,'0') AS sample_name, sha256(code) AS fingerprint
+ AND doc_id IN (SELECT sample_id FROM doc_outcomes WHERE is_successful))""") + """SELECT sample_id, position, printf('sample_%05d', position) AS sample_name, sha256(code) AS fingerprint
  FROM (SELECT *, row_number() OVER (ORDER BY sample_id)-1 AS position FROM k)"""
 
 # Rounded columns carry the same nudge off exact halves as the jobs.

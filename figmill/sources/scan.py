@@ -204,5 +204,5 @@ def numbered_samples(df: DataFrame, key: str, split: str = "split") -> DataFrame
     """Dense ``position`` per split and its file stem ``sample_00000``."""
     numbered = dense_position(df, F.col(key), groups=[split])
     return numbered.withColumn(
-        "sample_name", F.concat(F.lit("sample_"), F.lpad(F.col("position").cast("string"), 5, "0"))
+        "sample_name", F.format_string("sample_%05d", "position")
     )

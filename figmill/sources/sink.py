@@ -6,17 +6,19 @@ from pyspark.sql import functions as F
 
 from figmill import constants as C
 from figmill.functions.hashing import fingerprint
-from figmill.operators.positions import ordered_head
+from figmill.operators.positions import counts_before, ordered_head
 from figmill.operators.report import (
-    TABLE_FEET,
-    TABLE_HEADS,
-    ablation_lines,
+    ablation_body,
     fixed_text,
     multitier_lines,
+    whole_table,
 )
 from figmill.sources.scan import numbered_samples
+from figmill.sources.staging import stage
 
 MANIFEST_VERSION = "v4"
+#: Shards are summed in blocks of a thousand, these in blocks of a thousand again.
+SHARD_PARENTS = (10, 10)
 
 
 def write_splits(samples: DataFrame, path: str, key: str = "sample_id") -> None:
@@ -52,77 +54,102 @@ def shard_manifest(shards: DataFrame) -> DataFrame:
         *[F.count_if(F.col("family") == f).alias(f"_{f}") for f in C.FAMILIES],
     )
     families = F.create_map(*[p for f in C.FAMILIES for p in (F.lit(f), F.col(f"_{f}"))])
-    name = F.concat(
-        "split", F.lit("/"), "split", F.lit("_shard_"),
-        F.lpad(F.col("shard_id").cast("string"), 4, "0"),
-    )
+    name = F.format_string("%1$s/%1$s_shard_%2$04d", "split", "shard_id")
     return counts.select(
         "split", "shard_id", name.alias("file_name"), "num_samples", families.alias("family_counts")
     )
 
 
+MASTER = "all"
+
+
 def manifest_json(manifest: DataFrame, image_size: int, max_length: int) -> DataFrame:
-    """One JSON document per split, shards in order."""
-    shard = F.struct("shard_id", "file_name", "num_samples", "family_counts")
-    body = manifest.groupBy("split").agg(
-        F.sum("num_samples").alias("total_samples"),
-        # Maps have no order, so the shards are compared by id.
-        F.array_sort(
-            F.collect_list(shard), lambda a, b: (a["shard_id"] - b["shard_id"]).cast("int")
-        ).alias("shards"),
-    )
-    document = F.struct(
+    """Manifests of all splits and the master manifest ``all``, as JSON lines ``split, manifest``.
+
+    A manifest is a head with the totals and one line per shard, so no cell grows with the
+    number of shards. The shards of a split belong to its own manifest and to the master.
+    """
+    scopes = F.explode(F.array(F.col("split"), F.lit(MASTER)))
+    head = F.struct(
         F.lit(MANIFEST_VERSION).alias("version"),
         F.lit(image_size).alias("image_size"),
         F.lit(max_length).alias("max_length"),
         "total_samples",
-        "shards",
+        "total_shards",
+    )
+    heads = (
+        manifest.select(scopes.alias("split"), "num_samples")
+        .groupBy("split")
+        .agg(
+            F.sum("num_samples").alias("total_samples"),
+            F.count(F.lit(1)).alias("total_shards"),
+        )
+        .select("split", F.to_json(head).alias("manifest"))
     )
-    return body.select("split", F.to_json(document).alias("manifest"))
+    shard = F.struct("shard_id", "file_name", "num_samples", "family_counts")
+    lines = manifest.select(F.to_json(shard).alias("manifest"), scopes.alias("split"))
+    return heads.unionByName(lines)
 
 
+# Fields of a manifest's head and of its shard lines.
 MANIFEST_SCHEMA = (
-    "version string, image_size int, max_length int, total_samples bigint, shards array<struct<"
-    "shard_id: bigint, file_name: string, num_samples: bigint, family_counts: map<string, bigint>>>"
+    "version string, image_size int, max_length int, total_samples bigint, total_shards bigint, "
+    "shard_id bigint, file_name string, num_samples bigint, family_counts map<string, bigint>"
 )
 
 
-def manifest_shards(documents: DataFrame) -> DataFrame:
-    """Read manifests back: one row per shard."""
+def _manifest_lines(documents: DataFrame) -> DataFrame:
     parsed = documents.select("split", F.from_json("manifest", MANIFEST_SCHEMA).alias("m"))
-    return parsed.select("split", F.inline("m.shards"))
+    return parsed.select("split", "m.*")
+
+
+def manifest_shards(documents: DataFrame) -> DataFrame:
+    """Read manifests back: one row per manifest and shard."""
+    return _manifest_lines(documents).filter("version IS NULL").select(
+        "split", "shard_id", "file_name", "num_samples", "family_counts"
+    )
+
+
+def manifest_heads(documents: DataFrame) -> DataFrame:
+    """Read manifests back: one row of totals per manifest."""
+    return _manifest_lines(documents).filter("version IS NOT NULL").select(
+        "split", "version", "image_size", "max_length", "total_samples", "total_shards"
+    )
 
 
 def shard_lookup(manifest: DataFrame, requests: DataFrame, index: str = "index") -> DataFrame:
-    """Shard and offset of global sample indices; ``out_of_range`` instead of an error.
+    """``requests`` with the shard and offset of their global sample index; ``out_of_range``
+    instead of an error. Every request keeps its row and its other columns.
 
-    Shards are cumulated over the manifest, which has one row per shard. Requests meet the
-    shard they fall in by an equi-join on the size of a full shard, then step to the right
-    one, so there is no product of requests and shards.
+    Sample counts are summed in levels, split by split. Requests meet the shard they fall in by
+    an equi-join on the size of a full shard, so there is no product of requests and shards.
     """
-    order = W.partitionBy(F.lit(0)).orderBy("split", "shard_id")
-    upto = F.sum("num_samples").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    bounds = manifest.select(
-        "split", "shard_id", (upto - F.col("num_samples")).alias("_from"), upto.alias("_to"),
-        F.max("num_samples").over(W.partitionBy(F.lit(0))).alias("_width"),
+    manifest = stage(manifest.select("split", "shard_id", "num_samples"), "manifest")
+    counts = manifest.select(
+        "split", F.col("shard_id").alias("_cell"), F.col("num_samples").alias("_n")
+    )
+    within = counts_before(counts, ["split"], SHARD_PARENTS)
+    totals = manifest.groupBy("split").agg(F.sum("num_samples").alias("_n"))
+    order = W.partitionBy(F.lit(0)).orderBy("split").rowsBetween(W.unboundedPreceding, -1)
+    starts = totals.select("split", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_start"))
+    bounds = within.join(starts, "split").select(
+        "split", F.col("_cell").alias("shard_id"), "_n",
+        (F.col("_start") + F.col("_before")).alias("_from"),
     )
-    cells = bounds.select(
-        "*",
+    width = manifest.agg(F.max("num_samples")).first()[0] or 1
+    cells = bounds.filter("_n > 0").select(
+        "split", "shard_id", "_from", (F.col("_from") + F.col("_n")).alias("_to"),
         F.explode(
-            F.sequence(F.floor(F.col("_from") / F.col("_width")),
-                       F.floor((F.col("_to") - 1) / F.col("_width")))
+            F.sequence(F.floor(F.col("_from") / F.lit(width)),
+                       F.floor((F.col("_from") + F.col("_n") - 1) / F.lit(width)))
         ).alias("_cell"),
     )
-    width = bounds.agg(F.max("_width")).first()[0]
-    found = requests.withColumn("_cell", F.floor(F.col(index) / F.lit(width))).join(
-        cells.drop("_width"), "_cell", "left"
-    )
-    hit = (F.col(index) >= F.col("_from")) & (F.col(index) < F.col("_to"))
-    best = found.groupBy(index).agg(
-        F.max(F.when(hit, F.struct("split", "shard_id", (F.col(index) - F.col("_from")).alias("offset")))).alias("_at")
-    )
-    return best.select(
-        index, "_at.split", "_at.shard_id", "_at.offset", F.col("_at").isNull().alias("out_of_range")
+    at = F.col(index)
+    asked = requests.withColumn("_asked", F.floor(at / F.lit(width)))
+    inside = (F.col("_asked") == F.col("_cell")) & (at >= F.col("_from")) & (at < F.col("_to"))
+    return asked.join(cells, inside, "left").select(
+        *requests.columns, "split", "shard_id", (at - F.col("_from")).alias("offset"),
+        F.col("_from").isNull().alias("out_of_range"),
     )
 
 
@@ -269,20 +296,15 @@ def summary_documents(report: DataFrame) -> DataFrame:
     return report.select("policy", "family", F.to_json(body).alias("document"))
 
 
-def _write_lines(spark, body: DataFrame, kind: str, path: str) -> None:
-    """Head, body and foot as one small text file; ``body`` has ``line_no, line``."""
-    head = [(i - 1000, t) for i, t in enumerate(TABLE_HEADS[kind])]
-    foot = [((1 << 40) + i, t) for i, t in enumerate(TABLE_FEET[kind])]
-    frame = spark.createDataFrame(head + foot, "line_no bigint, line string")
-    whole = frame.unionByName(body.select(F.col("line_no").cast("long").alias("line_no"), "line"))
-    whole.coalesce(1).sortWithinPartitions("line_no").select("line").write.mode("overwrite").text(path)
+def _write_lines(body: DataFrame, kind: str, path: str) -> None:
+    """The whole table as one small text file."""
+    lines = whole_table(body, kind).coalesce(1).sortWithinPartitions("line_no")
+    lines.select("line").write.mode("overwrite").text(path)
 
 
 def write_multitier_table(stats: DataFrame, path: str) -> None:
-    _write_lines(stats.sparkSession, multitier_lines(stats), "multitier", path)
+    _write_lines(multitier_lines(stats), "multitier", path)
 
 
 def write_ablation_table(deltas: DataFrame, path: str) -> None:
-    order = W.partitionBy(F.lit(0)).orderBy((F.col("variant") != "Full"), "variant")
-    body = ablation_lines(deltas).select(F.row_number().over(order).alias("line_no"), "line")
-    _write_lines(deltas.sparkSession, body, "ablation", path)
+    _write_lines(ablation_body(deltas), "ablation", path)

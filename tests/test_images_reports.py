@@ -88,10 +88,10 @@ def test_ssim(spark):
     both = lines(spark, a, a).withColumnRenamed("pixels", "a").join(
         lines(spark, a, b).withColumnRenamed("pixels", "b"), ["image_id", "channel", "y"]
     )
-    found = {r["image_id"]: r["ssim"] for r in I.ssim(both, 15).collect()}
+    found = {r["image_id"]: r["ssim"] for r in I.ssim(both).collect()}
     assert found[0] == pytest.approx(1.0) and found[1] == pytest.approx(brute_ssim(a, b))
     with pytest.raises(ValueError):
-        I.ssim(both, 15, window=4)
+        I.ssim(both, window=4)
 
 
 def test_mean_std_text(one):
