@@ -95,13 +95,13 @@ def batch_evaluation(pairs: DataFrame, groups=(), max_order: int = 4) -> DataFra
     )
 
 
-def coordinate_errors(pairs: DataFrame) -> DataFrame:
-    """Coordinate error per sample: zipped points, or matched ones for the families whose
+def coordinate_errors(pairs: DataFrame, families=C.UNORDERED_FAMILIES) -> DataFrame:
+    """Coordinate error per sample: zipped points, or matched ones for the ``families`` whose
     points carry no order. Only the latter rows go through the assignment."""
     measured = pairs.withColumns(
         {"_r": X.points("reference"), "_c": X.points("candidate")}
     )
-    unordered = F.col("family").isin(*C.UNORDERED_FAMILIES)
+    unordered = F.col("family").isin(*families) if families else F.lit(False)
     keep = [
         *pairs.columns,
         S.compared_points(F.col("_r"), F.col("_c")).cast("long").alias("compared_points"),

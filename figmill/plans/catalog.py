@@ -21,7 +21,7 @@ from figmill.operators.positions import dense_position, ordered_head
 from figmill.plans import corpus as P
 from figmill.plans import views as V
 from figmill.sources import scan, sink
-from figmill.sources.staging import shared_folder, stage
+from figmill.sources.staging import scratch, stage
 from figmill.streaming import curation as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,12 +49,6 @@ def joined(column, glue: str = "|") -> Column:
     return F.array_join(column, glue)
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    import uuid
-
-    return f"{shared_folder(spark)}/figmill-{label}-{uuid.uuid4().hex}"
-
-
 def vocabulary_split() -> Column:
     """Train and val of the encoding queries: val holds a family train never sees."""
     held_out = (F.col("family") == "node_arrow") | (F.col("custkey") % 10 == 0)
@@ -265,17 +259,24 @@ def a11_vocabulary_round_trip(spark, sf):
     return sink.read_vocabulary(spark, path).select("token", F.col("idx").cast("long").alias("idx"))
 
 
+def _records(spark, sf) -> DataFrame:
+    """Records with all points compared in order, which SQL can follow for every row."""
+    pairs = V.pairs(spark, sf)
+    ids = P.emitted_ids(pairs, train_vocabulary(spark, sf))
+    return P.diagnostic_records(pairs, ids, unordered=())
+
+
 @query
 def a12_detailed_csv(spark, sf):
     path = scratch(spark, "csv")
-    rows = sink.detailed_rows(P.diagnostic_records(V.pairs(spark, sf)))
+    rows = sink.detailed_rows(_records(spark, sf))
     sink.write_csv(rows, path)
     return spark.read.schema(rows.schema).option("header", True).csv(path)
 
 
 @query
 def a13_family_summary(spark, sf):
-    records = P.diagnostic_records(V.pairs(spark, sf))
+    records = _records(spark, sf)
     return sink.family_summary_rows(H.diagnostics_report(P.diagnostics_input(records)))
 
 
@@ -921,7 +922,8 @@ def g11_compositional_figures(spark, sf):
 @query
 def g12_independent_test_split(spark, sf):
     keys = V.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("sample_id"))
-    return P.independent_test_split(V.spread(keys, "sample_id"), SEED)
+    train = V.figures(spark, sf).select("markup")
+    return P.independent_test_split(V.spread(keys, "sample_id"), SEED, ood_copies=3, train=train)
 
 
 @query
@@ -1012,20 +1014,20 @@ def m4_ordered_coordinate_error(spark, sf):
 
 @query
 def m5_unordered_coordinate_error(spark, sf):
-    scored = M.coordinate_errors(V.pairs(spark, sf))
+    """A node figure against another one for every order."""
+    keys = V.orders(spark, sf).select("sample_id")
+    other = F.concat(F.lit("m5/"), F.col("sample_id").cast("string"))
+    pairs = keys.select(
+        "sample_id", F.lit("node_arrow").alias("family"),
+        G.procedural_markup(F.lit("node_arrow"), SEED, F.col("sample_id")).alias("reference"),
+        G.procedural_markup(F.lit("node_arrow"), SEED, other).alias("candidate"),
+    )
+    scored = M.coordinate_errors(pairs)
     return scored.select(
         "sample_id", "matching", "compared_points", r6("coordinate_error").alias("coordinate_error")
     )
 
 
-@query
-def m5_single_point_match(spark, sf):
-    r, c = F.slice(X.points("reference"), 1, 1), X.points("candidate")
-    return V.pairs(spark, sf).select(
-        "sample_id", r6(M.unordered_coordinate_error(r, c)).alias("coordinate_error")
-    )
-
-
 @query
 def m6_mean_point_distance(spark, sf):
     error = S.mean_point_distance(X.points("reference"), X.points("candidate"))
@@ -1379,6 +1381,18 @@ def s1_incremental_curation(spark, sf):
     return spark.read.schema("fingerprint string").parquet(path)
 
 
+@query
+def s1_watermarked_curation(spark, sf):
+    folder = scratch(spark, "timed-in")
+    timed = V.tex_docs(spark, sf).withColumn("arrived", F.timestamp_seconds("doc_id"))
+    timed.repartition(4).write.parquet(folder)
+    rows = ST.shard_stream(spark, folder, spark.read.parquet(folder).schema)
+    stream = ST.curated_stream(rows, "code", "arrived", "1 day")
+    path, state = scratch(spark, "timed-out"), scratch(spark, "timed-state")
+    ST.append_stream(stream.select("fingerprint"), path, state, available_now=True).awaitTermination()
+    return spark.read.schema("fingerprint string").parquet(path)
+
+
 @query
 def s2_live_progress(spark, sf):
     folder = scratch(spark, "progress-in")

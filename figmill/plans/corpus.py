@@ -59,17 +59,27 @@ def ingested_pairs(documents: DataFrame, outcomes: DataFrame) -> DataFrame:
     return numbered_samples(built, "sample_id")
 
 
-def independent_test_split(keys: DataFrame, seed: int) -> DataFrame:
-    """Eight families plus out-of-distribution figures for every key. The seeds are salted
-    per part; content overlap is for :func:`figmill.operators.curate.leaked_rows` to check."""
-    slots = F.array(*[F.lit(name) for name in (*C.FAMILIES, C.OOD_FAMILY)])
-    parts = keys.select("sample_id", F.explode(slots).alias("family"))
-    salted = F.concat_ws("/", F.lit("test"), F.col("family"), F.col("sample_id").cast("string"))
+def independent_test_split(
+    keys: DataFrame, seed: int, ood_copies: int, train: DataFrame
+) -> DataFrame:
+    """Eight families and ``ood_copies`` out-of-distribution figures for every key. The seeds are
+    salted per part, and what ``train`` holds is left out."""
+    slots = [(name, 0) for name in C.FAMILIES] + [(C.OOD_FAMILY, n) for n in range(ood_copies)]
+    parts = keys.select(
+        "sample_id",
+        F.inline(
+            F.array(*[F.struct(F.lit(f).alias("family"), F.lit(n).alias("copy")) for f, n in slots])
+        ),
+    )
+    salted = F.concat_ws(
+        "/", F.lit("test"), "family", F.col("copy").cast("string"), F.col("sample_id").cast("string")
+    )
     grammar = F.col("family").isin("composed", C.OOD_FAMILY)
     markup = F.when(grammar, G.compositional_markup(seed, salted)).otherwise(
         G.procedural_markup(F.col("family"), seed, salted)
     )
-    return parts.withColumn("markup", markup)
+    drawn = parts.withColumns({"copy": F.col("copy").cast("long"), "markup": markup})
+    return E.independent_rows(stage(drawn, "test-split"), train, "markup")
 
 
 def seed_vocabulary(keys: DataFrame, seed: int) -> DataFrame:
@@ -105,12 +115,31 @@ def assembled_tiers(
     return N.encode_splits(tokenized, ["tier", "split", "sample_id"], max_length)
 
 
-def diagnostic_records(pairs: DataFrame) -> DataFrame:
-    """Every per-sample column of the diagnostics run, from predictions and outcomes."""
-    sane = pairs.withColumn("sanitized", X.sanitized("candidate"))
-    scored = M.coordinate_errors(sane.withColumn("candidate", F.col("sanitized")))
+def emitted_ids(pairs: DataFrame, vocabulary: DataFrame, max_length: int = C.MAX_SEQUENCE) -> DataFrame:
+    """``sample_id, ids`` of the candidates as a decoder emits them: no padding, and no EOS where
+    the end tag is missing."""
+    tokenized = pairs.select(
+        "sample_id", X.contains_text(F.col("candidate"), C.END_PICTURE).alias("ended"),
+        K.tokens("candidate").alias("tokens"),
+    )
+    framed = N.encode(tokenized, vocabulary, ["sample_id", "ended"], max_length=max_length)
+    kept = F.filter("ids", lambda i: (i != C.PAD) & ((i != C.EOS) | F.col("ended")))
+    return framed.select("sample_id", kept.alias("ids"))
+
+
+def diagnostic_records(
+    pairs: DataFrame, ids: DataFrame, unordered=C.UNORDERED_FAMILIES
+) -> DataFrame:
+    """Every per-sample column of the diagnostics run, from predictions, their ids and outcomes.
+
+    Points of the ``unordered`` families are matched, those of others compared in order.
+    """
+    sane = pairs.join(ids, "sample_id").withColumns(
+        {"sanitized": X.sanitized("candidate"), "raw": F.col("candidate")}
+    )
+    scored = M.coordinate_errors(sane.withColumn("candidate", F.col("sanitized")), unordered)
     predicted = X.structural_family(F.col("sanitized"))
-    ids = K.tokens("candidate")
+    audit = K.sequence_audit(F.col("ids"))
     return scored.select(
         "family",
         F.col("sample_id").alias("sample_index"),
@@ -126,11 +155,11 @@ def diagnostic_records(pairs: DataFrame) -> DataFrame:
         S.token_overlap(K.words("reference"), K.words("sanitized")).alias("token_overlap"),
         predicted.alias("predicted_family"),
         S.collapsed_to_segment(F.col("family"), predicted).alias("is_line_segment_collapsed"),
-        (F.size(ids) + 2).cast("long").alias("total_length"),
-        (F.size(ids) + 2).cast("long").alias("length_to_eos"),
-        X.contains_text(F.col("candidate"), C.END_PICTURE).alias("has_eos"),
-        F.lit(0).cast("long").alias("unk_count"),
-        X.unbalanced_delimiters(F.col("candidate")).alias("unbalanced_delimiters_raw"),
+        audit["total_length"].alias("total_length"),
+        audit["length_to_eos"].cast("long").alias("length_to_eos"),
+        audit["has_eos"].alias("has_eos"),
+        audit["unk_count"].alias("unk_count"),
+        X.unbalanced_delimiters(F.col("raw")).alias("unbalanced_delimiters_raw"),
         X.unbalanced_delimiters(F.col("sanitized")).alias("unbalanced_delimiters_sanitized"),
         F.nullif(F.col("log"), F.lit("")).alias("tex_error"),
     )

@@ -357,9 +357,11 @@ ORACLES["g9_procedural_corpus"] = with_(*FIG) + "SELECT sample_id, family_idx, f
 ORACLES["g10_grammar_scopes"] = with_(TIER2) + """SELECT sample_id, unnest(range(len(l)-2)) AS scope_no, unnest(l[2:-2]) AS scope FROM
  (SELECT sample_id, string_split(markup, chr(10)) AS l FROM tier2)"""
 ORACLES["g11_compositional_figures"] = with_(TIER2) + "SELECT sample_id, markup, length(markup)<=4000 AS in_budget FROM tier2"
-SALT = "('test/'||family||'/'||sample_id)"
-ORACLES["g12_independent_test_split"] = f"""SELECT sample_id, family, CASE WHEN family IN ('composed','ood_composed') THEN {compositional(42, SALT)}
- ELSE {procedural('family', 42, SALT)} END AS markup FROM (SELECT s_suppkey AS sample_id, unnest({strings((*C.FAMILIES, C.OOD_FAMILY))}) AS family FROM supplier)"""
+SALT = "('test/'||family||'/'||copy||'/'||sample_id)"
+ORACLES["g12_independent_test_split"] = with_(*FIG, f"""te AS (SELECT sample_id, family, copy, CASE WHEN family IN ('composed','ood_composed') THEN {compositional(42, SALT)}
+ ELSE {procedural('family', 42, SALT)} END AS markup FROM (SELECT s_suppkey AS sample_id, unnest({strings(C.FAMILIES)}) AS family, 0 AS copy FROM supplier
+ UNION ALL SELECT s_suppkey, {q(C.OOD_FAMILY)}, unnest(range(3)) FROM supplier))""") + """SELECT sample_id, family, copy, markup FROM te
+ WHERE markup NOT IN (SELECT markup FROM figures)"""
 ORACLES["g13_seed_vocabulary"] = with_(
     f"k AS (SELECT c_custkey AS sample_id, unnest({FAMILY_LIST}) AS family FROM customer)",
     f"s AS MATERIALIZED (SELECT '<FAM:'||family||'> '||{procedural('family', 42, 'sample_id')} AS t FROM k)",
@@ -453,8 +455,20 @@ ORDERED = f"""(CASE WHEN greatest(len(rx),len(cx))=0 THEN 0.0::DOUBLE ELSE (coal
 MEAN_POINT = f"""(CASE WHEN least(len(rx),len(cx))=0 THEN {DIAGONAL} ELSE list_sum({GAPS})/least(len(rx),len(cx))+abs(len(rx)-len(cx)) END)"""
 ORACLES["m4_ordered_coordinate_error"] = with_(*PAIR, PT_PAIRS) + f"""SELECT sample_id, least(len(rx),len(cx)) AS compared,
  round({ORDERED},6) AS coordinate_error FROM pp"""
-ORACLES["m5_single_point_match"] = with_(*PAIR, PT_PAIRS) + f"""SELECT sample_id, round(CASE WHEN len(rx)=0 THEN (len(cx)>0)::INT::DOUBLE WHEN len(cx)=0 THEN 1.0::DOUBLE ELSE
- (least(list_min(list_transform(range(1,len(cx)+1), lambda j: sqrt((rx[1]-cx[j])*(rx[1]-cx[j])+(ry[1]-cy[j])*(ry[1]-cy[j]))))/{DIAGONAL},1.0::DOUBLE)+len(cx)-1)/len(cx) END,6) AS coordinate_error FROM pp"""
+# Matching by enumeration: reference points one by one, each taking an unused candidate point or
+# none, with the used ones as a bit mask. The figures hold at most four points.
+ORACLES["m5_unordered_coordinate_error"] = with_(
+    f"""nodes AS (SELECT o_orderkey AS sample_id, {family_figure('node_arrow', 42, 'o_orderkey')} AS reference,
+ {family_figure('node_arrow', 42, "('m5/'||o_orderkey)")} AS candidate FROM orders)""",
+    f"np AS MATERIALIZED (SELECT sample_id, {RX} AS rx, {RY} AS ry, {CX} AS cx, {CY} AS cy FROM nodes)",
+    """fm AS (SELECT sample_id, 0 AS i, 0::BIGINT AS used, 0 AS n, 0.0::DOUBLE AS cost FROM np UNION ALL
+ SELECT f.sample_id, f.i+1, f.used+CASE WHEN j=0 THEN 0 ELSE 1::BIGINT<<(j-1) END, f.n+(j>0)::INT,
+ f.cost+CASE WHEN j=0 THEN 0 ELSE sqrt((rx[f.i+1]-cx[j])*(rx[f.i+1]-cx[j])+(ry[f.i+1]-cy[j])*(ry[f.i+1]-cy[j])) END
+ FROM (SELECT fm.*, rx, ry, cx, cy, unnest(range(len(cx)+1)) AS j FROM fm JOIN np USING (sample_id) WHERE i<len(rx)) f
+ WHERE j=0 OR (used & (1::BIGINT<<(j-1)))=0)""", recursive=True) + f"""SELECT sample_id, 'assigned' AS matching, least(len(rx),len(cx)) AS compared_points,
+ round(CASE WHEN greatest(len(rx),len(cx))=0 THEN 0.0::DOUBLE WHEN least(len(rx),len(cx))=0 THEN 1.0::DOUBLE ELSE
+ (min(cost)/{DIAGONAL}+abs(len(rx)-len(cx)))/greatest(len(rx),len(cx)) END,6) AS coordinate_error
+ FROM fm JOIN np USING (sample_id) WHERE i=len(rx) AND n=least(len(rx),len(cx)) GROUP BY sample_id, rx, cx"""
 ORACLES["m6_mean_point_distance"] = with_(*PAIR, PT_PAIRS) + f"SELECT sample_id, round({MEAN_POINT},6) AS coord_mean_error FROM pp"
 
 
@@ -565,6 +579,37 @@ ORACLES["h2_diagnostics_report"] = with_(*SCORES, DIAGNOSTICS) + f"""SELECT poli
  {', '.join(f'round({c},6) AS {c}' for c in DIAG_COLUMNS)} FROM diag"""
 ORACLES["a13_summary_json"] = with_(*SCORES, DIAGNOSTICS) + """SELECT policy, family, samples AS sample_count, round(ssim_mean,6) AS ssim_mean,
  round(ssim_std,6) AS ssim_std, round(eos_rate,6) AS eos_rate FROM diag"""
+# The detailed records: candidates are sanitized before they are scored, token distances run over
+# words, and ids come from the raw candidate.
+SANE = f"""pairs AS MATERIALIZED (SELECT * REPLACE ({sanitized('candidate')} AS candidate), candidate AS raw_candidate FROM raw)"""
+WORD_EDIT = (EDIT[0].replace(tokens("reference"), words("reference")).replace(tokens("candidate"), words("candidate")), *EDIT[1:])
+EMITTED = f"""em AS (SELECT r.sample_id, contains(raw_candidate, {q(C.END_PICTURE)}) AS ended, {tokens('raw_candidate')} AS t FROM pairs r)"""
+IDS = """un2 AS (SELECT sample_id, count(*) FILTER (idx IS NULL) AS unk FROM (SELECT sample_id, unnest(t[:510]) AS token FROM em) LEFT JOIN vocab USING (token) GROUP BY ALL)"""
+RECORDS = (*PAIR[:-1], PAIR[-1].replace("pairs AS", "raw AS", 1), *(c for c in VOC if c not in PAIR), SANE, PT_PAIRS, SCORED,
+           *WORD_EDIT, *GRAPH, EMITTED, IDS,
+           f"""rec AS MATERIALIZED (SELECT s.family, s.sample_id, s.policy, s.is_successful, s.ssim, s.coordinate_error, least(len(s.rx),len(s.cx)) AS compared,
+ ed.d AS token_ged, gd.d AS graph_ged, s.overlap, s.predicted, (s.predicted='line_segment' AND s.family<>'line_segment') AS collapsed, s.family_accuracy,
+ len(em.t)+1+ended::INT AS total_length, ended, coalesce(unk,0) AS unk, p.raw_candidate, p.candidate AS sane, p.log FROM scored s
+ JOIN ed USING (sample_id) JOIN gd USING (sample_id) JOIN em USING (sample_id) LEFT JOIN un2 USING (sample_id) JOIN pairs p ON p.sample_id=s.sample_id)""")
+
+
+def parens(text):
+    return f"abs((length({text})-length(replace({text}, '(', '')))-(length({text})-length(replace({text}, ')', ''))))"
+
+
+ORACLES["a12_detailed_csv"] = with_(*RECORDS, recursive=True) + f"""SELECT family, sample_id AS sample_index, sample_id AS seed, policy,
+ is_successful AS compilation_successful, printf('%.4f', ssim) AS ssim, printf('%.4f', coordinate_error) AS coordinate_error, compared AS coordinate_points_compared,
+ array_to_string({COMMANDS.replace('candidate', 'sane')}, '|') AS emitted_primitives, printf('%.4f', token_ged) AS token_ged, printf('%.4f', graph_ged) AS graph_ged,
+ printf('%.4f', overlap) AS token_overlap, predicted AS predicted_family, collapsed AS is_line_segment_collapsed, total_length, total_length AS length_to_eos,
+ ended AS has_eos, unk AS unk_count, {parens('raw_candidate')} AS raw_unbalanced_parens, {parens('sane')} AS san_unbalanced_parens,
+ nullif(left(replace(log, chr(10), ' '), 100), '') AS tex_error FROM rec"""
+MOMENTS = (("ssim", "ssim"), ("coord_error", "coordinate_error"), ("token_ged", "token_ged"), ("graph_ged", "graph_ged"))
+ORACLES["a13_family_summary"] = with_(*RECORDS, recursive=True) + f"""SELECT family, policy, count(*) AS samples, printf('%.4f', avg(is_successful::INT)) AS compilation_rate_mean,
+ {', '.join(f"printf('%.4f', avg({c})) AS {n}_mean, printf('%.4f', stddev_pop({c})) AS {n}_std" for n, c in MOMENTS)},
+ printf('%.4f', avg(overlap)) AS token_overlap_mean, printf('%.4f', avg(family_accuracy)) AS family_accuracy,
+ printf('%.4f', count(*) FILTER (collapsed)/greatest(1, count(*) FILTER (family<>'line_segment'))::DOUBLE) AS collapse_rate,
+ printf('%.4f', avg(ended::INT)) AS eos_rate, printf('%.4f', sum(unk)/sum(total_length)::DOUBLE) AS unk_rate, printf('%.2f', avg(total_length)) AS mean_length
+ FROM rec GROUP BY family, policy"""
 RUNS = f"""runs AS (SELECT {POLICY} AS model, CASE status WHEN 'O' THEN 'tier1' WHEN 'F' THEN 'tier2' ELSE 'tier3' END AS tier, custkey%3 AS seed,
  avg(cents%1009/1008.0::DOUBLE) AS corpus_bleu, avg(cents%2003/2002.0::DOUBLE) AS mean_geometric_edit_distance, avg(cents%3001/3000.0::DOUBLE) AS mean_graph_edit_distance,
  avg((cents%4<>0)::INT) AS compilation_rate, avg(cents%10007/10006.0::DOUBLE) AS mean_ssim FROM ord GROUP BY ALL)"""
@@ -701,6 +746,7 @@ ORACLES["i8_augmented"] = with_(PX, UNIT, noise("un"), tossed("noise", "un", "no
 # === Streams =================================================================================
 
 ORACLES["s1_incremental_curation"] = with_(TEX_DOCS, GATED) + "SELECT DISTINCT sha256(markup) AS fingerprint FROM gated"
+ORACLES["s1_watermarked_curation"] = ORACLES["s1_incremental_curation"]
 ORACLES["s2_live_progress"] = with_(ORD, FIG_BASE) + """SELECT family, count(*) AS collected, 1500::BIGINT AS target, count(*)>=1500 AS done FROM fig_base GROUP BY family"""
 
 # === Ingestion ===============================================================================

@@ -79,7 +79,7 @@ def procedural_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage_once(spark, ("figures", sf_dir), lambda: procedural_figures(spark, sf_dir))
+    return stage_once(spark, "figures", sf_dir, lambda: procedural_figures(spark, sf_dir))
 
 
 POLICIES = {
@@ -102,7 +102,7 @@ def _mapped(column: Column, mapping: dict[str, str]) -> Column:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage_once(spark, ("pairs", sf_dir), lambda: predicted_pairs(spark, sf_dir))
+    return stage_once(spark, "pairs", sf_dir, lambda: predicted_pairs(spark, sf_dir))
 
 
 def predicted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +173,7 @@ PREAMBLES = (
 
 
 def tex_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage_once(spark, ("tex_docs", sf_dir), lambda: spliced_documents(spark, sf_dir))
+    return stage_once(spark, "tex_docs", sf_dir, lambda: spliced_documents(spark, sf_dir))
 
 
 def spliced_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +194,7 @@ def spliced_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def compositional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage_once(
-        spark, ("compositional", sf_dir), lambda: compositional_figures(spark, sf_dir)
+        spark, "compositional", sf_dir, lambda: compositional_figures(spark, sf_dir)
     )
 
 

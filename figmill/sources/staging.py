@@ -30,17 +30,57 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 
 def _written(df: DataFrame, label: str) -> str:
-    path = f"{shared_folder(df.sparkSession)}/figmill-{label}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/figmill-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    files, place = _files(spark, path)
+    files.deleteOnExit(place)  # nothing is left behind when the application ends
     return path
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """Path for a table in the shared folder, gone when the application ends."""
+    parent = f"{shared_folder(spark)}/figmill-{label}-{uuid.uuid4().hex}"
+    files, place = _files(spark, parent)
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return f"{parent}/data"
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    files, place = _files(spark, path)
+    files.delete(place, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the entries of a folder; none if it is not there."""
+    files, place = _files(spark, path)
+    if not files.exists(place):
+        return []
+    return [entry.getPath().getName() for entry in files.listStatus(place)]
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path and the path as it wants it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def changed_at(spark: SparkSession, folder: str) -> int:
+    """Latest change of a folder's tables, so that a rewritten source is staged anew."""
+    files, place = _files(spark, folder)
+    if not files.exists(place):
+        return 0
+    return max((entry.getModificationTime() for entry in files.listStatus(place)), default=0)
+
+
 _TABLES: dict[tuple, tuple] = {}
 
 
-def stage_once(spark: SparkSession, key: tuple, build) -> DataFrame:
-    """Stage a derived table the first time an application asks for it, then reuse it."""
-    full = (spark.sparkContext.applicationId, *key)
+def stage_once(spark: SparkSession, label: str, folder: str, build) -> DataFrame:
+    """Stage a table derived from a folder the first time an application asks for it, then
+    reuse it until the folder's tables change."""
+    full = (spark.sparkContext.applicationId, label, folder, changed_at(spark, folder))
     if full in _TABLES:
         schema, path = _TABLES[full]
         try:
@@ -48,6 +88,6 @@ def stage_once(spark: SparkSession, key: tuple, build) -> DataFrame:
         except AnalysisException:
             pass  # The folder was cleaned meanwhile.
     df = build()
-    _TABLES[full] = (df.schema, _written(df, str(key[0])))
+    _TABLES[full] = (df.schema, _written(df, label))
     schema, path = _TABLES[full]
     return spark.read.schema(schema).parquet(path)

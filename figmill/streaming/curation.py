@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 from figmill.functions.hashing import fingerprint
 from figmill.operators.quality import valid_candidates
+from figmill.sources.staging import folders, removed
 
 
 def shard_stream(
@@ -41,15 +42,24 @@ def family_progress_stream(
 ):
     """Keep a table of collected samples per family against the quota.
 
-    Every micro-batch writes the counts it changed as a new version of those families, so
-    a replayed batch overwrites itself and readers take the highest version.
+    Every micro-batch writes the whole table, one row per family, as its own version and then
+    removes the versions before the previous one. A replayed batch starts from the version
+    before it and overwrites itself.
     """
     counts = samples.groupBy("family").agg(F.count(F.lit(1)).alias("collected"))
 
     def upsert(changed: DataFrame, version: int) -> None:
-        changed.withColumns(
+        spark = changed.sparkSession
+        rows = changed.withColumns(
             {"target": F.lit(target).cast("long"), "done": F.col("collected") >= target}
-        ).write.mode("overwrite").parquet(f"{path}/version={version}")
+        )
+        older = [v for v in _versions(spark, path) if v < version]
+        if older:
+            kept = spark.read.parquet(f"{path}/version={older[-1]}")
+            rows = kept.join(changed, "family", "left_anti").unionByName(rows)
+        rows.write.mode("overwrite").parquet(f"{path}/version={version}")
+        for old in older[:-1]:
+            removed(spark, f"{path}/version={old}")
 
     writer = counts.writeStream.outputMode("update").foreachBatch(upsert).option(
         "checkpointLocation", checkpoint
@@ -57,9 +67,11 @@ def family_progress_stream(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions of a progress table, ascending."""
+    names = [n for n in folders(spark, path) if n.startswith("version=")]
+    return sorted(int(n.removeprefix("version=")) for n in names)
+
+
 def latest_progress(spark: SparkSession, path: str) -> DataFrame:
-    versions = spark.read.parquet(path)
-    latest = versions.groupBy("family").agg(
-        F.max_by(F.struct("collected", "target", "done"), "version").alias("_s")
-    )
-    return latest.select("family", "_s.*")
+    return spark.read.parquet(f"{path}/version={_versions(spark, path)[-1]}")
