@@ -99,6 +99,23 @@ BOILERPLATE_PATTERN = (
 )
 COMMAND_PATTERN = r"\\([a-zA-Z]+)"
 DRAWING_COMMAND_PATTERN = r"\\(draw|fill|path|node|coordinate|clip|shade|filldraw)\b"
+# Spacing of a cleaned markup, each pattern with its replacement.
+SPACING_BEFORE_POINTS = (r"\(\s*([a-zA-Z0-9_-]+)\s*\)", "($1)")
+SPACING_AFTER_POINTS = (
+    (r"circle\s*\(\s*(-?\d+(?:\.\d+)?)\s*\)", "circle ($1)"),
+    (r"\{\s+\}", "{}"),
+    (r"\{\s*([^{}]+?)\s*\}", "{$1}"),
+)
+OPTIONS_PATTERN = r"\[\s*([^\[\]]+?)\s*\]"
+# Words of a figure and the family they stand for; the first hit counts.
+FAMILY_WORDS = (
+    (("grid", "step="), "grid_axes"),
+    (("node",), "node_arrow"),
+    (("plot", "domain"), "function_plot"),
+    (("circle", "arc"), "circle_arc"),
+    (("cycle",), "polygon"),
+    (("--",), "line_segment"),
+)
 # The last alternative is any non-blank character; blanks are the Unicode ones.
 TOKEN_PATTERN = (
     r"<FAM:[a-zA-Z0-9_]+>"

@@ -172,12 +172,11 @@ def sanitized(column) -> Column:
 def cleaned(column) -> Column:
     """Normalize token spacing, then close the picture like :func:`sanitized`."""
     text = strip(column)
-    text = F.regexp_replace(text, r"\(\s*([a-zA-Z0-9_-]+)\s*\)", "($1)")
+    text = F.regexp_replace(text, *C.SPACING_BEFORE_POINTS)
     text = F.regexp_replace(text, C.POINT_PATTERN, "($1, $2)")
-    text = F.regexp_replace(text, r"circle\s*\(\s*(-?\d+(?:\.\d+)?)\s*\)", "circle ($1)")
-    text = F.regexp_replace(text, r"\{\s+\}", "{}")
-    text = F.regexp_replace(text, r"\{\s*([^{}]+?)\s*\}", "{$1}")
-    brackets = r"\[\s*([^\[\]]+?)\s*\]"
+    for pattern, replacement in C.SPACING_AFTER_POINTS:
+        text = F.regexp_replace(text, pattern, replacement)
+    brackets = C.OPTIONS_PATTERN
     options = F.transform(
         F.regexp_extract_all(text, F.lit(brackets), F.lit(1)),
         lambda inner: F.concat(
@@ -234,22 +233,13 @@ def emitted_commands(column) -> Column:
 def structural_family(column: Column) -> Column:
     """First match of a keyword cascade. ``polyline`` and ``composed`` never come out."""
     text = F.lower(column)
-
-    def has(*parts):
-        test = text.contains(parts[0])
-        for part in parts[1:]:
+    found = []
+    for parts, family in C.FAMILY_WORDS:
+        test = F.lit(False)
+        for part in parts:
             test = test | text.contains(part)
-        return test
-
-    return (
-        F.when(has("grid", "step="), "grid_axes")
-        .when(has("node"), "node_arrow")
-        .when(has("plot", "domain"), "function_plot")
-        .when(has("circle", "arc"), "circle_arc")
-        .when(has("cycle"), "polygon")
-        .when(has("--"), "line_segment")
-        .otherwise("unknown")
-    )
+        found.append(F.when(test, family))
+    return F.coalesce(*found, F.lit("unknown"))
 
 
 def points(column) -> Column:

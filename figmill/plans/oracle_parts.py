@@ -226,10 +226,7 @@ def compositional(seed, key) -> str:
 
 # --- Text ------------------------------------------------------------------------------------
 
-TOKENS_RE = (
-    r"<FAM:[a-zA-Z0-9_]+>|\\begin\{[a-zA-Z*]+\}|\\end\{[a-zA-Z*]+\}|\\[a-zA-Z]+"
-    r"|--|->|<-|<->|\|-|-\||\.\.|\+\+|->>|-stealth|-?\d+(?:\.\d+)?|[a-zA-Z_][a-zA-Z0-9_-]*|[^\s]"
-)
+TOKENS_RE = C.TOKEN_PATTERN.rpartition("|")[0] + r"|[^\s]"
 
 
 def quantized(value, step=0.1) -> str:

@@ -1,6 +1,8 @@
 """Sources: parquet shards, markup files, image tables and stored evaluation records."""
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,8 +19,8 @@ def read_shards(
 ) -> DataFrame:
     """Shards ``start <= i < count`` of a path template such as ``.../part-{index:05d}.parquet``.
 
-    Missing and unreadable shards are skipped. ``scan_pos`` numbers rows in shard order;
-    with ``max_rows`` only the first ones are kept.
+    Missing and unreadable shards are skipped. ``scan_pos`` numbers rows in the order of the shard
+    index, padded or not; with ``max_rows`` only the first ones are kept.
     """
     if not 0 <= start < count:
         raise ValueError(f"Need 0 <= start < count. Got {start}, {count}.")
@@ -29,7 +31,7 @@ def read_shards(
         .option("ignoreCorruptFiles", True)
         .parquet(*_existing(spark, paths))
     )
-    return numbered_scan(rows, max_rows)
+    return numbered_scan(rows, max_rows, _shard_index(template))
 
 
 def _existing(spark: SparkSession, paths: list[str]) -> list[str]:
@@ -46,15 +48,30 @@ def _existing(spark: SparkSession, paths: list[str]) -> list[str]:
     return found
 
 
-def numbered_scan(rows: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Add ``scan_pos`` by file path and row index, the order in which shards are scanned."""
+def _shard_index(template: str) -> Column:
+    """Shard index of a file path by the template; 0 without a placeholder."""
+    before, placeholder, after = re.match(r"([^{]*)(\{[^}]*\})?(.*)", template).groups()
+    if placeholder is None:
+        return F.lit(0)
+    name = re.escape("/" + before.rpartition("/")[2]) + r"(\d+)" + re.escape(after.split("/")[0])
+    return F.regexp_extract("_path", name, 1).cast("long")
+
+
+def numbered_scan(
+    rows: DataFrame, max_rows: int | None = None, shard: Column | None = None
+) -> DataFrame:
+    """Add ``scan_pos`` by shard, file path and row index, the order in which shards are scanned.
+
+    ``shard`` is a number derived from the file path ``_path``.
+    """
     located = rows.select(
         "*",
         F.col("_metadata.file_path").alias("_path"),
         F.col("_metadata.row_index").alias("_index"),
     )
     sizes = located.groupBy("_path").agg(F.count(F.lit(1)).alias("_n"))
-    window = W.partitionBy(F.lit(0)).orderBy("_path")  # one row per file
+    sizes = sizes.withColumn("_shard", F.lit(0) if shard is None else shard)
+    window = W.partitionBy(F.lit(0)).orderBy("_shard", "_path")  # one row per file
     starts = sizes.withColumn(
         "_start",
         F.sum("_n").over(window.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_n"),
@@ -135,6 +152,7 @@ def paired_samples(markups: DataFrame, images: DataFrame, keys=("split", "sample
 
 POINTS = T.ArrayType(T.ArrayType(T.DoubleType()))
 COUNTS = T.MapType(T.StringType(), T.IntegerType())
+# Fields of a stored evaluation record.
 EVALUATION_RECORD = T.StructType(
     [
         T.StructField("policy", T.StringType()),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from figmill import constants as C
 from figmill.functions.hashing import fingerprint
 from figmill.operators.positions import counts_before, ordered_head
+from figmill.operators.quality import vocabulary_invariants
 from figmill.operators.report import (
     ablation_body,
     fixed_text,
@@ -203,9 +204,10 @@ def write_vocabulary(vocabulary: DataFrame, path: str) -> None:
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """Read a vocabulary and check its invariants."""
-    from figmill.operators.quality import vocabulary_invariants
+    return checked_vocabulary(spark.read.schema("token string, idx int").json(path))
 
-    vocabulary = spark.read.schema("token string, idx int").json(path)
+
+def checked_vocabulary(vocabulary: DataFrame) -> DataFrame:
     facts = vocabulary_invariants(vocabulary).first()
     if not facts["valid"]:
         raise ValueError(f"Not a valid vocabulary: {facts.asDict()}.")
@@ -221,6 +223,12 @@ def vocabulary_documents(vocabulary: DataFrame, block: int = 4096) -> DataFrame:
     )
 
 
+def read_vocabulary_object(spark: SparkSession, path: str) -> DataFrame:
+    """Read a vocabulary that is stored as one JSON object ``{token: id}``."""
+    whole = spark.read.text(path, wholetext=True).withColumnRenamed("value", "document")
+    return checked_vocabulary(vocabulary_entries(whole))
+
+
 def vocabulary_entries(documents: DataFrame) -> DataFrame:
     parsed = documents.select(F.explode(F.from_json("document", "map<string,int>")))
     return parsed.select(F.col("key").alias("token"), F.col("value").alias("idx"))

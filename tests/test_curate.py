@@ -142,3 +142,27 @@ def test_uneven_shard_lookup(spark):
     found = sink.shard_lookup(manifest, spark.range(57).withColumnRenamed("id", "index")).orderBy("index").collect()
     expected = [(s, o) for s, n in enumerate(sizes) for o in range(n)]
     assert [(r["shard_id"], r["offset"]) for r in found] == expected
+
+
+def test_sparse_keys_and_common_stems_meet_in_no_single_task(spark):
+    keys = spark.range(20_000).select(F.xxhash64("id").alias("k"))
+    found = dense_position(keys, F.col("k")).orderBy("k").collect()
+    assert [r["position"] for r in found] == list(range(20_000))
+    head = ordered_head(keys, 50, "k").orderBy("k").collect()
+    assert [r["k"] for r in head] == [r["k"] for r in found[:50]]
+    stems = spark.range(100_000).select(F.concat(F.lit("node_"), F.col("id").cast("string")).alias("w"))
+    ranked = text_position(stems.repartition(4), "w")
+    checked = ranked.select("position", "w").toPandas().sort_values("position")
+    assert checked["position"].tolist() == list(range(100_000))
+    assert checked["w"].tolist() == sorted(checked["w"])
+
+
+def test_draws_without_pool_and_families_without_rows_stay(spark):
+    pool = spark.createDataFrame([(n, C.FAMILIES[0]) for n in range(5)], "sample_id bigint, family string")
+    draws = spark.range(100).withColumnRenamed("id", "draw_id")
+    found = E.curriculum_draws(pool, draws, C.STAGES[0][3], 42).collect()
+    assert len(found) == 100
+    assert all((r["sample_id"] is None) == (r["reason"] == "empty_pool") for r in found)
+    assert all((r["family"] == C.FAMILIES[0]) == (r["reason"] is None) for r in found)
+    short = E.quota_shortfall(pool, 7, "family", C.FAMILIES[:3]).collect()
+    assert {r["family"]: r["shortfall"] for r in short} == dict(zip(C.FAMILIES[:3], (2, 7, 7)))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from figmill import constants as C
 from figmill.operators import images as I
 from figmill.operators import report as H
 
@@ -128,7 +129,7 @@ def test_tables(spark):
 
 def test_gap_and_epochs(spark):
     frame = spark.createDataFrame([("tier1", "corpus_bleu", 0.3326), ("tier2", "corpus_bleu", 0.0308)], "tier string, metric string, value double")
-    assert H.generalization_gap(frame).first()["gap"] == pytest.approx(0.3018)
+    assert H.generalization_gap(frame, ("corpus_bleu",)).first()["gap"] == pytest.approx(0.3018)
     losses = [3.0, 2.0, 2.0, 4.0, 1.0]
     epochs = spark.createDataFrame([("s", i, v, 10, 1) for i, v in enumerate(losses)], "stage string, epoch int, val_loss double, samples int, elapsed_seconds int")
     marks = [r["is_best"] for r in H.best_so_far(epochs, "stage", "epoch", "val_loss").orderBy("epoch").collect()]
@@ -136,3 +137,39 @@ def test_gap_and_epochs(spark):
     summary = H.stage_summary(epochs.filter("epoch < 4"), "stage", "epoch", "val_loss").first()
     assert (summary["best_epoch"], summary["best_val_loss"], summary["samples"]) == (1, 2.0, 40)
     assert not math.isnan(summary["elapsed_seconds"])
+
+
+def test_fixed_text_rounds_the_exact_value(spark):
+    values = [2.675, 1.005, 0.125, 0.375, 2.5, -2.675, 0.0005, 1e-9, 0.9995, 12345.6785, 0.85432, -0.0004, 1.0]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    for decimals in (0, 1, 2, 3, 4):
+        got = [r[0] for r in frame.select(H.fixed_text(F.col("v"), decimals)).collect()]
+        assert [float(g) for g in got] == [float(f"{v:.{decimals}f}") for v in values], decimals
+        assert [g.lstrip("-") for g in got] == [f"{v:.{decimals}f}".lstrip("-") for v in values]
+
+
+def test_table_of_a_lower_case_model(spark):
+    rows = [("mixed run", "tier1", m, 0.5, 0.1) for m in C.TIER_METRICS]
+    stats = spark.createDataFrame(rows, "model string, tier string, metric string, mean double, std double")
+    lines = [r["line"] for r in H.whole_table(H.multitier_lines(stats), "multitier").orderBy("line_no").collect()]
+    assert "\\textbf{Mixed run}" in lines[len(H.TABLE_HEADS["multitier"])]
+    assert lines[0] == H.TABLE_HEADS["multitier"][0] and lines[-1] == H.TABLE_FEET["multitier"][-1]
+
+
+def test_missing_metric_is_a_gap(spark):
+    rows = [("tier1", "a", 1.0), ("tier1", "b", 2.0), ("tier2", "a", 0.25)]
+    metrics = spark.createDataFrame(rows, "tier string, metric string, value double")
+    found = {(r["tier"], r["metric"]): r["gap"] for r in H.generalization_gap(metrics, ("a", "b")).collect()}
+    assert found == {("tier2", "a"): 0.75, ("tier2", "b"): 2.0}
+
+
+def test_ssim_of_images_of_different_width(spark):
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for image, width in enumerate((20, 14, 6)):
+        a, b = rng.random((12, width)), rng.random((12, width))
+        want[image] = brute_ssim(a, b) if width >= 11 else None
+        rows += [(image, 0, y, a[y].tolist(), b[y].tolist()) for y in range(12)]
+    pairs = spark.createDataFrame(rows, "image_id int, channel int, y int, a array<double>, b array<double>")
+    found = {r["image_id"]: r["ssim"] for r in I.ssim(pairs).collect()}
+    assert found[2] is None and all(found[n] == pytest.approx(want[n]) for n in (0, 1))

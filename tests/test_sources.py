@@ -79,10 +79,10 @@ def test_shards_and_manifest(spark, tmp_path):
     counts = {r["shard_id"]: r["count"] for r in spark.read.parquet(path).groupBy("shard_id").count().collect()}
     assert counts == {0: 10, 1: 10, 2: 5}
     documents = sink.manifest_json(sink.shard_manifest(sink.sharded(samples, 10)), 256, 512)
-    parsed = json.loads(documents.first()["manifest"])
-    assert parsed["total_samples"] == 25 and parsed["shards"][1]["family_counts"]["node_arrow"] == 10
-    assert [s["shard_id"] for s in parsed["shards"]] == [0, 1, 2]
-    back = sink.manifest_shards(documents).orderBy("shard_id").collect()
+    lines = [json.loads(r["manifest"]) for r in documents.filter("split = 'train'").collect()]
+    assert [x["total_samples"] for x in lines if "version" in x] == [25]
+    assert {x["shard_id"]: x["family_counts"]["node_arrow"] for x in lines if "shard_id" in x}[1] == 10
+    back = sink.manifest_shards(documents).filter("split = 'train'").orderBy("shard_id").collect()
     assert back[2]["family_counts"]["polygon"] == 5 and back[2]["family_counts"]["grid_axes"] == 0
 
 
@@ -167,3 +167,58 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
     progress = {r["family"]: (r["collected"], r["done"]) for r in ST.latest_progress(spark, str(tmp_path / "progress")).collect()}
     assert progress == {"polygon": (4, True), "polyline": (1, False)}
+
+
+def test_names_never_collide(spark):
+    numbers = spark.range(99_998, 100_003).withColumnRenamed("id", "position")
+    names = [r[0] for r in numbers.select(F.format_string("sample_%05d", "position")).collect()]
+    assert names == ["sample_99998", "sample_99999", "sample_100000", "sample_100001", "sample_100002"]
+    rows = [("train", n, "node_arrow") for n in (7, 10_000, 10_001)]
+    shards = spark.createDataFrame(rows, "split string, shard_id bigint, family string")
+    files = sorted(r["file_name"] for r in sink.shard_manifest(shards).collect())
+    assert files == ["train/train_shard_0007", "train/train_shard_10000", "train/train_shard_10001"]
+
+
+def test_shards_are_scanned_by_number(spark, tmp_path):
+    for i in (0, 1, 2, 10, 11):
+        spark.range(i * 10, i * 10 + 2).coalesce(1).write.parquet(f"{tmp_path}/part-{i}.parquet")
+    rows = scan.read_shards(spark, f"{tmp_path}/part-{{index}}.parquet", 0, 12, spark.range(1).schema)
+    found = [r["id"] for r in rows.orderBy("scan_pos").collect()]
+    assert found == [0, 1, 10, 11, 20, 21, 100, 101, 110, 111]
+
+
+def test_manifest_lines_and_lookup_keep_every_request(spark):
+    rows = [("train", n // 3, "polygon") for n in range(7)] + [("val", 0, "polygon")]
+    shards = spark.createDataFrame(rows, "split string, shard_id bigint, family string")
+    manifest = sink.shard_manifest(shards)
+    documents = sink.manifest_json(manifest, 256, 512)
+    heads = {r["split"]: (r["total_samples"], r["total_shards"]) for r in sink.manifest_heads(documents).collect()}
+    assert heads == {"train": (7, 3), "val": (1, 1), sink.MASTER: (8, 4)}
+    assert sink.manifest_shards(documents).filter(F.col("split") == sink.MASTER).count() == 4
+    asked = [(i, c) for i in (-1, 0, 6, 6, 7, 8) for c in ("a",)]
+    found = sink.shard_lookup(manifest, spark.createDataFrame(asked, "index bigint, client string"))
+    got = sorted((r["index"], r["client"], r["split"], r["shard_id"], r["offset"]) for r in found.collect() if not r["out_of_range"])
+    assert got == [(0, "a", "train", 0, 0), (6, "a", "train", 2, 0), (6, "a", "train", 2, 0), (7, "a", "val", 0, 0)]
+    assert found.filter("out_of_range").count() == 2
+
+
+def test_vocabulary_object(spark, tmp_path):
+    whole = {"<PAD>": 0, "<BOS>": 1, "<EOS>": 2, "<UNK>": 3, "a": 4}
+    (tmp_path / "v.json").write_text(json.dumps(whole, indent=1))
+    found = sink.read_vocabulary_object(spark, str(tmp_path / "v.json"))
+    assert {r["token"]: r["idx"] for r in found.collect()} == whole
+    (tmp_path / "w.json").write_text(json.dumps(whole | {"b": 4}))
+    with pytest.raises(ValueError):
+        sink.read_vocabulary_object(spark, str(tmp_path / "w.json"))
+
+
+def test_progress_keeps_one_version_of_every_family(spark, tmp_path):
+    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema = "sample_id bigint, family string"
+    for batch in ([(1, "a"), (2, "b")], [(3, "a")], [(4, "c")], [(5, "a")]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = ST.shard_stream(spark, folder, spark.createDataFrame([], schema).schema)
+        ST.family_progress_stream(stream, 2, out, state, available_now=True).awaitTermination()
+    found = {r["family"]: (r["collected"], r["done"]) for r in ST.latest_progress(spark, out).collect()}
+    assert found == {"a": (3, True), "b": (1, False), "c": (1, False)}
+    assert len([n for n in os.listdir(out) if n.startswith("version=")]) <= 2
