@@ -70,8 +70,56 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return folded[keep], upto[ends]
 
 
+class Transitions:
+    """Moves of an automaton: most states have one, the others a row of a dense table."""
+
+    def __init__(self, only: np.ndarray, target: np.ndarray, row: np.ndarray, rows: np.ndarray):
+        self.only, self.target, self.row, self.rows = only, target, row, rows
+
+    @classmethod
+    def of(cls, following: list[dict[int, int]], width: int) -> "Transitions":
+        size = len(following)
+        branching = [n for n, moves in enumerate(following) if len(moves) > 1]
+        only, target = np.full(size, -1, np.int32), np.full(size, -1, np.int32)
+        row, rows = np.full(size, -1, np.int32), np.full((len(branching), width), -1, np.int32)
+        row[branching] = np.arange(len(branching))
+        for state, moves in enumerate(following):
+            if len(moves) == 1:
+                ((only[state], target[state]),) = moves.items()
+            for symbol, to in moves.items() if len(moves) > 1 else ():
+                rows[row[state], symbol] = to
+        return cls(only, target, row, rows)
+
+    @classmethod
+    def joined(cls, parts: list["Transitions"], width: int) -> tuple["Transitions", np.ndarray]:
+        """One set of moves over the states of all parts, and where each part's states begin."""
+        if not parts:
+            return cls.of([{}], width), np.zeros(0, np.int64)
+        starts = np.cumsum([0, *(len(p.only) for p in parts)])[:-1]
+        first = np.cumsum([0, *(len(p.rows) for p in parts)])[:-1]
+
+        def moved(values, by):
+            return np.where(values >= 0, values + by, -1).astype(np.int32)
+
+        return cls(
+            np.concatenate([p.only for p in parts]),
+            np.concatenate([moved(p.target, s) for p, s in zip(parts, starts, strict=True)]),
+            np.concatenate([moved(p.row, f) for p, f in zip(parts, first, strict=True)]),
+            np.concatenate([moved(p.rows, s) for p, s in zip(parts, starts, strict=True)]),
+        ), starts
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """State after the symbol, -1 for none."""
+        one = np.where(self.only[state] == symbol, self.target[state], -1)
+        row = self.row[state]
+        many = row >= 0
+        if not many.any():
+            return one
+        return np.where(many, self.rows[row, symbol] if len(self.rows) else -1, one)
+
+
 class SuffixAutomaton:
-    """Transitions of the smallest automaton of all substrings, as a dense table."""
+    """The smallest automaton of all substrings."""
 
     def __init__(self, symbols: list[int], width: int):
         following, link, length = [{}], [-1], [0]
@@ -99,10 +147,7 @@ class SuffixAutomaton:
                         at = link[at]
                     link[target] = link[here] = copy
             last = here
-        self.table = np.full((len(following), width), -1, np.int32)
-        for state, moves in enumerate(following):
-            for symbol, target in moves.items():
-                self.table[state, symbol] = target
+        self.moves = Transitions.of(following, width)
 
 
 class Languages:
@@ -114,8 +159,7 @@ class Languages:
         found = np.unique(np.concatenate([p for p, _ in points.values()] or [np.zeros(0, int)]))
         self.alphabet = found[found != GAP]
         width = len(self.alphabet) + 2
-        tables, starts, self.rates = [], [], []
-        base = 0
+        parts, self.rates = [], []
         for name in self.names:
             symbols, ends = points[name][0], points[name][1]
             coded = self.symbols(symbols)
@@ -124,13 +168,9 @@ class Languages:
                 text = coded[ends[n] : ends[n + 1]].tolist()
                 held = n % HELD_BACK == HELD_BACK - 1
                 (rest if held else own).append(text)
-            automaton = SuffixAutomaton([s for t in own for s in [*t, GAP]], width)
-            tables.append(np.where(automaton.table >= 0, automaton.table + base, -1))
-            starts.append(base)
-            base += len(automaton.table)
+            parts.append(SuffixAutomaton([s for t in own for s in [*t, GAP]], width).moves)
             self.rates.append(rest or own)
-        self.table = np.concatenate(tables) if tables else np.zeros((1, width), np.int32)
-        self.starts = np.array(starts, np.int32)
+        self.moves, self.starts = Transitions.joined(parts, width)
         rates = []
         for n, texts in enumerate(self.rates):
             pieces = [np.array(t, np.int64) for t in texts if t]
@@ -162,16 +202,14 @@ class Languages:
         first, length, owner = first[order], length[order], owner[order]
         live = np.searchsorted(-length, -np.arange(1, (length[0] if len(length) else 0) + 1),
                                "right")
-        flat, width = self.table.ravel(), np.int64(self.table.shape[1])
-        starts = self.starts.astype(np.int64)
+        starts = self.starts
         state = np.tile(starts, (len(first), 1))
         count = np.zeros((len(first), len(starts)), np.int32)
-        fresh = starts * width
         for at, n in enumerate(live.tolist()):
             symbol = symbols[first[:n] + at][:, None]
-            target = flat[state[:n] * width + symbol]
+            target = self.moves.step(state[:n], symbol)
             dead = target < 0
-            again = flat[fresh + symbol]  # a new phrase begins with this symbol
+            again = self.moves.step(starts, symbol)  # a new phrase begins with this symbol
             alone = dead & (again < 0)  # or is this symbol, which the sample never shows
             count[:n] += dead & (state[:n] != starts)
             count[:n] += alone
@@ -234,7 +272,7 @@ def identify(
     schema = kept.withColumns(fields).schema
 
     def work(batches):
-        for part in slices(batches, text, 4 << 20):
+        for part in slices(batches, text, 2 << 20):
             texts = pc.fill_null(part.column(text), "").to_pylist()
             names, sure = model.value.predict(texts)
             yield pa.RecordBatch.from_arrays(
