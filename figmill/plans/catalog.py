@@ -222,9 +222,8 @@ def a9_dataset_manifest(spark, sf):
 
 @query
 def a9_manifest_totals(spark, sf):
-    samples = split_figures(spark, sf).filter("cents % 4 <> 0")
-    requested = V.table(spark, sf, "orders").count()
-    totals = sink.manifest_totals(samples, requested)
+    attempts = split_figures(spark, sf).withColumn("kept", F.col("cents") % 4 != 0)
+    totals = sink.manifest_totals(attempts)
     return totals.withColumn("compile_rate", r6("compile_rate"))
 
 

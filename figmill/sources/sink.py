@@ -161,13 +161,13 @@ def split_manifest(samples: DataFrame, stratum: str, splits=("train", "val")) ->
     )
 
 
-def manifest_totals(samples: DataFrame, requested: int) -> DataFrame:
-    """Requested and kept totals and the success rate of a build."""
-    return samples.agg(
-        F.lit(requested).cast("long").alias("requested"),
-        F.count(F.lit(1)).alias("kept"),
-        F.count_if(F.col("split") == "train").alias("train"),
-        F.count_if(F.col("split") == "val").alias("val"),
+def manifest_totals(attempts: DataFrame, kept: str = "kept") -> DataFrame:
+    """Requested and kept totals and the success rate of a build; one row per requested sample."""
+    return attempts.agg(
+        F.count(F.lit(1)).alias("requested"),
+        F.count_if(kept).alias("kept"),
+        F.count_if(F.col(kept) & (F.col("split") == "train")).alias("train"),
+        F.count_if(F.col(kept) & (F.col("split") == "val")).alias("val"),
     ).withColumn("compile_rate", F.col("kept") / F.greatest(F.lit(1), F.col("requested")))
 
 
