@@ -166,7 +166,7 @@ def _celled(rows: DataFrame, cells: int) -> DataFrame:
     """``rows`` with ``cell``, the number of its range of keys; null keys are in a range of their
     own before all others."""
     marks = [n / cells for n in range(1, cells)]
-    cuts = rows.agg(F.percentile_approx("key", marks, 100 * cells)).first()[0] or [0]
+    cuts = rows.agg(F.percentile_approx("key", marks, max(10_000, 10 * cells))).first()[0] or [0]
     splits = [float("-inf"), *sorted({float(c) for c in cuts}), float("inf")]
     placed = Bucketizer(splits=splits, inputCol="_key", outputCol="_cell", handleInvalid="keep")
     return (
