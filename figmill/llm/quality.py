@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from figmill.llm.batches import SPACES, flat, mixed, row_sums, run_hashes, runs, slices
+from figmill.llm.batches import SPACES, flat, mixed, run_hashes, runs, slices
 from figmill.llm.filters import joined
 from figmill.sources.staging import stage
 
@@ -104,18 +104,28 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
+def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sum of each text's rows, zero for texts without any."""
+    filled = np.diff(ends) > 0
+    out = np.zeros((len(filled), values.shape[1]))
+    if filled.any():
+        out[filled] = np.add.reduceat(values, ends[:-1][filled], axis=0, dtype=np.float64)
+    return out
+
+
 def pool(column: pa.Array, table: np.ndarray) -> np.ndarray:
     """Mean, spread and mean difference of neighbours of each text's word vectors."""
     words, ends = word_rows(column)
     count = np.maximum(np.diff(ends), 1)[:, None]
     vectors = table[words]
-    mean = row_sums(vectors.astype(np.float64), ends) / count
-    spread = np.sqrt(np.maximum(row_sums(vectors.astype(np.float64) ** 2, ends) / count - mean**2, 0))
+    mean = _sums(vectors, ends) / count
+    spread = np.sqrt(np.maximum(_sums(np.square(vectors, dtype=np.float64), ends) / count - mean**2, 0))
     steps = np.zeros_like(vectors)
-    steps[:-1] = np.abs(vectors[1:] - vectors[:-1])
+    np.subtract(vectors[1:], vectors[:-1], out=steps[:-1])
+    np.abs(steps, out=steps)
     inner = ends[1:][np.diff(ends) > 0] - 1
     steps[inner] = 0  # the next word is another text's
-    change = row_sums(steps.astype(np.float64), ends) / np.maximum(count - 1, 1)
+    change = _sums(steps, ends) / np.maximum(count - 1, 1)
     return np.concatenate((mean, spread, change), 1)
 
 
