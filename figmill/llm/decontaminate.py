@@ -1,7 +1,8 @@
 """Benchmark passages in documents, whole or with a fifth of their words edited.
 
 A document holds an item when some window of its words is within ``EDITED`` of the item's length in
-word edits (insert, delete, replace). Items of fewer than ``SHORTEST`` words are not searched.
+word edits (insert, delete, replace). A fifth of fewer than ``SHORTEST`` words is no edit: such items
+are found by the hash of all their words, and the first place in a text is enough.
 
 1. Windows. A window within the threshold keeps ``n - 1 - 2 d`` of the item's word pairs, so only
    places with that many pairs of any item are embedded; nothing within the threshold is lost.
@@ -81,6 +82,23 @@ def shared_pairs(n: int) -> int:
     return max(1, n - 1 - 2 * allowed(n))
 
 
+def needed_pairs(low: int, high: int) -> int:
+    """Word pairs that a window keeps at least of any item in a length class.
+
+    The bound of one length falls where one more edit is allowed, so the shortest does not decide.
+    """
+    return min(shared_pairs(n) for n in range(low, high + 1))
+
+
+def run_keys(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Key of every ``n`` words in a row."""
+    keys = np.full(max(0, len(hashes) - n + 1), n, np.uint64)
+    for k in range(n):
+        with np.errstate(over="ignore"):
+            keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) ^ hashes[k : k + len(keys)])
+    return keys
+
+
 def walk_keys(hashes: np.ndarray, starts: np.ndarray, number: int, low: int) -> np.ndarray:
     """Keys of the windows at ``starts`` in a length class: starts x ``REPEATS``."""
     steps = 2 * low
@@ -103,7 +121,7 @@ def walk_keys(hashes: np.ndarray, starts: np.ndarray, number: int, low: int) ->
 
 
 def items_of(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """``item_id, words, keys, pair_bits`` of the items that are long enough."""
+    """``item_id, words, keys, pair_bits`` of the items that have words."""
 
     def work(batches):
         for part in slices(batches):
@@ -111,7 +129,11 @@ def items_of(benchmark: DataFrame, item: str = "item_id", text: str = "text") ->
             out = []
             for n, name in enumerate(part.column("item").to_pylist()):
                 own = hashes[rows[n] : rows[n + 1]]
+                if not len(own):
+                    continue
                 if len(own) < SHORTEST:
+                    keys = run_keys(own, len(own))
+                    out.append((name, own.view(np.int64), keys.view(np.int64), []))
                     continue
                 number = length_class(len(own))
                 low = next(s for s in range(SHORTEST, len(own) + 1) if length_class(s) == number)
@@ -143,7 +165,7 @@ def _windows(hashes, rows, pair_table, classes):
     for number, low, high in classes:
         # A window of ``high`` words has ``high - 1`` pairs; fewer stand before the end.
         size = min(high + allowed(high) - 1, len(marked))
-        need = shared_pairs(low)
+        need = needed_pairs(low, high)
         dense = np.flatnonzero(upto[size:] - upto[:-size] >= need)
         tail = np.arange(max(0, len(marked) - size + 1), len(marked))
         tail = tail[upto[-1] - upto[tail] >= need]
@@ -155,6 +177,19 @@ def _windows(hashes, rows, pair_table, classes):
             yield number, low, high, starts
 
 
+def _short(hashes, rows, key_table, short):
+    """Yield ``size, starts, keys`` of the short items' first places in each row."""
+    end = np.repeat(rows[1:], np.diff(rows))
+    for n in short:
+        keys = run_keys(hashes, n)
+        at = np.flatnonzero(within(key_table, keys))
+        at = at[at + n <= end[at]]  # none across two rows
+        if len(at):
+            both = np.stack((end[at].astype(np.uint64), keys[at]), 1)
+            at = at[np.unique(both, axis=0, return_index=True)[1]]
+            yield n, at, keys[at]
+
+
 def _regions(starts, ends, rows):
     """Merge windows to regions inside a row, at most ``REGION`` words apart from overlaps."""
     order = np.argsort(starts, kind="stable")
@@ -170,7 +205,7 @@ def _regions(starts, ends, rows):
     return out
 
 
-def _region_batches(batches, pair_table, key_table, classes):
+def _region_batches(batches, pair_table, key_table, classes, short, kind):
     for part in slices(batches):
         hashes, rows = words(part.column("text"))
         hits, left, right = [], [], []
@@ -183,6 +218,10 @@ def _region_batches(batches, pair_table, key_table, classes):
                     hits.append((some[window], keys[window, repeat].view(np.int64)))
                     left.append(some[window])
                     right.append(some[window] + high + allowed(high))
+        for n, starts, keys in _short(hashes, rows, key_table, short):
+            hits.append((starts, keys.view(np.int64)))
+            left.append(starts)
+            right.append(starts + n)
         if not hits:
             continue
         at = np.concatenate([h[0] for h in hits])
@@ -201,7 +240,7 @@ def _region_batches(batches, pair_table, key_table, classes):
                 (names[row], int(a - rows[row]), hashes[a:b].view(np.int64), mine), out
             ):
                 column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        kinds = (kind, pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, k) for c, k in zip(out, kinds, strict=True)],
             names=["id", "at", "words", "keys"],
@@ -256,28 +295,34 @@ def _verify(batches):
 
 
 def leaks(
-    docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id_column: str = "doc_id",
+    text: str = "text",
+    kind: str = "long",
 ) -> DataFrame:
     """``id, item_id, first_word, n_words, distance, similarity``: the best window of each item
-    in each document that holds it."""
+    in each document that holds it; ids are ``kind``, long or string."""
     spark = docs.sparkSession
     items = stage(items_of(benchmark), "items")
     lengths = [r[0] for r in items.select(F.size("words").alias("n")).distinct().collect()]
-    schema = "id long, item_id long, first_word long, n_words long, distance long, similarity double"
+    schema = f"id {kind}, item_id long, first_word long, n_words long, distance long, similarity double"
     if not lengths:
         return spark.createDataFrame([], schema)
-    numbers = sorted({length_class(n) for n in lengths})
+    short = sorted(n for n in lengths if n < SHORTEST)
+    numbers = sorted({length_class(n) for n in lengths if n >= SHORTEST})
     classes = [(n, *class_range(n, max(lengths))) for n in numbers]
     pair_table = bit_filter(items.select(F.explode("pair_bits").alias("bit")))
     mask = F.lit(FILTER_BITS - 1).cast("long")
     item_keys = items.select("item_id", F.explode("keys").alias("key"))
     key_table = bit_filter(item_keys.select(F.col("key").bitwiseAND(mask).alias("bit")))
-    shipped = spark.sparkContext.broadcast((pair_table, key_table, classes))
-    picked = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
+    id_kind = pa.string() if kind == "string" else pa.int64()
+    shipped = spark.sparkContext.broadcast((pair_table, key_table, classes, short, id_kind))
+    picked = docs.select(F.col(id_column).cast(kind).alias("id"), F.col(text).alias("text"))
     regions = stage(
         picked.mapInArrow(
             lambda batches: _region_batches(batches, *shipped.value),
-            "id long, at long, words array<long>, keys array<long>",
+            f"id {kind}, at long, words array<long>, keys array<long>",
         ),
         "regions",
     ).withColumn("region", F.xxhash64("id", "at", "words"))
@@ -302,6 +347,8 @@ def leaks(
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item."""
-    found = leaks(docs, benchmark).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """The documents that hold no benchmark item; rows without id are judged by their texts."""
+    name, own = "_clean_name", F.concat(F.lit("text "), F.sha2(F.coalesce("text", F.lit("")), 256))
+    named = docs.withColumn(name, F.coalesce(F.col("doc_id").cast("string"), own))
+    found = leaks(named, benchmark, name, kind="string").select(F.col("id").alias(name)).distinct()
+    return named.join(found, name, "left_anti").select(docs.columns)

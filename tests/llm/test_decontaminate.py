@@ -112,3 +112,44 @@ def test_empty_tables(spark):
     one = spark.createDataFrame([(1, "some text of five words")], none.schema)
     assert decontaminate.leaks(docs.filter("false"), one).count() == 0
     assert decontaminate.leaks(docs, one).first()["distance"] == 0
+
+
+def test_every_length_keeps_its_pair_bound():
+    for number in {decontaminate.length_class(n) for n in range(5, 400)}:
+        low, high = decontaminate.class_range(number, 400)
+        for n in range(low, high + 1):
+            assert decontaminate.needed_pairs(low, high) <= decontaminate.shared_pairs(n)
+
+
+def test_spaced_replacements_at_the_threshold(spark):
+    """Lengths at which one more edit is allowed, edits that break two pairs each."""
+    rng = random.Random(5)
+    items = [prose(600 + n, n, 3000) for n in (20, 30, 45)]
+    texts = []
+    for n in range(240):
+        own = tokens(items[n % 3])
+        for k in range(decontaminate.allowed(len(own))):
+            own[5 * k + 1 + rng.randrange(3)] = f"new{rng.randrange(999)}"
+        texts.append(f"{prose(n, 40, 3000)} {' '.join(own)} {prose(n + 999, 40, 3000)}")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r["id"], r["item_id"]) for r in decontaminate.leaks(documents(spark, texts), bench).collect()}
+    held = [sum((n, k) in found for n in range(k, 240, 3)) / 80 for k in range(3)]
+    assert min(held) >= 0.96, held
+
+
+def test_items_under_five_words_are_found_exactly(spark):
+    items = ["Qxa", "qxb qxc", "qxd qxe qxf", "qxg qxh qxi qxj", "..."]
+    texts = ["a QXA b qxa", "qxb z qxc qxb", "qxb, qxc! qxb qxc", "z qxd qxe qxf", "qxd qxe", "qxf z",
+             "qxg qxh qxi qxj", "qxg qxh qxi", "qxa", "", None]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = decontaminate.leaks(documents(spark, texts).coalesce(1), bench).collect()
+    found = {(r["id"], r["item_id"]): (r["first_word"], r["n_words"], r["distance"]) for r in rows}
+    assert found == {(0, 0): (1, 1, 0), (2, 1): (0, 2, 0), (3, 2): (1, 3, 0), (6, 3): (0, 4, 0), (8, 0): (0, 1, 0)}
+
+
+def test_clean_judges_rows_without_id(spark):
+    item = prose(31, 30, 3000)
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    docs = documents(spark, [(None, f"a b {item}"), (None, "other words"), (None, None), (7, "c d"), (8, item)])
+    kept = decontaminate.clean(docs, bench).collect()
+    assert sorted(str(r["text"]) for r in kept) == ["None", "c d", "other words"]
