@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from figmill.llm import likeness
 from figmill.llm.batches import LOWER, SPACES, flat, row_sums, runs, slices
 from figmill.sources.staging import stage
 
@@ -265,9 +266,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 
 
 def first_of_groups(docs: DataFrame) -> DataFrame:
-    """One document of each component, that of the smallest id; rows without id all stay."""
-    found = near_duplicates(docs)
-    keep = found.filter("id = component_id").select(F.col("id").alias("doc_id")).distinct()
+    """One document of each group of near copies (``likeness``), that of the smallest id; rows
+    without id all stay."""
+    classes, roots = likeness.grouped(docs, components)
+    keep = classes.join(roots.filter("node <> root"), F.col("name") == F.col("node"), "left_anti")
+    keep = keep.select(F.col("name").alias("doc_id")).distinct()
     named = docs.filter("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi")
     return (
         named.select(docs.columns)
