@@ -17,7 +17,9 @@ from figmill.llm import (
     perspectives,
     quality,
     simhash,
+    topk,
     toxicity,
+    trie,
 )
 
 TOKENIZERS = "/opt/tokenizers"
@@ -140,6 +142,22 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(read(spark, sf_dir, "embeddings"))
+    found = topk.top_k(vectors, F.col("id") % 50 == 0)
+    return found.withColumnRenamed("id", "vec_id")
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, conversations = trie.regrafted(
+        trie.ordered_turns(read(spark, sf_dir, "conversations")),
+        base=F.col("conv_id") - F.col("conv_id") % 100,
+        kept=fold(6, "conv_id"),
+        most=6,
+    )
+    return trie.prefix_trie(turns, conversations)
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_fingerprints": op2_fingerprints,
@@ -151,9 +169,13 @@ QUERIES = {
     "op8_extraction": op8_extraction,
     "op9_bpe": op9_bpe,
     "op10_language": op10_language,
+    "op12_topk": op12_topk,
+    "op13_trie": op13_trie,
 }
 
 ORACLES: dict[str, str] = {
     "op4_perspectives": perspectives.rotations_sql(),
     "op6_licenses": licenses.summary_sql(),
+    "op12_topk": topk.divisible_sql(),
+    "op13_trie": trie.rebuilt_sql(),
 }
