@@ -15,6 +15,7 @@ from figmill.llm import (
     language,
     licenses,
     perspectives,
+    phrases,
     quality,
     simhash,
     topk,
@@ -142,6 +143,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
 def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.integer_vectors(read(spark, sf_dir, "embeddings"))
     found = topk.top_k(vectors, F.col("id") % 50 == 0)
@@ -169,6 +174,7 @@ QUERIES = {
     "op8_extraction": op8_extraction,
     "op9_bpe": op9_bpe,
     "op10_language": op10_language,
+    "op11_phrases": op11_phrases,
     "op12_topk": op12_topk,
     "op13_trie": op13_trie,
 }
@@ -176,6 +182,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op4_perspectives": perspectives.rotations_sql(),
     "op6_licenses": licenses.summary_sql(),
+    "op11_phrases": phrases.collocations_sql(),
     "op12_topk": topk.divisible_sql(),
     "op13_trie": trie.rebuilt_sql(),
 }
