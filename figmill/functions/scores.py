@@ -31,7 +31,7 @@ def ordered_coordinate_error(
 ) -> Column:
     """Points paired by position: clamped distance, one per surplus point, over the longer."""
     if scale <= 0:
-        raise ValueError(f"scale must be positive. Got {scale}.")
+        raise ValueError(f"Distances are measured in units of scale, which cannot be {scale}.")
     matched = F.transform(
         _zipped_distances(reference, candidate), lambda d: F.least(d / F.lit(scale), F.lit(1.0))
     )

@@ -25,7 +25,7 @@ def contains_text(column: Column, part: str) -> Column:
 def within_budget(column, max_chars: int = C.MAX_MARKUP_CHARS) -> Column:
     """Inclusive character budget."""
     if max_chars <= 0:
-        raise ValueError(f"Character budget must be positive. Got {max_chars}.")
+        raise ValueError(f"A budget of {max_chars} characters lets no text through.")
     return F.length(column) <= max_chars
 
 

@@ -10,9 +10,9 @@ from figmill.functions.hashing import uniform
 def quantized(value: Column, low=C.CANVAS_MIN, high=C.CANVAS_MAX, step=C.COORDINATE_STEP) -> Column:
     """Clamp to the canvas and snap to the nearest bin, halves to the even bin."""
     if low >= high:
-        raise ValueError(f"low ({low}) must be below high ({high}).")
+        raise ValueError(f"The canvas from {low} to {high} is empty.")
     if step <= 0:
-        raise ValueError(f"step must be positive. Got {step}.")
+        raise ValueError(f"A grid cannot advance by {step}.")
     clamped = F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), value.cast("double")))
     snapped = F.lit(float(low)) + F.rint((clamped - F.lit(float(low))) / F.lit(step)) * F.lit(step)
     # A decimal has no negative zero.
@@ -55,7 +55,7 @@ def family_tagged(family: Column, markup: Column) -> Column:
 def framed(ids: Column, max_length: int = C.MAX_SEQUENCE) -> Column:
     """``[BOS, ids, EOS, PAD...]`` of exactly ``max_length``; truncation drops EOS."""
     if max_length <= 0:
-        raise ValueError(f"max_length must be positive. Got {max_length}.")
+        raise ValueError(f"A frame of {max_length} ids cannot hold a sequence.")
     whole = F.concat(F.array(F.lit(C.BOS)), ids, F.array(F.lit(C.EOS)))
     padding = F.array_repeat(F.lit(C.PAD), F.lit(max_length) - F.size(whole))
     return F.slice(F.concat(whole, padding), 1, max_length)
@@ -72,7 +72,7 @@ def decoder_target(ids: Column) -> Column:
 def word_dropout(ids: Column, seed, key, probability: float = C.WORD_DROPOUT) -> Column:
     """Replace ids by UNK with the given probability; BOS stays."""
     if not 0.0 <= probability <= 1.0:
-        raise ValueError(f"probability must lie in [0, 1]. Got {probability}.")
+        raise ValueError(f"Not a probability: {probability}.")
     return F.transform(
         ids,
         lambda token, i: F.when(

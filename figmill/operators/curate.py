@@ -38,7 +38,7 @@ def first_occurrences(
 
 def check_ratio(ratio: float) -> None:
     if not 0.0 < ratio < 1.0:
-        raise ValueError(f"Ratio must lie in (0, 1). Got {ratio}.")
+        raise ValueError(f"A split at {ratio} leaves one side without rows.")
 
 
 def _split(df, quota, key: str, seed, groups=(), labels=("val", "train")) -> DataFrame:
@@ -155,12 +155,41 @@ def successful_head(
 # --- Sampling --------------------------------------------------------------------------------
 
 
+#: Swaps a permuted place goes through; after the first one that happens it may be anywhere.
+SWAPS = 24
+
+
+def swap_keys(seed, key: Column, size: Column) -> Column:
+    """Keys of one permutation of ``size`` places."""
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(SWAPS - 1)),
+        lambda i: hash32(seed, key, F.concat(F.lit("swap"), i.cast("string"))) % size,
+    )
+
+
+def permuted_place(place: Column, size: Column, keys: Column, seed, key: Column) -> Column:
+    """Where a seeded permutation of ``[0, size)`` takes a place.
+
+    Every swap pairs each place with its mirror about a key, and a hash of the pair says whether
+    they change sides: a bijection for any size, and no place needs to know another one.
+    """
+
+    def swapped(at: Column, i: Column) -> Column:
+        mirror = F.pmod(F.get(keys, i) - at, size)
+        pair = F.greatest(at, mirror)
+        coin = F.md5(F.concat_ws(":", F.lit(str(seed)), key, i.cast("string"), pair.cast("string")))
+        return F.when(F.substring(coin, 1, 1) < "8", mirror).otherwise(at)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(SWAPS - 1)), place, swapped)
+
+
 def curriculum_draws(pool: DataFrame, draws: DataFrame, weights, seed: int) -> DataFrame:
     """Weighted family draws with replacement; rows of a family without replacement, with a
     fresh permutation whenever its pool is used up.
 
     ``pool(sample_id, family)``, ``draws(draw_id)``; gives ``draw_id, family, pass, sample_id,
     reason``. A draw of a family without pool keeps its row, with ``empty_pool`` as the reason.
+    The pool is numbered once; a draw computes its place from its pass and number.
     """
     options = list(zip(C.FAMILIES, weights))
     chosen = draws.select(
@@ -173,28 +202,27 @@ def curriculum_draws(pool: DataFrame, draws: DataFrame, weights, seed: int) -> D
         dense_position(chosen, F.col("draw_id"), groups=["family"], name="_number")
         .join(sizes, "family", "left")
         .withColumn("pass", F.floor(F.col("_number") / F.col("pool_size")).cast("long"))
-        .withColumn("slot", F.col("_number") % F.col("pool_size"))
     )
     passes = chosen.groupBy("family").agg(F.count(F.lit(1)).alias("_draws")).join(sizes, "family")
-    passes = stage(
+    own = F.concat_ws("/", "family", F.col("pass").cast("string"))
+    last = F.floor((F.col("_draws") - 1) / F.col("pool_size")).cast("long")
+    keys = stage(
         passes.select(
-            "family", F.ceil(F.col("_draws") / F.col("pool_size")).cast("long").alias("_passes")
-        ),
-        "passes",
+            "family", "pool_size", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("pass")
+        ).select("family", "pass", swap_keys(seed, own, F.col("pool_size")).alias("_keys")),
+        "pass-keys",
+    )
+    place = permuted_place(
+        F.col("_number") % F.col("pool_size"), F.col("pool_size"), F.col("_keys"), seed, own
     )
-    permuted = pool.join(passes, "family").select(
-        "sample_id", "family", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_passes") - 1)).alias("pass")
+    placed = numbered.join(keys, ["family", "pass"], "left").withColumn(
+        "place", F.when(F.col("pool_size") > 0, place)
     )
-    permuted = dense_position(
-        permuted,
-        hash32(seed, F.col("sample_id"), F.concat(F.lit("pass"), F.col("pass").cast("string"))),
-        ties=["sample_id"],
-        groups=["family", "pass"],
-        name="slot",
-        parents=HASHED,
+    listed = dense_position(
+        pool.select("sample_id", "family"), F.col("sample_id"), groups=["family"], name="place"
     )
     empty = F.when(F.col("pool_size").isNull(), F.lit("empty_pool"))
-    return numbered.join(permuted, ["family", "pass", "slot"], "left").select(
+    return placed.join(listed, ["family", "place"], "left").select(
         "draw_id", "family", "pass", "sample_id", empty.alias("reason")
     )
 
@@ -235,14 +263,14 @@ def independent_rows(test: DataFrame, train: DataFrame, content: str) -> DataFra
 def replicated(df: DataFrame, repeats: int) -> DataFrame:
     """Every row ``repeats`` times, numbered by ``copy``."""
     if repeats <= 0:
-        raise ValueError(f"repeats must be positive. Got {repeats}.")
+        raise ValueError(f"Rows cannot be repeated {repeats} times.")
     return df.withColumn("copy", F.explode(F.sequence(F.lit(0), as_column(repeats) - 1)))
 
 
 def batch_bounds(df: DataFrame, position: str, size: int) -> DataFrame:
     """Half-open ``[start, end)`` bounds of consecutive batches."""
     if size <= 0:
-        raise ValueError(f"size must be positive. Got {size}.")
+        raise ValueError(f"Batches of {size} rows never end.")
     return df.groupBy(F.floor(F.col(position) / size).cast("long").alias("batch")).agg(
         F.min(position).alias("start"), (F.max(position) + 1).alias("end")
     )

@@ -1,5 +1,13 @@
-"""Vocabularies and id sequences over tables."""
+"""Vocabularies and id sequences over tables.
 
+A sequence is encoded or decoded in one of two ways, by the true size of the staged vocabulary.
+Up to Spark's own broadcast threshold it travels to the tasks and Arrow batches are looked up where
+they are: no row per position, no shuffle. Beyond it positions become rows that meet the vocabulary
+in a join, hot tokens salted, and are put together again by key.
+"""
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -58,16 +66,71 @@ def build_vocabulary(
     return stage(reserved.union(numbered), "vocabulary")
 
 
+#: Keys a hot token's positions are spread over in a join.
+SALTS = 16
+
+
+def travelling(vocabulary: DataFrame) -> pa.Table | None:
+    """The vocabulary by id, if Spark would broadcast it."""
+    limit = vocabulary.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = vocabulary.agg(F.sum(F.octet_length("token") + F.lit(8))).first()[0] or 0
+    if size > limit:
+        return None
+    return vocabulary.select("token", "idx").toArrow().sort_by("idx").combine_chunks()
+
+
+def _values(column: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """All entries of a batch of arrays, and the offsets of its rows; null rows are empty."""
+    lists = pc.fill_null(column, pa.scalar([], column.type))
+    first = lists.offsets[0].as_py()
+    values = lists.values.slice(first, lists.offsets[-1].as_py() - first)
+    return values, pc.subtract(lists.offsets, pa.scalar(first, lists.offsets.type))
+
+
+def _ids_of(column: Column, table: pa.Table) -> Column:
+    """Ids of a token array; unknown tokens are UNK."""
+    tokens = table.column("token").combine_chunks().cast(pa.string())
+    idx = table.column("idx").combine_chunks().cast(pa.int32())
+
+    @F.arrow_udf("array<int>")
+    def ids(batch: pa.Array) -> pa.Array:
+        values, offsets = _values(batch)
+        found = idx.take(pc.index_in(values.cast(pa.string()), value_set=tokens))
+        return pa.ListArray.from_arrays(offsets, pc.fill_null(found, C.UNK))
+
+    return ids(column)
+
+
+def _tokens_of(column: Column, table: pa.Table) -> Column:
+    """Tokens of an id array; null for ids outside the vocabulary."""
+    tokens = table.column("token").combine_chunks().cast(pa.string())
+    idx = table.column("idx").combine_chunks().cast(pa.int64())
+
+    @F.arrow_udf("array<string>")
+    def texts(batch: pa.Array) -> pa.Array:
+        values, offsets = _values(batch)
+        found = tokens.take(pc.index_in(values.cast(pa.int64()), value_set=idx))
+        return pa.ListArray.from_arrays(offsets, found)
+
+    return texts(column)
+
+
 def _exploded(sequences: DataFrame, keep: list[str], values: Column, name: str) -> DataFrame:
     """One row per position, every sample in one task.
 
-    Samples are dealt out by key before they grow to rows; a broadcast lookup keeps that
-    order, so putting them together again needs no second shuffle.
+    Samples are dealt out by key before they grow to rows.
     """
     dealt = sequences.select(*keep, values.alias("_values")).repartition(*keep)
     return dealt.select(*keep, F.posexplode_outer("_values").alias("pos", name))
 
 
+def _joined(exploded: DataFrame, vocabulary: DataFrame, name: str) -> DataFrame:
+    """Positions with their vocabulary entry; a hot token's are spread over ``SALTS`` keys."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    spread = exploded.withColumn("_salt", F.pmod(F.col("pos"), F.lit(SALTS)))
+    return spread.join(vocabulary.withColumn("_salt", salts), [name, "_salt"], "left").drop("_salt")
+
+
 def _regrouped(exploded: DataFrame, keep: list[str], value: Column, name: str) -> DataFrame:
     """Put exploded positions back into one array per sample, in order."""
     entry = F.when(F.col("pos").isNotNull(), F.struct("pos", value.alias("value")))
@@ -82,9 +145,15 @@ def encode(
     column: str = "tokens",
     max_length: int = C.MAX_SEQUENCE,
 ) -> DataFrame:
-    """Framed id sequence per sample; unknown tokens become UNK."""
-    looked_up = _exploded(sequences, keep, F.col(column), "token").join(vocabulary, "token", "left")
-    ids = _regrouped(looked_up, keep, F.coalesce("idx", F.lit(C.UNK)), "_ids")
+    """Framed id sequence per sample, which ``keep`` names; unknown tokens become UNK."""
+    table = travelling(vocabulary)
+    if table is not None:
+        ids = sequences.select(*keep, _ids_of(F.col(column), table).alias("_ids"))
+    else:
+        positions = _exploded(sequences, keep, F.col(column), "token")
+        ids = _regrouped(
+            _joined(positions, vocabulary, "token"), keep, F.coalesce("idx", F.lit(C.UNK)), "_ids"
+        )
     return ids.select(*keep, K.framed(F.col("_ids"), max_length).alias("ids"))
 
 
@@ -97,9 +166,14 @@ def encode_splits(
 
 
 def _looked_up(sequences: DataFrame, vocabulary: DataFrame, keep, dropped, column) -> DataFrame:
-    # Dropped ids never become rows; an all-padding sample still comes out, without positions.
+    """``_tokens`` of every sample, null for ids outside the vocabulary, without ``dropped`` ids."""
     wanted = F.filter(column, lambda i: ~i.isin(*dropped))
-    return _exploded(sequences, keep, wanted, "idx").join(vocabulary, "idx", "left")
+    table = travelling(vocabulary)
+    if table is not None:
+        return sequences.select(*keep, _tokens_of(wanted, table).alias("_tokens"))
+    # An all-padding sample still comes out, without positions.
+    positions = _exploded(sequences, keep, wanted, "idx")
+    return _regrouped(_joined(positions, vocabulary, "idx"), keep, F.col("token"), "_tokens")
 
 
 def decode(
@@ -107,8 +181,7 @@ def decode(
 ) -> DataFrame:
     """Space-joined text without PAD, BOS and EOS; UNK stays."""
     found = _looked_up(sequences, vocabulary, keep, (C.PAD, C.BOS, C.EOS), column)
-    texts = _regrouped(found, keep, F.coalesce("token", F.lit("<UNK>")), "_tokens")
-    return texts.select(*keep, F.array_join("_tokens", " ").alias("markup"))
+    return found.select(*keep, F.array_join("_tokens", " ", "<UNK>").alias("markup"))
 
 
 def decoded_tokens(
@@ -116,8 +189,7 @@ def decoded_tokens(
 ) -> DataFrame:
     """Token array without any sentinel; ids outside the vocabulary are left out."""
     found = _looked_up(sequences, vocabulary, keep, (C.PAD, C.BOS, C.EOS, C.UNK), column)
-    found = found.withColumn("pos", F.when(F.col("token").isNotNull(), F.col("pos")))
-    return _regrouped(found, keep, F.col("token"), "tokens")
+    return found.select(*keep, F.array_compact("_tokens").alias("tokens"))
 
 
 def predicted_markup(
@@ -155,7 +227,7 @@ def ordinal_targets(vocabulary: DataFrame, sigma: float = C.ORDINAL_SIGMA) -> Da
     buckets of that width rather than a product of the vocabulary with itself.
     """
     if sigma <= 0:
-        raise ValueError(f"sigma must be positive. Got {sigma}.")
+        raise ValueError(f"A Gaussian of width {sigma} has no weights.")
     reach = 40.0 * sigma
     numeric = vocabulary.filter(F.col("token").rlike(C.NUMBER_PATTERN)).select(
         "token", F.col("token").cast("double").alias("value")

@@ -50,7 +50,7 @@ def resized(lines: DataFrame, height: int, width: int, to_bytes: bool = False) -
     """Bilinear resize of images of any size. Lines are narrowed first; then every source
     line goes to the few target lines it feeds, so no task holds a whole image."""
     if height <= 0 or width <= 0:
-        raise ValueError(f"Target size must be positive. Got {height}x{width}.")
+        raise ValueError(f"An image of {height} by {width} pixels has no pixels.")
     measured = lines.withColumns(
         {
             "_width": F.size("pixels"),
@@ -111,7 +111,7 @@ def _where(chosen: Column | None, changed: Column) -> Column:
 def noisy(lines: DataFrame, sigma: float, seed: int, chosen: Column | None = None) -> DataFrame:
     """Gaussian noise from hashed uniforms, clamped to ``[0, 1]``."""
     if not 0.0 < sigma <= 0.05:
-        raise ValueError(f"sigma must lie in (0, 0.05]. Got {sigma}.")
+        raise ValueError(f"Noise of strength {sigma} is none or too much; 0.05 is the most.")
     key = F.concat_ws("/", "image_id", "channel", "y")
 
     def add(pixel: Column, x: Column) -> Column:
@@ -127,7 +127,7 @@ def contrasted(
 ) -> DataFrame:
     """Scale deviations from the mean of the batch."""
     if alpha < 0:
-        raise ValueError(f"alpha must be non-negative. Got {alpha}.")
+        raise ValueError(f"Contrast cannot be scaled by {alpha}; a negative factor inverts the image.")
     total = F.aggregate("pixels", F.lit(0.0), lambda a, p: a + p)
     means = lines.groupBy(batch).agg((F.sum(total) / F.sum(F.size("pixels"))).alias("_mean"))
     # Staged: one row per batch, so the pixels need not be shuffled to meet their mean.
@@ -181,7 +181,7 @@ def maybe_augmented(
 ) -> DataFrame:
     """Noise, contrast and blur, each on the batches that its own coin chooses."""
     if not 0.0 <= probability <= 1.0:
-        raise ValueError(f"probability must lie in [0, 1]. Got {probability}.")
+        raise ValueError(f"Not a probability: {probability}.")
 
     def coin(step: str) -> Column:
         return uniform(seed, F.col(batch), step) < probability
@@ -197,6 +197,10 @@ def _gaussian_weights(size: int, sigma: float) -> list[float]:
     return [w / sum(raw) for w in raw]
 
 
+#: Windows of one tile of an image, down and across.
+_TILE_LINES, _TILE_WIDTH = 256, 512
+
+
 def ssim(
     pairs: DataFrame, data_range: float = 1.0, window: int = C.SSIM_WINDOW,
     k1: float = C.SSIM_K1, k2: float = C.SSIM_K2,
@@ -204,16 +208,38 @@ def ssim(
     """Mean SSIM per image from ``image_id, channel, y, a, b``; images may differ in size, and one
     that is smaller than the window has a null.
 
-    The Gaussian window separates: every line is convolved in its own row, then lines are
-    combined over a sliding frame of ``window`` rows. Frames that are not full are dropped,
-    which is the valid convolution.
+    Images are cut into tiles of ``_TILE_LINES`` by ``_TILE_WIDTH`` windows, whose edges carry the
+    lines and columns a window needs beyond them. The Gaussian window separates: in a tile every
+    line is convolved in its own row, then lines are combined over a sliding frame of ``window``
+    rows. Frames that are not full are dropped, which is the valid convolution. So neither a row nor
+    a window partition grows with an image, and one large image is shared by many tasks.
     """
     if data_range <= 0:
-        raise ValueError(f"data_range must be positive. Got {data_range}.")
+        raise ValueError(f"Intensities cannot span a range of {data_range}.")
     if window < 3 or window % 2 == 0:
-        raise ValueError(f"window must be odd and at least 3. Got {window}.")
+        raise ValueError(f"A window of {window} lines has no center line with neighbours.")
     weights = _gaussian_weights(window, C.SSIM_SIGMA)
     c1, c2 = (k1 * data_range) ** 2, (k2 * data_range) ** 2
+    reach = window - 1
+    strips = F.sequence(
+        F.lit(0), F.floor(F.greatest(F.size("a") - window, F.lit(0)) / _TILE_WIDTH).cast("int")
+    )
+    band = F.floor(F.col("y") / _TILE_LINES).cast("long")
+    bands = F.when(
+        F.col("y") % _TILE_LINES < reach, F.array(band, band - 1)
+    ).otherwise(F.array(band))
+    tiles = (
+        pairs.select(*_LINE, "a", "b", F.explode(strips).alias("_strip"))
+        .select(
+            *_LINE, "_strip",
+            *[
+                F.slice(n, F.col("_strip") * _TILE_WIDTH + 1, F.lit(_TILE_WIDTH + reach)).alias(n)
+                for n in ("a", "b")
+            ],
+            F.explode(bands).alias("_band"),
+            band.alias("_own"),
+        )
+    )
     size = F.size("a")
     starts = F.when(size >= window, F.sequence(F.lit(0), size - window)).otherwise(
         F.array().cast("array<int>")
@@ -238,10 +264,13 @@ def ssim(
         "_ab": along("a", "b"),
     }
     packed = F.struct(*[c.alias(n) for n, c in moments.items()])
-    rows = pairs.select(*_LINE, F.greatest(size - (window - 1), F.lit(0)).alias("_n"), packed.alias("_m"))
-    frame = W.partitionBy("image_id", "channel").orderBy("y").rowsBetween(0, window - 1)
-    framed = rows.select(*_LINE, "_n", F.collect_list("_m").over(frame).alias("_f"))
-    full = F.size("_f") == window
+    rows = tiles.select(
+        *_LINE, "_strip", "_band", "_own",
+        F.greatest(size - reach, F.lit(0)).alias("_n"), packed.alias("_m"),
+    )
+    frame = W.partitionBy("image_id", "channel", "_band", "_strip").orderBy("y").rowsBetween(0, reach)
+    framed = rows.select(*_LINE, "_band", "_own", "_n", F.collect_list("_m").over(frame).alias("_f"))
+    full = (F.size("_f") == window) & (F.col("_band") == F.col("_own"))
     places = F.when(full & (F.col("_n") > 0), F.sequence(F.lit(0), F.col("_n") - 1)).otherwise(
         F.array().cast("array<int>")
     )

@@ -4,6 +4,8 @@ Spark builds, joins and partitions the pairs; these Arrow functions only score t
 batch of rows a task hands them.
 """
 
+from itertools import permutations
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +16,11 @@ from figmill import constants as C
 
 # Cells of one padded alignment block; bounds the memory of a batch, not its result.
 _BLOCK_CELLS = 1 << 21
+# Odd multipliers of the two hashes of a row.
+_MIXERS = [
+    (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)),
+    (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)),
+]
 
 
 # --- Alignment -------------------------------------------------------------------------------
@@ -90,8 +97,27 @@ def _flat(array: pa.Array):
     return array.values.slice(offsets[0], offsets[-1] - offsets[0]), offsets - offsets[0]
 
 
+def _row_marks(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """128 bits of every row of codes, as two sums over its places; equal rows have equal ones."""
+    sizes = np.diff(offsets)
+    place = (np.arange(len(codes)) - np.repeat(offsets[:-1], sizes)).astype(np.uint64)
+    marks = np.zeros((len(sizes), 2), np.uint64)
+    with np.errstate(over="ignore"):
+        for n, (a, b) in enumerate(_MIXERS):
+            value = (codes.astype(np.uint64) + np.uint64(1)) * a + place * b
+            value = (value ^ (value >> np.uint64(31))) * b
+            value = (value ^ (value >> np.uint64(29))) * a
+            total = np.concatenate(([np.uint64(0)], np.cumsum(value ^ (value >> np.uint64(32)))))
+            marks[:, n] = total[offsets[1:]] - total[offsets[:-1]] + sizes.astype(np.uint64)
+    return marks
+
+
 def align_batch(reference: pa.Array, candidate: pa.Array, scale: float) -> pa.Array:
-    """Normalised coordinate-aware edit distance of every pair of token lists."""
+    """Normalised coordinate-aware edit distance of every pair of token lists.
+
+    Equal pairs of a batch are aligned once, and like lengths together, so that neither copies nor a
+    few long pairs are paid for by all.
+    """
     flat = [_flat(pc.fill_null(side, pa.scalar([], side.type))) for side in (reference, candidate)]
     encoded = pa.concat_arrays([f[0].cast(pa.string()) for f in flat]).dictionary_encode()
     words, codes = encoded.dictionary.to_pylist(), encoded.indices.to_numpy()
@@ -103,8 +129,10 @@ def align_batch(reference: pa.Array, candidate: pa.Array, scale: float) -> pa.Ar
         sides.append((part, *_batch_points(part, rows, words), offsets))
     (rc, rx, ry, ro), (cc, cx, cy, co) = sides
     m, n = np.diff(ro), np.diff(co)
+    marks = np.concatenate((_row_marks(rc, ro), _row_marks(cc, co)), axis=1)
+    _, alone, same = np.unique(marks, axis=0, return_index=True, return_inverse=True)
     result = np.zeros(len(m))
-    order = np.lexsort((-m, -n))  # like lengths together, longest candidate first
+    order = alone[np.lexsort((-m[alone], -n[alone]))]  # like lengths together, longest candidate first
     at = 0
     while at < len(order):
         widest = max(int(m[order[at]]), int(n[order[at]]), 1)
@@ -120,7 +148,7 @@ def align_batch(reference: pa.Array, candidate: pa.Array, scale: float) -> pa.Ar
             scale,
         )
         result[picked] = raw / np.maximum(np.maximum(mm, nn), 1)
-    return pa.array(result, pa.float64())
+    return pa.array(result[alone][same.ravel()], pa.float64())
 
 
 def _coded(reference: pa.Array, candidate: pa.Array):
@@ -177,7 +205,7 @@ def match_batch(reference: pa.Array, candidate: pa.Array, max_order: int) -> pa.
 def ngram_matches(reference: Column, candidate: Column, max_order: int) -> Column:
     """``[reference length, candidate length, clipped 1, total 1, clipped 2, ...]``."""
     if max_order < 1:
-        raise ValueError(f"max_order must be at least 1. Got {max_order}.")
+        raise ValueError(f"There are no n-grams up to order {max_order}.")
 
     @F.arrow_udf("array<bigint>")
     def count(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -191,7 +219,7 @@ def token_edit_distance(
 ) -> Column:
     """Coordinate-aware edit distance of two token arrays, over the longer one."""
     if scale <= 0:
-        raise ValueError(f"scale must be positive. Got {scale}.")
+        raise ValueError(f"Distances are measured in units of scale, which cannot be {scale}.")
 
     @F.arrow_udf("double")
     def score(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -202,110 +230,148 @@ def token_edit_distance(
 
 # --- Assignment ------------------------------------------------------------------------------
 
+#: Matchings of so few columns are decided by looking at all of them.
+_TRIED = 4
+#: Costs of one stack of matrices; bounds the memory of a batch, not its result.
+_STACK_CELLS = 1 << 20
 
-def cheapest_assignment(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of a minimum-cost matching that uses up the shorter side.
 
-    Successive shortest augmenting paths with dual prices; the inner scan is vectorised.
+def cheapest_assignments(cost: np.ndarray) -> np.ndarray:
+    """Column of every row in the minimum-cost matching of each matrix of a stack.
+
+    ``cost`` is ``(matrices, rows, columns)`` with no more rows than columns; every row gets a
+    column of its own. All matrices are solved together.
     """
-    if cost.shape[0] > cost.shape[1]:
-        columns, rows = cheapest_assignment(cost.T)
-        order = np.argsort(rows)
-        return rows[order], columns[order]
-    rows, columns = cost.shape
+    _, rows, columns = cost.shape
+    if rows > columns:
+        raise ValueError(f"A stack needs rows <= columns. Got {rows} and {columns}.")
     if rows == 1:
-        return np.array([0]), np.array([int(np.argmin(cost[0]))])
-    if rows == columns == 2:
-        swap = cost[0, 1] + cost[1, 0] < cost[0, 0] + cost[1, 1]
-        return np.array([0, 1]), np.array([1, 0] if swap else [0, 1])
-    row_price, column_price = np.zeros(rows), np.zeros(columns)
-    owner = np.full(columns, -1)
+        return cost.argmin(axis=2)
+    if columns <= _TRIED:
+        orders = np.array(list(permutations(range(columns), rows)))
+        totals = cost[:, np.arange(rows), orders].sum(axis=2)
+        return orders[totals.argmin(axis=1)]
+    return _augmented(cost)
+
+
+def _augmented(cost: np.ndarray) -> np.ndarray:
+    """Successive shortest augmenting paths with dual prices, all matrices in step.
+
+    One row enters at a time. Each matrix walks its own path; those whose path has reached a free
+    column wait for the others.
+    """
+    matrices, rows, columns = cost.shape
+    row_price, column_price = np.zeros((matrices, rows)), np.zeros((matrices, columns))
+    owner = np.full((matrices, columns), -1)
     for row in range(rows):
-        slack = np.full(columns, np.inf)
-        came_from = np.full(columns, -1)
-        done = np.zeros(columns, dtype=bool)
-        current, here = row, -1
-        while True:
-            reduced = cost[current] - row_price[current] - column_price
-            better = ~done & (reduced < slack)
-            slack[better], came_from[better] = reduced[better], here
-            nearest = int(np.argmin(np.where(done, np.inf, slack)))
-            step = slack[nearest]
-            row_price[row] += step
-            row_price[owner[done]] += step
-            column_price[done] -= step
-            slack[~done] -= step
-            done[nearest], here = True, nearest
-            if owner[nearest] < 0:
-                break
-            current = owner[nearest]
-        while here >= 0:
-            previous = came_from[here]
-            owner[here] = row if previous < 0 else owner[previous]
-            here = previous
-    matched = np.flatnonzero(owner >= 0)
-    order = np.argsort(owner[matched])
-    return owner[matched][order], matched[order]
-
-
-def _point_rows(array: pa.Array) -> list[np.ndarray]:
-    """One ``(n, 2)`` array per list of ``x, y`` structs; no Python object per point."""
-    values, offsets = _flat(pc.fill_null(array, pa.scalar([], array.type)))
-    xy = np.stack(
-        [values.field(n).to_numpy(zero_copy_only=False).astype(np.float64) for n in ("x", "y")],
-        axis=1,
-    )
-    return [xy[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+        slack = np.full((matrices, columns), np.inf)
+        came_from = np.full((matrices, columns), -1)
+        reached = np.zeros((matrices, columns), dtype=bool)
+        here = np.full(matrices, row)
+        column = np.full(matrices, -1)
+        walking = np.arange(matrices)
+        while len(walking):
+            w = walking
+            seen = reached[w]
+            reduced = cost[w, here[w]] - row_price[w, here[w]][:, None] - column_price[w]
+            better = ~seen & (reduced < slack[w])
+            open_slack = np.where(better, reduced, slack[w])
+            came_from[w] = np.where(better, column[w][:, None], came_from[w])
+            nearest = np.where(seen, np.inf, open_slack).argmin(axis=1)
+            step = open_slack[np.arange(len(w)), nearest]
+            row_price[w, row] += step
+            k, settled = np.nonzero(seen)
+            row_price[w[k], owner[w[k], settled]] += step[k]
+            column_price[w] -= np.where(seen, step[:, None], 0.0)
+            slack[w] = np.where(seen, open_slack, open_slack - step[:, None])
+            reached[w, nearest] = True
+            column[w] = nearest
+            taken = owner[w, nearest] >= 0
+            walking = w[taken]
+            here[walking] = owner[walking, nearest[taken]]
+        walking = np.arange(matrices)
+        while len(walking):
+            at = column[walking]
+            before = came_from[walking, at]
+            owner[walking, at] = np.where(before < 0, row, owner[walking, before])
+            column[walking] = before
+            walking = walking[before >= 0]
+    out = np.empty((matrices, rows), dtype=np.int64)
+    matrix, used = np.nonzero(owner >= 0)
+    out[matrix, owner[matrix, used]] = used
+    return out
 
 
-def _primitive_rows(array: pa.Array) -> list[list[tuple[str, np.ndarray]]]:
-    """Primitives of every row as ``(kind, points)``."""
-    values, offsets = _flat(pc.fill_null(array, pa.scalar([], array.type)))
-    items = list(zip(values.field("kind").to_pylist(), _point_rows(values.field("coords"))))
-    return [items[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+def _stacks(rows: np.ndarray, columns: np.ndarray):
+    """Yield ``(rows, columns, numbers)``: the matrices of one size, in stacks of bounded cells."""
+    sizes = np.stack([rows, columns], axis=1)
+    kinds, owner = np.unique(sizes, axis=0, return_inverse=True)
+    order = np.argsort(owner.ravel(), kind="stable")
+    ends = np.cumsum(np.bincount(owner.ravel(), minlength=len(kinds)))
+    for (m, n), first, last in zip(kinds.tolist(), [0, *ends[:-1].tolist()], ends.tolist()):
+        take = max(1, _STACK_CELLS // max(1, m * n))
+        for at in range(first, last, take):
+            yield m, n, order[at : min(at + take, last)]
 
 
-def matched_point_error(reference: np.ndarray, candidate: np.ndarray, scale: float) -> float:
-    """Clamped mean distance of the matching with the least total distance."""
-    longer, shorter = max(len(reference), len(candidate)), min(len(reference), len(candidate))
-    if shorter == 0:
-        return float(longer > 0)
-    gaps = reference[:, None, :] - candidate[None, :, :]
-    distance = np.sqrt((gaps**2).sum(axis=2))
-    matched = distance[cheapest_assignment(distance)]
-    return float((np.minimum(matched / scale, 1.0).sum() + longer - shorter) / longer)
+def _points(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All points of a batch and the offsets of its rows."""
+    values, offsets = _flat(pc.fill_null(array, pa.scalar([], array.type)))
+    xy = [values.field(n).to_numpy(zero_copy_only=False).astype(np.float64) for n in ("x", "y")]
+    return np.stack(xy, axis=1), offsets
+
+
+def matched_point_errors(reference: pa.Array, candidate: pa.Array, scale: float) -> np.ndarray:
+    """Per pair of point lists: clamped mean distance of the matching of least total distance."""
+    (left, lo), (right, ro) = _points(reference), _points(candidate)
+    m, n = np.diff(lo), np.diff(ro)
+    out = (np.maximum(m, n) > 0).astype(np.float64)
+    some = np.flatnonzero((m > 0) & (n > 0))
+    for rows, columns, own in _stacks(np.minimum(m, n)[some], np.maximum(m, n)[some]):
+        own = some[own]
+        swap = (m[own] > n[own])[:, None]
+        a = np.where(swap, ro[own][:, None], lo[own][:, None]) + np.arange(rows)
+        b = np.where(swap, lo[own][:, None], ro[own][:, None]) + np.arange(columns)
+        few = np.where(swap[..., None], _taken(right, a, swap), _taken(left, a, ~swap))
+        many = np.where(swap[..., None], _taken(left, b, swap), _taken(right, b, ~swap))
+        gaps = few[:, :, None, :] - many[:, None, :, :]
+        distance = np.sqrt((gaps**2).sum(axis=3))
+        matched = np.take_along_axis(
+            distance, cheapest_assignments(distance)[:, :, None], axis=2
+        )[:, :, 0]
+        out[own] = (np.minimum(matched / scale, 1.0).sum(axis=1) + columns - rows) / columns
+    return out
 
 
-def primitive_cost(reference: np.ndarray, candidate: np.ndarray, scale: float) -> float:
-    """Cost of two primitives of the same kind."""
-    longer, shorter = max(len(reference), len(candidate)), min(len(reference), len(candidate))
-    if longer == 0:
-        return 0.0
-    gaps = reference[:shorter] - candidate[:shorter]
-    near = np.minimum(np.sqrt((gaps**2).sum(axis=1)) / scale, 1.0)
-    return float((near.sum() + longer - shorter) / longer)
+def _taken(points: np.ndarray, at: np.ndarray, here: np.ndarray) -> np.ndarray:
+    """Points at these places; rows that are not ``here`` give any point."""
+    return points[np.where(here, at, 0)]
 
 
-def graph_distance(reference, candidate, scale: float) -> float:
-    """Share of primitives, given as ``(kind, points)``, not explained by the best matching.
+def matching_gains(blocks: pa.Array) -> np.ndarray:
+    """Per row: what the best matching of each of its cost matrices saves, summed up.
 
-    A cross-kind match costs as much as no match, so the optimum splits by kind.
+    A row is a list of matrices, a matrix a list of equally long rows; a matched pair of cost c
+    saves ``1 - c``.
     """
-    longer = max(len(reference), len(candidate))
-    if longer == 0:
-        return 0.0
-    if not reference or not candidate:
-        return 1.0
-    blocks: dict[str, tuple[list, list]] = {}
-    for side, primitives in enumerate((reference, candidate)):
-        for kind, points in primitives:
-            blocks.setdefault(kind, ([], []))[side].append(points)
-    saved = 0.0
-    for left, right in blocks.values():
-        if left and right:
-            cost = np.array([[primitive_cost(a, b, scale) for b in right] for a in left])
-            saved += float((1.0 - cost[cheapest_assignment(cost)]).sum())
-    return (longer - saved) / longer
+    matrices, upto = _flat(pc.fill_null(blocks, pa.scalar([], blocks.type)))
+    lines, first = _flat(matrices)
+    costs, starts = _flat(lines)
+    height = np.diff(first)
+    begin = starts[first[:-1]]
+    width = np.where(height > 0, (starts[first[1:]] - begin) // np.maximum(height, 1), 0)
+    costs = costs.to_numpy(zero_copy_only=False)
+    gains = np.zeros(len(height))
+    some = np.flatnonzero((height > 0) & (width > 0))
+    for m, n, own in _stacks(height[some], width[some]):
+        own = some[own]
+        stack = costs[begin[own][:, None] + np.arange(m * n)].reshape(-1, m, n)
+        if m > n:
+            stack = stack.transpose(0, 2, 1)
+        matched = np.take_along_axis(stack, cheapest_assignments(stack)[:, :, None], axis=2)
+        gains[own] = (1.0 - matched[:, :, 0]).sum(axis=1)
+    total = np.concatenate(([0.0], np.cumsum(gains)))
+    return total[upto[1:]] - total[upto[:-1]]
 
 
 def unordered_coordinate_error(
@@ -313,26 +379,72 @@ def unordered_coordinate_error(
 ) -> Column:
     """Coordinate error of two point arrays whose order carries no meaning."""
     if scale <= 0:
-        raise ValueError(f"scale must be positive. Got {scale}.")
+        raise ValueError(f"Distances are measured in units of scale, which cannot be {scale}.")
 
     @F.arrow_udf("double")
     def score(left: pa.Array, right: pa.Array) -> pa.Array:
-        pairs = zip(_point_rows(left), _point_rows(right))
-        return pa.array([matched_point_error(a, b, scale) for a, b in pairs], pa.float64())
+        return pa.array(matched_point_errors(left, right, scale), pa.float64())
 
     return score(reference, candidate)
 
 
-def graph_edit_distance(
-    reference: Column, candidate: Column, scale: float = C.CANVAS_DIAGONAL
-) -> Column:
-    """Permutation-invariant distance of two primitive arrays."""
-    if scale <= 0:
-        raise ValueError(f"scale must be positive. Got {scale}.")
+def primitive_cost(reference: Column, candidate: Column, scale: float) -> Column:
+    """Cost of two point lists of primitives of one kind; points beyond the shorter list cost 1."""
+
+    def near(p: Column, q: Column) -> Column:
+        gap = F.sqrt((p["x"] - q["x"]) * (p["x"] - q["x"]) + (p["y"] - q["y"]) * (p["y"] - q["y"]))
+        return F.coalesce(F.least(gap / scale, F.lit(1.0)), F.lit(1.0))
+
+    longer = F.greatest(F.size(reference), F.size(candidate))
+    total = F.aggregate(
+        F.zip_with(reference, candidate, near), F.lit(0.0), lambda acc, cost: acc + cost
+    )
+    return F.when(longer == 0, 0.0).otherwise(total / longer)
+
+
+def cost_blocks(reference: Column, candidate: Column, scale: float) -> Column:
+    """Cost matrices of the kinds both primitive arrays have: ``array<array<array<double>>>``.
+
+    A match across kinds costs as much as none, so the best matching splits by kind.
+    """
+    kinds = F.array_intersect(
+        F.transform(reference, lambda p: p["kind"]), F.transform(candidate, lambda p: p["kind"])
+    )
+
+    def of_kind(primitives: Column, kind: Column) -> Column:
+        return F.filter(primitives, lambda p: p["kind"].eqNullSafe(kind))
+
+    return F.transform(
+        kinds,
+        lambda kind: F.transform(
+            of_kind(reference, kind),
+            lambda p: F.transform(
+                of_kind(candidate, kind), lambda q: primitive_cost(p["coords"], q["coords"], scale)
+            ),
+        ),
+    )
+
+
+def is_small_block(block: Column) -> Column:
+    """Is one side of the matrix 1, or both 2?"""
+    rows, columns = F.size(block), F.size(block[0])
+    return (rows == 1) | (columns == 1) | ((rows == 2) & (columns == 2))
+
+
+def small_block_gain(block: Column) -> Column:
+    """What the best matching of such a matrix saves."""
+    one = 1.0 - F.array_min(F.flatten(block))
+    two = 2.0 - F.least(
+        block[0][0] + F.get(block[1], F.lit(1)), block[0][1] + F.get(block[1], F.lit(0))
+    )
+    return F.when((F.size(block) == 1) | (F.size(block[0]) == 1), one).otherwise(two)
+
+
+def large_block_gains(blocks: Column) -> Column:
+    """What the best matchings of all matrices of a row save, solved in stacks of one size."""
 
     @F.arrow_udf("double")
-    def score(left: pa.Array, right: pa.Array) -> pa.Array:
-        pairs = zip(_primitive_rows(left), _primitive_rows(right))
-        return pa.array([graph_distance(a, b, scale) for a, b in pairs], pa.float64())
+    def gains(rows: pa.Array) -> pa.Array:
+        return pa.array(matching_gains(rows), pa.float64())
 
-    return score(reference, candidate)
+    return gains(blocks)

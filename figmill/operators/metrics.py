@@ -9,12 +9,16 @@ from figmill.functions import scores as S
 from figmill.functions import text as X
 from figmill.functions import tokens as K
 from figmill.operators.matching import (
-    graph_edit_distance,
+    cost_blocks,
+    is_small_block,
+    large_block_gains,
     ngram_matches,
+    small_block_gain,
     token_edit_distance,
     unordered_coordinate_error,
 )
 
+
 def tokenized_pairs(pairs: DataFrame, step: float = C.COORDINATE_STEP) -> DataFrame:
     """Replace both markups by their tokens."""
     return pairs.withColumns(
@@ -121,11 +125,47 @@ def coordinate_errors(pairs: DataFrame, families=C.UNORDERED_FAMILIES) -> DataFr
     return zipped.unionByName(matched)
 
 
-def graph_distances(pairs: DataFrame) -> DataFrame:
-    """Per-sample graph distance as ``graph_distance``."""
-    return pairs.withColumn(
-        "graph_distance",
-        graph_edit_distance(X.primitives("reference"), X.primitives("candidate")),
+def graph_distances(
+    pairs: DataFrame,
+    reference: str = "reference",
+    candidate: str = "candidate",
+    name: str = "graph_distance",
+    scale: float = C.CANVAS_DIAGONAL,
+) -> DataFrame:
+    """``pairs`` with the graph distance of two markup columns: the share of primitives that the
+    best permutation does not explain.
+
+    Costs are laid out natively, and matrices that a minimum decides are decided there; only
+    larger ones reach the assignment.
+    """
+    primitives = {"_left": X.primitives(reference), "_right": X.primitives(candidate)}
+    return primitive_distances(
+        pairs.withColumns(primitives), "_left", "_right", name, scale
+    ).drop(*primitives)
+
+
+def primitive_distances(
+    pairs: DataFrame, reference: str, candidate: str, name: str, scale: float = C.CANVAS_DIAGONAL
+) -> DataFrame:
+    """``pairs`` with the permutation-invariant distance of two primitive arrays."""
+    if scale <= 0:
+        raise ValueError(f"Distances are measured in units of scale, which cannot be {scale}.")
+    none = F.array().cast("array<struct<kind: string, coords: array<struct<x: double, y: double>>>>")
+    left, right = (F.coalesce(F.col(c), none) for c in (reference, candidate))
+    longer = F.greatest(F.size(left), F.size(right))
+    large = F.filter("_blocks", lambda b: ~is_small_block(b))
+    small = F.aggregate(
+        F.filter("_blocks", is_small_block), F.lit(0.0), lambda acc, b: acc + small_block_gain(b)
+    )
+    saved = F.col("_small") + F.coalesce("_large", F.lit(0.0))
+    return (
+        pairs.withColumns({"_blocks": cost_blocks(left, right, scale), "_longer": longer})
+        .withColumns({"_small": small, "_rest": large})
+        .withColumn("_large", large_block_gains(F.when(F.size("_rest") > 0, F.col("_rest"))))
+        .withColumn(
+            name, F.when(F.col("_longer") == 0, 0.0).otherwise((F.col("_longer") - saved) / F.col("_longer"))
+        )
+        .drop("_blocks", "_longer", "_small", "_rest", "_large")
     )
 
 

@@ -147,7 +147,7 @@ def within_cut(df: DataFrame, quota, key: Column, tie: Column, groups=(), parent
 def ordered_head(df: DataFrame, count: int, order: str) -> DataFrame:
     """First ``count`` rows by a unique integer column, kept distributed."""
     if count <= 0:
-        raise ValueError(f"count must be positive. Got {count}.")
+        raise ValueError(f"A head of {count} rows is empty.")
     marked = within_cut(
         df, lambda size: F.least(size, F.lit(count)), F.col(order), F.col(order)
     )

@@ -166,7 +166,7 @@ def packed_samples(spark, sf) -> DataFrame:
 def a6_shard_packing(spark, sf):
     path = scratch(spark, "shards")
     sink.write_shards(packed_samples(spark, sf), path, SHARD_SIZE)
-    return spark.read.parquet(path).groupBy("split", "shard_id").agg(
+    return sink.read_written_shards(spark, path).groupBy("split", "shard_id").agg(
         F.count(F.lit(1)).alias("num_samples"),
         F.min("sample_id").alias("first_sample"),
         F.max("sample_id").alias("last_sample"),
@@ -174,7 +174,7 @@ def a6_shard_packing(spark, sf):
         F.sum(total("ids")).alias("id_sum"),
         F.sum(total("pixels")).alias("pixel_sum"),
         F.sum("family_idx").alias("label_sum"),
-    ).withColumn("shard_id", F.col("shard_id").cast("long"))
+    )
 
 
 def _manifest(spark, sf):
@@ -205,6 +205,36 @@ def a7_master_manifest(spark, sf):
     )
 
 
+@query
+def a7_manifest_files(spark, sf):
+    """Manifests written as one JSON document each, and read again."""
+    path = scratch(spark, "manifests")
+    sink.write_manifests(_manifest(spark, sf), path, 256, C.MAX_SEQUENCE)
+    files = sink.read_manifests(spark, path)
+    return files.select(
+        "file", "version", "total_samples", F.posexplode("shards").alias("at", "shard")
+    ).select(
+        "file", "version", "total_samples", F.col("at").cast("long").alias("at"),
+        "shard.file_name", "shard.num_samples",
+        F.aggregate(F.map_values("shard.family_counts"), F.lit(0).cast("long"), lambda a, n: a + n).alias("family_total"),
+    )
+
+
+@query
+def a8_fetched_samples(spark, sf):
+    """The samples behind global indices, from the shards on disk."""
+    path = scratch(spark, "shards")
+    samples = split_figures(spark, sf).select("sample_id", "split", "family", "markup")
+    sink.write_shards(samples, path, SHARD_SIZE)
+    shards = sink.read_written_shards(spark, path)
+    requests = V.orders(spark, sf).select((F.col("sample_id") * 2 - 100).alias("index"))
+    located = sink.shard_lookup(sink.shard_manifest(shards), requests)
+    return sink.fetched_samples(shards, located, SHARD_SIZE).select(
+        "index", "split", "shard_id", "offset", "out_of_range", "sample_id", "family",
+        fingerprint(F.col("markup")).alias("fingerprint"),
+    )
+
+
 @query
 def a8_shard_lookup(spark, sf):
     # Every third index is asked for twice, by different clients.
@@ -220,6 +250,23 @@ def a9_dataset_manifest(spark, sf):
     return P.curated_split_counts(V.documents(spark, sf), "text", "doc_id", "lang", 0.1, SEED)
 
 
+@query
+def a9_manifest_document(spark, sf):
+    """The whole manifest of a build as one JSON document, written and read again."""
+    path = scratch(spark, "manifest")
+    built = split_figures(spark, sf).filter("cents % 4 <> 0").withColumn(
+        "stratum", F.when(F.col("cents") % 10 == 0, "external").otherwise(F.col("family"))
+    )
+    asked = {"procedural": 20000, "external": 2500}
+    sink.write_documents(sink.dataset_manifest(built, asked, SEED, 0.1, True), path)
+    found = sink.read_dataset_manifest(spark, path)
+    return found.select(
+        "seed", "val_ratio", "requested.procedural", "requested.external", "rendered.total",
+        "showcase_rendered", F.array_join("fingerprints_sample", ",").alias("fingerprints"),
+        F.explode("strata").alias("stratum", "counts"),
+    ).select("*", "counts.train", "counts.val").drop("counts")
+
+
 @query
 def a9_manifest_totals(spark, sf):
     attempts = split_figures(spark, sf).withColumn("kept", F.col("cents") % 4 != 0)
@@ -250,6 +297,15 @@ def a10_sample_manifest(spark, sf):
     )
 
 
+@query
+def a11_vocabulary_object(spark, sf):
+    """The vocabulary as one JSON object, written and read again."""
+    path = scratch(spark, "vocabulary")
+    sink.write_vocabulary_object(train_vocabulary(spark, sf), path)
+    found = sink.read_vocabulary_object(spark, f"{path}/vocabulary.json")
+    return found.select("token", F.col("idx").cast("long").alias("idx"))
+
+
 @query
 def a11_vocabulary_round_trip(spark, sf):
     path = scratch(spark, "vocabulary")
@@ -275,20 +331,26 @@ def a12_detailed_csv(spark, sf):
 
 @query
 def a13_family_summary(spark, sf):
-    records = _records(spark, sf)
-    return sink.family_summary_rows(H.diagnostics_report(P.diagnostics_input(records)))
+    return sink.family_summary_rows(_diagnostics(spark, sf))
 
 
 @query
 def a13_summary_json(spark, sf):
-    report = H.diagnostics_report(_ordered_diagnostics(spark, sf))
-    documents = sink.summary_documents(report)
-    schema = "sample_count bigint, ssim struct<mean: double, std: double>, eos_rate double"
+    documents = sink.summary_documents(_diagnostics(spark, sf))
+    moments = "struct<mean: double, std: double>"
+    schema = (
+        f"sample_count bigint, compilation_rate double, ssim {moments}, token_ged {moments}, "
+        f"graph_ged {moments}, eos_rate double, unk_rate double, mean_length_to_eos double"
+    )
     parsed = documents.select("policy", "family", F.from_json("document", schema).alias("d"))
     return parsed.select(
         "policy", "family", F.col("d.sample_count").alias("sample_count"),
-        r6("d.ssim.mean").alias("ssim_mean"), r6("d.ssim.std").alias("ssim_std"),
-        r6("d.eos_rate").alias("eos_rate"),
+        *[
+            r6(f"d.{m}.{part}").alias(f"{m}_{part}")
+            for m in ("ssim", "token_ged", "graph_ged")
+            for part in ("mean", "std")
+        ],
+        *[r6(f"d.{c}").alias(c) for c in ("compilation_rate", "eos_rate", "unk_rate", "mean_length_to_eos")],
     )
 
 
@@ -1013,17 +1075,11 @@ def m4_ordered_coordinate_error(spark, sf):
 
 @query
 def m5_unordered_coordinate_error(spark, sf):
-    """A node figure against another one for every order."""
-    keys = V.orders(spark, sf).select("sample_id")
-    other = F.concat(F.lit("m5/"), F.col("sample_id").cast("string"))
-    pairs = keys.select(
-        "sample_id", F.lit("node_arrow").alias("family"),
-        G.procedural_markup(F.lit("node_arrow"), SEED, F.col("sample_id")).alias("reference"),
-        G.procedural_markup(F.lit("node_arrow"), SEED, other).alias("candidate"),
-    )
-    scored = M.coordinate_errors(pairs)
+    """Both families without an order: nodes against other nodes, compositions rearranged."""
+    scored = M.coordinate_errors(V.unordered_pairs(spark, sf))
     return scored.select(
-        "sample_id", "matching", "compared_points", r6("coordinate_error").alias("coordinate_error")
+        "sample_id", "family", "matching", "compared_points",
+        r6("coordinate_error").alias("coordinate_error"),
     )
 
 
@@ -1144,16 +1200,7 @@ def m19_tier_summary(spark, sf):
 
 
 def _family_metrics(spark, sf) -> DataFrame:
-    """Scores of the family report; the token overlap stands for the token distance here, so
-    that an oracle can follow every column."""
-    scored = M.structure_scores(V.pairs(spark, sf))
-    return scored.select(
-        "family",
-        F.col("is_successful").cast("double").alias("compilation_rate"),
-        F.when(F.col("is_successful"), F.col("ssim")).otherwise(0.0).alias("ssim"),
-        "primitive_accuracy", "family_accuracy", "coord_mean_error",
-        (1.0 - S.token_overlap(K.words("reference"), K.words("candidate"))).alias("token_distance"),
-    )
+    return P.evaluation_scores(V.pairs(spark, sf))
 
 
 @query
@@ -1172,29 +1219,13 @@ def h1_evaluation_report(spark, sf):
     )
 
 
-def _ordered_diagnostics(spark, sf) -> DataFrame:
-    """Diagnostics input with zipped coordinate errors and the overlap as token distance."""
-    r, c = X.points("reference"), X.points("candidate")
-    overlap = S.token_overlap(K.words("reference"), K.words("candidate"))
-    predicted = X.structural_family(F.col("candidate"))
-    length = F.size(K.words("candidate")).cast("long")
-    return V.pairs(spark, sf).select(
-        "policy", "family", "is_successful", "ssim",
-        S.ordered_coordinate_error(r, c).alias("coordinate_error"),
-        (1.0 - overlap).alias("token_distance"), (overlap / 2.0).alias("graph_distance"),
-        overlap.alias("token_overlap"),
-        S.family_hit(F.col("family"), predicted).alias("family_accuracy"),
-        S.collapsed_to_segment(F.col("family"), predicted).alias("collapsed"),
-        X.contains_text(F.col("candidate"), C.END_PICTURE).alias("has_eos"),
-        (length % 3).alias("unk_count"), length.alias("total_length"),
-        length.alias("length_to_eos"),
-        S.compared_points(r, c).cast("long").alias("compared_points"),
-    )
+def _diagnostics(spark, sf) -> DataFrame:
+    return H.diagnostics_report(P.diagnostics_input(_records(spark, sf)))
 
 
 @query
 def h2_diagnostics_report(spark, sf):
-    report = H.diagnostics_report(_ordered_diagnostics(spark, sf))
+    report = _diagnostics(spark, sf)
     exact = ("policy", "family", "samples", "points_compared")
     return report.select(*[c if c in exact else r6(c).alias(c) for c in report.columns])
 

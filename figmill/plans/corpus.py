@@ -138,12 +138,13 @@ def diagnostic_records(
         {"sanitized": X.sanitized("candidate"), "raw": F.col("candidate")}
     )
     scored = M.coordinate_errors(sane.withColumn("candidate", F.col("sanitized")), unordered)
+    scored = M.graph_distances(scored, "reference", "sanitized", "graph_ged")
     predicted = X.structural_family(F.col("sanitized"))
     audit = K.sequence_audit(F.col("ids"))
     return scored.select(
         "family",
         F.col("sample_id").alias("sample_index"),
-        F.col("sample_id").alias("seed"),
+        "seed",
         "policy",
         F.col("is_successful").alias("compilation_successful"),
         F.when(F.col("is_successful"), F.col("ssim")).otherwise(0.0).alias("ssim"),
@@ -151,7 +152,7 @@ def diagnostic_records(
         F.col("compared_points").alias("coordinate_points_compared"),
         X.emitted_commands("sanitized").alias("emitted_primitives"),
         M.token_edit_distance(K.words("reference"), K.words("sanitized")).alias("token_ged"),
-        M.graph_edit_distance(X.primitives("reference"), X.primitives("sanitized")).alias("graph_ged"),
+        "graph_ged",
         S.token_overlap(K.words("reference"), K.words("sanitized")).alias("token_overlap"),
         predicted.alias("predicted_family"),
         S.collapsed_to_segment(F.col("family"), predicted).alias("is_line_segment_collapsed"),

@@ -356,7 +356,7 @@ OUTCOME_COLUMNS = """(cents%4<>0) AS is_successful,
  (cents%10007)/10006.0::DOUBLE AS ssim"""
 
 PAIRS = f"""moved AS (SELECT *, regexp_replace(markup, '(\\.\\d)\\d', '\\1'||(custkey%10), 'g') AS shifted FROM figures),
-pairs AS MATERIALIZED (SELECT sample_id, family, {POLICY} AS policy, {TIER} AS tier, markup AS reference,
+pairs AS MATERIALIZED (SELECT sample_id, family, {POLICY} AS policy, {TIER} AS tier, cents AS seed, markup AS reference,
  CASE status WHEN 'P' THEN {procedural('next_family', 43, 'sample_id')}
   WHEN 'F' THEN replace(shifted, chr(10)||{q(C.END_PICTURE)}, '') ELSE shifted END AS candidate,
  {OUTCOME_COLUMNS} FROM moved)"""

@@ -76,6 +76,17 @@ ORACLES["a8_shard_lookup"] = with_(
 ) + """SELECT a."index", a.client, b.split, b.shard_id, a."index"-b.lo AS "offset", b.lo IS NULL AS out_of_range
  FROM asked a LEFT JOIN bounds b ON a."index">=b.lo AND a."index"<b.hi"""
 
+ORACLES["a7_manifest_files"] = with_(
+    *SPL, SHARDS, "sizes AS (SELECT split, shard_id, count(*) AS n FROM shards GROUP BY ALL)",
+    """docs AS (SELECT 'manifest_'||split||'.json' AS file, * FROM sizes UNION ALL SELECT 'manifest_v4.json', * FROM sizes)""",
+) + """SELECT file, 'v4' AS version, sum(n) OVER (PARTITION BY file)::BIGINT AS total_samples,
+ row_number() OVER (PARTITION BY file ORDER BY split, shard_id)-1 AS "at",
+ split||'/'||split||'_shard_'||printf('%04d', shard_id) AS file_name, n AS num_samples, n AS family_total FROM docs"""
+ORACLES["a8_fetched_samples"] = with_(
+    *SPL, SHARDS, "placed AS (SELECT *, row_number() OVER (ORDER BY split, shard_id, position)-1 AS at FROM shards)",
+) + """SELECT o_orderkey*2-100 AS "index", p.split, p.shard_id, p.position%500 AS "offset", p.at IS NULL AS out_of_range,
+ p.sample_id, p.family, sha256(p.markup) AS fingerprint FROM orders LEFT JOIN placed p ON p.at=o_orderkey*2-100"""
+
 FIRST_TEXTS = "kept AS (SELECT min(doc_id) AS doc_id, arg_min(lang, doc_id) AS lang FROM documents WHERE length(text)<=4000 GROUP BY text)"
 
 
@@ -88,6 +99,11 @@ def rank_split(source, key, group=None):
 
 ORACLES["a9_dataset_manifest"] = with_(FIRST_TEXTS, rank_split("kept", "doc_id", "lang")) + """SELECT lang,
  count(*) FILTER (rk>floor(size*0.1::DOUBLE)) AS train, count(*) FILTER (rk<=floor(size*0.1::DOUBLE)) AS val FROM ranked GROUP BY lang"""
+ORACLES["a9_manifest_document"] = with_(
+    *SPL, "built AS (SELECT *, CASE WHEN cents%10=0 THEN 'external' ELSE family END AS stratum FROM sf WHERE cents%4<>0)",
+) + """SELECT 42::BIGINT AS seed, 0.1::DOUBLE AS val_ratio, 20000::BIGINT AS procedural, 2500::BIGINT AS "external", (SELECT count(*) FROM built) AS total,
+ true AS showcase_rendered, (SELECT string_agg(f, ',' ORDER BY sample_id) FROM (SELECT sample_id, sha256(markup) AS f FROM built ORDER BY sample_id LIMIT 8)) AS fingerprints,
+ stratum, count(*) FILTER (split='train') AS train, count(*) FILTER (split='val') AS val FROM built GROUP BY stratum"""
 ORACLES["a9_manifest_totals"] = with_(*SPL) + """SELECT (SELECT count(*) FROM orders) AS requested, count(*) AS kept,
  count(*) FILTER (split='train') AS train, count(*) FILTER (split='val') AS val,
  round(count(*)/(SELECT count(*) FROM orders)::DOUBLE,6) AS compile_rate FROM sf WHERE cents%4<>0"""
@@ -96,6 +112,7 @@ ORACLES["a9_fingerprint_sample"] = with_(*FIG) + """SELECT sample_id, sha256(mar
 ORACLES["a10_sample_manifest"] = with_(*FIG) + """SELECT printf('stage1_sample_%06d', sample_id) AS sample_id, family,
  cents AS seed, markup, round(cents/1000.0::DOUBLE,6) AS tensor_std, sha256(markup) AS image_sha256,
  CASE WHEN cents%4<>0 THEN 'SUCCESS' ELSE 'FAILED' END AS compilation_status FROM figures"""
+ORACLES["a11_vocabulary_object"] = with_(*VOC) + "SELECT token, idx::BIGINT AS idx FROM vocab"
 ORACLES["a11_vocabulary_round_trip"] = with_(*VOC) + "SELECT token, idx::BIGINT AS idx FROM vocab"
 
 # === Predicates and gates ====================================================================
@@ -334,9 +351,13 @@ ORACLES["e11_curriculum_draws"] = with_(
     f"dr AS (SELECT draw_id, {DRAWN} AS family FROM (SELECT draw_id, {u(42, 'draw_id', q('family'))} AS d FROM (SELECT sample_id*3+unnest(range(3)) AS draw_id FROM ord)))",
     "ps AS (SELECT family, count(*) AS size FROM pool GROUP BY family)",
     "nu AS (SELECT draw_id, dr.family, row_number() OVER (PARTITION BY dr.family ORDER BY draw_id)-1 AS k, size FROM dr LEFT JOIN ps USING (family))",
-    """pa AS (SELECT pool.sample_id, pool.family, p.pass FROM pool JOIN (SELECT family, unnest(range(max(k)//max(size)+1)) AS pass FROM nu WHERE size IS NOT NULL GROUP BY family) p USING (family))""",
-    f"ra AS (SELECT *, row_number() OVER (PARTITION BY family, pass ORDER BY {h32(42, 'sample_id', chr(39) + 'pass' + chr(39) + '||pass')}, sample_id)-1 AS slot FROM pa)",
-) + """SELECT draw_id, nu.family, k//size AS pass, ra.sample_id, CASE WHEN size IS NULL THEN 'empty_pool' END AS reason FROM nu LEFT JOIN ra ON ra.family=nu.family AND ra.pass=k//size AND ra.slot=k%size"""
+    "li AS (SELECT sample_id, family, row_number() OVER (PARTITION BY family ORDER BY sample_id)-1 AS place FROM pool)",
+    "pk AS (SELECT *, k//size AS pass, family||'/'||(k//size) AS own FROM nu)",
+    f"""ks AS (SELECT own, size, list_transform(range(24), lambda i: {h32(42, 'own', "('swap'||i)")} % size) AS ks FROM (SELECT DISTINCT own, size FROM pk WHERE size IS NOT NULL))""",
+    """mv AS (SELECT pk.*, list_reduce(list_concat([pk.k%pk.size], range(24)), lambda x, i: CASE WHEN
+ substring(md5('42:'||pk.own||':'||i||':'||greatest(x, ((ks[i+1]-x)%pk.size+pk.size)%pk.size)), 1, 1)<'8' THEN ((ks[i+1]-x)%pk.size+pk.size)%pk.size ELSE x END) AS place
+ FROM pk LEFT JOIN ks USING (own))""",
+) + """SELECT draw_id, mv.family, pass, li.sample_id, CASE WHEN size IS NULL THEN 'empty_pool' END AS reason FROM mv LEFT JOIN li ON li.family=mv.family AND li.place=mv.place"""
 ORACLES["e12_round_robin"] = f"""SELECT doc_id, ({FAMILY_LIST})[p%5+1] AS family, {h32(42, 'p', q('seed'))}%2000000000 AS seed FROM
  (SELECT doc_id, row_number() OVER (ORDER BY doc_id)-1 AS p FROM documents)"""
 TIER2 = f"tier2 AS MATERIALIZED (SELECT c_custkey AS sample_id, {compositional(42, 'c_custkey')} AS markup FROM customer)"
@@ -455,20 +476,26 @@ ORDERED = f"""(CASE WHEN greatest(len(rx),len(cx))=0 THEN 0.0::DOUBLE ELSE (coal
 MEAN_POINT = f"""(CASE WHEN least(len(rx),len(cx))=0 THEN {DIAGONAL} ELSE list_sum({GAPS})/least(len(rx),len(cx))+abs(len(rx)-len(cx)) END)"""
 ORACLES["m4_ordered_coordinate_error"] = with_(*PAIR, PT_PAIRS) + f"""SELECT sample_id, least(len(rx),len(cx)) AS compared,
  round({ORDERED},6) AS coordinate_error FROM pp"""
-# Matching by enumeration: reference points one by one, each taking an unused candidate point or
-# none, with the used ones as a bit mask. The figures hold at most four points.
+# Nodes: matching by enumeration, reference points one by one, each taking an unused candidate
+# point or none, with the used ones as a bit mask; the figures hold at most four points.
+# Compositions: the candidate has the same points but those of one statement, so the best
+# matching costs nothing beyond the missing points.
 ORACLES["m5_unordered_coordinate_error"] = with_(
     f"""nodes AS (SELECT o_orderkey AS sample_id, {family_figure('node_arrow', 42, 'o_orderkey')} AS reference,
  {family_figure('node_arrow', 42, "('m5/'||o_orderkey)")} AS candidate FROM orders)""",
     f"np AS MATERIALIZED (SELECT sample_id, {RX} AS rx, {RY} AS ry, {CX} AS cx, {CY} AS cy FROM nodes)",
+    f"""drawn AS (SELECT o_orderkey AS sample_id, {family_figure('composed', 42, 'o_orderkey')} AS whole FROM orders)""",
+    f"""parts AS (SELECT sample_id, whole AS reference, string_split(whole, chr(10))[2] AS candidate FROM drawn)""",
+    f"cp AS (SELECT sample_id, len({RX}) AS n, len({RX})-len({CX}) AS kept FROM parts)",
     """fm AS (SELECT sample_id, 0 AS i, 0::BIGINT AS used, 0 AS n, 0.0::DOUBLE AS cost FROM np UNION ALL
  SELECT f.sample_id, f.i+1, f.used+CASE WHEN j=0 THEN 0 ELSE 1::BIGINT<<(j-1) END, f.n+(j>0)::INT,
  f.cost+CASE WHEN j=0 THEN 0 ELSE sqrt((rx[f.i+1]-cx[j])*(rx[f.i+1]-cx[j])+(ry[f.i+1]-cy[j])*(ry[f.i+1]-cy[j])) END
  FROM (SELECT fm.*, rx, ry, cx, cy, unnest(range(len(cx)+1)) AS j FROM fm JOIN np USING (sample_id) WHERE i<len(rx)) f
- WHERE j=0 OR (used & (1::BIGINT<<(j-1)))=0)""", recursive=True) + f"""SELECT sample_id, 'assigned' AS matching, least(len(rx),len(cx)) AS compared_points,
+ WHERE j=0 OR (used & (1::BIGINT<<(j-1)))=0)""", recursive=True) + f"""SELECT sample_id, 'node_arrow' AS family, 'assigned' AS matching, least(len(rx),len(cx)) AS compared_points,
  round(CASE WHEN greatest(len(rx),len(cx))=0 THEN 0.0::DOUBLE WHEN least(len(rx),len(cx))=0 THEN 1.0::DOUBLE ELSE
  (min(cost)/{DIAGONAL}+abs(len(rx)-len(cx)))/greatest(len(rx),len(cx)) END,6) AS coordinate_error
- FROM fm JOIN np USING (sample_id) WHERE i=len(rx) AND n=least(len(rx),len(cx)) GROUP BY sample_id, rx, cx"""
+ FROM fm JOIN np USING (sample_id) WHERE i=len(rx) AND n=least(len(rx),len(cx)) GROUP BY sample_id, rx, cx
+ UNION ALL SELECT sample_id, 'composed', 'assigned', kept, round((n-kept)/n::DOUBLE,6) FROM cp"""
 ORACLES["m6_mean_point_distance"] = with_(*PAIR, PT_PAIRS) + f"SELECT sample_id, round({MEAN_POINT},6) AS coord_mean_error FROM pp"
 
 
@@ -546,7 +573,6 @@ SCORED = f"""scored AS MATERIALIZED (SELECT family, policy, is_successful, ssim
  {jaccard('rk', 'ck', '0.0::DOUBLE')} AS primitive_accuracy, (predicted=family)::INT::DOUBLE AS family_accuracy, predicted, {MEAN_POINT} AS coord_mean_error,
  {ORDERED} AS coordinate_error, {jaccard('rw', 'cw', '1.0::DOUBLE')} AS overlap, len(cw) AS n_words, sample_id FROM (SELECT *, {keywords('reference', C.EVALUATION_KEYWORDS)} AS rk,
  {keywords('candidate', C.EVALUATION_KEYWORDS)} AS ck, {family_of('candidate')} AS predicted, {words('reference')} AS rw, {words('candidate')} AS cw FROM pp))"""
-SCORES = (*PAIR, PT_PAIRS, SCORED)
 
 
 def family_report(token_distance, source="scored"):
@@ -558,27 +584,17 @@ def family_report(token_distance, source="scored"):
 REPORT_COLUMNS = ("mean_compilation_rate", "mean_ssim", "mean_primitive_accuracy", "mean_family_accuracy",
                   "mean_coord_mean_error", "mean_token_distance")
 ROUNDED = ", ".join(f"round({c},6) AS {c}" for c in REPORT_COLUMNS)
-ORACLES["h1_family_report"] = with_(*SCORES) + f"SELECT family, samples, {ROUNDED} FROM ({family_report('1.0::DOUBLE-overlap')})"
-ORACLES["h1_evaluation_report"] = with_(*PAIR, PT_PAIRS, SCORED, *EDIT, "sd AS (SELECT scored.*, ed.d FROM scored JOIN ed USING (sample_id))", recursive=True) + f"""
-SELECT family, samples, {ROUNDED} FROM ({family_report('d', '(SELECT * EXCLUDE (policy) FROM sd)')})"""
-ORACLES["a14_markdown_table"] = with_(*SCORES) + f"""SELECT family, printf('| `%s` | %d | %.1f%% | %.3f | %.1f%% | %.1f%% | %.3f | %.3f |', family, samples,
+MEASURED = with_(*PAIR, PT_PAIRS, SCORED, *EDIT, "sd AS (SELECT scored.*, ed.d FROM scored JOIN ed USING (sample_id))", recursive=True)
+FAMILY_REPORT = family_report('d', '(SELECT * EXCLUDE (policy) FROM sd)')
+ORACLES["h1_evaluation_report"] = MEASURED + f"SELECT family, samples, {ROUNDED} FROM ({FAMILY_REPORT})"
+ORACLES["h1_family_report"] = ORACLES["h1_evaluation_report"]
+ORACLES["a14_markdown_table"] = MEASURED + f"""SELECT family, printf('| `%s` | %d | %.1f%% | %.3f | %.1f%% | %.1f%% | %.3f | %.3f |', family, samples,
  mean_compilation_rate*100, mean_ssim, mean_primitive_accuracy*100, mean_family_accuracy*100, mean_coord_mean_error, mean_token_distance) AS line
- FROM ({family_report('1.0::DOUBLE-overlap')}) WHERE family<>'overall'"""
-
-DIAGNOSTICS = f"""diag AS (SELECT policy, coalesce(family,'overall') AS family, count(*) AS samples, avg(is_successful::INT) AS compilation_rate,
- avg(raw_ssim) AS ssim_mean, avg(coordinate_error) AS coordinate_error_mean, avg(1.0::DOUBLE-overlap) AS token_distance_mean, avg(overlap/2.0::DOUBLE) AS graph_distance_mean,
- stddev_pop(raw_ssim) AS ssim_std, stddev_pop(coordinate_error) AS coordinate_error_std, stddev_pop(1.0::DOUBLE-overlap) AS token_distance_std,
- stddev_pop(overlap/2.0::DOUBLE) AS graph_distance_std, avg(overlap) AS token_overlap_mean, avg(family_accuracy) AS family_accuracy,
- count(*) FILTER ({COLLAPSED})/greatest(1, count(*) FILTER (family<>'line_segment'))::DOUBLE AS collapse_rate,
- avg(contains(candidate, {q(C.END_PICTURE)})::INT) AS eos_rate, sum(n_words%3)/sum(n_words)::DOUBLE AS unk_rate, avg(n_words) AS mean_length,
- sum(least(len(rx),len(cx)))::BIGINT AS points_compared FROM scored GROUP BY GROUPING SETS ((policy),(policy,family)))"""
+ FROM ({FAMILY_REPORT}) WHERE family<>'overall'"""
+
 DIAG_COLUMNS = ("compilation_rate", "ssim_mean", "coordinate_error_mean", "token_distance_mean", "graph_distance_mean", "ssim_std",
                 "coordinate_error_std", "token_distance_std", "graph_distance_std", "token_overlap_mean", "family_accuracy",
                 "collapse_rate", "eos_rate", "unk_rate", "mean_length")
-ORACLES["h2_diagnostics_report"] = with_(*SCORES, DIAGNOSTICS) + f"""SELECT policy, family, samples, points_compared,
- {', '.join(f'round({c},6) AS {c}' for c in DIAG_COLUMNS)} FROM diag"""
-ORACLES["a13_summary_json"] = with_(*SCORES, DIAGNOSTICS) + """SELECT policy, family, samples AS sample_count, round(ssim_mean,6) AS ssim_mean,
- round(ssim_std,6) AS ssim_std, round(eos_rate,6) AS eos_rate FROM diag"""
 # The detailed records: candidates are sanitized before they are scored, token distances run over
 # words, and ids come from the raw candidate.
 SANE = f"""pairs AS MATERIALIZED (SELECT * REPLACE ({sanitized('candidate')} AS candidate), candidate AS raw_candidate FROM raw)"""
@@ -587,7 +603,7 @@ EMITTED = f"""em AS (SELECT r.sample_id, contains(raw_candidate, {q(C.END_PICTUR
 IDS = """un2 AS (SELECT sample_id, count(*) FILTER (idx IS NULL) AS unk FROM (SELECT sample_id, unnest(t[:510]) AS token FROM em) LEFT JOIN vocab USING (token) GROUP BY ALL)"""
 RECORDS = (*PAIR[:-1], PAIR[-1].replace("pairs AS", "raw AS", 1), *(c for c in VOC if c not in PAIR), SANE, PT_PAIRS, SCORED,
            *WORD_EDIT, *GRAPH, EMITTED, IDS,
-           f"""rec AS MATERIALIZED (SELECT s.family, s.sample_id, s.policy, s.is_successful, s.ssim, s.coordinate_error, least(len(s.rx),len(s.cx)) AS compared,
+           f"""rec AS MATERIALIZED (SELECT s.family, s.sample_id, p.seed, s.policy, s.is_successful, s.ssim, s.coordinate_error, least(len(s.rx),len(s.cx)) AS compared,
  ed.d AS token_ged, gd.d AS graph_ged, s.overlap, s.predicted, (s.predicted='line_segment' AND s.family<>'line_segment') AS collapsed, s.family_accuracy,
  len(em.t)+1+ended::INT AS total_length, ended, coalesce(unk,0) AS unk, p.raw_candidate, p.candidate AS sane, p.log FROM scored s
  JOIN ed USING (sample_id) JOIN gd USING (sample_id) JOIN em USING (sample_id) LEFT JOIN un2 USING (sample_id) JOIN pairs p ON p.sample_id=s.sample_id)""")
@@ -597,7 +613,7 @@ def parens(text):
     return f"abs((length({text})-length(replace({text}, '(', '')))-(length({text})-length(replace({text}, ')', ''))))"
 
 
-ORACLES["a12_detailed_csv"] = with_(*RECORDS, recursive=True) + f"""SELECT family, sample_id AS sample_index, sample_id AS seed, policy,
+ORACLES["a12_detailed_csv"] = with_(*RECORDS, recursive=True) + f"""SELECT family, sample_id AS sample_index, seed, policy,
  is_successful AS compilation_successful, printf('%.4f', ssim) AS ssim, printf('%.4f', coordinate_error) AS coordinate_error, compared AS coordinate_points_compared,
  array_to_string({COMMANDS.replace('candidate', 'sane')}, '|') AS emitted_primitives, printf('%.4f', token_ged) AS token_ged, printf('%.4f', graph_ged) AS graph_ged,
  printf('%.4f', overlap) AS token_overlap, predicted AS predicted_family, collapsed AS is_line_segment_collapsed, total_length, total_length AS length_to_eos,
@@ -610,6 +626,19 @@ ORACLES["a13_family_summary"] = with_(*RECORDS, recursive=True) + f"""SELECT fam
  printf('%.4f', count(*) FILTER (collapsed)/greatest(1, count(*) FILTER (family<>'line_segment'))::DOUBLE) AS collapse_rate,
  printf('%.4f', avg(ended::INT)) AS eos_rate, printf('%.4f', sum(unk)/sum(total_length)::DOUBLE) AS unk_rate, printf('%.2f', avg(total_length)) AS mean_length
  FROM rec GROUP BY family, policy"""
+DIAGNOSTICS = """diag AS (SELECT policy, coalesce(family,'overall') AS family, count(*) AS samples, avg(is_successful::INT) AS compilation_rate,
+ avg(ssim) AS ssim_mean, avg(coordinate_error) AS coordinate_error_mean, avg(token_ged) AS token_distance_mean, avg(graph_ged) AS graph_distance_mean,
+ stddev_pop(ssim) AS ssim_std, stddev_pop(coordinate_error) AS coordinate_error_std, stddev_pop(token_ged) AS token_distance_std,
+ stddev_pop(graph_ged) AS graph_distance_std, avg(overlap) AS token_overlap_mean, avg(family_accuracy) AS family_accuracy,
+ count(*) FILTER (collapsed)/greatest(1, count(*) FILTER (family<>'line_segment'))::DOUBLE AS collapse_rate,
+ avg(ended::INT) AS eos_rate, sum(unk)/sum(total_length)::DOUBLE AS unk_rate, avg(total_length) AS mean_length,
+ sum(compared)::BIGINT AS points_compared FROM rec GROUP BY GROUPING SETS ((policy),(policy,family)))"""
+ORACLES["h2_diagnostics_report"] = with_(*RECORDS, DIAGNOSTICS, recursive=True) + f"""SELECT policy, family, samples, points_compared,
+ {', '.join(f'round({c},6) AS {c}' for c in DIAG_COLUMNS)} FROM diag"""
+ORACLES["a13_summary_json"] = with_(*RECORDS, DIAGNOSTICS, recursive=True) + """SELECT policy, family, samples AS sample_count, round(ssim_mean,6) AS ssim_mean,
+ round(ssim_std,6) AS ssim_std, round(token_distance_mean,6) AS token_ged_mean, round(token_distance_std,6) AS token_ged_std,
+ round(graph_distance_mean,6) AS graph_ged_mean, round(graph_distance_std,6) AS graph_ged_std, round(compilation_rate,6) AS compilation_rate,
+ round(eos_rate,6) AS eos_rate, round(unk_rate,6) AS unk_rate, round(mean_length,6) AS mean_length_to_eos FROM diag"""
 RUNS = f"""runs AS (SELECT {POLICY} AS model, CASE status WHEN 'O' THEN 'tier1' WHEN 'F' THEN 'tier2' ELSE 'tier3' END AS tier, custkey%3 AS seed,
  avg(cents%1009/1008.0::DOUBLE) AS corpus_bleu, avg(cents%2003/2002.0::DOUBLE) AS mean_geometric_edit_distance, avg(cents%3001/3000.0::DOUBLE) AS mean_graph_edit_distance,
  avg((cents%4<>0)::INT) AS compilation_rate, avg(cents%10007/10006.0::DOUBLE) AS mean_ssim FROM ord GROUP BY ALL)"""

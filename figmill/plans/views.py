@@ -127,6 +127,7 @@ def predicted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "family",
         _mapped(F.col("priority"), POLICIES).alias("policy"),
         _mapped(F.col("status"), TIERS).alias("tier"),
+        F.col("cents").alias("seed"),
         F.col("markup").alias("reference"),
         candidate.alias("candidate"),
         *_outcome_columns(),
@@ -149,6 +150,37 @@ def _outcome_columns() -> list[Column]:
     ]
 
 
+def unordered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage_once(spark, "unordered_pairs", sf_dir, lambda: rearranged_pairs(spark, sf_dir))
+
+
+def rearranged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every order a node figure with another one, and a composed figure with itself: its
+    statements reversed and without the first."""
+    key = F.col("sample_id")
+
+    def drawn(family: str, drawn_key: Column) -> Column:
+        return G.procedural_markup(F.lit(family), SEED, drawn_key)
+
+    keys = spread(orders(spark, sf_dir).select("sample_id"), "sample_id")
+    nodes = keys.select(
+        "sample_id", F.lit("node_arrow").alias("family"),
+        drawn("node_arrow", key).alias("reference"),
+        drawn("node_arrow", F.concat(F.lit("m5/"), key.cast("string"))).alias("candidate"),
+    )
+    lines = F.split("reference", "\n")
+    statements = F.reverse(F.slice(lines, F.lit(3), F.size(lines) - 3))
+    composed = keys.select(
+        "sample_id", F.lit("composed").alias("family"), drawn("composed", key).alias("reference")
+    ).withColumn(
+        "candidate",
+        F.array_join(
+            F.concat(F.slice(lines, 1, 1), statements, F.slice(lines, -1, 1)), "\n"
+        ),
+    )
+    return nodes.unionByName(composed)
+
+
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Render outcomes: a quarter fail, half of those for a missing file."""
     return orders(spark, sf_dir).select(

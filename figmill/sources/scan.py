@@ -20,18 +20,34 @@ def read_shards(
     """Shards ``start <= i < count`` of a path template such as ``.../part-{index:05d}.parquet``.
 
     Missing and unreadable shards are skipped. ``scan_pos`` numbers rows in the order of the shard
-    index, padded or not; with ``max_rows`` only the first ones are kept.
+    index, padded or not. With ``max_rows`` only the first ones are kept: row counts come from the
+    files' footers, and only files that hold a wanted row are opened again.
     """
     if not 0 <= start < count:
-        raise ValueError(f"Need 0 <= start < count. Got {start}, {count}.")
-    paths = [template.format(index=i) for i in range(start, count)]
-    rows = (
+        raise ValueError(f"No shard lies from {start} to before {count}.")
+    if max_rows is not None and max_rows < 0:
+        raise ValueError(f"max_rows must not be negative. Got {max_rows}.")
+    reader = (
         spark.read.schema(schema)
         .option("ignoreMissingFiles", True)
         .option("ignoreCorruptFiles", True)
-        .parquet(*_existing(spark, paths))
     )
-    return numbered_scan(rows, max_rows, _shard_index(template))
+    paths = [template.format(index=i) for i in range(start, count)]
+    rows = reader.parquet(*_existing(spark, paths))
+    starts = _file_starts(rows, _shard_index(template))
+    if max_rows is None:
+        return _numbered(rows, starts)
+    wanted = starts.filter(F.col("_start") < max_rows).select("_path").collect()
+    if not wanted:
+        return _numbered(rows.limit(0), starts)
+    first = reader.parquet(*_plain_paths(spark, [r["_path"] for r in wanted]))
+    return _numbered(first, starts).filter(F.col("scan_pos") < max_rows)
+
+
+def _plain_paths(spark: SparkSession, locations: list[str]) -> list[str]:
+    """File locations, which are escaped like addresses, as paths to read."""
+    jvm = spark.sparkContext._jvm
+    return [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(x)).toString() for x in locations]
 
 
 def _existing(spark: SparkSession, paths: list[str]) -> list[str]:
@@ -54,35 +70,39 @@ def _shard_index(template: str) -> Column:
     if placeholder is None:
         return F.lit(0)
     name = re.escape("/" + before.rpartition("/")[2]) + r"(\d+)" + re.escape(after.split("/")[0])
-    return F.regexp_extract("_path", name, 1).cast("long")
+    return F.regexp_extract(unescaped(F.col("_path")), name, 1).cast("long")
 
 
-def numbered_scan(
-    rows: DataFrame, max_rows: int | None = None, shard: Column | None = None
-) -> DataFrame:
-    """Add ``scan_pos`` by shard, file path and row index, the order in which shards are scanned.
+def unescaped(location: Column) -> Column:
+    """A file location without its escapes; a plus sign is itself."""
+    return F.url_decode(F.replace(location, F.lit("+"), F.lit("%2B")))
 
-    ``shard`` is a number derived from the file path ``_path``.
-    """
-    located = rows.select(
-        "*",
-        F.col("_metadata.file_path").alias("_path"),
-        F.col("_metadata.row_index").alias("_index"),
-    )
-    sizes = located.groupBy("_path").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.withColumn("_shard", F.lit(0) if shard is None else shard)
+
+def _file_starts(rows: DataFrame, shard: Column) -> DataFrame:
+    """``_path, _start``: rows before each file by shard and file path. No column is read, so the
+    counts come from footers; files without readable rows do not occur."""
+    sizes = rows.select(F.col("_metadata.file_path").alias("_path"))
+    sizes = sizes.groupBy("_path").agg(F.count(F.lit(1)).alias("_n")).withColumn("_shard", shard)
     window = W.partitionBy(F.lit(0)).orderBy("_shard", "_path")  # one row per file
     starts = sizes.withColumn(
         "_start",
         F.sum("_n").over(window.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_n"),
     )
-    starts = stage(starts.select("_path", "_start"), "shard-starts")
-    numbered = (
+    return stage(starts.select("_path", "_start"), "shard-starts")
+
+
+def _numbered(rows: DataFrame, starts: DataFrame) -> DataFrame:
+    """Add ``scan_pos``, the order in which shards are scanned."""
+    located = rows.select(
+        "*",
+        F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.row_index").alias("_index"),
+    )
+    return (
         located.join(starts, "_path")
         .withColumn("scan_pos", F.col("_start") + F.col("_index"))
         .drop("_path", "_index", "_start")
     )
-    return numbered if max_rows is None else numbered.filter(F.col("scan_pos") < max_rows)
 
 
 def read_documents(spark: SparkSession, folders: list[str], glob: str = "*.tex") -> DataFrame:
@@ -107,7 +127,7 @@ def document_blocks(documents: DataFrame) -> DataFrame:
 def external_candidates(spark: SparkSession, folders: list[str], cap: int) -> DataFrame:
     """Distinct pictures within budget, in path order, at most ``cap``."""
     if cap <= 0:
-        raise ValueError(f"cap must be positive. Got {cap}.")
+        raise ValueError(f"A cap of {cap} keeps no picture.")
     blocks = document_blocks(read_documents(spark, folders)).filter(within_budget("markup"))
     placed = blocks.withColumn("_at", F.struct("path", "block_no"))
     unique = first_occurrences(placed, "markup", "_at", ["path", "block_no", "markup"])

@@ -1,6 +1,6 @@
 """Sinks: splits, shards, manifests, vocabularies, records and report tables."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,8 +14,8 @@ from figmill.operators.report import (
     multitier_lines,
     whole_table,
 )
-from figmill.sources.scan import numbered_samples
-from figmill.sources.staging import stage
+from figmill.sources.scan import numbered_samples, unescaped
+from figmill.sources.staging import moved, removed, stage
 
 MANIFEST_VERSION = "v4"
 #: Shards are summed in blocks of a thousand, these in blocks of a thousand again.
@@ -30,22 +30,48 @@ def write_splits(samples: DataFrame, path: str, key: str = "sample_id") -> None:
 def sharded(samples: DataFrame, shard_size: int, key: str = "sample_id") -> DataFrame:
     """Number the samples of every split and cut them into shards of ``shard_size``."""
     if shard_size <= 0:
-        raise ValueError(f"shard_size must be positive. Got {shard_size}.")
+        raise ValueError(f"Shards of {shard_size} samples hold nothing.")
     numbered = numbered_samples(samples, key)
     return numbered.withColumn("shard_id", F.floor(F.col("position") / shard_size).cast("long"))
 
 
 def write_shards(samples: DataFrame, path: str, shard_size: int, key: str = "sample_id") -> None:
-    """One file per shard. Shards, not splits, spread the rows, so one big split still
-    writes in parallel."""
+    """One file per shard, named as the manifest says: ``<split>/<split>_shard_0000.parquet``.
+
+    Shards, not splits, spread the rows, and a task writes all its shards of a split one after
+    another: each is full but the last of the split, so a file ends where a shard does. Then the
+    files get their names.
+    """
+    spark = samples.sparkSession
+    removed(spark, path)
+    parts = f"{path}/parts"
     (
         sharded(samples, shard_size, key)
+        .withColumn("folder", F.col("split"))
         .repartition("split", "shard_id")
-        .sortWithinPartitions("split", "shard_id", "position")
-        .write.partitionBy("split", "shard_id")
-        .mode("overwrite")
-        .parquet(path)
+        .sortWithinPartitions("folder", "shard_id", "position")
+        .write.partitionBy("folder")
+        .option("maxRecordsPerFile", shard_size)
+        .parquet(parts)
     )
+    written = spark.read.schema("split string, shard_id bigint").option(
+        "recursiveFileLookup", True
+    ).parquet(parts)
+    files = written.groupBy(F.col("_metadata.file_path").alias("file")).agg(
+        F.min("split").alias("split"), F.min("shard_id").alias("shard_id")
+    )
+    names = files.select("file", _shard_file_name().alias("name")).toLocalIterator()
+    moved(spark, [(r["file"], f"{path}/{r['name']}.parquet") for r in names])
+    removed(spark, parts)
+
+
+def read_written_shards(spark: SparkSession, path: str) -> DataFrame:
+    """All samples of ``write_shards``."""
+    return spark.read.option("recursiveFileLookup", True).parquet(path)
+
+
+def _shard_file_name() -> Column:
+    return F.format_string("%1$s/%1$s_shard_%2$04d", "split", "shard_id")
 
 
 def shard_manifest(shards: DataFrame) -> DataFrame:
@@ -55,9 +81,8 @@ def shard_manifest(shards: DataFrame) -> DataFrame:
         *[F.count_if(F.col("family") == f).alias(f"_{f}") for f in C.FAMILIES],
     )
     families = F.create_map(*[p for f in C.FAMILIES for p in (F.lit(f), F.col(f"_{f}"))])
-    name = F.format_string("%1$s/%1$s_shard_%2$04d", "split", "shard_id")
     return counts.select(
-        "split", "shard_id", name.alias("file_name"), "num_samples", families.alias("family_counts")
+        "split", "shard_id", _shard_file_name().alias("file_name"), "num_samples", families.alias("family_counts")
     )
 
 
@@ -92,6 +117,87 @@ def manifest_json(manifest: DataFrame, image_size: int, max_length: int) -> Data
     return heads.unionByName(lines)
 
 
+def write_documents(fragments: DataFrame, path: str) -> None:
+    """Text files ``path/<name>`` from fragments ``name, part, text``, joined in order of ``part``.
+
+    A document is written by one task that passes its fragments on one by one, so it may be long,
+    but neither a cell nor a task holds it.
+    """
+    spark = fragments.sparkSession
+    parts = f"{path}/parts"
+    (
+        fragments.select("name", "part", "text", F.col("name").alias("folder"))
+        .repartition("name")
+        .sortWithinPartitions("folder", "part")
+        .select("text", "folder")
+        .write.partitionBy("folder")
+        .option("lineSep", "\n")
+        .mode("overwrite")
+        .text(parts)
+    )
+    listed = spark.read.option("recursiveFileLookup", True).text(parts)
+    folder = F.regexp_extract("file", "/folder=([^/]*)/[^/]*$", 1)
+    files = listed.select(F.col("_metadata.file_path").alias("file")).distinct()
+    names = files.select("file", unescaped(unescaped(folder)).alias("name")).collect()
+    for row in names:
+        removed(spark, f"{path}/{row['name']}")
+    moved(spark, [(r["file"], f"{path}/{r['name']}") for r in names])
+    removed(spark, parts)
+
+
+def _joined_items(items: DataFrame, openings: DataFrame, closing: str) -> DataFrame:
+    """Fragments of JSON documents from ``name, part, text`` items, the first without a comma, and
+    the ``name, opening`` of each document."""
+    firsts = items.groupBy("name").agg(F.min("part").alias("_first"))
+    comma = F.when(F.col("part") == F.col("_first"), "").otherwise(",")
+    body = items.join(firsts, "name").select("name", "part", F.concat(comma, "text").alias("text"))
+    ends = openings.select(
+        "name",
+        F.inline(
+            F.array(
+                F.struct(F.lit(-1).cast("long").alias("part"), F.col("opening").alias("text")),
+                F.struct(F.lit((1 << 63) - 1).alias("part"), F.lit(closing).alias("text")),
+            )
+        ),
+    )
+    return body.unionByName(ends)
+
+
+def write_manifests(manifest: DataFrame, path: str, image_size: int, max_length: int) -> None:
+    """``manifest_<split>.json`` of every split and the master ``manifest_v4.json``, each one JSON
+    document with its totals and the list of its shards in order."""
+    scopes = manifest.withColumn("scope", F.explode(F.array(F.col("split"), F.lit(MANIFEST_VERSION))))
+    named = scopes.withColumn("name", F.format_string("manifest_%s.json", "scope"))
+    order = W.partitionBy(F.lit(0)).orderBy("split")  # a row per split
+    splits = manifest.select("split").distinct().withColumn("at", F.row_number().over(order))
+    shard = F.to_json(F.struct("shard_id", "file_name", "num_samples", "family_counts"))
+    items = named.join(splits, "split").select(
+        "name", (F.col("at") * F.lit(1 << 40) + F.col("shard_id")).alias("part"), shard.alias("text")
+    )
+    head = F.struct(
+        F.lit(MANIFEST_VERSION).alias("version"), F.lit(image_size).alias("image_size"),
+        F.lit(max_length).alias("max_length"), "total_samples",
+    )
+    openings = named.groupBy("name").agg(F.sum("num_samples").alias("total_samples")).select(
+        "name", F.concat(F.rtrim(F.to_json(head), F.lit("}")), F.lit(',"shards":[')).alias("opening")
+    )
+    write_documents(_joined_items(items, openings, "]}"), path)
+
+
+MANIFEST_DOCUMENT = (
+    "version string, image_size int, max_length int, total_samples bigint, shards array<struct<"
+    "shard_id: bigint, file_name: string, num_samples: bigint, family_counts: map<string, bigint>>>"
+)
+
+
+def read_manifests(spark: SparkSession, path: str) -> DataFrame:
+    """``file`` and the content of the manifests of ``write_manifests``."""
+    files = spark.read.schema(MANIFEST_DOCUMENT).option("multiLine", True).option(
+        "pathGlobFilter", "manifest_*.json"
+    ).json(path)
+    return files.select(F.regexp_extract("_metadata.file_path", "([^/]*)$", 1).alias("file"), "*")
+
+
 # Fields of a manifest's head and of its shard lines.
 MANIFEST_SCHEMA = (
     "version string, image_size int, max_length int, total_samples bigint, total_shards bigint, "
@@ -154,6 +260,65 @@ def shard_lookup(manifest: DataFrame, requests: DataFrame, index: str = "index")
     )
 
 
+def fetched_samples(shards: DataFrame, located: DataFrame, shard_size: int) -> DataFrame:
+    """The samples that the rows of ``shard_lookup`` point at; requests out of range stay, empty.
+
+    ``shards`` are written samples with ``split, shard_id, position``.
+    """
+    placed = shards.withColumn("offset", F.col("position") % F.lit(shard_size)).drop("position")
+    return located.join(placed, ["split", "shard_id", "offset"], "left")
+
+
+def dataset_manifest(
+    samples: DataFrame, requested: dict[str, int], seed: int, ratio: float, showcase_ok: bool,
+    stratum: str = "stratum", order: str = "sample_id", content: str = "markup",
+) -> DataFrame:
+    """The manifest of a built corpus as one JSON document ``name, part, text``.
+
+    ``samples`` are the kept samples with their ``split``. Only counts per stratum and the
+    fingerprints of the first samples get in, so the document has a fixed size.
+    """
+    strata = split_manifest(samples, stratum).select(
+        F.col(stratum).alias("name"), "train", "val"
+    )
+    listed = strata.agg(
+        F.sum(F.col("train") + F.col("val")).alias("total"),
+        F.sum("train").alias("train"),
+        F.sum("val").alias("val"),
+        F.map_from_entries(
+            F.array_sort(F.collect_list(F.struct("name", F.struct("train", "val"))))
+        ).alias("strata"),
+    )
+    prints = fingerprint_sample(samples, order, content).agg(
+        F.array_sort(F.collect_list(F.struct(order, "fingerprint"))).alias("first")
+    )
+    document = F.struct(
+        F.lit(seed).alias("seed"),
+        F.lit(ratio).alias("val_ratio"),
+        F.struct(*[F.lit(n).cast("long").alias(k) for k, n in requested.items()]).alias("requested"),
+        F.struct("total", "train", "val").alias("rendered"),
+        "strata",
+        F.lit(showcase_ok).alias("showcase_rendered"),
+        F.transform("first", lambda p: p["fingerprint"]).alias("fingerprints_sample"),
+    )
+    return listed.join(prints).select(  # one row each
+        F.lit("manifest.json").alias("name"), F.lit(0).cast("long").alias("part"),
+        F.to_json(document).alias("text"),
+    )
+
+
+DATASET_DOCUMENT = (
+    "seed bigint, val_ratio double, requested struct<procedural: bigint, external: bigint>, "
+    "rendered struct<total: bigint, train: bigint, val: bigint>, "
+    "strata map<string, struct<train: bigint, val: bigint>>, showcase_rendered boolean, "
+    "fingerprints_sample array<string>"
+)
+
+
+def read_dataset_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(DATASET_DOCUMENT).option("multiLine", True).json(f"{path}/manifest.json")
+
+
 def split_manifest(samples: DataFrame, stratum: str, splits=("train", "val")) -> DataFrame:
     """Rows per stratum and split."""
     return samples.groupBy(stratum).agg(
@@ -223,6 +388,17 @@ def vocabulary_documents(vocabulary: DataFrame, block: int = 4096) -> DataFrame:
     )
 
 
+def write_vocabulary_object(vocabulary: DataFrame, path: str, name: str = "vocabulary.json") -> None:
+    """The vocabulary as one JSON object ``{token: id}`` in order of the ids."""
+    quoted = F.to_json(F.array("token"))
+    entry = F.concat(quoted.substr(F.lit(2), F.length(quoted) - 2), F.lit(":"), F.col("idx").cast("string"))
+    items = vocabulary.select(
+        F.lit(name).alias("name"), F.col("idx").cast("long").alias("part"), entry.alias("text")
+    )
+    openings = items.select("name", F.lit("{").alias("opening")).distinct()
+    write_documents(_joined_items(items, openings, "}"), path)
+
+
 def read_vocabulary_object(spark: SparkSession, path: str) -> DataFrame:
     """Read a vocabulary that is stored as one JSON object ``{token: id}``."""
     whole = spark.read.text(path, wholetext=True).withColumnRenamed("value", "document")

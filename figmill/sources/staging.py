@@ -60,6 +60,21 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return [entry.getPath().getName() for entry in files.listStatus(place)]
 
 
+def moved(spark: SparkSession, renames: list[tuple[str, str]]) -> None:
+    """Rename files, given by their escaped locations, making the folders they go to. Only names
+    change hands, not data."""
+    jvm, made = spark.sparkContext._jvm, set()
+    for old, new in renames:
+        source = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(old))
+        files, target = _files(spark, new)
+        parent = target.getParent().toString()
+        if parent not in made:
+            files.mkdirs(target.getParent())
+            made.add(parent)
+        if not files.rename(source, target):
+            raise OSError(f"Could not rename '{old}' to '{new}'.")
+
+
 def _files(spark: SparkSession, path: str):
     """The file system of a path and the path as it wants it."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -113,6 +113,34 @@ def test_curriculum_draws(spark):
     assert all(len(passes[("polygon", p)]) == 3 for f, p in passes if f == "polygon" and ("polygon", p + 1) in passes)
 
 
+def test_permuted_places_are_bijections(spark):
+    """Every size gives a permutation, passes give different ones."""
+    sizes = [1, 2, 3, 5, 8, 97, 500]
+    rows = spark.createDataFrame([(n, p) for n in sizes for p in range(3)], "size bigint, pass bigint")
+    own = F.concat_ws("/", F.lit("f"), F.col("pass").cast("string"))
+    keyed = rows.withColumn("keys", E.swap_keys(9, own, F.col("size"))).withColumn("at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1)))
+    moved = keyed.select("size", "pass", "at", E.permuted_place(F.col("at"), F.col("size"), F.col("keys"), 9, own).alias("to"))
+    found = {}
+    for r in moved.collect():
+        found.setdefault((r["size"], r["pass"]), {})[r["at"]] = r["to"]
+    assert all(sorted(m.values()) == list(range(n)) == sorted(m) for (n, _), m in found.items())
+    assert found[500, 0] != found[500, 1] != found[500, 2]
+    fixed = sum(a == b for a, b in found[500, 0].items())
+    near = sum(abs(found[500, 0][a] - found[500, 0][a + 1]) < 25 for a in range(499))
+    assert fixed < 10 and 20 < near < 90  # as many as chance gives
+
+
+def test_draws_permute_every_pass_of_a_pool(spark):
+    """Whole passes hold every sample once, in an order that is not the pool's."""
+    pool = spark.range(50).select((F.col("id") * 7).alias("sample_id"), F.lit("polygon").alias("family"))
+    weights = [1.0 if f == "polygon" else 0.0 for f in C.FAMILIES]
+    rows = E.curriculum_draws(pool, spark.range(120).withColumnRenamed("id", "draw_id"), weights, 3).orderBy("draw_id").collect()
+    drawn = [r["sample_id"] for r in rows]
+    for first in (0, 50):
+        assert sorted(drawn[first : first + 50]) == list(range(0, 350, 7)) != drawn[first : first + 50]
+    assert drawn[:50] != drawn[50:100] and len(set(drawn[100:])) == 20
+
+
 def test_independence(spark):
     test = spark.createDataFrame([(1, "a"), (2, "b")], "id int, t string")
     train = spark.createDataFrame([(3, "b"), (4, "b")], "id int, t string")

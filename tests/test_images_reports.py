@@ -95,6 +95,24 @@ def test_ssim(spark):
         I.ssim(both, window=4)
 
 
+def test_ssim_in_tiles(spark, monkeypatch):
+    """Images over several tiles down and across, and one 4,096 wide."""
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(I, "_TILE_LINES", 16)
+    monkeypatch.setattr(I, "_TILE_WIDTH", 7)
+    shapes = [(40, 33), (11, 11), (16, 17), (27, 18)]
+    images = [(rng.random(s), rng.random(s)) for s in shapes]
+    left, right = (lines(spark, *[p[k] for p in images]).withColumnRenamed("pixels", "ab"[k]) for k in (0, 1))
+    found = {r["image_id"]: r["ssim"] for r in I.ssim(left.join(right, ["image_id", "channel", "y"])).collect()}
+    assert found == {n: pytest.approx(brute_ssim(a, b)) for n, (a, b) in enumerate(images)}
+    monkeypatch.undo()
+    a, b = rng.random((12, 4096)), rng.random((12, 4096))
+    wide = lines(spark, a).withColumnRenamed("pixels", "a").join(
+        lines(spark, b).withColumnRenamed("pixels", "b"), ["image_id", "channel", "y"]
+    )
+    assert I.ssim(wide).first()["ssim"] == pytest.approx(brute_ssim(a, b))
+
+
 def test_mean_std_text(one):
     assert one(H.mean_std_text(F.lit(0.85432), F.lit(0.01234)), x=1) == "0.854 \\pm 0.012"
     assert one(H.fixed_text(F.lit(0.125), 2), x=1) == "0.12"

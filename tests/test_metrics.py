@@ -118,53 +118,118 @@ def test_alignment_matches_brute_force():
         assert g == pytest.approx(brute_distance(a, b), abs=1e-12)
 
 
-def test_assignment_matches_brute_force():
-    rng = np.random.default_rng(0)
-    for _ in range(300):
-        m, n = (int(v) for v in rng.integers(1, 6, 2))
-        cost = np.round(rng.random((m, n)), 1)
-        rows, columns = A.cheapest_assignment(cost)
-        short, long, at = (m, n, lambda i, j: cost[i, j]) if m <= n else (n, m, lambda i, j: cost[j, i])
-        best = min(sum(at(i, p[i]) for i in range(short)) for p in itertools.permutations(range(long), short))
-        assert cost[rows, columns].sum() == pytest.approx(best)
-        assert len(set(rows)) == len(set(columns)) == min(m, n)
+def test_equal_pairs_are_aligned_once(monkeypatch):
+    """Half of the batch are copies: half of the cells are computed, all rows get their distance."""
+    rng = random.Random(4)
+    words = ["(1,2)", "(3,4)", "a", "b", "draw"]
+    pairs = [([rng.choice(words) for _ in range(rng.randrange(30))], [rng.choice(words) for _ in range(rng.randrange(30))]) for _ in range(200)]
+    kind, cells = pa.list_(pa.string()), []
+    whole = A._align_block
+    monkeypatch.setattr(A, "_align_block", lambda r, c, lengths, scale: cells.append(int((lengths[0] * lengths[1]).sum())) or whole(r, c, lengths, scale))
+
+    def aligned(rows):
+        cells.clear()
+        out = A.align_batch(*(pa.array([p[k] for p in rows], kind) for k in (0, 1)), SCALE).to_pylist()
+        return out, sum(cells)
+
+    once, cost = aligned(pairs)
+    twice, same = aligned(pairs + pairs[::-1])
+    assert same == cost and twice == once + once[::-1]
+    assert len({tuple(m) for m in A._row_marks(np.array([1, 2, 2, 1, 1]), np.array([0, 2, 4, 5, 5]))}) == 4
+
+
+@pytest.mark.parametrize("decimals", [1, 6])
+def test_assignment_matches_brute_force(decimals):
+    """Stacks of one size, with and without ties, by trial and by augmenting paths."""
+    rng = np.random.default_rng(decimals)
+    for n in range(1, 7):
+        for m in range(1, n + 1):
+            cost = np.round(rng.random((40, m, n)), decimals)
+            for solve in (A.cheapest_assignments, A._augmented):
+                columns = solve(cost)
+                for own, picked in zip(cost, columns):
+                    best = min(sum(own[i, p[i]] for i in range(m)) for p in itertools.permutations(range(n), m))
+                    assert own[np.arange(m), picked].sum() == pytest.approx(best)
+                    assert len(set(picked.tolist())) == m
+
+
+def test_assignment_of_large_and_negative_matrices():
+    rng = np.random.default_rng(3)
+    hidden = rng.permutation(60)[:50]
+    cost = rng.random((5, 50, 60)) + 1.0
+    cost[:, np.arange(50), hidden] = -1.0
+    assert (A.cheapest_assignments(cost) == hidden).all()
+    assert A.cheapest_assignments(np.zeros((0, 3, 5))).shape == (0, 3)
+    with pytest.raises(ValueError):
+        A.cheapest_assignments(np.zeros((1, 3, 2)))
 
 
-def graph(one, left, right):
-    column = M.graph_edit_distance(X.primitives("l"), X.primitives("r"))
-    return one(column, l=left, r=right)
+def graph(spark, pairs):
+    frame = spark.createDataFrame(list(enumerate(pairs)), "n int, p struct<reference: string, candidate: string>")
+    scored = M.graph_distances(frame.select("n", "p.*"))
+    return [r["graph_distance"] for r in scored.orderBy("n").collect()]
 
 
-def test_graph_distance(one):
+def test_graph_distance(spark):
     a = "\\draw (0,0) -- (1,1); \\fill (2,2) circle (1); \\node at (3,3) {A};"
     b = "\\node at (3,3) {A}; \\draw (0,0) -- (1,1); \\fill (2,2) circle (1);"
-    assert graph(one, a, b) == pytest.approx(0.0)
-    assert graph(one, "", "") == 0.0 and graph(one, a, "") == 1.0 and graph(one, "", a) == 1.0
-    assert graph(one, "\\draw (0,0);", "\\fill (0,0);") == 1.0
-    near = graph(one, "\\draw (0,0);", "\\draw (0.1,0);")
-    far = graph(one, "\\draw (0,0);", "\\draw (4,4);")
-    assert 0 < near < far <= 1
-
-
-def test_graph_distance_matches_full_matching():
+    four = "".join(f"\\draw ({x},0) -- ({x},1);" for x in range(4))
+    back = "".join(f"\\draw ({x},0) -- ({x},1);" for x in (3, 1, 0))
+    got = graph(
+        spark,
+        [
+            (a, b), ("", ""), (a, ""), ("", a), ("\\draw (0,0);", "\\fill (0,0);"),
+            ("\\draw (0,0);", "\\draw (0.1,0);"), ("\\draw (0,0);", "\\draw (4,4);"),
+            (four, back), (None, a), (None, None),
+        ],
+    )
+    assert got[0] == pytest.approx(0.0)
+    assert got[1:5] == [0.0, 1.0, 1.0, 1.0]
+    assert 0 < got[5] < got[6] <= 1
+    assert got[7] == pytest.approx(0.25)
+    assert got[8:] == [1.0, 0.0]
+
+
+def brute_primitive_cost(a, b):
+    if not len(a) and not len(b):
+        return 0.0
+    near = sum(min(math.dist(p, q) / SCALE, 1.0) for p, q in zip(a, b))
+    return (near + abs(len(a) - len(b))) / max(len(a), len(b))
+
+
+def test_graph_distance_matches_full_matching(spark):
     """Splitting by kind finds the same optimum as matching everything with everything."""
     rng = random.Random(5)
 
-    def figure():
+    def figure(most):
         return [
-            (rng.choice("df"), points(rng, rng.randint(0, 2), 5))
-            for _ in range(rng.randint(1, 4))
+            (rng.choice("df"), points(rng, rng.randint(0, 2), 5).tolist())
+            for _ in range(rng.randint(0, most))
         ]
 
-    for _ in range(100):
-        a, b = figure(), figure()
-
+    figures = [(figure(4), figure(4)) for _ in range(100)] + [(figure(7), figure(5)) for _ in range(60)]
+    expected = []
+    for a, b in figures:
         def cost(p, q):
-            return 1.0 if p[0] != q[0] else A.primitive_cost(p[1], q[1], SCALE)
+            return 1.0 if p[0] != q[0] else brute_primitive_cost(p[1], q[1])
 
         short, long = (a, b) if len(a) <= len(b) else (b, a)
         best = min(sum(cost(s, long[p[i]]) for i, s in enumerate(short)) for p in itertools.permutations(range(len(long)), len(short)))
-        assert A.graph_distance(a, b, SCALE) == pytest.approx((best + len(long) - len(short)) / len(long))
+        expected.append((best + len(long) - len(short)) / max(1, len(long)))
+    kind = "array<struct<kind: string, coords: array<struct<x: double, y: double>>>>"
+    frame = spark.createDataFrame([(n, a, b) for n, (a, b) in enumerate(figures)], f"n int, l {kind}, r {kind}")
+    got = M.primitive_distances(frame, "l", "r", "d").orderBy("n").collect()
+    assert [r["d"] for r in got] == pytest.approx(expected)
+
+
+def test_only_large_blocks_reach_the_assignment(spark):
+    """Of these figures only the one with a 2 x 3 block hands anything to Python."""
+    draw = "\\draw ({0},0) -- ({0},1);".format
+    rows = [(1, draw(1), draw(2) + draw(3)), (2, draw(1) + draw(2), draw(2) + draw(1)), (3, draw(1) + draw(2), draw(3) + draw(1) + draw(2))]
+    frame = spark.createDataFrame(rows, "n int, reference string, candidate string")
+    blocks = A.cost_blocks(X.primitives("reference"), X.primitives("candidate"), SCALE)
+    large = frame.select("n", F.size(F.filter(blocks, lambda b: ~A.is_small_block(b))).alias("k"))
+    assert {r["n"]: r["k"] for r in large.collect()} == {1: 0, 2: 0, 3: 1}
 
 
 def test_coordinate_errors(spark, one):
@@ -186,14 +251,21 @@ def test_coordinate_errors(spark, one):
 
 def test_unordered_error_matches_brute_force():
     rng = random.Random(9)
+    pairs, expected = [], []
     for _ in range(200):
-        a, b = (points(rng, rng.randint(1, 5), 20) for _ in range(2))
+        a, b = (points(rng, rng.randint(0, 6), 20) for _ in range(2))
         short, long = (a, b) if len(a) <= len(b) else (b, a)
         gap = math.dist
         best = min(itertools.permutations(range(len(long)), len(short)), key=lambda p: sum(gap(s, long[p[i]]) for i, s in enumerate(short)))
         total = sum(min(gap(s, long[best[i]]) / SCALE, 1) for i, s in enumerate(short))
-        expected = (total + len(long) - len(short)) / len(long)
-        assert A.matched_point_error(a, b, SCALE) == pytest.approx(expected)
+        pairs.append((a, b))
+        expected.append((total + len(long) - len(short)) / max(1, len(long)))
+    kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+    sides = [pa.array([[{"x": x, "y": y} for x, y in p[k]] for p in pairs], kind) for k in (0, 1)]
+    assert A.matched_point_errors(*sides, SCALE).tolist() == pytest.approx(expected)
+    assert A.matched_point_errors(sides[0].slice(7, 20), sides[1].slice(7, 20), SCALE).tolist() == pytest.approx(expected[7:27])
+    empty = pa.array([None, []], kind)
+    assert A.matched_point_errors(empty, pa.array([[], [{"x": 0.0, "y": 0.0}]], kind), SCALE).tolist() == [0.0, 1.0]
 
 
 def test_overlap(one):

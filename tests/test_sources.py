@@ -1,3 +1,4 @@
+import hashlib
 import json
 import os
 
@@ -46,6 +47,21 @@ def test_shard_scan(spark, tmp_path):
         scan.read_shards(spark, f"{tmp_path}/part-{{index}}", 5, 5, schema)
 
 
+def test_limited_scan_opens_only_the_files_it_needs(spark, tmp_path):
+    for i in range(6):
+        spark.range(i * 10, i * 10 + 4).coalesce(1).write.parquet(f"{tmp_path}/a b-{i}")
+    (tmp_path / "a b-0" / "broken.parquet").write_bytes(b"not parquet")
+    schema = spark.range(1).schema
+    template = f"{tmp_path}/a b-{{index}}"
+    first = scan.read_shards(spark, template, 0, 6, schema, max_rows=6)
+    assert sorted(r["id"] for r in first.collect()) == [0, 1, 2, 3, 10, 11]
+    assert {f.split("/")[-2].replace("%20", " ") for f in first.inputFiles() if "a%20b" in f or "a b" in f} == {"a b-0", "a b-1"}
+    assert scan.read_shards(spark, template, 2, 6, schema, max_rows=0).count() == 0
+    assert scan.read_shards(spark, template, 2, 6, schema, max_rows=99).count() == 16
+    with pytest.raises(ValueError):
+        scan.read_shards(spark, template, 0, 6, schema, max_rows=-1)
+
+
 def test_pairing(spark):
     left = spark.createDataFrame([("t", 1), ("t", 2)], "split string, sample_id int")
     right = spark.createDataFrame([("t", 2), ("t", 3)], "split string, sample_id int")
@@ -76,7 +92,7 @@ def test_shards_and_manifest(spark, tmp_path):
     )
     path = str(tmp_path / "shards")
     sink.write_shards(samples, path, 10)
-    counts = {r["shard_id"]: r["count"] for r in spark.read.parquet(path).groupBy("shard_id").count().collect()}
+    counts = {r["shard_id"]: r["count"] for r in sink.read_written_shards(spark, path).groupBy("shard_id").count().collect()}
     assert counts == {0: 10, 1: 10, 2: 5}
     documents = sink.manifest_json(sink.shard_manifest(sink.sharded(samples, 10)), 256, 512)
     lines = [json.loads(r["manifest"]) for r in documents.filter("split = 'train'").collect()]
@@ -86,6 +102,82 @@ def test_shards_and_manifest(spark, tmp_path):
     assert back[2]["family_counts"]["polygon"] == 5 and back[2]["family_counts"]["grid_axes"] == 0
 
 
+def test_many_shards_are_named_as_the_manifest_says(spark, tmp_path):
+    """A thousand shards in one job, one file each, in two folders."""
+    samples = spark.range(2997).select(
+        F.col("id").alias("sample_id"), F.when(F.col("id") % 3 == 0, "val").otherwise("train").alias("split"),
+        F.lit("polygon").alias("family"),
+    )
+    path = str(tmp_path / "shards")
+    sink.write_shards(samples, path, 3)
+    sink.write_shards(samples, path, 3)  # a second run replaces the first
+    files = sorted(os.path.relpath(os.path.join(d, f), path) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet"))
+    shards = sink.read_written_shards(spark, path)
+    manifest = sink.shard_manifest(shards).collect()
+    assert len(files) == 999 and files == sorted(f"{r['file_name']}.parquet" for r in manifest)
+    assert {r["num_samples"] for r in manifest} == {3} and shards.count() == 2997
+    one = spark.read.parquet(f"{path}/val/val_shard_0007.parquet").orderBy("position")
+    assert [tuple(r) for r in one.select("sample_id", "shard_id", "position").collect()] == [(63, 7, 21), (66, 7, 22), (69, 7, 23)]
+
+
+def test_random_access_returns_samples(spark, tmp_path):
+    samples = spark.range(25).select(
+        F.col("id").alias("sample_id"), F.when(F.col("id") < 4, "val").otherwise("train").alias("split"),
+        F.lit("polygon").alias("family"), F.concat(F.lit("m"), F.col("id").cast("string")).alias("markup"),
+    )
+    sink.write_shards(samples, str(tmp_path / "s"), 5)
+    shards = sink.read_written_shards(spark, str(tmp_path / "s"))
+    asked = spark.createDataFrame([(0,), (20,), (20,), (24,), (25,), (-1,)], "index bigint")
+    found = sink.fetched_samples(shards, sink.shard_lookup(sink.shard_manifest(shards), asked), 5)
+    got = sorted((r["index"], r["markup"], r["out_of_range"]) for r in found.collect())
+    assert got == [(-1, None, True), (0, "m4", False), (20, "m24", False), (20, "m24", False), (24, "m3", False), (25, None, True)]
+
+
+def test_documents_are_single_files_of_ordered_fragments(spark, tmp_path):
+    rows = [(f"{n} +%.txt", k, f"{n}-{k}") for n in "ab" for k in range(300)]
+    sink.write_documents(spark.createDataFrame(rows, "name string, part bigint, text string").repartition(7), str(tmp_path))
+    assert sorted(f for f in os.listdir(tmp_path) if f.endswith(".txt")) == ["a +%.txt", "b +%.txt"]
+    assert (tmp_path / "b +%.txt").read_text().split() == [f"b-{k}" for k in range(300)]
+
+
+def test_manifest_files(spark, tmp_path):
+    rows = [("train", n, "polygon") for n in (0, 0, 1, 2)] + [("val", 0, "composed")]
+    shards = spark.createDataFrame(rows, "split string, shard_id bigint, family string")
+    sink.write_manifests(sink.shard_manifest(shards), str(tmp_path), 256, 512)
+    whole = {n: json.loads((tmp_path / f"manifest_{n}.json").read_text()) for n in ("train", "val", "v4")}
+    assert [s["file_name"] for s in whole["v4"]["shards"]] == [f"train/train_shard_000{n}" for n in range(3)] + ["val/val_shard_0000"]
+    assert whole["v4"]["total_samples"] == 5 and whole["train"]["total_samples"] == 4
+    assert whole["val"]["shards"][0]["family_counts"]["composed"] == 1 and whole["val"]["version"] == "v4"
+    back = {r["file"]: len(r["shards"]) for r in sink.read_manifests(spark, str(tmp_path)).collect()}
+    assert back == {"manifest_train.json": 3, "manifest_val.json": 1, "manifest_v4.json": 4}
+
+
+def test_dataset_manifest(spark, tmp_path):
+    rows = [(n, "train" if n % 4 else "val", "polygon" if n % 2 else "external", f"m{n}") for n in range(20)]
+    samples = spark.createDataFrame(rows, "sample_id bigint, split string, stratum string, markup string")
+    document = sink.dataset_manifest(samples, {"procedural": 30, "external": 5}, 7, 0.25, False)
+    sink.write_documents(document, str(tmp_path))
+    found = json.loads((tmp_path / "manifest.json").read_text())
+    prints = [hashlib.sha256(f"m{n}".encode()).hexdigest() for n in range(8)]
+    assert found == {
+        "seed": 7, "val_ratio": 0.25, "requested": {"procedural": 30, "external": 5},
+        "rendered": {"total": 20, "train": 15, "val": 5},
+        "strata": {"external": {"train": 5, "val": 5}, "polygon": {"train": 10, "val": 0}},
+        "showcase_rendered": False, "fingerprints_sample": prints,
+    }
+    assert sink.read_dataset_manifest(spark, str(tmp_path)).first()["requested"]["external"] == 5
+
+
+def test_vocabulary_object_round_trip(spark, tmp_path):
+    """More tokens than any block held, with quotes and control signs, in one JSON object."""
+    names = [*C.RESERVED_TOKENS, *C.FAMILY_TOKENS, '"', "\\", "\t", "é", "}"] + [f"t{n:05d}" for n in range(9000)]
+    vocabulary = spark.createDataFrame([(t, n) for n, t in enumerate(names)], "token string, idx int")
+    sink.write_vocabulary_object(vocabulary, str(tmp_path))
+    assert list(json.loads((tmp_path / "vocabulary.json").read_text()).items()) == [(t, n) for n, t in enumerate(names)]
+    back = sink.read_vocabulary_object(spark, str(tmp_path / "vocabulary.json"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, vocabulary.collect()))
+
+
 def test_vocabulary_files(spark, tmp_path):
     rows = [(t, i) for i, t in enumerate(C.RESERVED_TOKENS)] + [("\\draw", 4), ("é", 5)]
     vocabulary = spark.createDataFrame(rows, "token string, idx int")
@@ -169,6 +261,35 @@ def test_streams(spark, tmp_path):
     assert progress == {"polygon": (4, True), "polyline": (1, False)}
 
 
+def test_managed_state_equals_exact_deduplication(spark, tmp_path):
+    """Three appended batches and a restart between them; state grows by new blocks only."""
+    source = str(tmp_path / "in")
+    figures = [FIGURE.replace("0,0", f"{n},{n}") for n in range(8)]
+    for key, value in ST.STATE_SETTINGS.items():
+        spark.conf.set(key, value)
+    try:
+        sizes = []
+        for batch in ((0, 1, 1, 2), (2, 3, 0), (3, 3, 4, 5, 6)):
+            rows = [(n, figures[n]) for n in batch] + [(99, "no")]
+            spark.createDataFrame(rows, "doc_id int, code string").coalesce(1).write.mode("append").parquet(source)
+            stream = ST.shard_stream(spark, source, spark.read.parquet(source).schema)
+            seen = ST.first_seen_stream(stream, "code", prefix=1)
+            query = ST.append_stream(seen.select("doc_id", "fingerprint"), str(tmp_path / "out"), str(tmp_path / "state"), True)
+            query.awaitTermination()
+            sizes.append(ST.state_sizes(query)[-1]["rows"])
+        found = [r["doc_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+        assert sorted(found) == [0, 1, 2, 3, 4, 5, 6] and sizes == [3, 4, 7]
+        exact = ST.curated_stream(ST.shard_stream(spark, source, spark.read.parquet(source).schema), "code")
+        ST.append_stream(exact.select("doc_id"), str(tmp_path / "exact"), str(tmp_path / "e"), True).awaitTermination()
+        assert spark.read.parquet(str(tmp_path / "exact")).count() == len(found)
+    finally:
+        for key in ST.STATE_SETTINGS:
+            spark.conf.unset(key)
+    for wrong in ({"prefix": 0}, {"ttl_hours": 0}):
+        with pytest.raises(ValueError):
+            ST.first_seen_stream(stream, "code", **wrong)
+
+
 def test_names_never_collide(spark):
     numbers = spark.range(99_998, 100_003).withColumnRenamed("id", "position")
     names = [r[0] for r in numbers.select(F.format_string("sample_%05d", "position")).collect()]

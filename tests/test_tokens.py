@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +132,32 @@ def check(spark, text):
 )
 def test_grammar_rules(spark, text, broken):
     assert check(spark, text) == broken
+
+
+def test_join_and_travelling_vocabulary_agree(spark):
+    """One token in half of all places, null and empty rows; with and without broadcasts."""
+    rng = random.Random(8)
+    words = [f"w{n}" for n in range(40)]
+    rows = [(n, [rng.choice(words) if rng.random() < 0.5 else "hot" for _ in range(rng.randrange(60))]) for n in range(300)]
+    rows += [(900, []), (901, None), (902, ["never", "hot", "seen"])]
+    frame = spark.createDataFrame(rows, "sample_id int, tokens array<string>")
+    vocabulary = N.build_vocabulary(frame.filter("sample_id < 200"), include_grid=False)
+
+    def everything():
+        encoded = N.encode(frame, vocabulary, ["sample_id"], max_length=50)
+        odd = encoded.withColumn("ids", F.concat("ids", F.array(F.lit(999_999))))
+        out = []
+        for table in (encoded, N.decode(odd, vocabulary, ["sample_id"]), N.decoded_tokens(odd, vocabulary, ["sample_id"])):
+            out.append(sorted(map(tuple, table.collect())))
+        return out, encoded
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    travelling, plan = everything()
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert N.travelling(vocabulary) is None
+        joined, _ = everything()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert joined == travelling
