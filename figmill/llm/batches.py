@@ -4,7 +4,8 @@ The operators hand Spark's partitions to numpy in slices of a bounded number of
 worker's memory does not depend on the partition, only on the longest single text.
 """
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,52 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+_SHIPPED: list = []
+
+
+def ship(spark, value):
+    """Broadcast ``value`` until the next ``release``."""
+    _SHIPPED.append(spark.sparkContext.broadcast(value))
+    return _SHIPPED[-1]
+
+
+def release() -> None:
+    """Take back from the executors what finished jobs shipped; it travels again if it is needed."""
+    while _SHIPPED:
+        _SHIPPED.pop().unpersist()
+
+
+#: What an operator keeps in a worker from task to task, one operator's at a time.
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, build: Callable[[], object]):
+    """The value of ``name``, built once per worker."""
+    if name not in _KEPT:
+        _KEPT[name] = build()
+    return _KEPT[name]
+
+
+def _trim() -> None:
+    """Give memory that is free again back to the system, so that a reused worker stays small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library than glibc
+
+
+def lean_slices(
+    batches, column: str = "text", limit: int = SLICE_BYTES, keep: str | None = None
+) -> Iterator[pa.RecordBatch]:
+    """``slices`` for operators that take turns in the same workers: of the values that a worker
+    keeps only ``keep`` survives, and what a task frees goes back to the system."""
+    for name in [n for n in _KEPT if n != keep]:
+        del _KEPT[name]
+    yield from slices(batches, column, limit)
+    _trim()
+
+
 def slices(batches, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches into runs of rows whose texts hold about ``limit`` bytes."""
     for batch in batches:

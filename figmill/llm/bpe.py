@@ -28,7 +28,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from figmill.llm.batches import gather, slices
+from figmill.llm.batches import gather, kept, lean_slices
 
 #: Words and compatible pairs that a worker remembers; older ones are forgotten all at once.
 WORDS_KEPT = 50_000
@@ -170,18 +170,17 @@ class Vocabulary:
         return text.lower()
 
 
-_LOADED: dict[str, Vocabulary] = {}
-
-
 def vocabulary(name: str) -> Vocabulary:
-    """The vocabulary shipped under ``name``, read once per worker."""
-    if name not in _LOADED:
+    """The vocabulary shipped under ``name``, read once per worker and kept while it encodes."""
+
+    def load() -> Vocabulary:
         with open(SparkFiles.get(name), encoding="utf-8") as file:
-            _LOADED[name] = Vocabulary(file.read())
-    return _LOADED[name]
+            return Vocabulary(file.read())
+
+    return kept(name, load)
 
 
-def ship(spark, path: str) -> str:
+def send(spark, path: str) -> str:
     """Send the tokenizer file to every executor; the name it has there."""
     spark.sparkContext.addFile(path)
     return path.rstrip("/").rpartition("/")[2]
@@ -189,13 +188,13 @@ def ship(spark, path: str) -> str:
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the column ``ids``, an array of token ids."""
-    name = ship(docs.sparkSession, path)
-    kept = docs.drop(ids)
-    schema = kept.withColumn(ids, F.lit(None).cast("array<int>")).schema
+    name = send(docs.sparkSession, path)
+    rows = docs.drop(ids)
+    schema = rows.withColumn(ids, F.lit(None).cast("array<int>")).schema
 
     def work(batches):
-        vocab = vocabulary(name)
-        for part in slices(batches, text, 1 << 21):
+        for part in lean_slices(batches, text, 1 << 21, keep=name):
+            vocab = vocabulary(name)
             words: dict[str | int, int] = {}
             seen: list[str | int] = []
             rows = []
@@ -231,14 +230,14 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
                 [*part.columns, column], names=[*part.schema.names, ids]
             )
 
-    return kept.mapInArrow(work, schema)
+    return rows.mapInArrow(work, schema)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``encoded`` with the column ``text``, the tokens of ``ids`` joined with one space."""
-    name = ship(encoded.sparkSession, path)
-    kept = encoded.drop(text)
-    schema = kept.withColumn(text, F.lit(None).cast("string")).schema
+    name = send(encoded.sparkSession, path)
+    rows = encoded.drop(text)
+    schema = rows.withColumn(text, F.lit(None).cast("string")).schema
 
     def work(batches):
         with open(SparkFiles.get(name), encoding="utf-8") as file:
@@ -265,4 +264,4 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded
                 )
                 row = stop
 
-    return kept.mapInArrow(work, schema)
+    return rows.mapInArrow(work, schema)

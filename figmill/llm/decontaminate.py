@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from figmill.llm.batches import LOWER, flat, mixed, run_hashes, runs, slices
+from figmill.llm.batches import LOWER, flat, lean_slices, mixed, run_hashes, runs, ship
 from figmill.llm.filters import FILTER_BITS, bit_filter, bits_of, within
 from figmill.sources.staging import stage
 
@@ -124,7 +124,7 @@ def items_of(benchmark: DataFrame, item: str = "item_id", text: str = "text") ->
     """``item_id, words, keys, pair_bits`` of the items that have words."""
 
     def work(batches):
-        for part in slices(batches):
+        for part in lean_slices(batches):
             hashes, rows = words(part.column("text"))
             out = []
             for n, name in enumerate(part.column("item").to_pylist()):
@@ -206,7 +206,7 @@ def _regions(starts, ends, rows):
 
 
 def _region_batches(batches, pair_table, key_table, classes, short, kind):
-    for part in slices(batches):
+    for part in lean_slices(batches):
         hashes, rows = words(part.column("text"))
         hits, left, right = [], [], []
         for number, low, high, starts in _windows(hashes, rows, pair_table, classes):
@@ -317,7 +317,7 @@ def leaks(
     item_keys = items.select("item_id", F.explode("keys").alias("key"))
     key_table = bit_filter(item_keys.select(F.col("key").bitwiseAND(mask).alias("bit")))
     id_kind = pa.string() if kind == "string" else pa.int64()
-    shipped = spark.sparkContext.broadcast((pair_table, key_table, classes, short, id_kind))
+    shipped = ship(spark, (pair_table, key_table, classes, short, id_kind))
     picked = docs.select(F.col(id_column).cast(kind).alias("id"), F.col(text).alias("text"))
     regions = stage(
         picked.mapInArrow(

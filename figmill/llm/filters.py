@@ -9,10 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from figmill.llm.batches import mixed
+from figmill.llm.batches import mixed, ship
+from figmill.sources.staging import stage
 
 FILTER_BITS = 1 << 24
 _ONE = np.uint64(1)
+#: Hashes of a sample and hashes of one of its cells.
+_SPAN, _CELL = 1 << 32, 1 << 16
 
 
 def bits_of(hashes: np.ndarray) -> np.ndarray:
@@ -53,7 +56,7 @@ def joined(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
 
     some = keys.filter(F.col(column).isNotNull())
     table = bit_filter(some.select(bit(F.col(column).cast("long")).alias("bit")))
-    shipped = rows.sparkSession.sparkContext.broadcast(table)
+    shipped = ship(rows.sparkSession, table)
 
     @F.pandas_udf("boolean")
     def there(values: pd.Series) -> pd.Series:
@@ -61,3 +64,23 @@ def joined(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
 
     near = rows.filter(F.col(column).isNotNull()).filter(there(F.col(column).cast("long")))
     return near.join(some.hint("merge"), column)
+
+
+def hash_sample(rows: DataFrame, limit: int) -> pd.DataFrame:
+    """At most ``limit`` distinct rows, those of the smallest hashes, on the driver.
+
+    The rows are counted by cells of hashes first, and only those below a cut that leaves little
+    more than ``limit`` are fetched, however many partitions there are.
+    """
+    place, span = F.pmod(F.xxhash64(*rows.columns), F.lit(_SPAN)), "_place"
+    distinct = stage(rows.withColumn(span, place).distinct(), "sample")
+    cells = distinct.groupBy(F.floor(F.col(span) / _CELL).alias("cell")).count().orderBy("cell")
+    upto, cut = 0, 0
+    for row in cells.collect():  # at most _SPAN / _CELL cells
+        if upto >= limit:
+            break
+        upto, cut = upto + row["count"], (row["cell"] + 1) * _CELL
+    found = distinct.filter(F.col(span) < cut).toPandas()
+    order = [span, *[c for c in found.columns if c != span]]
+    keys = found[order].map(lambda v: tuple(v) if isinstance(v, np.ndarray) else v)
+    return found.loc[keys.sort_values(order).index].drop(columns=span).head(limit)

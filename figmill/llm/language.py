@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from figmill.llm.batches import slices
+from figmill.llm.batches import lean_slices, ship
 
 UNKNOWN = "und"
 SAMPLE_TEXTS = 64
@@ -266,13 +266,13 @@ def identify(
     samples = sampled(labelled, text, lang)
     if not samples:
         return docs.withColumns({name: F.lit(UNKNOWN), score: F.lit(0.0)})
-    model = docs.sparkSession.sparkContext.broadcast(Languages(samples))
+    model = ship(docs.sparkSession, Languages(samples))
     kept = docs.drop(name, score)
     fields = {name: F.lit(None).cast("string"), score: F.lit(None).cast("double")}
     schema = kept.withColumns(fields).schema
 
     def work(batches):
-        for part in slices(batches, text, 2 << 20):
+        for part in lean_slices(batches, text, 2 << 20):
             texts = pc.fill_null(part.column(text), "").to_pylist()
             names, sure = model.value.predict(texts)
             yield pa.RecordBatch.from_arrays(

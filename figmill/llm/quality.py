@@ -9,9 +9,9 @@ fitted on labelled rows outside the training, calibrates its probability.
 
 Words are runs of letters and digits, or of other characters than white space, case kept. The
 vectors read all documents; the table of rows bounds what is shipped. At most ``TRAIN_ROWS`` labelled
-rows, picked by a hash of the id, train and calibrate the network. Texts without words (null,
+rows, picked by a hash of the row, train and calibrate the network. Texts without words (null,
 empty) pool to zero. Without labels of both classes every score is the share of label 1 (0.5
-without any). Repeated rows count again; a null id joins no label.
+without any). Repeated rows count again in the vectors and teach once; a null id joins no label.
 """
 
 import numpy as np
@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from figmill.llm.batches import SPACES, flat, mixed, run_hashes, runs, slices
-from figmill.llm.filters import joined
+from figmill.llm.batches import SPACES, flat, mixed, run_hashes, runs, ship, slices
+from figmill.llm.filters import hash_sample, joined
 from figmill.sources.staging import stage
 
 ROW_BITS = 13
@@ -131,7 +131,7 @@ def pool(column: pa.Array, table: np.ndarray) -> np.ndarray:
 
 def pooled(docs: DataFrame, table: np.ndarray, text: str = "text", name: str = "pooled"):
     """``docs`` with the pooled vector of ``text``."""
-    shipped = docs.sparkSession.sparkContext.broadcast(table)
+    shipped = ship(docs.sparkSession, table)
     kept = docs.drop(name)
     schema = kept.withColumn(name, F.lit(None).cast("array<float>")).schema
 
@@ -228,15 +228,9 @@ def score(
     table = word_vectors(own, text)
     vectors = stage(pooled(own, table, text).select(id_column, "pooled"), "pooled")
     known = labels.filter(F.col(label).isin(0, 1)).filter(taught).select(id_column, label)
-    rows = (
-        joined(vectors, known, id_column)
-        .orderBy(F.xxhash64(id_column), id_column, "pooled")
-        .limit(TRAIN_ROWS)
-        .select("pooled", label)
-        .toPandas()
-    )
+    rows = hash_sample(joined(vectors, known, id_column), TRAIN_ROWS)
     x = np.stack(rows["pooled"].to_numpy()).astype(float) if len(rows) else np.zeros((0, 3 * SIZE))
-    network = docs.sparkSession.sparkContext.broadcast(Network(x, rows[label].to_numpy(float)))
+    network = ship(docs.sparkSession, Network(x, rows[label].to_numpy(float)))
 
     def work(batches):
         for batch in batches:

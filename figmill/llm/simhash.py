@@ -19,7 +19,7 @@ each give a row; an empty table gives an empty result.
 """
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
@@ -266,14 +266,19 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 
 
 def first_of_groups(docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies (``likeness``), that of the smallest id; rows
-    without id all stay."""
-    classes, roots = likeness.grouped(docs, components)
-    keep = classes.join(roots.filter("node <> root"), F.col("name") == F.col("node"), "left_anti")
-    keep = keep.select(F.col("name").alias("doc_id")).distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi")
+    """One document of each group of near copies (``likeness``), that of the smallest id.
+
+    Rows of one id and one text are one document, of one id and other texts others; rows without
+    id all stay.
+    """
+    grouped = likeness.groups(docs, components)
+    stays = grouped.groupBy("root").agg(F.min(F.struct("name", "print")).alias("first"))
+    mark = next(n for n in (f"_print{k}" for k in count()) if n not in docs.columns)
+    keep = stays.select(F.col("first.name").alias("doc_id"), F.col("first.print").alias(mark))
+    named = docs.filter("doc_id IS NOT NULL").withColumn(mark, F.xxhash64("text"))
+    named = named.join(keep.distinct(), ["doc_id", mark], "left_semi")
     return (
-        named.select(docs.columns)
-        .dropDuplicates(["doc_id"])
+        named.dropDuplicates(["doc_id", mark])
+        .select(docs.columns)
         .unionByName(docs.filter("doc_id IS NULL"))
     )

@@ -18,8 +18,8 @@ with a fixed number of slots (``SLOTS``), which bounds what travels to the execu
 meet in a slot share their counts. ``CURVE_ROWS`` bounds the rows that fit the curve.
 
 Words are runs of letters, lower-cased. Texts without words (null, empty) have evidence 0. Without
-labels of both classes the curve is the evidence itself. Repeated rows count again; a null id joins
-no label.
+labels of both classes the curve is the evidence itself. Repeated rows count again, on the curve
+once; a null id joins no label.
 """
 
 from typing import NamedTuple
@@ -31,8 +31,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from figmill.llm.batches import gather, mixed, row_sums, run_hashes, runs, slices
-from figmill.llm.filters import joined
+from figmill.llm.batches import gather, lean_slices, mixed, row_sums, run_hashes, runs, ship
+from figmill.llm.filters import hash_sample, joined
 from figmill.llm.language import GAP, code_points
 from figmill.sources.staging import stage
 
@@ -83,7 +83,7 @@ def gram_counts(docs: DataFrame, text: str = "text", kind: str = "kind") -> Data
     """``gram, kind, n``: occurrences of the packed n-grams by the class column ``kind``."""
 
     def work(batches):
-        for part in slices(batches, "text", SLICE):
+        for part in lean_slices(batches, "text", SLICE):
             number, rows, grams, places = word_grams(
                 pc.fill_null(part.column("text"), "").to_pylist()
             )
@@ -213,12 +213,12 @@ def _shared(table: DataFrame):
 
 def evidence(docs: DataFrame, model: Model, text: str = "text", name: str = "evidence"):
     """``docs`` with the mean evidence of its words."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = ship(docs.sparkSession, model)
     kept = docs.drop(name)
     schema = kept.withColumn(name, F.lit(None).cast("double")).schema
 
     def work(batches):
-        for part in slices(batches, text, SLICE):
+        for part in lean_slices(batches, text, SLICE):
             number, rows, grams, places = word_grams(pc.fill_null(part.column(text), "").to_pylist())
             word = row_sums(shipped.value.evidence(grams), places)
             total = row_sums(np.maximum(word - MARGIN, 0.0)[number], rows)
@@ -274,13 +274,8 @@ def train(
     taught = joined(own.filter(counted), known.filter(counted), id_column)
     model = fit(own, taught, text, label)
     rest = joined(own.filter(curve), known.filter(curve), id_column)
-    fitted = (
-        evidence(rest, model, text)
-        .select(id_column, "evidence", label)
-        .orderBy(F.xxhash64(id_column), id_column, "evidence", label)
-        .limit(CURVE_ROWS)
-        .toPandas()
-    )
+    measured = evidence(rest, model, text).select(id_column, "evidence", label)
+    fitted = hash_sample(measured, CURVE_ROWS)
     slope, start = logistic(
         np.log(fitted["evidence"].to_numpy(float) + LEAST), fitted[label].to_numpy(float)
     )

@@ -5,6 +5,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from figmill.llm.filters import hash_sample
 from figmill.llm.batches import SPACES, flat, gather, row_sums, run_hashes, runs, shingles, slices
 
 TEXTS = st.lists(st.one_of(st.none(), st.text("ab é\n\t", max_size=30)), max_size=8)
@@ -51,3 +52,13 @@ def test_slices_keep_all_rows_and_bound_their_bytes():
 def test_gather_and_row_sums():
     assert gather(np.arange(10), np.array([7, 0, 3]), np.array([2, 0, 3])).tolist() == [7, 8, 3, 4, 5]
     assert row_sums(np.array([1, 2, 3]), np.array([0, 0, 2, 3])).tolist() == [0, 3, 3]
+
+
+def test_hash_sample_is_bounded_and_fixed(spark):
+    """The same rows for any number of partitions; repeated rows count once."""
+    rows = spark.range(3000).selectExpr("id % 1000 AS id", "id % 7 AS v", "array(id % 5) AS a")
+    distinct = rows.distinct().count()
+    few = [hash_sample(rows.repartition(n), 200) for n in (1, 9)]
+    assert [len(f) for f in few] == [200, 200]
+    assert few[0]["id"].tolist() == few[1]["id"].tolist() and len(set(few[0]["id"])) > 100
+    assert len(hash_sample(rows, 10**6)) == distinct and len(hash_sample(rows.limit(0), 5)) == 0

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from figmill.llm import likeness, simhash
 from helpers import documents, prose, shingles
 
@@ -57,3 +59,60 @@ def test_near_copies_beyond_two_bits_go(spark):
     assert max(((prints[0] ^ prints[n]) & mask).bit_count() for n in range(1, 12)) > 2
     kept = simhash.first_of_groups(documents(spark, rows + [(None, rows[0][1])])).collect()
     assert sorted(str(r["doc_id"]) for r in kept) == ["0", "None"]
+
+
+def test_rows_of_one_id(spark):
+    """Other texts of one id are other documents; the same text again is not."""
+    one, two, three = (prose(n, 60, 3000) for n in (1, 2, 3))
+    rows = [(1, one), (1, two), (1, one), (2, three), (5, two), (0, one + " end"), (None, one), (None, one)]
+    kept = simhash.first_of_groups(documents(spark, rows))
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(
+        map(str, [(0, one + " end"), (1, two), (2, three), (None, one), (None, one)])
+    )
+
+
+def test_form_letters_are_not_compared_in_pairs(spark):
+    """Letters that share most words but are not alike: none goes, and few pairs are verified."""
+    base, rows = prose(5, 200, 3000).split(), []
+    for n in range(150):
+        own = list(base)
+        for k in range(7):
+            own[14 + 28 * k] = f"own{n}x{k}"
+        rows.append((n, " ".join(own)))
+    docs = documents(spark, rows)
+    assert simhash.first_of_groups(docs).count() == 150
+    classes = likeness.marked(docs).select("*", F.col("id").alias("node"), F.col("id").alias("name")).cache()
+    buckets = classes.select(F.explode("keys").alias("key"), "node", F.col("node").alias("root"))
+    assert buckets.groupBy("key").count().filter("count > 50").count() > 0
+    assert likeness._stray_pairs(buckets, classes, docs, "doc_id", "text").count() < 150
+
+
+def test_stray_pairs_lose_no_alike_pair(spark):
+    rows = [(n, t) for n, (_, t) in enumerate(copies(3)) if t]
+    docs = documents(spark, rows)
+    classes = likeness.marked(docs).select("*", F.col("id").alias("node"), F.col("id").alias("name")).cache()
+    buckets = classes.select(F.lit(1).alias("key"), "node", F.col("node").alias("root"))
+    found = {tuple(r) for r in likeness._stray_pairs(buckets, classes, docs, "doc_id", "text").collect()}
+    want = {(i, j) for a, (i, x) in enumerate(rows) for j, y in rows[:a] if alike(x, y)}
+    assert want and want <= found
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of likeness 0.8 to 0.83 beside a group of hundreds of copies of one text."""
+    rng, rows, pairs = random.Random(12), [], 0
+    base = prose(1, 120, 5000).split()
+    rows += [(n, " ".join(base[:-1] + [f"tail{n}"])) for n in range(300)]
+    at = 1000
+    while pairs < 60:
+        own = prose(at, 200, 5000).split()
+        other = list(own)
+        for k in range(4):
+            other[20 + 50 * k + rng.randrange(20)] = f"x{at}{k}"
+        a, b = set(shingles(" ".join(own), 5)), set(shingles(" ".join(other), 5))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.83:
+            rows += [(at, " ".join(own)), (at + 1, " ".join(other))]
+            pairs += 1
+        at += 2
+    kept = {r["doc_id"] for r in simhash.first_of_groups(documents(spark, rows).repartition(5)).collect()}
+    assert {n for n in kept if n < 1000} == {0}
+    assert sum(n % 2 for n in kept if n >= 1000) <= 0.1 * pairs

@@ -7,7 +7,7 @@ from figmill.llm import bpe, queries, simhash, toxicity
 from figmill.sources.staging import stage
 from helpers import documents, lower, prose
 from test_decontaminate import nearest, tokens
-from test_simhash import brute_components, brute_fingerprint
+from test_likeness import brute_first
 
 RUDE = "grumbok vexlout snarfle"
 
@@ -27,6 +27,13 @@ def folder(spark, tmp_path_factory):
     item = prose(9999, 40, 2000)
     rows += [("language", None), ("language", ""), ("language", "12 34 !!")]
     rows += [("copy", rows[k][1]) for k in (0, 2, 3, 3)]
+    long = prose(31, 300, 2000).split()
+    rows.append((None, " ".join(long)))
+    for n in range(6):  # five of 300 words replaced: alike, but not in two bits
+        other = list(long)
+        for k in range(5):
+            other[20 + 50 * k + n] = f"new{chr(97 + n)}{chr(97 + k)}"
+        rows.append(("copy", " ".join(other)))
     rows += [("leak", f"{prose(7000 + k, 20, 2000)} {item} {prose(8000 + k, 20, 2000)}") for k in range(3)]
     path = tmp_path_factory.mktemp("pipeline")
     documents(spark, [t for _, t in rows]).write.parquet(f"{path}/documents.parquet")
@@ -59,8 +66,8 @@ def test_run_against_brute_force(spark, folder):
 
     library = Tokenizer.from_file(f"{queries.TOKENIZERS}/word_bpe_49k.json")
     kept = [(n, t) for n, (why, t) in enumerate(rows) if why not in ("toxic", "language")]
-    least = brute_components([(n, brute_fingerprint(t)) for n, t in kept])
-    kept = [(n, t) for (n, t), c in zip(kept, least) if n == c]
+    stays = brute_first(kept)
+    kept = [(n, t) for n, t in kept if n in stays]
     item = tokens(rows and prose(9999, 40, 2000))
     kept = [(n, t) for n, t in kept if nearest(item, tokens(lower(t))) > 0.2 * len(item)]
     found = {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, path).collect()}
