@@ -31,17 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from figmill.llm.batches import LOWER, flat, gather, mixed, run_hashes, runs, slices
+from figmill.llm.batches import LOWER, flat, gather, lean_slices, mixed, run_hashes, runs
 from figmill.llm.filters import FILTER_BITS, bit_filter, within
 from figmill.sources.staging import stage
 
 LONGEST = 5
 #: Places of one group, and so of one subtree build.
-BUDGET = 1 << 21
+BUDGET = 1 << 20
 CELL_BITS = 20
 #: Entries a task holds before it hands them on.
-HELD = 1 << 20
-SLICE = 8 << 20
+HELD = 1 << 19
+SLICE = 4 << 20
 SALTS = 16
 UNKNOWN = "und"
 
@@ -91,7 +91,7 @@ def word_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
     """``lang, key, word, f`` of every distinct word of each language."""
 
     def work(batches):
-        for part in slices(batches, limit=SLICE):
+        for part in lean_slices(batches, limit=SLICE):
             words = Words(part)
             keys, first, counts = np.unique(words.keys, return_index=True, return_counts=True)
             sizes = (words.ends - words.starts)[first]
@@ -233,7 +233,7 @@ def prefix_counts(docs: DataFrame, known: Prefixes, depth: int, parts: int, leas
 
     def work(batches):
         prefixes, held = shipped.value, _Held()
-        for piece in slices(batches, limit=SLICE):
+        for piece in lean_slices(batches, limit=SLICE):
             _, hashes, length = prefixes.suffixes(Words(piece), depth)
             rows = length >= depth
             if depth > 2:
@@ -339,7 +339,7 @@ def phrase_counts(
     def work(batches):
         prefixes, table = shipped.value
         held = _Held()
-        for piece in slices(batches, limit=SLICE):
+        for piece in lean_slices(batches, limit=SLICE):
             words = Words(piece)
             at, hashes, length = prefixes.suffixes(words, longest)
             prefix, undecided = hashes[1].copy(), np.ones(len(at), bool)
