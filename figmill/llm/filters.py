@@ -72,8 +72,9 @@ def hash_sample(rows: DataFrame, limit: int) -> pd.DataFrame:
     The rows are counted by cells of hashes first, and only those below a cut that leaves little
     more than ``limit`` are fetched, however many partitions there are.
     """
-    place, span = F.pmod(F.xxhash64(*rows.columns), F.lit(_SPAN)), "_place"
-    distinct = stage(rows.withColumn(span, place).distinct(), "sample")
+    place, span, tie = F.pmod(F.xxhash64(*rows.columns), F.lit(_SPAN)), "_place", "_tie"
+    placed = rows.distinct().withColumns({span: place, tie: F.xxhash64(F.lit(span), *rows.columns)})
+    distinct = stage(placed, "sample")
     cells = distinct.groupBy(F.floor(F.col(span) / _CELL).alias("cell")).count().orderBy("cell")
     upto, cut = 0, 0
     for row in cells.collect():  # at most _SPAN / _CELL cells
@@ -81,6 +82,4 @@ def hash_sample(rows: DataFrame, limit: int) -> pd.DataFrame:
             break
         upto, cut = upto + row["count"], (row["cell"] + 1) * _CELL
     found = distinct.filter(F.col(span) < cut).toPandas()
-    order = [span, *[c for c in found.columns if c != span]]
-    keys = found[order].map(lambda v: tuple(v) if isinstance(v, np.ndarray) else v)
-    return found.loc[keys.sort_values(order).index].drop(columns=span).head(limit)
+    return found.sort_values([span, tie]).head(limit).drop(columns=[span, tie])

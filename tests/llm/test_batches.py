@@ -62,3 +62,9 @@ def test_hash_sample_is_bounded_and_fixed(spark):
     assert [len(f) for f in few] == [200, 200]
     assert few[0]["id"].tolist() == few[1]["id"].tolist() and len(set(few[0]["id"])) > 100
     assert len(hash_sample(rows, 10**6)) == distinct and len(hash_sample(rows.limit(0), 5)) == 0
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")  # arrays come as lists then
+    try:
+        plain = hash_sample(rows, 200)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    assert plain["id"].tolist() == few[0]["id"].tolist() and [*map(list, plain["a"])] == [*map(list, few[0]["a"])]
