@@ -3,7 +3,6 @@ import random
 from collections import defaultdict
 from zlib import crc32
 
-import pytest
 from pyspark.sql import functions as F
 
 from figmill.llm import queries, trie
@@ -105,28 +104,28 @@ def test_clashing_columns(spark, tmp_path):
     assert found(spark, rows, tmp_path, *extra) == brute(rows)
 
 
-@pytest.mark.parametrize("shape", ["chain", "star", "random", "comb"])
-def test_contraction_of_trees(spark, shape):
-    rng = random.Random(shape)
-    size = 200
-    up = {
-        "chain": lambda n: n - 1,
-        "star": lambda n: 0,
-        "random": lambda n: rng.randrange(n),
-        "comb": lambda n: n - 1 if n % 2 else max(0, n - 2),
-    }[shape]
-    parent = [None, *[up(n) for n in range(1, size)]]
-    depth = [0]
-    for n in range(1, size):
-        depth.append(depth[parent[n]] + 1)
-    weight = [rng.randrange(100) for _ in range(size)]
-    total = weight[:]
-    for n in range(size - 1, 0, -1):
-        total[parent[n]] += total[n]
-    rows = [(n, depth[n], parent[n], parent.count(n), weight[n]) for n in range(size)]
+def test_contraction_of_trees(spark):
+    """A chain, a star, a random tree and a comb side by side."""
+    rng, size = random.Random(6), 200
+    shapes = [lambda n: n - 1, lambda n: 0, lambda n: rng.randrange(n), lambda n: n - 1 if n % 2 else max(0, n - 2)]
+    rows, want = [], {}
+    for shape, up in enumerate(shapes):
+        first = 1000 * shape
+        parent = [None, *[up(n) for n in range(1, size)]]
+        depth = [0]
+        for n in range(1, size):
+            depth.append(depth[parent[n]] + 1)
+        weight = [rng.randrange(100) for _ in range(size)]
+        total = weight[:]
+        for n in range(size - 1, 0, -1):
+            total[parent[n]] += total[n]
+        rows += [
+            (first + n, depth[n], None if n == 0 else first + parent[n], parent.count(n), weight[n])
+            for n in range(size)
+        ]
+        want |= {first + n: t for n, t in enumerate(total)}
     tree = spark.createDataFrame(rows, "conv_id long, depth long, parent_conv_id long, n_children long, w long")
-    got = {r["conv_id"]: r["w"] for r in trie.contracted(tree, ["w"]).collect()}
-    assert got == dict(enumerate(total))
+    assert {r["conv_id"]: r["w"] for r in trie.contracted(tree, ["w"]).collect()} == want
 
 
 def test_general_interface_without_regrafting(spark):
