@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from figmill import constants as C
 from figmill.functions import tokens as K
+from figmill.functions.hashing import draws, uniform
 from figmill.operators import encoding as N
 from figmill.operators import grammar
 from figmill.operators.quality import vocabulary_invariants
@@ -161,3 +162,17 @@ def test_join_and_travelling_vocabulary_agree(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert joined == travelling
+
+
+def test_batched_draws_are_the_native_ones(spark):
+    """The draws of a row are hashed together; keys that are null, long or not ASCII included."""
+    rows = [(1, "7"), (2, None), (3, "é" * 30), (4, "k" * 49), (5, "k" * 80), (6, "")]
+    df = spark.createDataFrame(rows, "n int, key string")
+    slots = F.sequence(F.lit(0), F.lit(1100))
+    batched = df.select("n", F.posexplode(draws(42, F.col("key"), 1101)).alias("slot", "u"))
+    single = df.select("key", "n", F.explode(slots).alias("slot"))
+    native = single.select("n", "slot", uniform(42, F.col("key"), F.col("slot")).alias("u"))
+    assert batched.exceptAll(native).count() == 0 and batched.count() == 6 * 1101
+    none = df.select(draws(42, F.col("key"), F.lit(None).cast("int")).alias("u"))
+    assert none.filter("u IS NOT NULL").count() == 0
+    assert "ArrowEvalPython" in batched._jdf.queryExecution().toString()
