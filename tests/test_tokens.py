@@ -176,3 +176,15 @@ def test_batched_draws_are_the_native_ones(spark):
     none = df.select(draws(42, F.col("key"), F.lit(None).cast("int")).alias("u"))
     assert none.filter("u IS NOT NULL").count() == 0
     assert "ArrowEvalPython" in batched._jdf.queryExecution().toString()
+
+
+def test_dropout_uses_the_draw_of_each_place(spark):
+    ids = [1, 5, None, 7, 1, 2, *range(10, 130), 0]
+    rows = spark.createDataFrame(
+        [(3, ids), (None, ids), (4, []), (5, None)], "key long, ids array<int>"
+    )
+    dropped = rows.select("key", K.word_dropout(F.col("ids"), 9, F.col("key"), 0.4).alias("d"))
+    native = rows.select("key", F.transform("ids", lambda t, i: F.when(
+        (t != 1) & (uniform(9, F.col("key"), i) < 0.4), F.lit(3)).otherwise(t)).alias("d"))
+    assert dropped.exceptAll(native).count() == 0 and dropped.count() == 4
+    assert "ArrowEvalPython" in dropped._jdf.queryExecution().toString()
