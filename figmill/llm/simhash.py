@@ -13,6 +13,9 @@ up their differences, and words in which every pair is beyond the radius are aba
 gives the edges of a spanning forest, never all its pairs. Components come from large-star and
 small-star rounds over tables in the shared folder.
 
+``wide_pairs`` is the same comparison for wider fingerprints and radii: a whole table of pairs at a
+time, with counters of as many planes as the radius has bits. ``likeness`` proposes its pairs by it.
+
 Defined results: null and empty texts have fingerprint zero and are linked like any other; a null
 id keeps its row but never names a component (null when no other id is reachable); repeated rows
 each give a row; an empty table gives an empty result.
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from figmill.llm import likeness
-from figmill.llm.batches import LOWER, SPACES, flat, row_sums, runs, slices
+from figmill.llm.batches import LOWER, SPACES, flat, mixed, row_sums, runs, slices
 from figmill.sources.staging import stage
 
 SEED = 42
@@ -36,6 +39,11 @@ WIDTH = 3
 RADIUS = 2
 #: Pairs of bytes that may differ; the other six are the key.
 FREE = list(combinations(range(8), RADIUS))
+#: Bits of the fingerprints of sets; each word of them hashes with another salt.
+WIDE = 128
+_SALTS = np.random.default_rng(29).integers(0, 1 << 63, WIDE // 64, dtype=np.uint64)
+#: Rows of the table of pairs that is compared at a time, and planes between two looks at it.
+_TILE, _LOOK = 256, 16
 
 
 def joined_words(data, starts, ends) -> tuple[bytes, np.ndarray]:
@@ -69,7 +77,13 @@ def text_fingerprints(column: pa.Array) -> np.ndarray:
         np.uint64,
         len(first),
     )
-    out = np.zeros(len(counts), np.uint64)
+    return majorities(hashes, places)
+
+
+def majorities(hashes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """For each row of hashes the bits that more than half of them have."""
+    sizes = np.diff(places)
+    out = np.zeros(len(sizes), np.uint64)
     for byte in range(8):
         part = (hashes >> np.uint64(8 * byte)).astype(np.uint8)
         bits = np.unpackbits(part[:, None], axis=1, bitorder="little")
@@ -79,6 +93,14 @@ def text_fingerprints(column: pa.Array) -> np.ndarray:
     return out
 
 
+def set_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """``WIDE`` bits of each set of hashes, as rows of 64-bit words."""
+    places = np.concatenate(([0], np.cumsum([len(own) for own in sets], dtype=np.int64)))
+    values = np.concatenate([np.zeros(0, np.uint64), *sets])
+    parts = [majorities(mixed(values ^ salt), places) for salt in _SALTS]
+    return np.stack(parts, axis=1)
+
+
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``id, fingerprint`` (the 64 bits as a long), one row per document."""
 
@@ -93,7 +115,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     return picked.mapInArrow(work, "id long, fingerprint long")
 
 
-class _Forest:
+class Forest:
     """Union-find over the fingerprints of one batch; keeps the links that join two trees."""
 
     def __init__(self, size: int):
@@ -166,6 +188,60 @@ def close_pairs(values: np.ndarray, bucket: np.ndarray, radius: int = RADIUS):
             yield first, first + distance
 
 
+def _added(a, b, c):
+    """Carry-save sum of three planes: its ones and its twos."""
+    half = a ^ b
+    return half ^ c, (a & b) | (half & c)
+
+
+def wide_pairs(bits: np.ndarray, radius: int):
+    """Yield ``(i, j)`` index arrays, i below j, of the rows of ``bits`` within ``radius``.
+
+    Each word holds a plane of 64 rows, which are compared with one row at a time. The counters
+    begin so high that they run over where a pair is beyond the radius; words in which all are
+    beyond are abandoned.
+    """
+    size, width = len(bits), 64 * bits.shape[1]
+    single = np.unpackbits(bits.view(np.uint8).reshape(size, -1), axis=1, bitorder="little").T
+    planes = np.stack([_words(plane) for plane in single])
+    masks = np.uint64(0) - single.astype(np.uint64)
+    levels = max(1, radius.bit_length())
+    begin = (1 << levels) - 1 - radius
+    for first in range(0, size, _TILE):
+        own, rest = masks[:, first : first + _TILE, None], planes[:, None, first // 64 :]
+        shape = (own.shape[1], rest.shape[2])
+        row, word = None, None
+        counters = [
+            np.full(shape, -(begin >> n & 1) & (1 << 64) - 1, np.uint64)
+            for n in range(levels)
+        ]
+        beyond = np.zeros(shape, np.uint64)
+        for at in range(0, width, 2):
+            if row is None:
+                x, y = (own[n] ^ rest[n] for n in (at, at + 1))
+            else:
+                x, y = (own[n, row, 0] ^ rest[n, 0, word] for n in (at, at + 1))
+            counters[0], carry = _added(counters[0], x, y)
+            for n in range(1, len(counters)):
+                counters[n], carry = counters[n] ^ carry, counters[n] & carry
+            beyond |= carry
+            if at + 2 > 2 * radius and (at + 2) % _LOOK == 0:
+                kept = ~beyond != 0
+                if 2 * np.count_nonzero(kept) < kept.size:
+                    there = np.nonzero(kept)
+                    row, word = there if row is None else (row[there], word[there])
+                    counters, beyond = [c[kept] for c in counters], beyond[kept]
+        if row is None:
+            row, word = (x.ravel() for x in np.indices(shape))
+        hits = np.unpackbits((~beyond).reshape(-1, 1).view(np.uint8), axis=1, bitorder="little")
+        found, bit = np.nonzero(hits)
+        left = first + row[found]
+        right = 64 * (first // 64 + word[found]) + bit
+        some = (right > left) & (right < size)
+        if some.any():
+            yield left[some], right[some]
+
+
 def _bucket_links(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         members = batch.column("members")
@@ -181,7 +257,7 @@ def _bucket_links(batches) -> Iterator[pa.RecordBatch]:
             values = ((bits[mine] >> low) & np.uint64(255)) | (
                 ((bits[mine] >> high) & np.uint64(255)) << np.uint64(8)
             )
-            forest = _Forest(len(mine))
+            forest = Forest(len(mine))
             for left, right in close_pairs(values.astype(np.uint16), bucket[mine]):
                 forest.add(left, right)
             if forest.links:

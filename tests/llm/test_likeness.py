@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from figmill.llm import likeness, simhash
@@ -116,3 +117,61 @@ def test_recall_at_the_threshold(spark):
     kept = {r["doc_id"] for r in simhash.first_of_groups(documents(spark, rows).repartition(5)).collect()}
     assert {n for n in kept if n < 1000} == {0}
     assert sum(n % 2 for n in kept if n >= 1000) <= 0.1 * pairs
+
+
+def test_candidates_come_from_simhash(spark):
+    """Near copies are linked through fingerprints within the radius, and not beside them."""
+    own = prose(77, 300, 3000).split()
+    rows = [(0, " ".join(own))]
+    for n in range(1, 6):
+        rows.append((n, " ".join(own[: 50 * n] + [f"new{n}"] + own[50 * n :])))
+    docs = documents(spark, rows)
+    roots = {
+        radius: likeness.groups(docs, simhash.components, radius=radius).select("root").distinct().count()
+        for radius in (0, likeness.RADIUS)
+    }
+    assert roots == {0: 6, likeness.RADIUS: 1}
+
+
+def test_tables_find_the_pairs_at_the_threshold():
+    """Fingerprints of 2J / (1 + J) common direction, in tables for many classes."""
+    rng = np.random.default_rng(5)
+    drawn = likeness.tables(100_000)
+    found = 0
+    for n in range(300):
+        values = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+        sets = [values[:180], values[20:]]  # 160 of 200 are common
+        bits = simhash.set_fingerprints(sets)
+        apart = int(np.bitwise_count(bits[0] ^ bits[1]).sum())
+        meet = ((bits[0] ^ bits[1]) & drawn == 0).all(1).any()
+        found += meet and apart <= likeness.RADIUS
+    assert found >= 290
+
+
+def test_group_of_unlike_copies_gives_few_rows(spark, monkeypatch):
+    """Copies of one text of which few pairs are alike, their sets in many blocks: groups as by
+    brute force, and rows in proportion to the copies."""
+    rng, base = random.Random(9), prose(4, 150, 3000).split()
+    rows = []
+    for n in range(260):
+        own = list(base)
+        for _ in range(rng.randint(0, 5)):
+            own[rng.randrange(len(own))] = f"new{n}x{rng.randrange(9999)}"
+        rows.append((n, " ".join(own)))
+    docs = documents(spark, rows).repartition(3)
+    monkeypatch.setattr(likeness, "ROOM", 4000)
+    kept = simhash.first_of_groups(docs)
+    assert {r["doc_id"] for r in kept.collect()} == brute_first(rows)
+    marked = likeness.marked(docs).select("*", F.col("id").alias("node"))
+    trees = likeness._tree_pairs(marked.select("node", "n", "high", "low", F.explode("keys").alias("key")))
+    assert 200 < trees.count() < 260
+
+
+def test_large_bucket_stays_one_tree(spark):
+    size = likeness.BLOCK + 100
+    rows = spark.range(size).selectExpr(
+        "id AS node", "1L AS key", "9L AS n", "xxhash64(id) AS high", "xxhash64(id, 1) AS low"
+    )
+    trees = likeness._tree_pairs(rows).collect()
+    assert len({r["key"] for r in trees}) == 1
+    assert {r["a"] for r in trees} | {r["b"] for r in trees} == set(range(size))

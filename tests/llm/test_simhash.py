@@ -50,6 +50,17 @@ def test_close_pairs_by_planes(seed):
     }
 
 
+@pytest.mark.parametrize(("size", "radius"), [(700, 34), (300, 50), (64, 2), (300, 0), (2, 5)])
+def test_wide_pairs_by_planes(size, radius):
+    rng = np.random.default_rng(size)
+    bits = rng.integers(0, 1 << 63, (8, 2), dtype=np.uint64)[rng.integers(0, 8, size)]
+    bits ^= np.packbits(rng.random((size, 128)) < 0.12, axis=1).view(np.uint64)
+    found = [p for left, right in simhash.wide_pairs(bits, radius) for p in zip(left.tolist(), right.tolist())]
+    apart = np.bitwise_count(bits[:, None] ^ bits[None]).sum(2)
+    assert len(found) == len(set(found))
+    assert set(found) == {(i, j) for i, j in zip(*np.nonzero(apart <= radius)) if i < j}
+
+
 def test_links_reach_every_pair_within_two_bits(spark):
     rng = random.Random(5)
     prints = set()
