@@ -283,3 +283,49 @@ def test_best_of_n(spark):
     assert best == {1: (2, 0.5), 2: (0, 0.0)}
     means = M.mean_ssim(frame).first()
     assert means["ssim_samples"] == 4 and means["mean_ssim_compiled"] == pytest.approx(1.1 / 4)
+
+
+def test_pairs_near_the_diagonal_are_proven_or_aligned_in_full():
+    """Distances of pairs that a diagonal proves equal those of the whole table."""
+    draw = random.Random(7)
+    words = ["(", ",", ")", "1", "0.5", "-4", "a", "--", "(1.0, 2.0)", "(0.5,2)", ";"]
+    left, right = [], []
+    for _ in range(400):
+        a = [draw.choice(words) for _ in range(draw.choice([0, 1, 2, 5, 20, 40]))]
+        b = list(a)
+        for _ in range(draw.randint(0, 4)):
+            if b:
+                b[draw.randrange(len(b))] = draw.choice(words)
+        if b and draw.random() < 0.5:
+            del b[draw.randrange(len(b))]
+        left.append(a)
+        right.append(b if draw.random() < 0.8 else b[::-1] + ["x"])
+    lists = [pa.array(side, pa.list_(pa.string())) for side in (left, right)]
+    proven, whole = [], A._near_diagonal
+
+    def counted(*block):
+        cost, sure = whole(*block)
+        proven.append(int(sure.sum()))
+        return cost, sure
+
+    def unsure(*block):
+        cost, sure = whole(*block)
+        return cost, np.zeros_like(sure)
+
+    A._near_diagonal = counted
+    try:
+        quick = A.align_batch(*lists, 2.0).to_numpy()
+        A._near_diagonal = unsure
+        full = A.align_batch(*lists, 2.0).to_numpy()
+    finally:
+        A._near_diagonal = whole
+    assert sum(proven) > 100
+    np.testing.assert_allclose(quick, full, atol=1e-12)
+
+
+def test_structure_scores_find_points_and_keywords_once(spark):
+    """Each side's points are extracted once (x and y), its keywords matched once a word."""
+    pairs = spark.createDataFrame([("a", "b", "polygon")], "reference string, candidate string, family string")
+    plan = M.structure_scores(pairs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 4
+    assert plan.count("RLIKE") + plan.count("rlike") <= 16

@@ -188,3 +188,38 @@ def test_dropout_uses_the_draw_of_each_place(spark):
         (t != 1) & (uniform(9, F.col("key"), i) < 0.4), F.lit(3)).otherwise(t)).alias("d"))
     assert dropped.exceptAll(native).count() == 0 and dropped.count() == 4
     assert "ArrowEvalPython" in dropped._jdf.queryExecution().toString()
+
+
+def test_tokens_are_found_and_quantized_a_batch_at_a_time(spark):
+    """No function runs per token inside the engine; blanks and digits are those of the pattern."""
+    odd = "1.25 -0.04 ٣ x\x1cy\x85z ​ 0.00004 " + "9" * 400 + ".5 \U0001f600 12."
+    rows = spark.createDataFrame([(odd,), ("",), (None,)], "t string").coalesce(1)
+    found = rows.select(K.tokens("t").alias("tokens"))
+    assert [r["tokens"] for r in found.collect()] == [
+        ["1.2", "0", "٣", "x", "y", "z", "​", "0", "5", "\U0001f600", "12", "."], [], None,
+    ]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan
+
+
+def test_a_token_that_is_null_may_have_been_anything(spark):
+    rows = [(["\\draw", None, "\\draw"],), ([None, ";", ";", ")"],), (None,), ([],)]
+    broken = spark.createDataFrame(rows, "t array<string>").coalesce(1).select(
+        grammar.broken_rules(F.col("t")).alias("b")
+    )
+    assert [r["b"] and [tuple(b) for b in r["b"]] for r in broken.collect()] == [
+        [(0, "\\draw", "opener_first")],
+        [(2, ";", "empty_statement"), (3, ")", "close_at_depth_zero")], None, [],
+    ]
+    assert "lambdafunction" not in broken._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sentinels_are_counted_and_dropped_without_a_function_per_id(spark):
+    ids = spark.createDataFrame([([1, 3, 7, 2, 0, 0],), ([0, 0],), ([],)], "ids array<int>").coalesce(1)
+    found = ids.select(
+        K.sequence_audit(F.col("ids"))["pad_count"].alias("pads"),
+        K.sequence_audit(F.col("ids"))["unk_count"].alias("unks"),
+        K.without(F.col("ids"), (0, 1, 2)).alias("kept"),
+    )
+    assert [tuple(r) for r in found.collect()] == [(2, 1, [3, 7]), (2, 0, []), (0, 0, [])]
+    assert "lambdafunction" not in found._jdf.queryExecution().optimizedPlan().toString()
