@@ -343,3 +343,18 @@ def test_progress_keeps_one_version_of_every_family(spark, tmp_path):
     found = {r["family"]: (r["collected"], r["done"]) for r in ST.latest_progress(spark, out).collect()}
     assert found == {"a": (3, True), "b": (1, False), "c": (1, False)}
     assert len([n for n in os.listdir(out) if n.startswith("version=")]) <= 2
+
+
+def test_renaming_looks_the_file_system_up_once(spark, tmp_path, monkeypatch):
+    """The driver names every shard file, so a file must cost no more than its rename."""
+    from figmill.sources import staging
+
+    asked, files_of = [], staging._files
+    monkeypatch.setattr(staging, "_files", lambda *a: asked.append(a) or files_of(*a))
+    old = [tmp_path / f"part {n}.txt" for n in range(5)]
+    for n, path in enumerate(old):
+        path.write_text(str(n))
+    staging.moved(spark, [(p.as_uri(), f"{tmp_path}/new{n % 2}/a {n}.txt") for n, p in enumerate(old)])
+    assert [(tmp_path / f"new{n % 2}" / f"a {n}.txt").read_text() for n in range(5)] == list("01234")
+    assert len(asked) == 1
+    staging.moved(spark, [])
