@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from figmill import constants as C
+from figmill.functions import hashing as H
 from figmill.functions import scores as S
 from figmill.functions import text as X
 from figmill.functions import tokens as K
@@ -329,3 +330,56 @@ def test_structure_scores_find_points_and_keywords_once(spark):
     plan = M.structure_scores(pairs)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") == 4
     assert plan.count("RLIKE") + plan.count("rlike") <= 16
+
+
+def test_only_assignments_that_share_a_column_are_augmented(monkeypatch):
+    """A row that is alone in wanting its column gets it; the other matrices are solved in full."""
+    rng, solved = np.random.default_rng(3), []
+    whole = A._augmented
+    cost = rng.random((300, 6, 7))
+    cost[::2, np.arange(6), rng.permutation(7)[:6]] -= 1.0
+    full = np.take_along_axis(cost, whole(cost)[:, :, None], axis=2).sum(axis=(1, 2))
+    monkeypatch.setattr(A, "_augmented", lambda stack: solved.append(len(stack)) or whole(stack))
+    columns = A.cheapest_assignments(cost)
+    assert 0 < sum(solved) <= 150
+    assert (np.diff(np.sort(columns, axis=1), axis=1) > 0).all()
+    np.testing.assert_allclose(np.take_along_axis(cost, columns[:, :, None], axis=2).sum(axis=(1, 2)), full)
+
+
+def test_points_of_a_batch_are_those_of_a_column(spark):
+    """Points found by Arrow, brackets and white space of any kind included."""
+    rng = random.Random(11)
+    texts = ["1, 2)", "((1,2)", "( 1 ,\x0b2\f)", "", None, "(1.,2)", "(-0,+1)", "(" + "9" * 400 + ",-1)", "(1,2\x00)", "é(1,2)(3,-4.5)é"]
+    texts += ["".join(rng.choice("((),,.-12 \n\x0ba") for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    rows = frame.select("n", X.points("t").alias("p")).collect()
+    expected = {r["n"]: [(p["x"], p["y"]) for p in r["p"] or []] for r in rows}
+    for first, count in ((0, len(texts)), (3, 50), (4, 1), (0, 0)):
+        found, ends = A._points_of_texts(pa.array(texts, pa.string()).slice(first, count))
+        lists = [[tuple(p) for p in found[a:b].tolist()] for a, b in zip(ends[:-1], ends[1:])]
+        assert lists == [expected[n] for n in range(first, first + count)]
+
+
+def test_coordinate_errors_read_the_pairs_once(spark):
+    """One scan for both kinds of family; unordered rows hand their texts over, not lists of points."""
+    rows = [
+        (1, "node_arrow", "(0,0) (4,4)", "(4,4) (0,0)"), (2, "polygon", "(0,0) (4,4)", "(4,4)"),
+        (3, "composed", None, "(1,1)"), (4, "composed", "x", ""), (5, None, "(1,1)", "(1,1)"), (6, "polygon", None, "(1,1)"),
+    ]
+    frame = spark.createDataFrame(rows, "sample_id int, family string, reference string, candidate string")
+    scored = M.coordinate_errors(frame)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "score(CASE WHEN family" in plan
+    found = {r["sample_id"]: tuple(r)[4:] for r in scored.collect()}
+    assert found == {
+        1: (2, 2, 2, "assigned", 0.0), 2: (1, 2, 1, "ordered", pytest.approx((4 * math.sqrt(2) / SCALE + 1) / 2)),
+        3: (1, None, 1, "assigned", 1.0), 4: (0, 0, 0, "assigned", 0.0), 6: (1, None, 1, "ordered", None),
+    }
+    assert {r["sample_id"] for r in M.coordinate_errors(frame, ()).collect()} == set(range(1, 7))
+
+
+def test_draws_send_counts_not_slots():
+    """Draws under a count are those of the slots 0, 1, ..."""
+    stems, counts = pa.array(["42:1:", "42:m5/7:", "s" * 60, "42:9:"]), pa.array([16, 3, 12, None], pa.int32())
+    slots = pa.array([None if n is None else list(range(n)) for n in counts.to_pylist()], pa.list_(pa.int32()))
+    assert H.draw_batch(stems, counts).to_pylist() == H.uniform_batch(stems, slots).to_pylist()
