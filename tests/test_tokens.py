@@ -4,11 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from figmill import constants as C
+from figmill.functions import templates as G
 from figmill.functions import tokens as K
 from figmill.functions.hashing import draws, uniform
 from figmill.operators import encoding as N
 from figmill.operators import grammar
 from figmill.operators.quality import vocabulary_invariants
+from figmill.plans.corpus import seed_vocabulary
 
 
 @pytest.mark.parametrize(
@@ -223,3 +225,18 @@ def test_sentinels_are_counted_and_dropped_without_a_function_per_id(spark):
     )
     assert [tuple(r) for r in found.collect()] == [(2, 1, [3, 7]), (2, 0, []), (0, 0, [])]
     assert "lambdafunction" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_seed_vocabulary_holds_the_tokens_of_every_family_and_key(spark):
+    """Pictures are generated and read in one job; null and repeated keys are keys like others."""
+    keys = spark.createDataFrame([(k,) for k in (1, 2, 2, None, 10**12)], "sample_id long")
+    found = {r["token"]: r["idx"] for r in seed_vocabulary(keys, 9).collect()}
+    expected = {r["token"] for r in N.coordinate_bins(keys, C.FINE_COORDINATE_STEP).collect()}
+    for name in C.FAMILIES:
+        texts = [r[0] for r in keys.select(G.family_markup(name, 9, F.col("sample_id"))).collect()]
+        tagged = spark.createDataFrame([(f"<FAM:{name}> {text}",) for text in texts], "t string")
+        for row in tagged.select(K.tokens("t", step=C.FINE_COORDINATE_STEP)).collect():
+            expected |= set(row[0])
+    assert {"\\node", "grid", "cycle", "<FAM:composed>"} <= expected and len(texts) == 5
+    ordered = sorted(expected - set(C.RESERVED_TOKENS))
+    assert found == {t: i for i, t in enumerate([*C.RESERVED_TOKENS, *ordered])}
